@@ -1 +1,228 @@
-"""Registered queries."""
+"""Registered queries: defect statistics, breakdowns, classifier, filter modes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roadworthy import params as P
+from roadworthy.functions import classify as C
+from roadworthy.operators import defects as D
+from roadworthy.plans import oracle as O
+from roadworthy.plans.catalog import T, fact_of, register, sources
+
+# Codes are shifted by 200 for the classifier queries so the small code range
+# of the test tables overlaps the wear-and-tear list (FIXTURES.md part B).
+OFF = 200
+OVERRIDES = {"215": True, "241": True, "250": False}
+TOGGLED = ("205", "250")
+SEARCH = "21"
+
+
+def _sql_clean(c: str) -> str:
+    return f"upper({O.STRIP(c)})"
+
+
+def sql_is_wear(c: str) -> str:
+    cc = _sql_clean(c)
+    codes = ", ".join(f"'{x}'" for x in C.ALL_WEAR_CODES)
+    prefixes = " OR ".join(f"starts_with({cc}, '{p}')" for p in C.WEAR_PREFIXES)
+    return f"coalesce(({cc} IN ({codes}) OR {prefixes}), false)"
+
+
+def sql_category(c: str) -> str:
+    cc = _sql_clean(c)
+    whens = " ".join(
+        f"WHEN {cc} IN ({', '.join(repr(x) for x in codes)}) THEN '{cat}'" for cat, codes in C.WEAR_CODES.items()
+    )
+    pre = " ".join(f"WHEN starts_with({cc}, '{p}') THEN 'administrative'" for p in C.WEAR_PREFIXES)
+    return f"CASE {whens} {pre} END"
+
+
+def sql_reliability(c: str, overrides: dict | None = None) -> str:
+    base = f"NOT {sql_is_wear(c)}"
+    if not overrides:
+        return f"({base})"
+    whens = " ".join(f"WHEN {c} = '{k}' THEN {str(v).lower()}" for k, v in overrides.items())
+    return f"(CASE {whens} ELSE {base} END)"
+
+
+TOP_CTE = f"""
+, cc AS (
+  SELECT gebrek_identificatie, {O.SUMI("CAST(coalesce(aantal_gebreken_geconstateerd, '1') AS BIGINT)")} AS "count"
+  FROM defects GROUP BY gebrek_identificatie),
+top0 AS (SELECT * FROM cc ORDER BY "count" DESC, gebrek_identificatie ASC LIMIT {{k}}),
+top1 AS (SELECT *, {O.R('"count" / sum("count") OVER () * 100', 2)} AS percentage FROM top0),
+top AS (
+  SELECT t.gebrek_identificatie AS defect_code,
+         coalesce(c.gebrek_omschrijving, 'Onbekend gebrek') AS defect_description, t."count", t.percentage
+  FROM top1 t LEFT JOIN codes c ON t.gebrek_identificatie = c.gebrek_identificatie)"""
+
+
+def top_cte(k: int = T.top_codes) -> str:
+    return TOP_CTE.replace("{k}", str(k))
+
+
+JOINED_CTE = f"""
+, dj AS (
+  SELECT d.kenteken, d.gebrek_identificatie, CAST(coalesce(d.aantal_gebreken_geconstateerd, '1') AS BIGINT) AS q,
+         f.merk, f.handelsbenaming
+  FROM defects d JOIN fact f ON d.kenteken = f.kenteken
+   AND d.meld_datum_door_keuringsinstantie = f.meld_datum_door_keuringsinstantie
+   AND {O.NTIME('d.meld_tijd_door_keuringsinstantie')} = f.meld_tijd_door_keuringsinstantie),
+bbd AS (SELECT merk, gebrek_identificatie AS defect_code, {O.SUMI('q')} AS "count" FROM dj GROUP BY 1, 2),
+mbd AS (SELECT merk, handelsbenaming, gebrek_identificatie AS defect_code, {O.SUMI('q')} AS "count"
+        FROM dj GROUP BY 1, 2, 3)"""
+
+INDEX_CTE = """
+, idx AS (
+  SELECT gebrek_identificatie AS defect_code, coalesce(gebrek_omschrijving, '') AS description
+  FROM codes WHERE gebrek_identificatie IS NOT NULL AND gebrek_identificatie <> '')"""
+
+
+def excluded_sql(toggled=TOGGLED) -> str:
+    base = sql_is_wear("defect_code")
+    tog = ", ".join(f"'{x}'" for x in toggled)
+    return f"""
+, excl AS (
+  SELECT defect_code FROM idx
+  WHERE CASE WHEN defect_code IN ({tog}) THEN NOT {base} ELSE {base} END)"""
+
+
+@register("a16_top_defects", lambda: O.q("SELECT * FROM top", T, top_cte()))
+def a16_top_defects(spark, sf_dir):
+    src = sources(spark, sf_dir)
+    return D.top_defects(src.defects, src.codes, T.top_codes)
+
+
+@register("a17_defect_headline", lambda: O.q(f"""
+SELECT {O.SUMI('"count"')} AS total_defects, (SELECT count(*) FROM fact) AS total_inspections,
+       CASE WHEN (SELECT count(*) FROM fact) > 0
+            THEN {O.R('sum("count") / (SELECT count(*) FROM fact)', 2)} ELSE 0.0 END AS avg_defects_per_inspection
+FROM top""", T, top_cte()))
+def a17_defect_headline(spark, sf_dir):
+    src = sources(spark, sf_dir)
+    top = D.top_defects(src.defects, src.codes, T.top_codes)
+    insp = fact_of(src).agg(F.count(F.lit(1)).alias("total_inspections"))
+    return D.defect_headline(top, insp)
+
+
+@register("a18_brand_breakdown", lambda: O.q("SELECT * FROM bbd", T, JOINED_CTE))
+def a18_brand_breakdown(spark, sf_dir):
+    src = sources(spark, sf_dir)
+    return D.brand_breakdown(src.defects, fact_of(src))
+
+
+@register("a18_model_breakdown", lambda: O.q("SELECT * FROM mbd", T, JOINED_CTE))
+def a18_model_breakdown(spark, sf_dir):
+    src = sources(spark, sf_dir)
+    return D.model_breakdown(src.defects, fact_of(src))
+
+
+@register("j4_raw_time_breakdown", lambda: O.q("""
+SELECT f.merk, d.gebrek_identificatie AS defect_code,
+       CAST(sum(CAST(coalesce(d.aantal_gebreken_geconstateerd, '1') AS BIGINT)) AS BIGINT) AS "count"
+FROM defects d JOIN fact f ON d.kenteken = f.kenteken
+ AND d.meld_datum_door_keuringsinstantie = f.meld_datum_door_keuringsinstantie
+ AND d.meld_tijd_door_keuringsinstantie = f.meld_tijd_door_keuringsinstantie
+GROUP BY 1, 2""", T))
+def j4_raw_time_breakdown(spark, sf_dir):
+    """Parity mode of J4 (D3): raw time against normalised time."""
+    src = sources(spark, sf_dir)
+    return D.brand_breakdown(src.defects, fact_of(src), raw_time=True)
+
+
+@register("a19_code_index", lambda: O.q("SELECT * FROM idx", T, INDEX_CTE))
+def a19_code_index(spark, sf_dir):
+    return D.code_index(sources(spark, sf_dir).codes)
+
+
+@register("p19_wear_classifier", lambda: O.q(f"""
+SELECT defect_code, {sql_category('defect_code')} AS category, {sql_reliability('defect_code')} AS is_reliability
+FROM idx""", T, INDEX_CTE, OFF))
+def p19_wear_classifier(spark, sf_dir):
+    return D.classify_codes(D.code_index(sources(spark, sf_dir, OFF).codes))
+
+
+@register("p20_overrides", lambda: O.q(f"""
+SELECT *, {sql_reliability('defect_code', OVERRIDES)} AS computed_is_reliability FROM top""", T, top_cte(), OFF))
+def p20_overrides(spark, sf_dir):
+    src = sources(spark, sf_dir, OFF)
+    return D.with_reliability(D.top_defects(src.defects, src.codes, T.top_codes), OVERRIDES)
+
+
+@register("p21_inclusion_set", lambda: O.q("SELECT * FROM excl", T, INDEX_CTE + excluded_sql(), OFF))
+def p21_inclusion_set(spark, sf_dir):
+    idx = D.code_index(sources(spark, sf_dir, OFF).codes)
+    return D.excluded_codes(idx, "reliability", toggled=TOGGLED)
+
+
+@register("a32_filtered_ratio", lambda: O.q(f"""
+SELECT merk, {O.SUMI('"count"')} AS total_count,
+       {O.SUMI('CASE WHEN e.defect_code IS NULL THEN "count" ELSE 0 END')} AS included_count,
+       {O.R('CASE WHEN sum("count") <= 0 THEN 1.0 ELSE sum(CASE WHEN e.defect_code IS NULL THEN "count" ELSE 0 END) / sum("count") END', 6)}
+         AS defect_ratio
+FROM bbd b LEFT JOIN excl e ON b.defect_code = e.defect_code GROUP BY merk""",
+                                              T, JOINED_CTE + INDEX_CTE + excluded_sql(), OFF))
+def a32_filtered_ratio(spark, sf_dir):
+    src = sources(spark, sf_dir, OFF)
+    bd = D.brand_breakdown(src.defects, fact_of(src))
+    ex = D.excluded_codes(D.code_index(src.codes), "reliability", toggled=TOGGLED)
+    return D.filtered_ratio(bd, [P.MERK], ex, "reliability")
+
+
+@register("a43_reliability_summary", lambda: O.q(f"""
+SELECT {O.SUMI(f'CASE WHEN {sql_reliability("defect_code")} THEN "count" ELSE 0 END')} AS reliability_count,
+       {O.SUMI(f'CASE WHEN {sql_reliability("defect_code")} THEN 0 ELSE "count" END')} AS wear_count,
+       {O.SUMI('"count"')} AS total_count,
+       CASE WHEN sum("count") > 0
+            THEN {O.R(f'sum(CASE WHEN {sql_reliability("defect_code")} THEN "count" ELSE 0 END) / sum("count") * 100', 1)}
+            ELSE 0.0 END AS reliability_percentage
+FROM top""", T, top_cte(), OFF))
+def a43_reliability_summary(spark, sf_dir):
+    src = sources(spark, sf_dir, OFF)
+    return D.reliability_summary(D.top_defects(src.defects, src.codes, T.top_codes))
+
+
+@register("a44_reliability_chart", lambda: O.q(f"""
+SELECT defect_code AS name, defect_description AS description, "count", percentage FROM top
+WHERE {sql_reliability('defect_code')} ORDER BY "count" DESC, defect_code ASC LIMIT {P.RELIABILITY_CHART_ITEMS}""",
+                                                 T, top_cte(), OFF))
+def a44_reliability_chart(spark, sf_dir):
+    src = sources(spark, sf_dir, OFF)
+    return D.reliability_chart(D.top_defects(src.defects, src.codes, T.top_codes))
+
+
+@register("a45_code_counts", lambda: O.q("""
+SELECT (SELECT count(*) FROM idx) - (SELECT count(*) FROM excl) AS active_defect_count,
+       (SELECT count(*) FROM idx) AS total_defect_count""", T, INDEX_CTE + excluded_sql(), OFF))
+def a45_code_counts(spark, sf_dir):
+    idx = D.code_index(sources(spark, sf_dir, OFF).codes)
+    return D.code_counts_summary(idx, D.excluded_codes(idx, "reliability", toggled=TOGGLED))
+
+
+@register("p27_defect_search", lambda: O.q(f"""
+SELECT *, {sql_reliability('defect_code')} AS computed_is_reliability FROM top
+WHERE {sql_reliability('defect_code')}
+  AND (lower(defect_code) LIKE '%{SEARCH}%' OR lower(defect_description) LIKE '%{SEARCH}%')""",
+                                             T, top_cte(), OFF))
+def p27_defect_search(spark, sf_dir):
+    src = sources(spark, sf_dir, OFF)
+    return D.defect_search(D.top_defects(src.defects, src.codes, T.top_codes), SEARCH, "reliability")
+
+
+@register("p29_code_search", lambda: O.q(f"""
+SELECT * FROM idx WHERE lower(defect_code) LIKE '%{SEARCH}%' OR lower(description) LIKE '%{SEARCH}%'""",
+                                           T, INDEX_CTE))
+def p29_code_search(spark, sf_dir):
+    return D.code_search(D.code_index(sources(spark, sf_dir).codes), SEARCH)
+
+
+@register("a46_top_defects_per_brand", lambda: O.q(f"""
+SELECT * FROM (
+  SELECT *, CAST(sum("count") OVER (PARTITION BY merk) AS BIGINT) AS group_total,
+         CAST(row_number() OVER (PARTITION BY merk ORDER BY "count" DESC, defect_code ASC) AS INTEGER) AS rank
+  FROM bbd) WHERE rank <= 5""".replace("SELECT * FROM (", "SELECT *, " + O.R('"count" / group_total * 100', 2)
+                                        + " AS share FROM ("), T, JOINED_CTE))
+def a46_top_defects_per_brand(spark, sf_dir):
+    src = sources(spark, sf_dir)
+    return D.top_defects_per_group(D.brand_breakdown(src.defects, fact_of(src)), [P.MERK], 5)
