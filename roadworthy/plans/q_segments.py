@@ -54,7 +54,7 @@ def a9_age_bounds(spark, sf_dir):
 
 
 def ranking_sql(src: str, keys: str, threshold: int, k: int = 10) -> str:
-    """Both ranking lists of one level (A26 + W2 + T4)."""
+    """Both ranking lists of one level (A26 + W2 + T4) as CTEs ending in ``ranked``."""
     level = "brands" if keys == "merk" else "models"
     order_keys = ", ".join(f"{c} ASC NULLS FIRST" for c in keys.split(", "))
     return f"""
@@ -73,19 +73,20 @@ lists AS (
   UNION ALL
   SELECT 'least_reliable_{level}' AS ranking,
          CAST(row_number() OVER (ORDER BY rate DESC, vehicle_count DESC, {order_keys}) AS INTEGER) AS rank, *
-  FROM rated)
-SELECT ranking, rank, {keys}, {O.R('rate', 6)} AS defects_per_vehicle_year, total_inspections, vehicle_count
-FROM lists WHERE rank <= {k}"""
+  FROM rated),
+ranked AS (
+  SELECT ranking, rank, {keys}, {O.R('rate', 6)} AS defects_per_vehicle_year, total_inspections, vehicle_count
+  FROM lists WHERE rank <= {k})"""
 
 
-@register("t4_brand_ranking", lambda: O.q("", T, ranking_sql("bseg", "merk", T.brand_ranking)))
+@register("t4_brand_ranking", lambda: O.q("SELECT * FROM ranked", T, ranking_sql("bseg", "merk", T.brand_ranking)))
 def t4_brand_ranking(spark, sf_dir):
     seg = segments.brand_segments(fact_of(sources(spark, sf_dir)), T.brand)
     return rankings.brand_ranking(seg, T.brand_ranking, T.ranking_size)
 
 
 @register("t4_model_ranking",
-          lambda: O.q("", T, ranking_sql("mseg", "merk, handelsbenaming", T.model_ranking)))
+          lambda: O.q("SELECT * FROM ranked", T, ranking_sql("mseg", "merk, handelsbenaming", T.model_ranking)))
 def t4_model_ranking(spark, sf_dir):
     seg = segments.model_segments(fact_of(sources(spark, sf_dir)), T.model)
     return rankings.model_ranking(seg, T.model_ranking, T.ranking_size)
