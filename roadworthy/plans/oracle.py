@@ -49,13 +49,19 @@ vehicles AS (
               ELSE 'Motorfiets' END AS voertuigsoort,
          p_brand AS merk, p_name AS handelsbenaming,
          CAST(1985 + p_size % 15 AS VARCHAR) || '0101' AS datum_eerste_toelating,
-         CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS VARCHAR) END AS catalogusprijs
+         CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS VARCHAR) END AS catalogusprijs,
+         CASE WHEN p_partkey % 11 = 0 THEN NULL
+              ELSE CAST(2018 + p_size % 10 AS VARCHAR) || lpad(CAST(1 + p_partkey % 12 AS VARCHAR), 2, '0') || '15'
+         END AS vervaldatum_apk
   FROM part),
 inspections AS (
   SELECT CAST(l_partkey AS VARCHAR) AS kenteken,
          strftime(l_shipdate, '%Y%m%d') AS meld_datum_door_keuringsinstantie,
          CAST(l_linenumber * 100 + 30 AS VARCHAR) AS meld_tijd_door_keuringsinstantie,
-         CASE WHEN l_linestatus = 'F' THEN 'Periodieke Controle ' ELSE 'tachograaf' END AS soort_melding_ki_omschrijving
+         CASE WHEN l_linestatus = 'F' THEN 'Periodieke Controle ' ELSE 'tachograaf' END AS soort_melding_ki_omschrijving,
+         CASE WHEN l_linenumber = 7 THEN NULL
+              ELSE strftime(CAST(l_shipdate AS DATE) + CAST(l_linenumber * 61 AS INTEGER), '%Y%m%d')
+         END AS vervaldatum_keuring
   FROM lineitem),
 defects AS (
   SELECT CAST(l_partkey AS VARCHAR) AS kenteken,

@@ -1 +1,154 @@
-"""Registered queries."""
+"""Registered queries: ingest round trips and checks.
+
+Round-trip queries stage the bound tables as CSV shard files below the
+shared checkpoint folder and read them back, as the sharded download lands
+its files; the result must equal the bound table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roadworthy import params as P
+from roadworthy.plans import oracle as O
+from roadworthy.plans.catalog import T, fact_of, register, sources
+from roadworthy.session import shared_dir
+from roadworthy.sources import ingest as I
+from roadworthy.sources import tables
+
+VEHICLE_COLS = [P.KENTEKEN, P.VOERTUIGSOORT, P.MERK, P.HANDELSBENAMING, P.DATUM_EERSTE_TOELATING, P.CATALOGUSPRIJS,
+                P.VERVALDATUM_APK]
+AS_OF, DAYS = "2001-12-31", 365
+
+
+@register("s2_scan_projection", lambda: O.q(
+    "SELECT l_partkey, CAST(l_shipdate AS DATE) AS ship_day, l_linestatus FROM lineitem WHERE l_returnflag = 'R'",
+    T))
+def s2_scan_projection(spark, sf_dir):
+    """Lazy scan with pruned columns and a pushed filter."""
+    df = tables.read_table(spark, sf_dir, "lineitem")
+    return df.where(F.col("l_returnflag") == "R").select(
+        "l_partkey", F.col("l_shipdate").cast("date").alias("ship_day"), "l_linestatus")
+
+
+@register("s4_csv_round_trip", lambda: O.q("SELECT * FROM vehicles", T))
+def s4_csv_round_trip(spark, sf_dir):
+    v = sources(spark, sf_dir).vehicles
+    base = shared_dir(spark, "s4")
+    I.write_csv(v, base + "/csv")
+    back = I.read_csv_strings(spark, base + "/csv")
+    I.to_parquet(back, base + "/parquet")
+    return spark.read.parquet(base + "/parquet")
+
+
+@register("s5_prefix_shards", lambda: O.q("""
+SELECT CASE WHEN regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$') THEN substr(kenteken, 1, 1) END AS shard,
+       count(*) AS "rows",
+       regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$') AS covered
+FROM inspections GROUP BY ALL""", T))
+def s5_prefix_shards(spark, sf_dir):
+    return I.shard_counts(sources(spark, sf_dir).inspections)
+
+
+def _staged_shards(spark, sf_dir):
+    """Vehicles written as 36 prefix shards; shard '1' lacks the price column
+    and shard '2' carries an extra column, as drifting exports do."""
+    v = sources(spark, sf_dir).vehicles.select(*VEHICLE_COLS)
+    base = shared_dir(spark, "s7")
+    paths = I.write_shards(v, base, drop_columns={"1": [P.CATALOGUSPRIJS]},
+                           extra_columns={"2": {"extra_note": F.lit("x")}})
+    return [I.read_csv_strings(spark, p) for p in paths]
+
+
+@register("s7_tolerant_union", lambda: O.q("""
+SELECT kenteken, voertuigsoort, merk, handelsbenaming, datum_eerste_toelating,
+       CASE WHEN starts_with(kenteken, '1') THEN NULL ELSE catalogusprijs END AS catalogusprijs, vervaldatum_apk
+FROM vehicles WHERE regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$')""", T))
+def s7_tolerant_union(spark, sf_dir):
+    shards = [s for s in _staged_shards(spark, sf_dir) if s.columns]
+    schema = tables.SCHEMAS["voertuigen"]
+    return I.tolerant_union(shards, schema)
+
+
+@register("s6_union_schema", None)
+def s6_union_schema(spark, sf_dir):
+    """S6 (rows-only): the union schema of the staged shards as (position, name, type) rows."""
+    shards = [s for s in _staged_shards(spark, sf_dir) if s.columns]
+    sch = I.union_schema(shards)
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(sch.fields)]
+    return spark.createDataFrame(rows, "position int, name string, type string")
+
+
+@register("s8_reconciliation", lambda: O.q("""
+SELECT count(*) AS shard_rows, count(*) AS merged_rows, true AS ok
+FROM vehicles WHERE regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$')""", T))
+def s8_reconciliation(spark, sf_dir):
+    shards = [s for s in _staged_shards(spark, sf_dir) if s.columns]
+    merged = I.tolerant_union(shards, tables.SCHEMAS["voertuigen"])
+    return I.reconcile(shards, merged)
+
+
+@register("s9_table_checks", lambda: O.q("""
+SELECT 'meldingen' AS "table", count(*) >= 1 AS ok, CASE WHEN count(*) >= 1 THEN 'ok' ELSE 'too few rows' END
+       AS message, count(*) AS "rows", 5 AS columns FROM inspections
+UNION ALL
+SELECT 'gebreken', false, 'missing columns: gebrek_categorie', count(*), 2 FROM codes""", T))
+def s9_table_checks(spark, sf_dir):
+    src = sources(spark, sf_dir)
+    a = I.validate_table("meldingen", src.inspections, 1, [P.KENTEKEN, P.MELD_DATUM])
+    b = I.validate_table("gebreken", src.codes, 1, [P.GEBREK_ID, "gebrek_categorie"])
+    return a.unionByName(b)
+
+
+@register("s10_duplicate_audit", lambda: O.q("""
+SELECT count(*) AS total_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM inspections)) AS distinct_rows,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM inspections)) AS duplicate_rows
+FROM inspections""", T))
+def s10_duplicate_audit(spark, sf_dir):
+    return I.duplicate_audit(sources(spark, sf_dir).inspections)
+
+
+@register("s15_fingerprint", lambda: O.q("""
+SELECT count(*) AS "rows",
+       coalesce(bit_xor(CAST(('0x' || substr(md5(concat_ws(chr(1), coalesce(kenteken, '\\N'),
+         coalesce(voertuigsoort, '\\N'), coalesce(merk, '\\N'), coalesce(handelsbenaming, '\\N'),
+         coalesce(datum_eerste_toelating, '\\N'), coalesce(catalogusprijs, '\\N'), coalesce(vervaldatum_apk, '\\N'))),
+         1, 15)) AS BIGINT)), 0) AS md5_xor
+FROM vehicles""", T))
+def s15_fingerprint(spark, sf_dir):
+    return I.fingerprint(sources(spark, sf_dir).vehicles)
+
+
+@register("s16_recent_days", lambda: O.q(f"""
+SELECT * FROM inspections
+WHERE meld_datum_door_keuringsinstantie >= strftime(DATE '{AS_OF}' - INTERVAL {DAYS} DAY, '%Y%m%d')""", T))
+def s16_recent_days(spark, sf_dir):
+    return I.recent_days(sources(spark, sf_dir).inspections, AS_OF, DAYS)
+
+
+@register("s17_row_count", lambda: O.q("SELECT count(*) AS row_count FROM defects", T))
+def s17_row_count(spark, sf_dir):
+    return I.row_count(sources(spark, sf_dir).defects)
+
+
+@register("p38_coverage_years", lambda: O.q(f"""
+SELECT kenteken, meld_datum_door_keuringsinstantie,
+       {O.R("CASE WHEN try_strptime(meld_datum_door_keuringsinstantie, '%Y%m%d') IS NULL OR try_strptime(vervaldatum_keuring, '%Y%m%d') IS NULL THEN 1.0 ELSE greatest(date_diff('day', CAST(try_strptime(meld_datum_door_keuringsinstantie, '%Y%m%d') AS DATE), CAST(try_strptime(vervaldatum_keuring, '%Y%m%d') AS DATE)) / 365.25, 0.25) END", 6)}
+         AS coverage_years
+FROM inspections""", T))
+def p38_coverage_years(spark, sf_dir):
+    from roadworthy.functions.normalize import rnd
+
+    i = sources(spark, sf_dir).inspections
+    return i.select(P.KENTEKEN, P.MELD_DATUM,
+                    rnd(I.coverage_years(F.col(P.MELD_DATUM), F.col(P.VERVALDATUM_KEURING)), 6).alias("coverage_years"))
+
+
+@register("p39_age_bands", lambda: O.q(f"""
+SELECT b.band AS age_band, count(DISTINCT kenteken) AS vehicle_count, count(*) AS total_inspections,
+       {O.SUMI('defect_count')} AS total_defects, {O.R('sum(defect_count) / count(*)', 4)} AS avg_defects_per_inspection
+FROM fact f JOIN (VALUES {', '.join(f"('{n}', {lo}, {hi})" for n, lo, hi in P.AGE_BANDS)}) b(band, lo, hi)
+  ON f.age_at_inspection BETWEEN b.lo AND b.hi
+GROUP BY b.band""", T))
+def p39_age_bands(spark, sf_dir):
+    return I.age_band_stats(fact_of(sources(spark, sf_dir)))

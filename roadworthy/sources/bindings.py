@@ -49,6 +49,11 @@ def bind_vehicles(part: DataFrame) -> DataFrame:
         F.when(F.col("p_size") % 7 == 0, F.lit(None).cast("string"))
         .otherwise(_s(F.col("p_retailprice")))
         .alias(P.CATALOGUSPRIJS),
+        # Not in FIXTURES part B; added for the certificate check of the lookup.
+        F.when(F.col("p_partkey") % 11 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(_s(F.lit(2018) + F.col("p_size") % 10),
+                            F.lpad(_s(F.lit(1) + F.col("p_partkey") % 12), 2, "0"), F.lit("15")))
+        .alias(P.VERVALDATUM_APK),
     )
 
 
@@ -60,6 +65,10 @@ def bind_inspections(lineitem: DataFrame) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", F.lit("Periodieke Controle "))
         .otherwise(F.lit("tachograaf"))
         .alias(P.SOORT_MELDING),
+        # Not in FIXTURES part B; added for the documented coverage-years metric.
+        F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
+        .otherwise(F.date_format(F.date_add(F.col("l_shipdate"), F.col("l_linenumber") * 61), "yyyyMMdd"))
+        .alias(P.VERVALDATUM_KEURING),
     )
 
 
