@@ -70,5 +70,6 @@ def _load_all() -> None:
         q_ingest,
         q_lookup,
         q_profile,
+        q_publish,
         q_segments,
     )

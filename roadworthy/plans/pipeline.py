@@ -1,9 +1,10 @@
 """Whole-pipeline composition (E1: batch statistics).
 
 ``run_statistics`` builds the fact table once, writes it to the shared
-checkpoint folder (cuts lineage, survives executor loss: a lost partition is
-re-read from the written table, not recomputed from the raw inputs) and
-derives every published output from that one table.
+checkpoint folder (cuts lineage and survives executor loss: a lost partition
+is re-read from the written table, not recomputed from the raw inputs) and
+derives every published output from that one table.  The outputs are lazy
+DataFrames; ``publish`` writes them as JSON-lines documents.
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadworthy import params as P
-from roadworthy.operators import facts, rankings, segments
-from roadworthy.sources.bindings import Sources, bind
+from roadworthy.operators import defects as D
+from roadworthy.operators import facts, profile, rankings, segments
+from roadworthy.operators import fuel as FU
 from roadworthy.session import configure, shared_dir
+from roadworthy.sources import publish
+from roadworthy.sources.bindings import Sources, bind
 
 
 def build_fact(src: Sources, on_bad: str = "raise") -> DataFrame:
@@ -23,12 +28,9 @@ def build_fact(src: Sources, on_bad: str = "raise") -> DataFrame:
 
 
 def persist_fact(spark: SparkSession, fact: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the fact as zstd Parquet (partitioned by inspection year, the
-    natural filter of the yearly views) and read it back."""
-    path = path or shared_dir(spark, "inspection_stats")
-    (fact.write.mode("overwrite").option("compression", "zstd").partitionBy("insp_year").parquet(path))
-    back = spark.read.parquet(path)
-    return back.select(*facts.FACT_COLUMNS)
+    """The fact as zstd Parquet partitioned by inspection year (the
+    natural filter of yearly and recent-days views), read back."""
+    return publish.persist_table(fact, path or shared_dir(spark, "inspection_stats"), ["insp_year"])
 
 
 def flagship(spark: SparkSession, sf_dir: str, t: P.Thresholds = P.DEFAULT) -> DataFrame:
@@ -48,3 +50,77 @@ class Outputs:
     model_per_age: DataFrame
     brand_ranking: DataFrame
     model_ranking: DataFrame
+    summary: DataFrame
+    metadata: DataFrame
+    yearly_trend: DataFrame
+    fleet_age: DataFrame
+    fuel_domain: DataFrame
+    top_defects: DataFrame
+    defect_headline: DataFrame
+    brand_breakdown: DataFrame
+    model_breakdown: DataFrame
+    code_index: DataFrame
+    brand_fuel: DataFrame
+    model_fuel: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {k: v for k, v in self.__dict__.items() if k != "fact"}
+
+
+def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAULT, checkpoint: bool = True,
+                   fact_path: str | None = None) -> Outputs:
+    """All outputs of one batch run (lazy; the fact is materialised once)."""
+    configure(spark)
+    fact = build_fact(src)
+    if checkpoint:
+        fact = persist_fact(spark, fact, fact_path)
+    bseg = segments.brand_segments(fact, t.brand)
+    mseg = segments.model_segments(fact, t.model)
+    top = D.top_defects(src.defects, src.codes, t.top_codes)
+    joined = D.defects_with_vehicle(src.defects, fact)
+    model_fuel_long = FU.fuel_by_model(src.fuel, src.vehicles)
+    return Outputs(
+        fact=fact,
+        brand_segments=bseg,
+        model_segments=mseg,
+        brand_per_age=segments.per_age(fact, P.BRAND_KEYS, t.age_bracket),
+        model_per_age=segments.per_age(fact, P.MODEL_KEYS, t.age_bracket),
+        brand_ranking=rankings.brand_ranking(bseg, t.brand_ranking, t.ranking_size),
+        model_ranking=rankings.model_ranking(mseg, t.model_ranking, t.ranking_size),
+        summary=profile.dataset_summary(fact),
+        metadata=profile.metadata_flat(bseg, mseg, fact, t),
+        yearly_trend=profile.yearly_trend(fact, t.yearly_trend),
+        fleet_age=profile.fleet_age(fact, t.fleet_age_vehicles, t.fleet_age_min, t.fleet_age_max),
+        fuel_domain=profile.fuel_domain(fact),
+        top_defects=top,
+        defect_headline=D.defect_headline(top, fact.agg(F.count(F.lit(1)).alias("total_inspections"))),
+        brand_breakdown=D.breakdown(joined, [P.MERK]),
+        model_breakdown=D.breakdown(joined, [P.MERK, P.HANDELSBENAMING]),
+        code_index=D.code_index(src.codes),
+        brand_fuel=FU.pivot_breakdown(FU.fuel_by_brand(model_fuel_long), [P.MERK]),
+        model_fuel=FU.pivot_breakdown(model_fuel_long, [P.MERK, P.HANDELSBENAMING]),
+    )
+
+
+def documents(out: Outputs) -> dict[str, DataFrame]:
+    """The eight published documents in their publishing shapes."""
+    brand_docs = segments.nest_per_age(
+        FU.attach_breakdown(out.brand_segments, out.brand_fuel, [P.MERK]), out.brand_per_age, P.BRAND_KEYS)
+    model_docs = segments.nest_per_age(
+        FU.attach_breakdown(out.model_segments, out.model_fuel, [P.MERK, P.HANDELSBENAMING]),
+        out.model_per_age, P.MODEL_KEYS)
+    return {
+        "brand_stats": publish.with_fuel_struct(brand_docs),
+        "model_stats": publish.with_fuel_struct(model_docs),
+        "rankings": out.brand_ranking.unionByName(out.model_ranking, allowMissingColumns=True),
+        "metadata": out.metadata,
+        "defect_stats": out.top_defects,
+        "brand_defect_breakdown": publish.breakdown_document(out.brand_breakdown, [P.MERK]),
+        "model_defect_breakdown": publish.breakdown_document(out.model_breakdown, [P.MERK, P.HANDELSBENAMING]),
+        "defect_codes": out.code_index,
+    }
+
+
+def publish_all(spark: SparkSession, out: Outputs, base: str | None = None) -> dict[str, str]:
+    """Write all documents; returns name -> path."""
+    return publish.write_documents(documents(out), base or shared_dir(spark, "documents"))
