@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from roadworthy import params as P
 
-_WS = r"^\s+|\s+$"
+# Whitespace characters removed by ``strip`` (the ASCII set of Java's ``\s``).
+_WS = " \t\n\r\f\u000b"
 
 
 def strip(c: Column) -> Column:
-    """Remove leading/trailing whitespace of any kind (``trim`` only drops spaces)."""
-    return F.regexp_replace(c, _WS, "")
+    """Remove leading/trailing whitespace of any kind.
+
+    Plain ``trim`` only drops spaces; trimming an explicit character set is a
+    byte scan, much cheaper per row than a regular expression."""
+    return F.trim(c, F.lit(_WS))
 
 
 def normalized_time(c: Column) -> Column:
