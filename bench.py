@@ -5,8 +5,10 @@ Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 {"metric": "pipeline_total", "value": sec, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each output is forced with the ``noop`` sink (full execution, no collect).
-Thresholds are the original defaults except where the test scale would empty
-the output (the registered-query values scaled to the rows per segment).
+Thresholds are the scaled test values (the original defaults would empty most
+outputs at this scale).  Before timing, the same pipeline runs once over the
+small sibling table set (sf0.001, untimed) so JVM start-up and JIT compilation
+are not billed to the first timed query.
 """
 
 from __future__ import annotations
@@ -44,10 +46,17 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
 
+    warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
+        warm = run_statistics(spark, bind(spark, warm_dir), P.TEST_SF0001, checkpoint=True)
+        for df in warm.tables().values():
+            df.write.format("noop").mode("overwrite").save()
+
     src = bind(spark, sf_dir)
     t0 = time.perf_counter()
-    out = run_statistics(spark, src, t, checkpoint=True)  # writes the fact once
-    times["fact_build"] = round(time.perf_counter() - t0, 3)
+    # writes the fact and the shared intermediate tables once
+    out = run_statistics(spark, src, t, checkpoint=True)
+    times["fact_and_intermediates"] = round(time.perf_counter() - t0, 3)
 
     for name, df in out.tables().items():
         run(name, lambda df=df: df)

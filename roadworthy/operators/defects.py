@@ -83,6 +83,11 @@ def breakdown(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def breakdown_rollup(model_level: DataFrame) -> DataFrame:
+    """A18 brand level from the model level (exact: sums of sums)."""
+    return model_level.groupBy(P.MERK, "defect_code").agg(F.sum("count").alias("count"))
+
+
 def brand_breakdown(defects: DataFrame, fact: DataFrame, raw_time: bool = False) -> DataFrame:
     return breakdown(defects_with_vehicle(defects, fact, raw_time), [P.MERK])
 

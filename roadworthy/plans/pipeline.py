@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from roadworthy import params as P
 from roadworthy.operators import defects as D
@@ -69,33 +68,48 @@ class Outputs:
 
 def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAULT, checkpoint: bool = True,
                    fact_path: str | None = None) -> Outputs:
-    """All outputs of one batch run (lazy; the fact is materialised once)."""
+    """All outputs of one batch run.
+
+    With ``checkpoint`` the fact is written once, and so are the few tables
+    every later output reads (segments, unfiltered model-level per-age rows,
+    model-level defect breakdown, model-level fuel counts).  Brand-level
+    per-age rows, defect and fuel breakdowns are exact roll-ups of the model
+    level, so the fact is scanned once per grouping level instead of once per
+    output.  Without ``checkpoint`` everything stays one lazy plan.
+    """
     configure(spark)
+    base_dir = shared_dir(spark, "run") if checkpoint else None
+
+    def keep(df: DataFrame, name: str, partition_by=()) -> DataFrame:
+        return publish.persist_table(df, f"{base_dir}/{name}", partition_by) if checkpoint else df
+
     fact = build_fact(src)
-    if checkpoint:
-        fact = persist_fact(spark, fact, fact_path)
-    bseg = segments.brand_segments(fact, t.brand)
-    mseg = segments.model_segments(fact, t.model)
+    fact = keep(fact, "inspection_stats", ["insp_year"]) if fact_path is None or not checkpoint \
+        else publish.persist_table(fact, fact_path, ["insp_year"])
+    bseg = keep(segments.brand_segments(fact, t.brand), "brand_segments")
+    mseg = keep(segments.model_segments(fact, t.model), "model_segments")
+    age_base = keep(segments.per_age_base(fact), "per_age_base")
+    model_bd = keep(D.model_breakdown(src.defects, fact), "model_breakdown")
+    model_fuel_long = keep(FU.fuel_by_model(src.fuel, src.vehicles), "model_fuel")
     top = D.top_defects(src.defects, src.codes, t.top_codes)
-    joined = D.defects_with_vehicle(src.defects, fact)
-    model_fuel_long = FU.fuel_by_model(src.fuel, src.vehicles)
+    summary = profile.dataset_summary(fact)
     return Outputs(
         fact=fact,
         brand_segments=bseg,
         model_segments=mseg,
-        brand_per_age=segments.per_age(fact, P.BRAND_KEYS, t.age_bracket),
-        model_per_age=segments.per_age(fact, P.MODEL_KEYS, t.age_bracket),
+        brand_per_age=segments.per_age_rollup(age_base, P.BRAND_KEYS, t.age_bracket),
+        model_per_age=segments.per_age_rollup(age_base, P.MODEL_KEYS, t.age_bracket),
         brand_ranking=rankings.brand_ranking(bseg, t.brand_ranking, t.ranking_size),
         model_ranking=rankings.model_ranking(mseg, t.model_ranking, t.ranking_size),
-        summary=profile.dataset_summary(fact),
+        summary=summary,
         metadata=profile.metadata_flat(bseg, mseg, fact, t),
         yearly_trend=profile.yearly_trend(fact, t.yearly_trend),
         fleet_age=profile.fleet_age(fact, t.fleet_age_vehicles, t.fleet_age_min, t.fleet_age_max),
         fuel_domain=profile.fuel_domain(fact),
         top_defects=top,
-        defect_headline=D.defect_headline(top, fact.agg(F.count(F.lit(1)).alias("total_inspections"))),
-        brand_breakdown=D.breakdown(joined, [P.MERK]),
-        model_breakdown=D.breakdown(joined, [P.MERK, P.HANDELSBENAMING]),
+        defect_headline=D.defect_headline(top, summary.select("total_inspections")),
+        brand_breakdown=D.breakdown_rollup(model_bd),
+        model_breakdown=model_bd,
         code_index=D.code_index(src.codes),
         brand_fuel=FU.pivot_breakdown(FU.fuel_by_brand(model_fuel_long), [P.MERK]),
         model_fuel=FU.pivot_breakdown(model_fuel_long, [P.MERK, P.HANDELSBENAMING]),

@@ -109,3 +109,18 @@ def test_age_window_over_all_ages_equals_totals(spark):
     a = {r[P.MERK]: (r["total_inspections"], r["filtered_defects"]) for r in w.collect()}
     b = {r[P.MERK]: (r["total_inspections"], r["filtered_defects"]) for r in full.collect()}
     assert a == b
+
+
+def test_pipeline_rollups_equal_direct(spark):
+    from roadworthy.operators import defects as D
+    from roadworthy.plans.pipeline import run_statistics
+
+    src = bind(spark, SF001)
+    out = run_statistics(spark, src, P.TEST_SF001, checkpoint=True)
+    fact = out.fact
+    direct_pa = segments.per_age(fact, P.BRAND_KEYS, P.TEST_SF001.age_bracket)
+    assert out.brand_per_age.exceptAll(direct_pa).count() == 0
+    assert direct_pa.exceptAll(out.brand_per_age).count() == 0
+    direct_bd = D.brand_breakdown(src.defects, fact)
+    assert out.brand_breakdown.exceptAll(direct_bd).count() == 0
+    assert direct_bd.exceptAll(out.brand_breakdown).count() == 0
