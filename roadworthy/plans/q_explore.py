@@ -14,11 +14,11 @@ from roadworthy.plans.q_segments import ranking_sql
 # View states exercised by the registered queries.
 V_BRANDS = X.ViewFilter(view="brands", fuels=("Benzine", "Diesel", "Other"), min_fleet=3)
 V_MODELS = X.ViewFilter(view="models", show_commercial=False, min_inspections=5)
-V_PRICE = X.ViewFilter(view="brands", min_price=1200.0, max_price=1600.0, max_price_available=2100.0)
+V_PRICE = X.ViewFilter(view="brands", min_price=940.0, max_price=960.0, max_price_available=1000.0)
 V_SEARCH = X.ViewFilter(view="models", search="red")
 V_AGE = X.ViewFilter(view="brands", age_range=(4, 12))
 V_AGE_MODELS = X.ViewFilter(view="models", age_range=(5, 15), show_consumer=True, show_commercial=False)
-V_HAVING = X.ViewFilter(view="brands", min_fleet=20, max_fleet=45, min_inspections=100, max_inspections=420,
+V_HAVING = X.ViewFilter(view="brands", min_fleet=40, max_fleet=60, min_inspections=600, max_inspections=800,
                         max_inspections_available=10_000)
 MULTI_TERM = "brand#1 red"
 
