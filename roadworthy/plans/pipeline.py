@@ -9,6 +9,7 @@ DataFrames; ``publish`` writes them as JSON-lines documents.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,8 +67,8 @@ class Outputs:
         return {k: v for k, v in self.__dict__.items() if k != "fact"}
 
 
-def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAULT, checkpoint: bool = True,
-                   fact_path: str | None = None) -> Outputs:
+def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAULT,
+                   checkpoint: bool = True) -> Outputs:
     """All outputs of one batch run.
 
     With ``checkpoint`` the fact is written once, and so are the few tables
@@ -83,14 +84,28 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
     def keep(df: DataFrame, name: str, partition_by=()) -> DataFrame:
         return publish.persist_table(df, f"{base_dir}/{name}", partition_by) if checkpoint else df
 
-    fact = build_fact(src)
-    fact = keep(fact, "inspection_stats", ["insp_year"]) if fact_path is None or not checkpoint \
-        else publish.persist_table(fact, fact_path, ["insp_year"])
-    bseg = keep(segments.brand_segments(fact, t.brand), "brand_segments")
-    mseg = keep(segments.model_segments(fact, t.model), "model_segments")
-    age_base = keep(segments.per_age_base(fact), "per_age_base")
-    model_bd = keep(D.model_breakdown(src.defects, fact), "model_breakdown")
-    model_fuel_long = keep(FU.fuel_by_model(src.fuel, src.vehicles), "model_fuel")
+    def keep_all(plans: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+        # Independent jobs are submitted together (one driver thread each) so
+        # the scheduler fills idle executors with tasks of the other jobs.
+        if not checkpoint:
+            return plans
+        parts = partition_by or {}
+        with ThreadPoolExecutor(max_workers=len(plans)) as pool:
+            futs = {k: pool.submit(keep, v, k, parts.get(k, ())) for k, v in plans.items()}
+            return {k: f.result() for k, f in futs.items()}
+
+    # The fuel counts do not depend on the fact: both are built at once.
+    done = keep_all({"inspection_stats": build_fact(src), "model_fuel": FU.fuel_by_model(src.fuel, src.vehicles)},
+                    {"inspection_stats": ["insp_year"]})
+    fact, model_fuel_long = done["inspection_stats"], done["model_fuel"]
+    level = keep_all({
+        "brand_segments": segments.brand_segments(fact, t.brand),
+        "model_segments": segments.model_segments(fact, t.model),
+        "per_age_base": segments.per_age_base(fact),
+        "model_breakdown": D.model_breakdown(src.defects, fact),
+    })
+    bseg, mseg = level["brand_segments"], level["model_segments"]
+    age_base, model_bd = level["per_age_base"], level["model_breakdown"]
     top = D.top_defects(src.defects, src.codes, t.top_codes)
     summary = profile.dataset_summary(fact)
     return Outputs(
