@@ -106,3 +106,12 @@ def vehicle_history(typed: DataFrame, reports: DataFrame, defects: DataFrame, co
         P.KENTEKEN, "report_rank", "report_date", P.MELD_TIJD, "passed", "defect_rank", "defect_code",
         "description", "defect_count",
     )
+
+
+def uncached_codes(typed: DataFrame, defects: DataFrame, cached: DataFrame,
+                   column: str = "typed_plate") -> DataFrame:
+    """Distinct codes of the shown defects whose description is not in
+    ``cached`` (a frame with ``defect_code``): the set difference the
+    original computes before fetching descriptions, as an anti join."""
+    shown = recent_defects(typed, defects, column=column).select(F.col(P.GEBREK_ID).alias("defect_code")).distinct()
+    return shown.join(cached.select("defect_code"), "defect_code", "left_anti")

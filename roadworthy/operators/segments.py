@@ -87,9 +87,11 @@ def model_totals(fact: DataFrame) -> DataFrame:
     return seg.withColumn("total_model_count", F.sum("vehicle_count").over(w))
 
 
-def per_age(fact: DataFrame, keys: Sequence[str], threshold: int = P.DEFAULT.age_bracket) -> DataFrame:
-    """Per segment and age: vehicles, inspections, defects, average (long form)."""
-    return (
+def per_age(fact: DataFrame, keys: Sequence[str], threshold: int = P.DEFAULT.age_bracket,
+            sort: bool = False) -> DataFrame:
+    """Per segment and age: vehicles, inspections, defects, average (long
+    form); ``sort`` orders by the keys and age (T2) for publishing."""
+    out = (
         fact.groupBy(*keys, "age_at_inspection")
         .agg(
             F.count_distinct(P.KENTEKEN).alias("vehicle_count"),
@@ -99,6 +101,7 @@ def per_age(fact: DataFrame, keys: Sequence[str], threshold: int = P.DEFAULT.age
         .where(F.col("vehicle_count") >= threshold)
         .withColumn("avg_defects_per_inspection", rnd(F.col("total_defects") / F.col("total_inspections"), 4))
     )
+    return out.orderBy(*keys, "age_at_inspection") if sort else out
 
 
 def per_age_base(fact: DataFrame) -> DataFrame:

@@ -28,9 +28,14 @@ def build_fact(src: Sources, on_bad: str = "raise") -> DataFrame:
 
 
 def persist_fact(spark: SparkSession, fact: DataFrame, path: str | None = None) -> DataFrame:
-    """The fact as zstd Parquet partitioned by inspection year (the
-    natural filter of yearly and recent-days views), read back."""
-    return publish.persist_table(fact, path or shared_dir(spark, "inspection_stats"), ["insp_year"])
+    """The fact as zstd Parquet, rows sorted by inspection year within
+    each task, read back.
+
+    The fact leaves its last join hash-partitioned by plate, so every task
+    holds every year: ``partitionBy(year)`` would write tasks x years small
+    files.  A local sort (no shuffle) gives each file tight year ranges in its
+    row-group statistics instead, which year filters use to skip data."""
+    return publish.persist_table(fact, path or shared_dir(spark, "inspection_stats"), sort_within=["insp_year"])
 
 
 def flagship(spark: SparkSession, sf_dir: str, t: P.Thresholds = P.DEFAULT) -> DataFrame:
@@ -71,7 +76,7 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
                    checkpoint: bool = True) -> Outputs:
     """All outputs of one batch run.
 
-    With ``checkpoint`` the fact is written once, and so are the few tables
+    With ``checkpoint`` the fact is written once (see ``persist_fact``), and so are the few tables
     every later output reads (segments, unfiltered model-level per-age rows,
     model-level defect breakdown, model-level fuel counts).  Brand-level
     per-age rows, defect and fuel breakdowns are exact roll-ups of the model
@@ -81,17 +86,17 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
     configure(spark)
     base_dir = shared_dir(spark, "run") if checkpoint else None
 
-    def keep(df: DataFrame, name: str, partition_by=()) -> DataFrame:
-        return publish.persist_table(df, f"{base_dir}/{name}", partition_by) if checkpoint else df
+    def keep(df: DataFrame, name: str, sort_within=()) -> DataFrame:
+        return publish.persist_table(df, f"{base_dir}/{name}", sort_within=sort_within) if checkpoint else df
 
-    def keep_all(plans: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    def keep_all(plans: dict[str, DataFrame], sort_within: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
         # Independent jobs are submitted together (one driver thread each) so
         # the scheduler fills idle executors with tasks of the other jobs.
         if not checkpoint:
             return plans
-        parts = partition_by or {}
+        sorts = sort_within or {}
         with ThreadPoolExecutor(max_workers=len(plans)) as pool:
-            futs = {k: pool.submit(keep, v, k, parts.get(k, ())) for k, v in plans.items()}
+            futs = {k: pool.submit(keep, v, k, sorts.get(k, ())) for k, v in plans.items()}
             return {k: f.result() for k, f in futs.items()}
 
     # The fuel counts do not depend on the fact: both are built at once.

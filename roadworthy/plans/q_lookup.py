@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from roadworthy import params as P
 from roadworthy.functions import formatting as FM
+from roadworthy.operators import defects as D
 from roadworthy.operators import lookup as L
 from roadworthy.plans import oracle as O
 from roadworthy.plans.catalog import T, register, sources
+from roadworthy.plans.q_defects import top_cte
 
 AS_OF = "2024-01-01"
 
@@ -112,3 +114,14 @@ def p34_date_format(spark, sf_dir):
     v = sources(spark, sf_dir).vehicles
     return v.select(P.KENTEKEN, FM.compact_date_display(F.col(P.DATUM_EERSTE_TOELATING)).alias("first_admission"),
                     FM.compact_date_display(F.col(P.VERVALDATUM_APK)).alias("certificate_expiry"))
+
+
+@register("j10_uncached_codes", lambda: O.q(f"""
+SELECT DISTINCT gebrek_identificatie AS defect_code FROM rd
+WHERE gebrek_identificatie NOT IN (SELECT defect_code FROM top)""",
+                                              T, TYPED_CTE + top_cte()))
+def j10_uncached_codes(spark, sf_dir):
+    """Codes of the looked-up histories not covered by the published top-code list."""
+    src = sources(spark, sf_dir)
+    cached = D.top_defects(src.defects, src.codes, T.top_codes)
+    return L.uncached_codes(typed_plates(src), src.defects, cached)
