@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,3 +76,64 @@ def persist_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     w.parquet(path)
     back = df.sparkSession.read.parquet(path)
     return back.select(*df.columns)
+
+
+def explode_per_age(document: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """S14 -> A28: the per-age map of a read-back segment document as long
+    rows again, the input the exploration views merge."""
+    e = document.select(*keys, F.explode("per_year_stats").alias("age", "s"))
+    return e.select(*keys, F.col("age").cast("int").alias("age_at_inspection"), "s.*")
+
+
+def metadata_document(metadata_flat: DataFrame, yearly: DataFrame, fleet: DataFrame,
+                      fuel_domain: DataFrame) -> DataFrame:
+    """A25 publishing shape: one row of nested structs and small arrays.
+
+    The arrays hold one entry per inspection year, per age (at most 30) and
+    per fuel class, so each collect is bounded by the calendar, not the data."""
+    from roadworthy.operators.profile import combine_rows
+
+    m = metadata_flat
+    flat = m.select(
+        F.struct(F.col("threshold_brand").alias("brand"), F.col("threshold_model").alias("model"),
+                 F.col("threshold_age_bracket").alias("age_bracket")).alias("thresholds"),
+        F.struct(
+            F.struct(F.lit(0).cast("bigint").alias("min"), F.col("price_max").alias("max")).alias("price"),
+            F.struct(F.lit(0).cast("bigint").alias("min"), F.col("fleet_max").alias("max")).alias("fleet"),
+            F.struct(F.col("age_min").alias("min"), F.col("age_max").alias("max")).alias("age"),
+            F.struct(F.col("inspections_min").alias("min"), F.col("inspections_max").alias("max"))
+            .alias("inspections"),
+        ).alias("ranges"),
+        F.struct("brands", "models", "vehicles_processed", "total_inspections", "total_defects",
+                 "consumer_vehicles", "commercial_vehicles").alias("counts"),
+        F.col("zero_defect_rate"),
+    )
+    arrays = combine_rows(
+        yearly.agg(F.sort_array(F.collect_list(F.struct("insp_year", "inspections", "total_defects",
+                                                        "avg_defects_per_inspection"))).alias("yearly_trend")),
+        fleet.agg(F.sort_array(F.collect_list(F.struct("age_at_inspection", "total_inspections", "total_defects",
+                                                       "vehicle_count", "avg_defects_per_inspection")))
+                  .alias("fleet_age_stats")),
+        fuel_domain.agg(F.sort_array(F.collect_list("primary_fuel")).alias("fuel_types")),
+    )
+    both = combine_rows(flat, arrays)
+    return both.select(
+        "thresholds", "ranges", "fuel_types", "counts",
+        F.struct("zero_defect_rate", "yearly_trend", "fleet_age_stats").alias("stats"),
+    )
+
+
+def defect_stats_document(top: DataFrame, headline: DataFrame) -> DataFrame:
+    """A16/A17 publishing shape: the headline and the ordered top-code list
+    (bounded by k) in one row."""
+    from roadworthy.operators.profile import combine_rows
+
+    ranked = top.select(
+        F.struct(
+            F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("defect_code").asc())).alias("pos"),
+            "defect_code", "defect_description", "count", "percentage",
+        ).alias("d")
+    )
+    lst = ranked.agg(F.transform(F.sort_array(F.collect_list("d")), lambda x: x.dropFields("pos"))
+                     .alias("top_defects"))
+    return combine_rows(headline, lst)

@@ -124,3 +124,29 @@ def test_pipeline_rollups_equal_direct(spark):
     direct_bd = D.brand_breakdown(src.defects, fact)
     assert out.brand_breakdown.exceptAll(direct_bd).count() == 0
     assert direct_bd.exceptAll(out.brand_breakdown).count() == 0
+
+
+def test_documents_round_trip(spark):
+    from roadworthy.plans.pipeline import documents, run_statistics
+    from roadworthy.session import shared_dir
+    from roadworthy.sources import publish
+
+    t = P.TEST_SF001
+    out = run_statistics(spark, bind(spark, SF001), t, checkpoint=True)
+    docs = documents(out)
+    paths = publish.write_documents({k: docs[k] for k in ("brand_stats", "metadata", "defect_stats")},
+                                    shared_dir(spark, "docs-test"))
+    # explicit schema: without it JSON inference turns the per-age map into a struct
+    back = publish.read_document(spark, paths["brand_stats"], docs["brand_stats"].schema)
+    long = publish.explode_per_age(back, P.BRAND_KEYS)
+    want = out.brand_per_age.join(out.brand_segments.select(*P.BRAND_KEYS), list(P.BRAND_KEYS), "left_semi")
+    cols = [*P.BRAND_KEYS, "age_at_inspection", "vehicle_count", "total_inspections", "total_defects"]
+    assert long.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert want.select(*cols).exceptAll(long.select(*cols)).count() == 0
+    meta = publish.read_document(spark, paths["metadata"]).first()
+    assert meta["counts"]["total_inspections"] == out.fact.count()
+    assert len(meta["stats"]["yearly_trend"]) == out.yearly_trend.count()
+    ds = publish.read_document(spark, paths["defect_stats"]).first()
+    assert len(ds["top_defects"]) == t.top_codes
+    counts = [d["count"] for d in ds["top_defects"]]
+    assert counts == sorted(counts, reverse=True) and ds["total_defects"] == sum(counts)
