@@ -5,8 +5,10 @@ The original answers one typed plate at a time with three remote requests.
 Here a whole DataFrame of typed plates is answered with semi joins against
 the three tables.  The per-plate caps (50 most recent reports, 100 defect
 rows) are ``row_number() <= k`` filters; Spark 3.5+ plans them with a
-map-side ``WindowGroupLimit``, so even a plate with a huge history sends at
-most k rows per map task to the shuffle.  Defects attach to reports by
+map-side ``WindowGroupLimit``.  A plate set of checked, bounded size is
+broadcast; a larger one is applied after the capped ranking (see
+``_capped_for_plates``), so a plate with a huge history never moves more than
+k rows per map task.  Defects attach to reports by
 date only, as in the original display.
 """
 
@@ -38,7 +40,7 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
     plates = normalized_plates(typed, column)
     cols = [P.MERK, P.HANDELSBENAMING, P.DATUM_EERSTE_TOELATING, P.VOERTUIGSOORT, P.VERVALDATUM_APK]
     v = (
-        vehicles.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi")
+        vehicles.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi")  # AQE: broadcast only if small
         .groupBy(P.KENTEKEN)
         .agg(F.min(F.struct(*cols)).alias("v"))
         .select(P.KENTEKEN, *[F.col("v." + c).alias(c) for c in cols])
@@ -60,25 +62,43 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
     )
 
 
+# Largest looked-up plate set that is broadcast (distinct plates; ~tens of MB).
+BROADCAST_PLATES_MAX = 2_000_000
+
+
+def _capped_for_plates(rows: DataFrame, typed: DataFrame, column: str, order: list, k: int,
+                       rank_col: str) -> DataFrame:
+    """The first k rows per looked-up plate under ``order``.
+
+    The plate set is counted first (a small job).  Up to
+    ``BROADCAST_PLATES_MAX`` plates it is broadcast and filters the table
+    before the ranking; beyond that the ranking runs first - its map-side
+    ``WindowGroupLimit`` leaves at most k rows per plate and task - and the
+    plate set is applied afterwards with an ordinary join, so a plate with a
+    huge history never sends its raw rows through one shuffle partition."""
+    keys = _valid_keys(typed, column)
+    w = Window.partitionBy(P.KENTEKEN).orderBy(*order)
+    rank = F.row_number().over(w)
+    if keys.count() <= BROADCAST_PLATES_MAX:
+        r = rows.join(F.broadcast(keys), P.KENTEKEN, "left_semi")
+        return r.withColumn(rank_col, rank).where(F.col(rank_col) <= k)
+    ranked = rows.withColumn(rank_col, rank).where(F.col(rank_col) <= k)
+    return ranked.join(keys, P.KENTEKEN, "left_semi")
+
+
 def recent_reports(typed: DataFrame, reports: DataFrame, k: int = P.LOOKUP_MAX_REPORTS,
                    column: str = "typed_plate") -> DataFrame:
     """The k most recent reports per looked-up plate (date desc, then time desc)."""
-    r = reports.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi")
-    w = Window.partitionBy(P.KENTEKEN).orderBy(
-        F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.SOORT_MELDING).asc()
-    )
-    return r.withColumn("report_rank", F.row_number().over(w)).where(F.col("report_rank") <= k)
+    order = [F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.SOORT_MELDING).asc()]
+    return _capped_for_plates(reports, typed, column, order, k, "report_rank")
 
 
 def recent_defects(typed: DataFrame, defects: DataFrame, k: int = P.LOOKUP_MAX_DEFECTS,
                    column: str = "typed_plate") -> DataFrame:
     """The first k defect rows per plate (most recent first, code as tie-break)."""
-    d = defects.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi")
-    w = Window.partitionBy(P.KENTEKEN).orderBy(
-        F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.GEBREK_ID).asc(),
-        F.col(P.AANTAL_GEBREKEN).asc(),
-    )
-    return d.withColumn("defect_rank", F.row_number().over(w)).where(F.col("defect_rank") <= k)
+    order = [F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.GEBREK_ID).asc(),
+             F.col(P.AANTAL_GEBREKEN).asc()]
+    return _capped_for_plates(defects, typed, column, order, k, "defect_rank")
 
 
 def vehicle_history(typed: DataFrame, reports: DataFrame, defects: DataFrame, codes: DataFrame,

@@ -136,3 +136,18 @@ def test_validate_table(spark):
     df = spark.createDataFrame([], "a string")
     r = rows(I.validate_table("t", df, 1, ["a", "b"]))[0]
     assert r["ok"] is False and r["message"].startswith("missing columns")
+
+
+def test_lookup_caps_same_on_both_paths(spark, monkeypatch):
+    from conftest import SF001
+
+    from roadworthy.sources.bindings import bind
+
+    src = bind(spark, SF001)
+    typed = src.vehicles.select(F.col(P.KENTEKEN).alias("typed_plate"))
+    small = L.recent_reports(typed, src.inspections)
+    monkeypatch.setattr(L, "BROADCAST_PLATES_MAX", 0)
+    large = L.recent_reports(typed, src.inspections)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
