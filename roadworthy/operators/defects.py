@@ -62,8 +62,11 @@ def defect_headline(top: DataFrame, total_inspections: DataFrame) -> DataFrame:
 
 
 def defects_with_vehicle(defects: DataFrame, fact: DataFrame, raw_time: bool = False) -> DataFrame:
-    """Defect rows joined to the primary inspections of the fact table.
+    """Defect quantities joined to the primary inspections of the fact.
 
+    Defect rows are first summed per (report, code) - combined map-side, so
+    a report listed a huge number of times shrinks to one row per code and
+    task before any shuffle - and only then joined on (plate, day, time).
     Both sides use the normalised report time; ``raw_time=True`` reproduces
     the original comparison of the raw time with the normalised one (D3).
     """
@@ -71,7 +74,7 @@ def defects_with_vehicle(defects: DataFrame, fact: DataFrame, raw_time: bool = F
     d = defects.select(
         P.KENTEKEN, P.MELD_DATUM, t.alias(P.MELD_TIJD), P.GEBREK_ID,
         N.defect_quantity(F.col(P.AANTAL_GEBREKEN)).alias("count"),
-    )
+    ).groupBy(P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, P.GEBREK_ID).agg(F.sum("count").alias("count"))
     keys = fact.select(P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, P.MERK, P.HANDELSBENAMING)
     return d.join(keys, [P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD], "inner")
 

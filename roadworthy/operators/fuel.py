@@ -31,11 +31,24 @@ def fuel_with_vehicle(fuel: DataFrame, vehicles: DataFrame) -> DataFrame:
 
 
 def fuel_by_model(fuel: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """Distinct vehicles per (brand, model, fuel bucket)."""
+    """Distinct vehicles per (brand, model, fuel bucket).
+
+    Counting distinct plates is insensitive to repeated rows, so both sides
+    are reduced to distinct (plate, bucket) and (plate, brand, model) first;
+    the distinct is combined map-side, so a plate repeated a huge number of
+    times on either side reaches the join as a handful of rows."""
+    f = fuel.select(P.KENTEKEN, N.fuel_bucket(F.col(P.BRANDSTOF)).alias("fuel_type")).distinct()
+    v = vehicles.select(
+        P.KENTEKEN,
+        N.upper_strip(F.col(P.MERK)).alias(P.MERK),
+        N.upper_strip(F.col(P.HANDELSBENAMING)).alias(P.HANDELSBENAMING),
+    ).distinct()
+    # After both distincts each (plate, bucket, brand, model) occurs once, so a
+    # plain count per group is the distinct-plate count (no distinct phase).
     return (
-        fuel_with_vehicle(fuel, vehicles)
+        f.join(v, P.KENTEKEN, "inner")
         .groupBy(P.MERK, P.HANDELSBENAMING, "fuel_type")
-        .agg(F.count_distinct(P.KENTEKEN).alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"))
     )
 
 
