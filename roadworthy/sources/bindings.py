@@ -32,7 +32,10 @@ def _s(c: Column) -> Column:
 
 
 def _compact_date(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMMdd")
+    """YYYYMMDD text of a timestamp (integer arithmetic: cheaper per row than a
+    date formatter, identical for four-digit years)."""
+    d = ts.cast("date")
+    return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("string")
 
 
 def bind_vehicles(part: DataFrame) -> DataFrame:
