@@ -24,16 +24,23 @@ FACT_COLUMNS = (
 )
 
 
-def primary_inspections(inspections: DataFrame) -> DataFrame:
+def primary_inspections(inspections: DataFrame, with_expiry: bool = False) -> DataFrame:
     """A1: periodic reports -> earliest normalised time per (plate, day), plus year.
 
-    Later same-day reports are re-tests and are dropped (D16).
+    Later same-day reports are re-tests and are dropped (D16).  With
+    ``with_expiry`` the expiry date of that earliest report is kept as well
+    (for the documented coverage-years exposure, P38/D1).
     """
+    cols = [P.KENTEKEN, P.MELD_DATUM, N.normalized_time(F.col(P.MELD_TIJD)).alias(P.MELD_TIJD)]
+    aggs = [F.min(P.MELD_TIJD).alias(P.MELD_TIJD)]
+    if with_expiry:
+        cols.append(P.VERVALDATUM_KEURING)
+        aggs.append(F.min_by(P.VERVALDATUM_KEURING, P.MELD_TIJD).alias(P.VERVALDATUM_KEURING))
     return (
         inspections.where(N.is_periodic_report(F.col(P.SOORT_MELDING)))
-        .select(P.KENTEKEN, P.MELD_DATUM, N.normalized_time(F.col(P.MELD_TIJD)).alias(P.MELD_TIJD))
+        .select(*cols)
         .groupBy(P.KENTEKEN, P.MELD_DATUM)
-        .agg(F.min(P.MELD_TIJD).alias(P.MELD_TIJD))
+        .agg(*aggs)
         .withColumn("insp_year", N.year_of(F.col(P.MELD_DATUM)))
     )
 
@@ -107,8 +114,11 @@ def vehicle_attributes(vehicles: DataFrame) -> DataFrame:
 
 
 def join_fact(prim: DataFrame, vehicles: DataFrame, fuel: DataFrame, counts: DataFrame) -> DataFrame:
-    """J1-J3 + P9/P10: join the reduced inputs into the 11-column fact."""
+    """J1-J3 + P9/P10: join the reduced inputs into the 11-column fact (plus
+    ``coverage_years`` when the primary reports carry their expiry)."""
     age = F.col("insp_year") - N.year_of(F.col(P.DATUM_EERSTE_TOELATING))
+    extra = ([N.coverage_years(F.col(P.MELD_DATUM), F.col(P.VERVALDATUM_KEURING)).alias("coverage_years")]
+             if P.VERVALDATUM_KEURING in prim.columns else [])
     return (
         prim.join(vehicles, P.KENTEKEN, "inner")
         .withColumn("age_at_inspection", age)
@@ -122,15 +132,17 @@ def join_fact(prim: DataFrame, vehicles: DataFrame, fuel: DataFrame, counts: Dat
             "insp_year",
             "age_at_inspection",
             F.coalesce(F.col("defect_count"), F.lit(0).cast("bigint")).alias("defect_count"),
+            *extra,
         )
     )
 
 
 def inspection_stats(inspections: DataFrame, vehicles: DataFrame, defects: DataFrame, fuel: DataFrame,
-                     on_bad: str = "raise") -> DataFrame:
-    """The whole fact build as one lazy plan."""
+                     on_bad: str = "raise", with_coverage: bool = False) -> DataFrame:
+    """The whole fact build as one lazy plan (``with_coverage`` adds the
+    documented coverage years per inspection, D1)."""
     return join_fact(
-        primary_inspections(inspections),
+        primary_inspections(inspections, with_coverage),
         vehicle_attributes(vehicles),
         primary_fuel(fuel),
         defect_counts(defects, on_bad),

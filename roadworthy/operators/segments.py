@@ -25,8 +25,12 @@ def _rate() -> F.Column:
     return F.col("defect_count") / clip_age(F.col("age_at_inspection"))
 
 
-def segment_measures(with_defect_found: bool = True) -> list:
-    """The 2.5 measure list (before derived columns)."""
+def segment_measures(with_defect_found: bool = True, exposure: str = "age") -> list:
+    """The 2.5 measure list (before derived columns).
+
+    ``exposure="age"`` (the original code) sums the age at inspection as
+    vehicle-years; ``"coverage"`` sums the documented coverage years of each
+    inspection instead (D1; needs a fact built ``with_coverage``)."""
     d = F.col("defect_count")
     age = F.col("age_at_inspection")
     price = F.col(P.CATALOGUSPRIJS)
@@ -40,7 +44,7 @@ def segment_measures(with_defect_found: bool = True) -> list:
     out += [
         rnd(F.stddev_samp(d), 4).alias("std_defects_per_inspection"),
         rnd(F.avg(age), 2).alias("avg_age_years"),
-        F.sum(age).cast("double").alias("total_vehicle_years"),
+        (F.sum(age).cast("double") if exposure == "age" else F.sum("coverage_years")).alias("total_vehicle_years"),
         rnd(F.stddev_samp(_rate()), 4).alias("std_defects_per_vehicle_year"),
         F.sum(_rate()).alias("sum_defects_per_vehicle_year_rates"),
         F.sum(_rate() * _rate()).alias("sum_sq_defects_per_vehicle_year_rates"),
@@ -59,18 +63,20 @@ def _derive(df: DataFrame) -> DataFrame:
     )
 
 
-def brand_segments(fact: DataFrame, threshold: int = P.DEFAULT.brand, sort: bool = False) -> DataFrame:
+def brand_segments(fact: DataFrame, threshold: int = P.DEFAULT.brand, sort: bool = False,
+                   exposure: str = "age") -> DataFrame:
     """(brand, type, fuel) segments with at least ``threshold`` vehicles."""
     out = _derive(
-        fact.groupBy(*P.BRAND_KEYS).agg(*segment_measures(True)).where(F.col("vehicle_count") >= threshold)
+        fact.groupBy(*P.BRAND_KEYS).agg(*segment_measures(True, exposure)).where(F.col("vehicle_count") >= threshold)
     )
     return out.orderBy("defects_per_vehicle_year", *P.BRAND_KEYS) if sort else out
 
 
-def model_segments(fact: DataFrame, threshold: int = P.DEFAULT.model, sort: bool = False) -> DataFrame:
+def model_segments(fact: DataFrame, threshold: int = P.DEFAULT.model, sort: bool = False,
+                   exposure: str = "age") -> DataFrame:
     """A7 + W1: (brand, model, type, fuel) segments of models whose vehicles,
     summed over their segments, reach ``threshold``."""
-    seg = fact.groupBy(*P.MODEL_KEYS).agg(*segment_measures(False))
+    seg = fact.groupBy(*P.MODEL_KEYS).agg(*segment_measures(False, exposure))
     w = Window.partitionBy(P.MERK, P.HANDELSBENAMING)
     out = _derive(
         seg.withColumn("total_model_count", F.sum("vehicle_count").over(w)).where(

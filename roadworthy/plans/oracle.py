@@ -132,14 +132,14 @@ fact AS (
   WHERE p.insp_year - CAST(substr(v.datum_eerste_toelating, 1, 4) AS INTEGER) BETWEEN 0 AND 100)"""
 
 
-def _measures(with_found: bool) -> str:
+def _measures(with_found: bool, exposure: str = "age") -> str:
     rate = "defect_count / greatest(age_at_inspection, 1)"
     found = f"{CI('defect_count > 0')} AS inspections_with_defects," if with_found else ""
     return f"""count(DISTINCT kenteken) AS vehicle_count, count(*) AS total_inspections,
          CAST(sum(defect_count) AS DOUBLE) AS total_defects, {found}
          {R('stddev_samp(defect_count)', 4)} AS std_defects_per_inspection,
          {R('avg(age_at_inspection)', 2)} AS avg_age_years,
-         CAST(sum(age_at_inspection) AS DOUBLE) AS tvy,
+         {'CAST(sum(age_at_inspection) AS DOUBLE)' if exposure == 'age' else 'sum(coverage_years)'} AS tvy,
          {R(f'stddev_samp({rate})', 4)} AS std_defects_per_vehicle_year,
          sum({rate}) AS sum_defects_per_vehicle_year_rates,
          sum(({rate}) * ({rate})) AS sum_sq_defects_per_vehicle_year_rates,
@@ -177,3 +177,26 @@ def prefix(t: Thresholds, code_offset: int = 0) -> str:
 def q(body: str, t: Thresholds, extra: str = "", code_offset: int = 0) -> str:
     """Full statement: shared prefix, optional extra CTEs (leading comma), body."""
     return prefix(t, code_offset) + extra + "\n" + body
+
+
+def coverage_ctes(t: Thresholds) -> str:
+    """Fact with the documented coverage years (D1) and brand segments on it."""
+    d0 = "try_strptime(meld_datum_door_keuringsinstantie, '%Y%m%d')"
+    d1 = "try_strptime(exp, '%Y%m%d')"
+    cov = (f"CASE WHEN {d0} IS NULL OR {d1} IS NULL THEN 1.0 "
+           f"ELSE greatest(date_diff('day', CAST({d0} AS DATE), CAST({d1} AS DATE)) / 365.25, 0.25) END")
+    return f"""
+, prim_exp AS (
+  SELECT kenteken, meld_datum_door_keuringsinstantie, arg_min(vervaldatum_keuring, t) AS exp
+  FROM (SELECT kenteken, meld_datum_door_keuringsinstantie, vervaldatum_keuring,
+               {NTIME('meld_tijd_door_keuringsinstantie')} AS t
+        FROM inspections WHERE lower({STRIP('soort_melding_ki_omschrijving')}) = 'periodieke controle')
+  GROUP BY kenteken, meld_datum_door_keuringsinstantie),
+fact_cov AS (
+  SELECT f.*, {cov} AS coverage_years
+  FROM fact f JOIN prim_exp p USING (kenteken, meld_datum_door_keuringsinstantie)),
+bseg_cov_raw AS (
+  SELECT merk, vehicle_type_group, primary_fuel, {_measures(True, 'coverage')}
+  FROM fact_cov GROUP BY merk, vehicle_type_group, primary_fuel
+  HAVING count(DISTINCT kenteken) >= {t.brand}),
+bseg_cov AS ({_derived('bseg_cov_raw')})"""

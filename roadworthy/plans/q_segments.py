@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from roadworthy import params as P
-from roadworthy.operators import rankings, segments
+from roadworthy.operators import facts, rankings, segments
 from roadworthy.plans import oracle as O
 from roadworthy.plans.catalog import T, fact_of, register, sources
 
@@ -90,3 +90,11 @@ def t4_brand_ranking(spark, sf_dir):
 def t4_model_ranking(spark, sf_dir):
     seg = segments.model_segments(fact_of(sources(spark, sf_dir)), T.model)
     return rankings.model_ranking(seg, T.model_ranking, T.ranking_size)
+
+
+@register("d1_coverage_exposure", lambda: O.q("SELECT * FROM bseg_cov", T, O.coverage_ctes(T)))
+def d1_coverage_exposure(spark, sf_dir):
+    """Brand segments with vehicle-years from the documented coverage years."""
+    src = sources(spark, sf_dir)
+    fact = facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel, with_coverage=True)
+    return segments.brand_segments(fact, T.brand, exposure="coverage")

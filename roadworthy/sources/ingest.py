@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadworthy import params as P
+from roadworthy.functions.normalize import coverage_years  # noqa: F401  (P38, re-exported)
 
 # The 36 plate prefixes of the sharded download (digits, then letters).
 SHARD_PREFIXES: tuple[str, ...] = tuple(string.digits + string.ascii_uppercase)
@@ -200,15 +201,6 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def coverage_years(report_date: Column, expiry: Column) -> Column:
-    """P38 (documented exposure): years a report covers until its expiry,
-    at least 0.25; 1.0 when the expiry is missing or unparsable."""
-    d0 = F.try_to_date(report_date, "yyyyMMdd")
-    d1 = F.try_to_date(expiry, "yyyyMMdd")
-    yrs = F.datediff(d1, d0) / 365.25
-    return F.when(d0.isNull() | d1.isNull(), F.lit(1.0)).otherwise(F.greatest(yrs, F.lit(0.25)))
-
-
 def age_band_rows(fact: DataFrame) -> DataFrame:
     """Every fact row once per (overlapping) age band that contains it.
 
