@@ -36,9 +36,17 @@ def s13_json_documents(spark, sf_dir):
     return res
 
 
-@register("p32_name_casing", None)
+def _initcap_sql(c: str) -> str:
+    # words are split on single spaces only, as the display helper does
+    return (f"array_to_string(list_transform(string_split(lower({c}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
+@register("p32_name_casing", lambda: O.q(f"""
+SELECT kenteken, {_initcap_sql('merk')} AS brand_display, {_initcap_sql('handelsbenaming')} AS model_display
+FROM vehicles""", T))
 def p32_name_casing(spark, sf_dir):
-    """P32 (rows-only; the oracle dialect has no initcap)."""
+    """P32: 'GOLF VARIANT' -> 'Golf Variant'."""
     v = sources(spark, sf_dir).vehicles
     return v.select(P.KENTEKEN, FM.name_casing(F.col(P.MERK)).alias("brand_display"),
                     FM.name_casing(F.col(P.HANDELSBENAMING)).alias("model_display"))
