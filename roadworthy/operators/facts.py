@@ -1,13 +1,14 @@
 """Inspection-grain fact table ``inspection_stats``.
 
-Each input is reduced *before* the joins: reports to one row per vehicle and
-day, defects to one row per report, fuel rows to one row per vehicle and
+Each input is reduced *before* the joins: report and defect rows together to
+one row per vehicle and day (earliest report and its defect sum, see
+``primary_reports_with_counts``), fuel rows to one row per vehicle and
 vehicles to one row per plate.  The reductions bound the rows per plate that
-reach a join (at most one per day and report time), so even a plate holding a
-large share of raw rows cannot overload one join task; the aggregations
-themselves combine map-side.  The three joins are plain equi-joins on the
-plate; Catalyst picks the physical join, AQE coalesces partitions and splits
-skewed ones.
+reach a join (at most one per day), so even a plate holding a large share of
+raw rows cannot overload one join task; the aggregations themselves combine
+map-side.  The two remaining joins are equi-joins on the plate and share one
+partitioning.  ``primary_inspections`` / ``defect_counts`` / ``join_fact`` are
+the same steps one at a time (A1, A2, J1-J3), kept as separate operators.
 """
 
 from __future__ import annotations
@@ -137,13 +138,72 @@ def join_fact(prim: DataFrame, vehicles: DataFrame, fuel: DataFrame, counts: Dat
     )
 
 
+def primary_reports_with_counts(inspections: DataFrame, defects: DataFrame, on_bad: str = "raise",
+                                with_expiry: bool = False) -> DataFrame:
+    """A1 + A2 + J3 as one reduction: each (plate, day) with its earliest
+    periodic report time and the defect quantity of that report.
+
+    Report rows and defect rows are unioned and reduced twice:
+
+    1. per (plate, day, time): "is there a periodic report" and the defect
+       sum - boolean/long buffers, so this raw-data aggregation is a hash
+       aggregate that combines map-side;
+    2. per (plate, day), over the times that have a report: the smallest
+       (time, defect sum) pair, i.e. the earliest report and its defects.
+
+    Identical to ``primary_inspections`` left-joined with ``defect_counts``
+    on (plate, day, time), without re-keying the joined fact for that join.
+    """
+    t = N.normalized_time(F.col(P.MELD_TIJD)).alias(P.MELD_TIJD)
+    exp = [F.col(P.VERVALDATUM_KEURING)] if with_expiry else []
+    no_exp = [F.lit(None).cast("string").alias(P.VERVALDATUM_KEURING)] if with_expiry else []
+    reports = inspections.where(N.is_periodic_report(F.col(P.SOORT_MELDING))).select(
+        P.KENTEKEN, P.MELD_DATUM, t, F.lit(True).alias("_report"), F.lit(0).cast("bigint").alias("_qty"), *exp)
+    found = defects.select(
+        P.KENTEKEN, P.MELD_DATUM, t, F.lit(False).alias("_report"),
+        N.defect_quantity(F.col(P.AANTAL_GEBREKEN), on_bad).alias("_qty"), *no_exp)
+    per_time = reports.unionByName(found).groupBy(P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD).agg(
+        F.bool_or("_report").alias("_report"), F.sum("_qty").alias("_qty"),
+        *([F.max(P.VERVALDATUM_KEURING).alias(P.VERVALDATUM_KEURING)] if with_expiry else []))
+    fields = [P.MELD_TIJD, "_qty"] + ([P.VERVALDATUM_KEURING] if with_expiry else [])
+    per_day = per_time.where("_report").groupBy(P.KENTEKEN, P.MELD_DATUM).agg(F.min(F.struct(*fields)).alias("m"))
+    return per_day.select(
+        P.KENTEKEN, P.MELD_DATUM, F.col("m." + P.MELD_TIJD).alias(P.MELD_TIJD),
+        F.col("m._qty").alias("defect_count"),
+        *([F.col("m." + P.VERVALDATUM_KEURING).alias(P.VERVALDATUM_KEURING)] if with_expiry else []),
+        N.year_of(F.col(P.MELD_DATUM)).alias("insp_year"),
+    )
+
+
+def join_reports(reports: DataFrame, vehicles: DataFrame, fuel: DataFrame) -> DataFrame:
+    """J1 + J2 + P9/P10 over ``primary_reports_with_counts``: both joins are on
+    the plate, so they share one partitioning."""
+    age = F.col("insp_year") - N.year_of(F.col(P.DATUM_EERSTE_TOELATING))
+    extra = ([N.coverage_years(F.col(P.MELD_DATUM), F.col(P.VERVALDATUM_KEURING)).alias("coverage_years")]
+             if P.VERVALDATUM_KEURING in reports.columns else [])
+    return (
+        reports.join(vehicles, P.KENTEKEN, "inner")
+        .withColumn("age_at_inspection", age)
+        .where(F.col("age_at_inspection").between(P.AGE_MIN, P.AGE_MAX))
+        .join(fuel, P.KENTEKEN, "left")
+        .select(
+            P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, P.MERK, P.HANDELSBENAMING, P.CATALOGUSPRIJS,
+            "vehicle_type_group",
+            F.coalesce(F.col("primary_fuel"), F.lit(P.FUEL_OTHER_PRIMARY)).alias("primary_fuel"),
+            "insp_year",
+            "age_at_inspection",
+            "defect_count",
+            *extra,
+        )
+    )
+
+
 def inspection_stats(inspections: DataFrame, vehicles: DataFrame, defects: DataFrame, fuel: DataFrame,
                      on_bad: str = "raise", with_coverage: bool = False) -> DataFrame:
     """The whole fact build as one lazy plan (``with_coverage`` adds the
     documented coverage years per inspection, D1)."""
-    return join_fact(
-        primary_inspections(inspections, with_coverage),
+    return join_reports(
+        primary_reports_with_counts(inspections, defects, on_bad, with_coverage),
         vehicle_attributes(vehicles),
         primary_fuel(fuel),
-        defect_counts(defects, on_bad),
     )

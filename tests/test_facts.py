@@ -126,3 +126,29 @@ def test_fact_plan_prunes_scan_columns(spark):
     plan = fact._jdf.queryExecution().executedPlan().toString()
     # lineitem is read with only the columns the binding needs
     assert "l_extendedprice" not in plan
+
+
+def test_folded_reduction_equals_three_steps(spark):
+    src = bind(spark, SF001)
+    folded = facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel)
+    steps = facts.join_fact(facts.primary_inspections(src.inspections), facts.vehicle_attributes(src.vehicles),
+                            facts.primary_fuel(src.fuel), facts.defect_counts(src.defects))
+    assert folded.exceptAll(steps).count() == 0 and steps.exceptAll(folded).count() == 0
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min(meld_tijd" not in plan  # no sort-based aggregate over raw reports
+
+
+def test_folded_reduction_edge_cases(spark):
+    insp = spark.createDataFrame([
+        ("AB1", "20200101", "1300", "Periodieke controle"),
+        ("AB1", "20200101", "930", "Periodieke controle"),
+        ("AB1", "20200101", "0800", "tachograaf"),
+    ], INSP)
+    d = spark.createDataFrame([
+        ("AB1", "20200101", "0930", "A", "2"), ("AB1", "20200101", "930", "B", None),
+        ("AB1", "20200101", "1300", "C", "5"), ("AB1", "20200101", "0800", "D", "7"),
+        ("AB1", "20200102", "0930", "E", "1"),
+    ], DEF)
+    got = rows(facts.primary_reports_with_counts(insp, d))
+    assert got == [{P.KENTEKEN: "AB1", P.MELD_DATUM: "20200101", P.MELD_TIJD: "0930", "defect_count": 3,
+                    "insp_year": 2020}]
