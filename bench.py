@@ -36,7 +36,7 @@ def main() -> None:
     from roadworthy.sources.bindings import bind
     from pyspark.sql import functions as F
 
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="roadworthy-bench")
+    spark = local_session(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)), app="roadworthy-bench")
     t = P.TEST_SF001
     times: dict[str, float] = {}
 
