@@ -23,8 +23,8 @@ from roadworthy.sources import publish
 from roadworthy.sources.bindings import Sources, bind
 
 
-def build_fact(src: Sources, on_bad: str = "raise") -> DataFrame:
-    return facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel, on_bad)
+def build_fact(src: Sources, on_bad: str = "raise", with_coverage: bool = False) -> DataFrame:
+    return facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel, on_bad, with_coverage)
 
 
 def persist_fact(spark: SparkSession, fact: DataFrame, path: str | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ class Outputs:
 
 
 def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAULT,
-                   checkpoint: bool = True) -> Outputs:
+                   checkpoint: bool = True, exposure: str = "age") -> Outputs:
     """All outputs of one batch run.
 
     With ``checkpoint`` the fact is written once (see ``persist_fact``), and so are the few tables
@@ -82,6 +82,7 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
     per-age rows, defect and fuel breakdowns are exact roll-ups of the model
     level, so the fact is scanned once per grouping level instead of once per
     output.  Without ``checkpoint`` everything stays one lazy plan.
+    ``exposure="coverage"`` counts vehicle-years as documented coverage years (D1).
     """
     configure(spark)
     base_dir = shared_dir(spark, "run") if checkpoint else None
@@ -100,12 +101,13 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
             return {k: f.result() for k, f in futs.items()}
 
     # The fuel counts do not depend on the fact: both are built at once.
-    done = keep_all({"inspection_stats": build_fact(src), "model_fuel": FU.fuel_by_model(src.fuel, src.vehicles)},
+    fact_plan = build_fact(src, with_coverage=exposure == "coverage")
+    done = keep_all({"inspection_stats": fact_plan, "model_fuel": FU.fuel_by_model(src.fuel, src.vehicles)},
                     {"inspection_stats": ["insp_year"]})
     fact, model_fuel_long = done["inspection_stats"], done["model_fuel"]
     level = keep_all({
-        "brand_segments": segments.brand_segments(fact, t.brand),
-        "model_segments": segments.model_segments(fact, t.model),
+        "brand_segments": segments.brand_segments(fact, t.brand, exposure=exposure),
+        "model_segments": segments.model_segments(fact, t.model, exposure=exposure),
         "per_age_base": segments.per_age_base(fact),
         "model_breakdown": D.model_breakdown(src.defects, fact),
     })

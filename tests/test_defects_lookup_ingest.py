@@ -151,3 +151,22 @@ def test_lookup_caps_same_on_both_paths(spark, monkeypatch):
     plan = large._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+
+
+def test_included_plus_excluded_is_total(spark):
+    from conftest import SF001
+
+    from roadworthy.operators import facts
+    from roadworthy.sources.bindings import bind
+
+    src = bind(spark, SF001, code_offset=200)
+    fact = facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel)
+    bd = D.brand_breakdown(src.defects, fact)
+    idx = D.code_index(src.codes)
+    ex = D.excluded_codes(idx, "reliability")
+    r = D.filtered_ratio(bd, [P.MERK], ex, "reliability")
+    excluded = bd.join(ex, "defect_code", "left_semi").groupBy(P.MERK).agg(F.sum("count").alias("x"))
+    j = r.join(excluded, P.MERK, "left").select(
+        (F.col("included_count") + F.coalesce(F.col("x"), F.lit(0)) - F.col("total_count")).alias("d"))
+    assert j.where(F.col("d") != 0).count() == 0
+    assert ex.count() > 0  # codes 200-299 include wear-and-tear codes

@@ -150,3 +150,18 @@ def test_documents_round_trip(spark):
     assert len(ds["top_defects"]) == t.top_codes
     counts = [d["count"] for d in ds["top_defects"]]
     assert counts == sorted(counts, reverse=True) and ds["total_defects"] == sum(counts)
+
+
+def test_pipeline_coverage_exposure(spark):
+    from roadworthy.plans.pipeline import run_statistics
+
+    src = bind(spark, SF001)
+    t = P.TEST_SF001
+    out = run_statistics(spark, src, t, checkpoint=False, exposure="coverage")
+    direct = segments.brand_segments(
+        facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel, with_coverage=True),
+        t.brand, exposure="coverage")
+    assert out.brand_segments.exceptAll(direct).count() == 0
+    age = segments.brand_segments(facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel), t.brand)
+    # coverage years differ from summed ages, so the rates differ
+    assert out.brand_segments.select("total_vehicle_years").exceptAll(age.select("total_vehicle_years")).count() > 0
