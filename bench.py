@@ -4,7 +4,10 @@ Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` (default 8) and prints ONE JSON line:
 {"metric": "pipeline_total", "value": sec, "unit": "sec", "queries": {...}, "sf": ...}
 
-Each output is forced with the ``noop`` sink (full execution, no collect).
+The metric sums the end-to-end steps: fact and intermediates, writing all
+eight documents, one exploration view and the batch lookup over every plate.
+Each output is also forced on its own with the ``noop`` sink (``out_*`` keys,
+informational, not summed).
 Thresholds are the scaled test values (the original defaults would empty most
 outputs at this scale).  Before timing, the same pipeline runs once over the
 small sibling table set (sf0.001, untimed) so JVM start-up and JIT compilation
@@ -31,12 +34,13 @@ def main() -> None:
     from roadworthy import params as P
     from roadworthy.operators import explore as X
     from roadworthy.operators import lookup as L
-    from roadworthy.plans.pipeline import documents, run_statistics
+    from roadworthy.plans.pipeline import publish_all, run_statistics
     from roadworthy.session import local_session
     from roadworthy.sources.bindings import bind
     from pyspark.sql import functions as F
 
-    spark = local_session(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)), app="roadworthy-bench")
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
+    spark = local_session(cores=cpus, shuffle_partitions=partitions, app="roadworthy-bench")
     t = P.TEST_SF001
     times: dict[str, float] = {}
 
@@ -51,26 +55,30 @@ def main() -> None:
         warm = run_statistics(spark, bind(spark, warm_dir), P.TEST_SF0001, checkpoint=True)
         for df in warm.tables().values():
             df.write.format("noop").mode("overwrite").save()
+        publish_all(spark, warm)
 
     src = bind(spark, sf_dir)
+    # End-to-end path (summed into the metric): fact and shared intermediates,
+    # all eight documents, one exploration view, the batch lookup.
     t0 = time.perf_counter()
-    # writes the fact and the shared intermediate tables once
     out = run_statistics(spark, src, t, checkpoint=True)
     times["fact_and_intermediates"] = round(time.perf_counter() - t0, 3)
-
-    for name, df in out.tables().items():
-        run(name, lambda df=df: df)
-    docs = documents(out)
-    run("brand_stats_document", lambda: docs["brand_stats"])
-    run("model_stats_document", lambda: docs["model_stats"])
+    t0 = time.perf_counter()
+    publish_all(spark, out)
+    times["publish_documents"] = round(time.perf_counter() - t0, 3)
     view = X.ViewFilter(view="models", age_range=(4, 12), show_commercial=False)
     run("explore_models_age_window",
         lambda: X.explore_segments(out.model_segments, view, out.model_per_age))
     typed = src.vehicles.select(F.concat_ws("-", F.substring(P.KENTEKEN, 1, 2),
                                             F.substring(P.KENTEKEN, 3, 10)).alias("typed_plate"))
     run("vehicle_history", lambda: L.vehicle_history(typed, src.inspections, src.defects, src.codes))
-
     total = round(sum(times.values()), 3)
+
+    # Per-output timings (informational, not in the metric): each output
+    # forced on its own from the written intermediates.
+    for name, df in out.tables().items():
+        run("out_" + name, lambda df=df: df)
+
     spark.stop()
     print(json.dumps({"metric": "pipeline_total", "value": total, "unit": "sec", "queries": times, "sf": sf,
                       "cpus": int(cpus)}))

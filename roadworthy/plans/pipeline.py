@@ -158,5 +158,10 @@ def documents(out: Outputs) -> dict[str, DataFrame]:
 
 
 def publish_all(spark: SparkSession, out: Outputs, base: str | None = None) -> dict[str, str]:
-    """Write all documents; returns name -> path."""
-    return publish.write_documents(documents(out), base or shared_dir(spark, "documents"))
+    """Write all documents (independent jobs, submitted together);
+    returns name -> path."""
+    base = base or shared_dir(spark, "documents")
+    docs = documents(out)
+    with ThreadPoolExecutor(max_workers=len(docs)) as pool:
+        futs = {k: pool.submit(publish.write_json, df, f"{base}/{k}") for k, df in docs.items()}
+        return {k: f.result() for k, f in futs.items()}
