@@ -9,7 +9,7 @@ from roadworthy.functions import formatting as FM
 from roadworthy.operators import segments
 from roadworthy.plans import oracle as O
 from roadworthy.plans.catalog import T, fact_of, register, sources
-from roadworthy.plans.pipeline import documents, run_statistics
+from roadworthy.plans.pipeline import publish_all, run_statistics
 from roadworthy.session import shared_dir
 from roadworthy.sources import publish
 
@@ -27,7 +27,7 @@ def s13_json_documents(spark, sf_dir):
     """S13 + S14 (rows-only): write all eight documents, read each back and
     report its line count."""
     out = run_statistics(spark, sources(spark, sf_dir), T)
-    paths = publish.write_documents(documents(out), shared_dir(spark, "documents"))
+    paths = publish_all(spark, out, shared_dir(spark, "documents"))
     parts = [publish.read_document(spark, p).agg(F.count(F.lit(1)).alias("lines")).select(
         F.lit(name).alias("document"), "lines") for name, p in paths.items()]
     res = parts[0]
