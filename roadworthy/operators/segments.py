@@ -46,10 +46,12 @@ def segment_measures(with_defect_found: bool = True, exposure: str = "age") -> l
         rnd(F.avg(age), 2).alias("avg_age_years"),
         (F.sum(age).cast("double") if exposure == "age" else F.sum("coverage_years")).alias("total_vehicle_years"),
         rnd(F.stddev_samp(_rate()), 4).alias("std_defects_per_vehicle_year"),
-        F.sum(_rate()).alias("sum_defects_per_vehicle_year_rates"),
-        F.sum(_rate() * _rate()).alias("sum_sq_defects_per_vehicle_year_rates"),
+        # Sums of non-integer doubles depend on summation order in the last
+        # bits; 6 decimals keep them stable across engines and re-runs.
+        rnd(F.sum(_rate()), 6).alias("sum_defects_per_vehicle_year_rates"),
+        rnd(F.sum(_rate() * _rate()), 6).alias("sum_sq_defects_per_vehicle_year_rates"),
         F.sum(d * d).cast("double").alias("sum_sq_defect_counts"),
-        F.sum(price).alias("sum_catalog_price"),
+        rnd(F.sum(price), 6).alias("sum_catalog_price"),
         F.count_if(price > 0).alias("count_with_price"),
     ]
     return out

@@ -141,10 +141,10 @@ def _measures(with_found: bool, exposure: str = "age") -> str:
          {R('avg(age_at_inspection)', 2)} AS avg_age_years,
          {'CAST(sum(age_at_inspection) AS DOUBLE)' if exposure == 'age' else 'sum(coverage_years)'} AS tvy,
          {R(f'stddev_samp({rate})', 4)} AS std_defects_per_vehicle_year,
-         sum({rate}) AS sum_defects_per_vehicle_year_rates,
-         sum(({rate}) * ({rate})) AS sum_sq_defects_per_vehicle_year_rates,
+         {R(f'sum({rate})', 6)} AS sum_defects_per_vehicle_year_rates,
+         {R(f'sum(({rate}) * ({rate}))', 6)} AS sum_sq_defects_per_vehicle_year_rates,
          CAST(sum(defect_count * defect_count) AS DOUBLE) AS sum_sq_defect_counts,
-         sum(catalogusprijs) AS sum_catalog_price,
+         {R('sum(catalogusprijs)', 6)} AS sum_catalog_price,
          {CI('catalogusprijs > 0')} AS count_with_price"""
 
 
