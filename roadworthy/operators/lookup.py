@@ -66,8 +66,13 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
 BROADCAST_PLATES_MAX = 2_000_000
 
 
+def plate_set_is_small(typed: DataFrame, column: str = "typed_plate") -> bool:
+    """Whether the looked-up plate set is within the broadcast bound (one count job)."""
+    return _valid_keys(typed, column).count() <= BROADCAST_PLATES_MAX
+
+
 def _capped_for_plates(rows: DataFrame, typed: DataFrame, column: str, order: list, k: int,
-                       rank_col: str) -> DataFrame:
+                       rank_col: str, small: bool | None = None) -> DataFrame:
     """The first k rows per looked-up plate under ``order``.
 
     The plate set is counted first (a small job).  Up to
@@ -79,7 +84,9 @@ def _capped_for_plates(rows: DataFrame, typed: DataFrame, column: str, order: li
     keys = _valid_keys(typed, column)
     w = Window.partitionBy(P.KENTEKEN).orderBy(*order)
     rank = F.row_number().over(w)
-    if keys.count() <= BROADCAST_PLATES_MAX:
+    if small is None:
+        small = plate_set_is_small(typed, column)
+    if small:
         r = rows.join(F.broadcast(keys), P.KENTEKEN, "left_semi")
         return r.withColumn(rank_col, rank).where(F.col(rank_col) <= k)
     ranked = rows.withColumn(rank_col, rank).where(F.col(rank_col) <= k)
@@ -87,18 +94,18 @@ def _capped_for_plates(rows: DataFrame, typed: DataFrame, column: str, order: li
 
 
 def recent_reports(typed: DataFrame, reports: DataFrame, k: int = P.LOOKUP_MAX_REPORTS,
-                   column: str = "typed_plate") -> DataFrame:
+                   column: str = "typed_plate", small: bool | None = None) -> DataFrame:
     """The k most recent reports per looked-up plate (date desc, then time desc)."""
     order = [F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.SOORT_MELDING).asc()]
-    return _capped_for_plates(reports, typed, column, order, k, "report_rank")
+    return _capped_for_plates(reports, typed, column, order, k, "report_rank", small)
 
 
 def recent_defects(typed: DataFrame, defects: DataFrame, k: int = P.LOOKUP_MAX_DEFECTS,
-                   column: str = "typed_plate") -> DataFrame:
+                   column: str = "typed_plate", small: bool | None = None) -> DataFrame:
     """The first k defect rows per plate (most recent first, code as tie-break)."""
     order = [F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.GEBREK_ID).asc(),
              F.col(P.AANTAL_GEBREKEN).asc()]
-    return _capped_for_plates(defects, typed, column, order, k, "defect_rank")
+    return _capped_for_plates(defects, typed, column, order, k, "defect_rank", small)
 
 
 def vehicle_history(typed: DataFrame, reports: DataFrame, defects: DataFrame, codes: DataFrame,
@@ -108,12 +115,13 @@ def vehicle_history(typed: DataFrame, reports: DataFrame, defects: DataFrame, co
 
     The description join matches the code text literally (a code containing
     quotes is just a value here, no query text is built from it)."""
-    rep = recent_reports(typed, reports, column=column).select(
+    small = plate_set_is_small(typed, column)
+    rep = recent_reports(typed, reports, column=column, small=small).select(
         P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, "report_rank",
         FM.compact_date_display(F.col(P.MELD_DATUM)).alias("report_date"),
         FM.passed(F.col(result_column)).alias("passed"),
     )
-    dft = recent_defects(typed, defects, column=column).select(
+    dft = recent_defects(typed, defects, column=column, small=small).select(
         P.KENTEKEN, P.MELD_DATUM, F.col(P.GEBREK_ID).alias("defect_code"),
         F.col(P.AANTAL_GEBREKEN).alias("defect_count"), "defect_rank",
     )
