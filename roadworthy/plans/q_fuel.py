@@ -134,8 +134,9 @@ def a35_fuel_view_models(spark, sf_dir):
 
 
 @register("t8_fuel_view_sort", lambda: O.q(
-    "SELECT * FROM (" + fuel_view_sql(FUEL_VIEW, "bsegf") + ") ORDER BY diesel_pct DESC, merk ASC LIMIT 10",
+    "SELECT * FROM (" + fuel_view_sql(FUEL_VIEW, "bsegf") + ") ORDER BY diesel_pct DESC, merk ASC",
     T, SEG_FUEL_CTE))
 def t8_fuel_view_sort(spark, sf_dir):
+    """The whole fuel view sorted by a percent column."""
     v = X.fuel_view(brand_segments_with_fuel(spark, sf_dir), FUEL_VIEW)
-    return X.fuel_view_sort(v, "diesel_pct", ascending=False).limit(10)
+    return X.fuel_view_sort(v, "diesel_pct", ascending=False)
