@@ -57,3 +57,15 @@ def test_binding_scan_is_pruned(spark):
     plan = _plan(src.defects.select(P.KENTEKEN))
     assert "l_extendedprice" not in plan and "l_comment" not in plan
     assert "l_returnflag" in plan  # the filter column is read and pushed
+
+
+def test_recent_days_filter_reaches_parquet(spark):
+    from roadworthy.session import shared_dir
+
+    path = shared_dir(spark, "raw-reports")
+    spark.createDataFrame([("AB1", "20240101"), ("AB2", "20231201")],
+                          f"{P.KENTEKEN} string, {P.MELD_DATUM} string").write.parquet(path)
+    raw = spark.read.parquet(path)
+    plan = _plan(I.recent_days(raw, "2024-01-31", 30))
+    assert "PushedFilters: [IsNotNull(meld_datum_door_keuringsinstantie), GreaterThanOrEqual(" in plan
+    assert [r[0] for r in I.recent_days(raw, "2024-01-31", 30).collect()] == ["AB1"]
