@@ -69,3 +69,30 @@ def register_views(sources: dict[str, DataFrame]) -> None:
     """Expose logical tables as temp views for SQL users."""
     for name, df in sources.items():
         df.createOrReplaceTempView(name)
+
+
+def load_sources(spark: SparkSession, base_dir: str):
+    """The five logical tables from ``base_dir/<name>.parquet`` (the names of
+    ``DATASETS``), each projected to the columns the pipeline uses, all text.
+
+    Missing optional columns (the two expiry dates) are added as nulls, so
+    tables exported without them still load."""
+    from pyspark.sql import functions as F
+
+    from roadworthy.sources.bindings import Sources
+
+    def one(name: str) -> DataFrame:
+        df = scan(spark, base_dir, name)
+        cols = [
+            (F.col(f.name).cast("string") if f.name in df.columns else F.lit(None).cast("string")).alias(f.name)
+            for f in SCHEMAS[name].fields
+        ]
+        return df.select(*cols)
+
+    return Sources(
+        vehicles=one("voertuigen"),
+        inspections=one("meldingen"),
+        defects=one("geconstateerde_gebreken"),
+        codes=one("gebreken"),
+        fuel=one("brandstof"),
+    )
