@@ -169,6 +169,24 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(jp).getLength())
 
 
+def file_checks(spark: SparkSession, path: str, min_bytes: int) -> DataFrame:
+    """S9, file-system half: the path exists, holds data files and reaches a
+    minimum size.  Only listing metadata travels to the driver (one row)."""
+    jvm = spark.sparkContext._jvm  # type: ignore[union-attr]
+    jp = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # type: ignore[union-attr]
+    exists = bool(fs.exists(jp))
+    files = nbytes = 0
+    if exists:
+        summary = fs.getContentSummary(jp)
+        files, nbytes = int(summary.getFileCount()), int(summary.getLength())
+    ok = exists and files >= 1 and nbytes >= min_bytes
+    msg = ("missing" if not exists else "no files" if files < 1
+           else f"too small: {nbytes} < {min_bytes} bytes" if nbytes < min_bytes else "ok")
+    return spark.createDataFrame([(path, exists, files, nbytes, ok, msg)],
+                                 "path string, exists boolean, files bigint, bytes bigint, ok boolean, message string")
+
+
 def duplicate_audit(df: DataFrame) -> DataFrame:
     """Total rows, distinct rows and exact duplicate rows.
 

@@ -170,3 +170,14 @@ def test_included_plus_excluded_is_total(spark):
         (F.col("included_count") + F.coalesce(F.col("x"), F.lit(0)) - F.col("total_count")).alias("d"))
     assert j.where(F.col("d") != 0).count() == 0
     assert ex.count() > 0  # codes 200-299 include wear-and-tear codes
+
+
+def test_file_checks(spark):
+    from conftest import SF001
+
+    ok = I.file_checks(spark, f"{SF001}/supplier.parquet", 100).first()
+    assert ok["exists"] and ok["files"] == 1 and ok["ok"]
+    small = I.file_checks(spark, f"{SF001}/supplier.parquet", 10**9).first()
+    assert not small["ok"] and small["message"].startswith("too small")
+    missing = I.file_checks(spark, f"{SF001}/nope.parquet", 1).first()
+    assert missing["message"] == "missing"
