@@ -37,7 +37,10 @@ def breakdown_document(breakdown_long: DataFrame, keys: Sequence[str]) -> DataFr
     """A18 publishing shape: one row per brand (or 'brand|model' key) with a
     code -> count map.  A group holds at most one entry per defect code."""
     key = F.col(keys[0]) if len(keys) == 1 else N.model_key(F.col(keys[0]), F.col(keys[1]))
-    return breakdown_long.groupBy(key.alias("key")).agg(
+    # Several (brand, model) pairs share the null key when the model is null;
+    # summing per (key, code) first keeps every map key unique.
+    per_code = breakdown_long.groupBy(key.alias("key"), "defect_code").agg(F.sum("count").alias("count"))
+    return per_code.groupBy("key").agg(
         F.map_from_entries(F.collect_list(F.struct("defect_code", "count"))).alias("defects")
     )
 

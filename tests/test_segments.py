@@ -165,3 +165,12 @@ def test_pipeline_coverage_exposure(spark):
     age = segments.brand_segments(facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel), t.brand)
     # coverage years differ from summed ages, so the rates differ
     assert out.brand_segments.select("total_vehicle_years").exceptAll(age.select("total_vehicle_years")).count() > 0
+
+
+def test_breakdown_document_null_model_keys(spark):
+    from roadworthy.sources import publish
+
+    bd = spark.createDataFrame([("A", None, "X", 2), ("B", None, "X", 3), ("A", "M", "X", 1)],
+                               "merk string, handelsbenaming string, defect_code string, count bigint")
+    got = {r["key"]: r["defects"] for r in publish.breakdown_document(bd, [P.MERK, P.HANDELSBENAMING]).collect()}
+    assert got == {None: {"X": 5}, "A|M": {"X": 1}}
