@@ -43,7 +43,7 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
         vehicles.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi")  # AQE: broadcast only if small
         .groupBy(P.KENTEKEN)
         .agg(F.min(F.struct(*cols)).alias("v"))
-        .select(P.KENTEKEN, *[F.col("v." + c).alias(c) for c in cols])
+        .select(P.KENTEKEN, *[F.col("v." + c).alias(c) for c in cols], F.lit(True).alias("_found"))
     )
     n_rep = recent_reports(typed, reports, column=column).groupBy(P.KENTEKEN).agg(
         F.count(F.lit(1)).alias("reports_shown")
@@ -51,7 +51,7 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
     j = plates.join(v, P.KENTEKEN, "left").join(n_rep, P.KENTEKEN, "left")
     status = (
         F.when(~F.col("valid"), F.lit("invalid"))
-        .when(F.col(P.MERK).isNull() & F.col(P.VOERTUIGSOORT).isNull(), F.lit("not_found"))
+        .when(F.col("_found").isNull(), F.lit("not_found"))
         .otherwise(F.lit("found"))
     )
     return j.select(

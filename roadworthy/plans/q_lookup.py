@@ -77,14 +77,13 @@ def j10_vehicle_history(spark, sf_dir):
 
 @register("p36_certificate_validity", lambda: O.q(f"""
 SELECT n.typed_plate, n.kenteken,
-       CASE WHEN NOT n.valid THEN 'invalid' WHEN v.merk IS NULL AND v.voertuigsoort IS NULL THEN 'not_found'
-            ELSE 'found' END AS status,
+       CASE WHEN NOT n.valid THEN 'invalid' WHEN v.kenteken IS NULL THEN 'not_found' ELSE 'found' END AS status,
        v.merk, v.handelsbenaming, {_date_disp('v.datum_eerste_toelating')} AS first_admission,
-       CASE WHEN n.valid AND NOT (v.merk IS NULL AND v.voertuigsoort IS NULL) THEN
+       CASE WHEN n.valid AND v.kenteken IS NOT NULL THEN
          CASE WHEN v.vervaldatum_apk IS NULL OR v.vervaldatum_apk = '' THEN 'unknown'
               WHEN try_strptime(v.vervaldatum_apk, '%Y%m%d') > DATE '{AS_OF}' THEN 'valid' ELSE 'expired' END
        END AS certificate,
-       CASE WHEN n.valid AND NOT (v.merk IS NULL AND v.voertuigsoort IS NULL) THEN coalesce(c.n, 0) END
+       CASE WHEN n.valid AND v.kenteken IS NOT NULL THEN coalesce(c.n, 0) END
          AS reports_shown
 FROM np2 n
 LEFT JOIN (SELECT kenteken, merk, handelsbenaming, datum_eerste_toelating, voertuigsoort, vervaldatum_apk FROM (

@@ -113,6 +113,8 @@ def union_schema(frames: Iterable[DataFrame]) -> T.StructType:
 def tolerant_union(frames: Sequence[DataFrame], schema: T.StructType | None = None) -> DataFrame:
     """UNION ALL by name; missing columns become null, columns outside
     ``schema`` are dropped; the result has exactly ``schema``'s columns."""
+    if not frames:
+        raise ValueError("tolerant_union needs at least one frame")
     schema = schema or union_schema(frames)
     names = [f.name for f in schema.fields]
 
