@@ -132,6 +132,9 @@ def merge_segments(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     ]
     if has_found:
         aggs.append(F.sum("inspections_with_defects").alias("inspections_with_defects"))
+    # Σ age: its own column under the coverage exposure, else the vehicle-years
+    age_sum = "sum_age_years" if "sum_age_years" in segments.columns else "total_vehicle_years"
+    aggs.append(F.sum(age_sum).alias("_age_sum"))
     return segments.groupBy(*keys).agg(*aggs)
 
 
@@ -203,7 +206,7 @@ def explore_segments(segments: DataFrame, f: ViewFilter, per_age_rows: DataFrame
     seg_keys = list(P.BRAND_KEYS) if f.view == "brands" else list(P.MODEL_KEYS)
     kept = row_filter(segments, f)
     merged = pooled_std(merge_segments(kept, keys))
-    merged = merged.withColumn("_exact_age", rnd(F.col("total_vehicle_years") / F.col("total_inspections"), 2))
+    merged = merged.withColumn("_exact_age", rnd(F.col("_age_sum") / F.col("total_inspections"), 2))
     if ratios is not None:
         merged = merged.join(ratios.select(*keys, "defect_ratio"), keys, "left")
         ratio = F.coalesce(F.col("defect_ratio"), F.lit(1.0))

@@ -54,6 +54,9 @@ def segment_measures(with_defect_found: bool = True, exposure: str = "age") -> l
         rnd(F.sum(price), 6).alias("sum_catalog_price"),
         F.count_if(price > 0).alias("count_with_price"),
     ]
+    if exposure != "age":
+        # vehicle-years are no longer ages: keep the age sum for mean ages
+        out.append(F.sum(age).cast("double").alias("sum_age_years"))
     return out
 
 

@@ -145,7 +145,8 @@ def _measures(with_found: bool, exposure: str = "age") -> str:
          {R(f'sum(({rate}) * ({rate}))', 6)} AS sum_sq_defects_per_vehicle_year_rates,
          CAST(sum(defect_count * defect_count) AS DOUBLE) AS sum_sq_defect_counts,
          {R('sum(catalogusprijs)', 6)} AS sum_catalog_price,
-         {CI('catalogusprijs > 0')} AS count_with_price"""
+         {CI('catalogusprijs > 0')} AS count_with_price
+         {', CAST(sum(age_at_inspection) AS DOUBLE) AS sum_age_years' if exposure != 'age' else ''}"""
 
 
 def _derived(src: str) -> str:

@@ -174,3 +174,13 @@ def test_breakdown_document_null_model_keys(spark):
                                "merk string, handelsbenaming string, defect_code string, count bigint")
     got = {r["key"]: r["defects"] for r in publish.breakdown_document(bd, [P.MERK, P.HANDELSBENAMING]).collect()}
     assert got == {None: {"X": 5}, "A|M": {"X": 1}}
+
+
+def test_explore_mean_age_under_coverage_exposure(spark):
+    src = bind(spark, SF001)
+    cov_fact = facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel, with_coverage=True)
+    age_view = X.explore_segments(segments.brand_segments(cov_fact, 1), X.ViewFilter())
+    cov_view = X.explore_segments(segments.brand_segments(cov_fact, 1, exposure="coverage"), X.ViewFilter())
+    a = {r[P.MERK]: r["avg_age_years"] for r in age_view.collect()}
+    b = {r[P.MERK]: r["avg_age_years"] for r in cov_view.collect()}
+    assert a == b  # the mean age does not depend on the exposure definition
