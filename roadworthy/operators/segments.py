@@ -158,15 +158,18 @@ def nest_per_age(segments: DataFrame, per_age_rows: DataFrame, keys: Sequence[st
     The grouping is per segment and holds at most one entry per age (0-100),
     so no group can grow with the data.
     """
+    # Entries are sorted by age (numerically) so a document is byte-stable
+    # from run to run; collect order alone depends on task timing.
+    entry = F.struct(
+        F.col("age_at_inspection").alias("age"),
+        F.struct(
+            F.col("age_at_inspection").cast("string").alias("key"),
+            F.struct("vehicle_count", "total_inspections", "total_defects", "avg_defects_per_inspection")
+            .alias("value"),
+        ).alias("kv"),
+    )
     entries = per_age_rows.groupBy(*keys).agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.struct(
-                    F.col("age_at_inspection").cast("string"),
-                    F.struct("vehicle_count", "total_inspections", "total_defects", "avg_defects_per_inspection"),
-                )
-            )
-        ).alias("per_year_stats")
+        F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["kv"])).alias("per_year_stats")
     )
     empty = F.create_map().cast("map<string,struct<vehicle_count:bigint,total_inspections:bigint,"
                                 "total_defects:double,avg_defects_per_inspection:double>>")

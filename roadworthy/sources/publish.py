@@ -41,7 +41,7 @@ def breakdown_document(breakdown_long: DataFrame, keys: Sequence[str]) -> DataFr
     # summing per (key, code) first keeps every map key unique.
     per_code = breakdown_long.groupBy(key.alias("key"), "defect_code").agg(F.sum("count").alias("count"))
     return per_code.groupBy("key").agg(
-        F.map_from_entries(F.collect_list(F.struct("defect_code", "count"))).alias("defects")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("defect_code", "count")))).alias("defects")
     )
 
 

@@ -184,3 +184,12 @@ def test_explore_mean_age_under_coverage_exposure(spark):
     a = {r[P.MERK]: r["avg_age_years"] for r in age_view.collect()}
     b = {r[P.MERK]: r["avg_age_years"] for r in cov_view.collect()}
     assert a == b  # the mean age does not depend on the exposure definition
+
+
+def test_nested_maps_are_ordered(spark):
+    f = _fact(spark, [("A", "20200101", "0930", "VW", "G", 0.0, "consumer", "Diesel", 2020, a, 1)
+                      for a in (12, 3, 10, 2)])
+    seg = segments.brand_segments(f, 1)
+    nested = segments.nest_per_age(seg, segments.per_age(f, P.BRAND_KEYS, 1), P.BRAND_KEYS)
+    keys = nested.select(F.map_keys("per_year_stats")).first()[0]
+    assert keys == ["2", "3", "10", "12"]
