@@ -148,7 +148,7 @@ def documents(out: Outputs) -> dict[str, DataFrame]:
     return {
         "brand_stats": publish.with_fuel_struct(brand_docs),
         "model_stats": publish.with_fuel_struct(model_docs),
-        "rankings": out.brand_ranking.unionByName(out.model_ranking, allowMissingColumns=True),
+        "rankings": publish.rankings_document(out.brand_ranking, out.model_ranking),
         "metadata": publish.metadata_document(out.metadata, out.yearly_trend, out.fleet_age, out.fuel_domain),
         "defect_stats": publish.defect_stats_document(out.top_defects, out.defect_headline),
         "brand_defect_breakdown": publish.breakdown_document(out.brand_breakdown, [P.MERK]),

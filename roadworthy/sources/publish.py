@@ -140,3 +140,22 @@ def defect_stats_document(top: DataFrame, headline: DataFrame) -> DataFrame:
     lst = ranked.agg(F.transform(F.sort_array(F.collect_list("d")), lambda x: x.dropFields("pos"))
                      .alias("top_defects"))
     return combine_rows(headline, lst)
+
+
+def rankings_document(brand_ranking: DataFrame, model_ranking: DataFrame) -> DataFrame:
+    """T4 publishing shape: one row with the four ranking lists, each ordered
+    by rank (every list holds at most k entries)."""
+    from roadworthy.operators.profile import combine_rows
+
+    def lists(r: DataFrame, with_model: bool) -> DataFrame:
+        fields = ["rank", "merk", "defects_per_vehicle_year", "total_inspections"]
+        if with_model:
+            fields.append("handelsbenaming")
+        level = "models" if with_model else "brands"
+        return r.agg(*[
+            F.sort_array(F.collect_list(F.when(F.col("ranking") == f"{kind}_{level}", F.struct(*fields))))
+            .alias(f"{kind}_{level}")
+            for kind in ("most_reliable", "least_reliable")
+        ])
+
+    return combine_rows(lists(brand_ranking, False), lists(model_ranking, True))

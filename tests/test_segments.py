@@ -193,3 +193,16 @@ def test_nested_maps_are_ordered(spark):
     nested = segments.nest_per_age(seg, segments.per_age(f, P.BRAND_KEYS, 1), P.BRAND_KEYS)
     keys = nested.select(F.map_keys("per_year_stats")).first()[0]
     assert keys == ["2", "3", "10", "12"]
+
+
+def test_rankings_document_shape(spark):
+    from roadworthy.plans.pipeline import run_statistics
+    from roadworthy.sources import publish
+
+    out = run_statistics(spark, bind(spark, SF001), P.TEST_SF001, checkpoint=False)
+    doc = publish.rankings_document(out.brand_ranking, out.model_ranking).first()
+    for name in ("most_reliable_brands", "least_reliable_brands", "most_reliable_models", "least_reliable_models"):
+        assert [e["rank"] for e in doc[name]] == list(range(1, 11))
+    assert doc["most_reliable_models"][0]["handelsbenaming"] is not None
+    rates = [e["defects_per_vehicle_year"] for e in doc["most_reliable_brands"]]
+    assert rates == sorted(rates)
