@@ -146,8 +146,9 @@ def documents(out: Outputs) -> dict[str, DataFrame]:
         FU.attach_breakdown(out.model_segments, out.model_fuel, [P.MERK, P.HANDELSBENAMING]),
         out.model_per_age, P.MODEL_KEYS)
     return {
-        "brand_stats": publish.with_fuel_struct(brand_docs),
-        "model_stats": publish.with_fuel_struct(model_docs),
+        # Segments ordered by defects per vehicle-year (range-partitioned sort)
+        "brand_stats": publish.with_fuel_struct(brand_docs).orderBy("defects_per_vehicle_year", *P.BRAND_KEYS),
+        "model_stats": publish.with_fuel_struct(model_docs).orderBy("defects_per_vehicle_year", *P.MODEL_KEYS),
         "rankings": publish.rankings_document(out.brand_ranking, out.model_ranking),
         "metadata": publish.metadata_document(out.metadata, out.yearly_trend, out.fleet_age, out.fuel_domain),
         "defect_stats": publish.defect_stats_document(out.top_defects, out.defect_headline),
