@@ -104,13 +104,24 @@ def multi_term_search(cols: Sequence[str], text: str) -> Column:
     return cond
 
 
+# Selections longer than this become a broadcast semi join instead of a literal IN list.
+MAX_LITERAL_SELECTION = 1000
+
+
+def brand_selection(df: DataFrame, brands: Sequence[str]) -> DataFrame:
+    """P23 for brands: a literal IN list, or for a large selection a broadcast
+    semi join (the list's size is known - it is the user's selection)."""
+    if not brands:
+        return df
+    if len(brands) <= MAX_LITERAL_SELECTION:
+        return df.where(F.col(P.MERK).isin(*brands))
+    chosen = df.sparkSession.createDataFrame([(b,) for b in sorted(set(brands))], f"{P.MERK} string")
+    return df.join(F.broadcast(chosen), P.MERK, "left_semi")
+
+
 def row_filter(segments: DataFrame, f: ViewFilter) -> DataFrame:
-    return segments.where(
-        usage_predicate(f)
-        & membership(F.col("primary_fuel"), f.fuels)
-        & price_predicate(f)
-        & membership(F.col(P.MERK), f.brands)
-    )
+    kept = segments.where(usage_predicate(f) & membership(F.col("primary_fuel"), f.fuels) & price_predicate(f))
+    return brand_selection(kept, f.brands)
 
 
 # -- merge (A27, A28, A30, A31) ---------------------------------------------
@@ -396,14 +407,13 @@ def fuel_view(segments_with_fuel: DataFrame, f: ViewFilter) -> DataFrame:
     Segment rows carry their whole brand's (or model's) fuel columns; the view
     takes one copy per key instead of adding the copies up (D7)."""
     keys = f.keys
-    rows = segments_with_fuel.where(
+    rows = brand_selection(segments_with_fuel.where(
         usage_predicate(f)
         & membership(F.col("primary_fuel"), f.fuels)
         & price_predicate(f)
         & open_range(F.col("total_inspections"), f.min_inspections, f.max_inspections, f.max_inspections_available)
-        & membership(F.col(P.MERK), f.brands)
         & search_predicate(f.search, f.view)
-    )
+    ), f.brands)
     g = rows.groupBy(*keys).agg(
         F.sum("vehicle_count").alias("vehicle_count"), *[F.max(b).alias(b) for b in FU.BUCKETS]
     )

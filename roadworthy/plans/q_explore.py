@@ -20,6 +20,7 @@ V_AGE = X.ViewFilter(view="brands", age_range=(4, 12))
 V_AGE_MODELS = X.ViewFilter(view="models", age_range=(5, 15), show_consumer=True, show_commercial=False)
 V_HAVING = X.ViewFilter(view="brands", min_fleet=40, max_fleet=60, min_inspections=600, max_inspections=800,
                         max_inspections_available=10_000)
+V_BRAND_PICK = X.ViewFilter(view="models", brands=("BRAND#1", "BRAND#12", "BRAND#23"), fuels=("Diesel", "Hybrid"))
 MULTI_TERM = "brand#1 red"
 
 
@@ -190,6 +191,12 @@ def p24_price_filter(spark, sf_dir):
     return _view(spark, sf_dir, V_PRICE)
 
 
+@register("p23_brand_selection", lambda: Q(V_BRAND_PICK, "mseg"))
+def p23_brand_selection(spark, sf_dir):
+    """Fuel and brand selections (empty selection = everything)."""
+    return _view(spark, sf_dir, V_BRAND_PICK)
+
+
 @register("p26_search", lambda: Q(V_SEARCH, "mseg"))
 def p26_search(spark, sf_dir):
     return _view(spark, sf_dir, V_SEARCH)

@@ -206,3 +206,14 @@ def test_rankings_document_shape(spark):
     assert doc["most_reliable_models"][0]["handelsbenaming"] is not None
     rates = [e["defects_per_vehicle_year"] for e in doc["most_reliable_brands"]]
     assert rates == sorted(rates)
+
+
+def test_large_brand_selection_uses_semi_join(spark, monkeypatch):
+    src = bind(spark, SF001)
+    seg = segments.brand_segments(facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel), 1)
+    brands = tuple(r[0] for r in seg.select(P.MERK).distinct().limit(5).collect())
+    small = X.row_filter(seg, X.ViewFilter(brands=brands))
+    monkeypatch.setattr(X, "MAX_LITERAL_SELECTION", 2)
+    large = X.row_filter(seg, X.ViewFilter(brands=brands))
+    assert "LeftSemi" in large._jdf.queryExecution().executedPlan().toString()
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
