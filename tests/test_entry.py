@@ -43,3 +43,15 @@ def test_query_matches_oracle(spark, name):
     idx = [rel.columns.index(c) for c in cols]
     d = sorted((tuple(norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert s == d
+
+
+def test_batch_runner_writes_all_documents(spark):
+    from roadworthy.__main__ import main
+    from roadworthy.session import shared_dir
+
+    out = shared_dir(spark, "cli-docs")
+    paths = main(["--testdata", "/root/testdata/sf0.001", "--out", out])
+    assert sorted(paths) == sorted(["brand_stats", "model_stats", "rankings", "metadata", "defect_stats",
+                                    "brand_defect_breakdown", "model_defect_breakdown", "defect_codes"])
+    meta = spark.read.json(paths["metadata"]).first()
+    assert meta["counts"]["total_inspections"] == 1869  # FIXTURES.md: fact rows at sf0.001
