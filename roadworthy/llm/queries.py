@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadworthy.llm import mixing, sharding, url_filter
+from roadworthy.llm import mixing, sharding, simhash, url_filter
 from roadworthy.llm.common import table
 
 SHARDS = 24
+SIMHASH_SHINGLE, SIMHASH_BITS = 3, 2
 MIX_RATIO, MIX_EPOCHS, MIX_SEED = 1.0, 2, 7
 
 
@@ -24,6 +25,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, shingle=SIMHASH_SHINGLE, distance=SIMHASH_BITS)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -124,6 +131,7 @@ FROM ruled
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op6_url_filter": op6_url_filter,
+    "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
 ORACLE = {"op3_mixing": OP3_SQL, "op6_url_filter": OP6_SQL}
