@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadworthy.llm import mixing, sharding, simhash, url_filter
+from roadworthy.llm import decontamination, mixing, sharding, simhash, url_filter, vptree
 from roadworthy.llm.common import table
 
+ANN_K, ANN_FACTOR = 10, 1.1
 SHARDS = 24
 SIMHASH_SHINGLE, SIMHASH_BITS = 3, 2
 MIX_RATIO, MIX_EPOCHS, MIX_SEED = 1.0, 2, 7
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's nearest neighbours; queries are the rows whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=ANN_K, factor=ANN_FACTOR)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents chosen for the mixture, each with its leaf, tokens and number of copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -20,6 +27,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(tokens, leaves, MIX_SEED)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
+    found = found.select("doc_id", "n_words", "items", decontamination.hit_words(F.col("words")).alias("n_hit"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        decontamination.sha256_of(F.col("items")).alias("items_sha256"),
+        decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -129,7 +146,9 @@ FROM ruled
 """
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op3_mixing": op3_mixing,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,

@@ -34,6 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from roadworthy.llm.arrow import mapped, utf8
 from roadworthy.llm.common import LOWER, UPPER, bounded_batches, written
@@ -68,14 +70,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataF
     """``docs`` with the text replaced by its fingerprint (``fp``, long)."""
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, "fp")]
-    schema = docs.select(*kept).schema.add("fp", "long")
+    schema = StructType([*docs.select(*kept).schema, StructField("fp", LongType())])
 
     def columns(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         made = {c: batch.column(c) for c in kept}
         return made | {"fp": pa.array([fingerprint(t, shingle) for t in utf8(batch, text)], pa.int64())}
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     return docs.select(*kept, text).mapInArrow(mapped(columns, to_arrow_schema(schema), text), schema)
 
 
