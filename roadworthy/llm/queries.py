@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadworthy.llm import decontamination, mixing, sharding, simhash, url_filter, vptree
+from roadworthy.llm import decontamination, language_id, mixing, quality, sharding, simhash, url_filter, vptree
 from roadworthy.llm.common import table
 
+QUALITY_LEAST = 0.3
 ANN_K, ANN_FACTOR = 10, 1.1
 SHARDS = 24
 SIMHASH_SHINGLE, SIMHASH_BITS = 3, 2
@@ -20,6 +21,18 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=ANN_K, factor=ANN_FACTOR)
 
 
+def fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo the number of folds; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = language_id.learn(docs.where(~held_out).select("text", F.col("lang").alias("label")))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents chosen for the mixture, each with its leaf, tokens and number of copies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -27,6 +40,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(tokens, leaves, MIX_SEED)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    net = quality.learn(docs, labels.where(~held_out))
+    found = quality.score(docs.withColumn("held_out", held_out), net)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -147,7 +169,9 @@ FROM ruled
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op9_simhash": op9_simhash,

@@ -23,6 +23,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,8 +149,6 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     sharded = clean.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
-        import pickle
-
         dim = group.column("dim")[0].as_py()
         ids, data = _pack(group.combine_chunks().to_batches()[0], "vec_id", dim)
         tree = Tree(ids, data)
@@ -182,8 +181,6 @@ def search(trees: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.
     pairs = blocks.join(trees, ["dim", "shard"]).select("dim", "ids", "vectors", "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         for batch in batches:
             for r in range(batch.num_rows):
                 dim = batch.column("dim")[r].as_py()
