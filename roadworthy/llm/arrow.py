@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -15,19 +16,21 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all values' bytes end to end, offsets) of a string or binary column; null is empty."""
-    values = [v or b"" for v in column.cast(pa.binary()).to_pylist()]
-    ends = np.zeros(len(values) + 1, np.int64)
-    np.cumsum([len(v) for v in values], out=ends[1:])
-    return np.frombuffer(b"".join(values), np.uint8), ends
+    values = column.cast(pa.binary())
+    if values.null_count:
+        values = values.fill_null(b"")
+    _, offsets, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(values) + 1, np.int64)
+    ends = np.frombuffer(offsets, np.int32)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends - ends[0]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one holds at most ``most`` bytes of column ``name``, or a single row."""
     for batch in batches:
-        sizes = batch.column(name).cast(pa.binary())
         total, start = 0, 0
-        lengths = [len(v) if v is not None else 0 for v in sizes.to_pylist()]
-        for i, n in enumerate(lengths):
+        for i, n in enumerate(pc.binary_length(batch.column(name)).fill_null(0).to_pylist()):
             if i > start and total + n > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadworthy.llm import decontamination, language_id, mixing, quality, sharding, simhash, url_filter, vptree
+from roadworthy.llm import decontamination, language_id, mixing, quality, sharding, simhash, suffix_dedup, url_filter, vptree
 from roadworthy.llm.common import table
 
 QUALITY_LEAST = 0.3
@@ -64,6 +64,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.deduplicate(docs, keep_bytes=False)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, shingle=SIMHASH_SHINGLE, distance=SIMHASH_BITS)
@@ -174,6 +179,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
