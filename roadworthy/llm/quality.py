@@ -205,3 +205,10 @@ def score(docs: DataFrame, net: Network | None, text: str = "text", keep_text: b
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
 
     return docs.select(*[f.name for f in kept], *([] if keep_text else [text])).mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``least``, all their columns."""
+    names = docs.columns
+    scored = score(docs.select(*[F.col(c).alias(f"in_{c}") for c in names]), net, "in_text", keep_text=True)
+    return scored.where(F.col("score") >= least).select(*[F.col(f"in_{c}").alias(c) for c in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadworthy.llm import decontamination, language_id, mixing, quality, sharding, simhash, suffix_dedup, url_filter, vptree
+from roadworthy.llm import decontamination, language_id, licenses, mixing, quality, sharding, simhash, suffix_dedup, url_filter, vptree
 from roadworthy.llm.common import table
 
 QUALITY_LEAST = 0.3
@@ -69,6 +69,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(docs, keep_bytes=False)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, shingle=SIMHASH_SHINGLE, distance=SIMHASH_BITS)
@@ -172,6 +177,44 @@ SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN host IN (SELECT h
 FROM ruled
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NORMAL = "replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'licence', 'license')"
+_WORDS = "regexp_extract_all({}, '[a-z0-9]+')"
+
+OP8_SQL = f"""
+WITH template(license, t) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.TEMPLATES.items())}),
+template_words AS (SELECT license, {_WORDS.format(_NORMAL.format("t"))} AS w FROM template),
+template_pairs AS (
+  SELECT license, pair, count(*) AS n FROM (
+    SELECT license, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM template_words) GROUP BY ALL),
+docs AS (SELECT doc_id, row_number() OVER () AS r, string_split({_NORMAL.format("text")}, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, r, unnest(l) AS x, CAST(unnest(range(0, len(l))) AS INT) AS i FROM docs),
+worded AS (SELECT doc_id, r, i, {_WORDS.format("x")} AS w FROM line),
+placed AS (SELECT *, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS p FROM worded),
+some AS (SELECT * FROM placed WHERE len(w) > 0),
+unit AS (
+  SELECT doc_id, r, i AS first_line, i AS last_line, w FROM some
+  UNION ALL
+  SELECT doc_id, r, min(i), max(i), flatten(list(w ORDER BY i)) FROM some GROUP BY doc_id, r, p HAVING count(*) > 1
+  UNION ALL
+  SELECT doc_id, r, min(i), max(i), flatten(list(w ORDER BY i)) FROM some GROUP BY doc_id, r HAVING count(DISTINCT p) > 1),
+unit_pairs AS (
+  SELECT doc_id, r, first_line, last_line, size, pair, count(*) AS n FROM (
+    SELECT doc_id, r, first_line, last_line, len(w) - 1 AS size,
+           unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair
+    FROM unit WHERE len(w) BETWEEN 2 AND 200) GROUP BY ALL),
+scored AS (
+  SELECT u.doc_id, u.r, u.first_line, u.last_line, t.license,
+         2 * sum(least(u.n, t.n)) / (any_value(u.size) + any_value(len(w.w) - 1)) AS score
+  FROM unit_pairs u JOIN template_pairs t USING (pair) JOIN template_words w USING (license) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r, first_line, last_line ORDER BY score DESC, license) AS k
+           FROM scored WHERE score >= {licenses.LEAST})
+SELECT doc_id, first_line, last_line, license, round(score, 6) AS score FROM ranked WHERE k = 1
+"""
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
@@ -180,7 +223,8 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
-ORACLE = {"op3_mixing": OP3_SQL, "op6_url_filter": OP6_SQL}
+ORACLE = {"op3_mixing": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_licenses": OP8_SQL}

@@ -133,12 +133,27 @@ def links(fps: DataFrame, distance: int = 2, segments: int = 16) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", shingle: int = 3, distance: int = 2, segments: int = 16) -> DataFrame:
-    """Every row (without its text) with ``fp`` and ``component_id``, the least id that links reach."""
-    marked = written(fingerprints(docs.drop("component_id"), shingle), "fingerprints")
+    """Every row (without its text) with ``fp``, ``root`` (names the component) and ``component_id``, the least id that links reach."""
+    marked = written(fingerprints(docs.drop("component_id", "root"), shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min(doc_id).alias("least"))
     found = components(links(nodes.select("fp"), distance, segments))
     rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+    return marked.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """One row of ``docs`` for each component, all its columns: the one with the least id.
+
+    Ids that are null come last; rows that share the least id are told apart by
+    the hash of their text, and of rows equal in both any one stays.
+    """
+    key = F.xxhash64("text")
+    found = near_duplicates(docs.select("doc_id", key.alias("_key"), "text"), shingle=shingle, distance=distance)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_kept"))
+    rows = docs.withColumn("_key", key)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_key"]).drop("_key")
