@@ -194,13 +194,13 @@ docs AS (SELECT doc_id, row_number() OVER () AS r, string_split({_NORMAL.format(
 line AS (SELECT doc_id, r, unnest(l) AS x, CAST(unnest(range(0, len(l))) AS INT) AS i FROM docs),
 worded AS (SELECT doc_id, r, i, {_WORDS.format("x")} AS w FROM line),
 placed AS (SELECT *, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS p FROM worded),
-some AS (SELECT * FROM placed WHERE len(w) > 0),
+filled AS (SELECT * FROM placed WHERE len(w) > 0),
 unit AS (
-  SELECT doc_id, r, i AS first_line, i AS last_line, w FROM some
+  SELECT doc_id, r, i AS first_line, i AS last_line, w FROM filled
   UNION ALL
-  SELECT doc_id, r, min(i), max(i), flatten(list(w ORDER BY i)) FROM some GROUP BY doc_id, r, p HAVING count(*) > 1
+  SELECT doc_id, r, min(i), max(i), flatten(list(w ORDER BY i)) FROM filled GROUP BY doc_id, r, p HAVING count(*) > 1
   UNION ALL
-  SELECT doc_id, r, min(i), max(i), flatten(list(w ORDER BY i)) FROM some GROUP BY doc_id, r HAVING count(DISTINCT p) > 1),
+  SELECT doc_id, r, min(i), max(i), flatten(list(w ORDER BY i)) FROM filled GROUP BY doc_id, r HAVING count(DISTINCT p) > 1),
 unit_pairs AS (
   SELECT doc_id, r, first_line, last_line, size, pair, count(*) AS n FROM (
     SELECT doc_id, r, first_line, last_line, len(w) - 1 AS size,
