@@ -134,19 +134,19 @@ FROM run WHERE epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END >
 
 OP6_SQL = """
 WITH cut AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-hosted AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
+  SELECT page_id, row_number() OVER () AS r, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosted AS (SELECT page_id, r, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
 seen AS (
-  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, r, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosted),
 rules(rule, rhost, rpath, rverdict) AS (VALUES
   ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
   ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'),
   ('com/de/', 'com', '/de/', 'block')),
 ruled AS (
-  SELECT s.page_id, s.host, s.path, max_by(r.rule, length(r.rule)) AS rule, max_by(r.rverdict, length(r.rule)) AS rverdict
-  FROM seen s LEFT JOIN rules r
-    ON (s.host = r.rhost OR suffix(s.host, '.' || r.rhost)) AND starts_with(s.path, r.rpath)
+  SELECT s.page_id, s.r, s.host, s.path, max_by(u.rule, length(u.rule)) AS rule, max_by(u.rverdict, length(u.rule)) AS rverdict
+  FROM seen s LEFT JOIN rules u
+    ON (s.host = u.rhost OR suffix(s.host, '.' || u.rhost)) AND starts_with(s.path, u.rpath)
   GROUP BY ALL),
 hosts AS (
   SELECT host, count(rverdict) AS n, count(*) FILTER (rverdict = 'block') AS k,
