@@ -37,7 +37,8 @@ def top_defects(defects: DataFrame, codes: DataFrame, k: int = P.DEFAULT.top_cod
         counts = counts.withColumn("_all", F.sum("count").over(Window.partitionBy()))
     top = counts.orderBy(F.col("count").desc(), F.col(P.GEBREK_ID).asc()).limit(k)
     den = F.col("_all") if denominator == "all" else F.sum("count").over(Window.partitionBy())
-    desc = codes.select(P.GEBREK_ID, P.GEBREK_OMSCHRIJVING)
+    # One description a code (the rule of A19), so a repeated code cannot repeat a result row.
+    desc = codes.groupBy(P.GEBREK_ID).agg(F.max(P.GEBREK_OMSCHRIJVING).alias(P.GEBREK_OMSCHRIJVING))
     return top.withColumn("_den", den).join(desc, P.GEBREK_ID, "left").select(
         F.col(P.GEBREK_ID).alias("defect_code"),
         F.coalesce(F.col(P.GEBREK_OMSCHRIJVING), F.lit(P.UNKNOWN_DEFECT_DESCRIPTION)).alias("defect_description"),
@@ -100,13 +101,12 @@ def model_breakdown(defects: DataFrame, fact: DataFrame, raw_time: bool = False)
 
 
 def code_index(codes: DataFrame) -> DataFrame:
-    """A19 + P14: code -> description ('' if null); the last duplicate in scan
-    order wins."""
+    """A19 + P14: code -> description ('' if null); of the descriptions of a
+    repeated code the greatest wins, wherever its row lies (D21)."""
     return (
         codes.where(N.non_empty(F.col(P.GEBREK_ID)))
-        .withColumn("_pos", F.monotonically_increasing_id())
         .groupBy(P.GEBREK_ID)
-        .agg(F.max_by(F.coalesce(F.col(P.GEBREK_OMSCHRIJVING), F.lit("")), F.col("_pos")).alias("description"))
+        .agg(F.coalesce(F.max(P.GEBREK_OMSCHRIJVING), F.lit("")).alias("description"))
         .withColumnRenamed(P.GEBREK_ID, "defect_code")
     )
 
@@ -149,8 +149,9 @@ def bulk_toggle_codes(index: DataFrame, term: str) -> DataFrame:
 
 
 def filtered_ratio(breakdown_df: DataFrame, keys: Sequence[str], excluded: DataFrame, mode: str) -> DataFrame:
-    """Share of included defects per key; 1.0 in mode ``all`` or if the
-    key has no defects."""
+    """Included and total defects per key, and their share for display
+    (1.0 in mode ``all`` or if the key has no defects).  Rates are computed
+    from the two counts, never from the rounded share."""
     # The exclusion set holds each code once (it is cut from the code index).
     ex = excluded.select("defect_code").withColumn("_ex", F.lit(True))
     j = breakdown_df.join(ex, "defect_code", "left")

@@ -104,19 +104,9 @@ def multi_term_search(cols: Sequence[str], text: str) -> Column:
     return cond
 
 
-# Selections longer than this become a broadcast semi join instead of a literal IN list.
-MAX_LITERAL_SELECTION = 1000
-
-
 def brand_selection(df: DataFrame, brands: Sequence[str]) -> DataFrame:
-    """P23 for brands: a literal IN list, or for a large selection a broadcast
-    semi join (the list's size is known - it is the user's selection)."""
-    if not brands:
-        return df
-    if len(brands) <= MAX_LITERAL_SELECTION:
-        return df.where(F.col(P.MERK).isin(*brands))
-    chosen = df.sparkSession.createDataFrame([(b,) for b in sorted(set(brands))], f"{P.MERK} string")
-    return df.join(F.broadcast(chosen), P.MERK, "left_semi")
+    """P23 for brands: a literal IN list of the user's selection, whatever its length."""
+    return df.where(membership(F.col(P.MERK), brands))
 
 
 def row_filter(segments: DataFrame, f: ViewFilter) -> DataFrame:
@@ -210,8 +200,8 @@ def explore_segments(segments: DataFrame, f: ViewFilter, per_age_rows: DataFrame
 
     ``segments`` are brand segments for ``view="brands"``, model segments for
     ``"models"``; ``per_age_rows`` the matching per-age long rows (needed when
-    ``age_range`` is set); ``ratios`` the per-key ``defect_ratio`` of A32
-    (missing key -> 1.0, no table -> mode ``all``).
+    ``age_range`` is set); ``ratios`` the per-key counts of A32 (missing key or
+    no defects -> all included, no table -> mode ``all``).
     """
     keys = f.keys
     seg_keys = list(P.BRAND_KEYS) if f.view == "brands" else list(P.MODEL_KEYS)
@@ -219,10 +209,7 @@ def explore_segments(segments: DataFrame, f: ViewFilter, per_age_rows: DataFrame
     merged = pooled_std(merge_segments(kept, keys))
     merged = merged.withColumn("_exact_age", rnd(F.col("_age_sum") / F.col("total_inspections"), 2))
     if ratios is not None:
-        merged = merged.join(ratios.select(*keys, "defect_ratio"), keys, "left")
-        ratio = F.coalesce(F.col("defect_ratio"), F.lit(1.0))
-    else:
-        ratio = F.lit(1.0)
+        merged = merged.join(ratios.select(*keys, "included_count", "total_count"), keys, "left")
     active = f.age_range is not None
     if active:
         if per_age_rows is None:
@@ -242,7 +229,10 @@ def explore_segments(segments: DataFrame, f: ViewFilter, per_age_rows: DataFrame
         denominator = F.col("total_vehicle_years")
         vehicles = F.col("vehicle_count")
         age = F.col("_exact_age")
-    filtered = final_defects * ratio
+    filtered = final_defects
+    if ratios is not None:  # multiply first, divide once
+        some = F.col("total_count") > 0
+        filtered = F.when(some, final_defects * F.col("included_count") / F.col("total_count")).otherwise(final_defects)
     rate = F.when(denominator > 0, filtered / denominator)
     out = merged.select(
         *keys,

@@ -3,13 +3,11 @@
 
 The original answers one typed plate at a time with three remote requests.
 Here a whole DataFrame of typed plates is answered with semi joins against
-the three tables.  The per-plate caps (50 most recent reports, 100 defect
-rows) are ``row_number() <= k`` filters; Spark 3.5+ plans them with a
-map-side ``WindowGroupLimit``.  A plate set of checked, bounded size is
-broadcast; a larger one is applied after the capped ranking (see
-``_capped_for_plates``), so a plate with a huge history never moves more than
-k rows per map task.  Defects attach to reports by
-date only, as in the original display.
+the three tables.  Histories are complete; the page sizes of the original's
+display (50 reports, 100 defect rows) are explicit arguments.  Rows are
+numbered day by day (see ``_ranked``), so a plate with a huge history is never
+ordered in one task.  Defects attach to reports by date only, as in the
+original display.
 """
 
 from __future__ import annotations
@@ -36,7 +34,7 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
                     column: str = "typed_plate") -> DataFrame:
     """Per typed plate: status (invalid / not_found / found), the vehicle's
     attributes (deterministic first row when a plate repeats), the
-    certificate status (P36) and the number of reports shown (<= 50)."""
+    certificate status (P36) and the number of its reports."""
     plates = normalized_plates(typed, column)
     cols = [P.MERK, P.HANDELSBENAMING, P.DATUM_EERSTE_TOELATING, P.VOERTUIGSOORT, P.VERVALDATUM_APK]
     v = (
@@ -45,8 +43,8 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
         .agg(F.min(F.struct(*cols)).alias("v"))
         .select(P.KENTEKEN, *[F.col("v." + c).alias(c) for c in cols], F.lit(True).alias("_found"))
     )
-    n_rep = recent_reports(typed, reports, column=column).groupBy(P.KENTEKEN).agg(
-        F.count(F.lit(1)).alias("reports_shown")
+    n_rep = reports.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi").groupBy(P.KENTEKEN).agg(
+        F.count(F.lit(1)).alias("reports")
     )
     j = plates.join(v, P.KENTEKEN, "left").join(n_rep, P.KENTEKEN, "left")
     status = (
@@ -58,75 +56,66 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
         column, P.KENTEKEN, status.alias("status"), P.MERK, P.HANDELSBENAMING,
         FM.compact_date_display(F.col(P.DATUM_EERSTE_TOELATING)).alias("first_admission"),
         F.when(status == "found", FM.certificate_status(F.col(P.VERVALDATUM_APK), as_of)).alias("certificate"),
-        F.when(status == "found", F.coalesce(F.col("reports_shown"), F.lit(0).cast("bigint"))).alias("reports_shown"),
+        F.when(status == "found", F.coalesce(F.col("reports"), F.lit(0).cast("bigint"))).alias("reports"),
     )
 
 
-# Largest looked-up plate set that is broadcast (distinct plates; ~tens of MB).
-BROADCAST_PLATES_MAX = 2_000_000
-
-
-def plate_set_is_small(typed: DataFrame, column: str = "typed_plate") -> bool:
-    """Whether the looked-up plate set is within the broadcast bound (one count job)."""
-    return _valid_keys(typed, column).count() <= BROADCAST_PLATES_MAX
-
-
-def _capped_for_plates(rows: DataFrame, typed: DataFrame, column: str, order: list, k: int,
-                       rank_col: str, small: bool | None = None) -> DataFrame:
-    """The first k rows per looked-up plate under ``order``.
-
-    The plate set is counted first (a small job).  Up to
-    ``BROADCAST_PLATES_MAX`` plates it is broadcast and filters the table
-    before the ranking; beyond that the ranking runs first - its map-side
-    ``WindowGroupLimit`` leaves at most k rows per plate and task - and the
-    plate set is applied afterwards with an ordinary join, so a plate with a
-    huge history never sends its raw rows through one shuffle partition."""
-    keys = _valid_keys(typed, column)
-    w = Window.partitionBy(P.KENTEKEN).orderBy(*order)
-    rank = F.row_number().over(w)
-    if small is None:
-        small = plate_set_is_small(typed, column)
-    if small:
-        r = rows.join(F.broadcast(keys), P.KENTEKEN, "left_semi")
-        return r.withColumn(rank_col, rank).where(F.col(rank_col) <= k)
-    ranked = rows.withColumn(rank_col, rank).where(F.col(rank_col) <= k)
-    return ranked.join(keys, P.KENTEKEN, "left_semi")
-
-
-def recent_reports(typed: DataFrame, reports: DataFrame, k: int = P.LOOKUP_MAX_REPORTS,
-                   column: str = "typed_plate", small: bool | None = None) -> DataFrame:
-    """The k most recent reports per looked-up plate (date desc, then time desc)."""
-    order = [F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.SOORT_MELDING).asc()]
-    return _capped_for_plates(reports, typed, column, order, k, "report_rank", small)
+def _ranked(rows: DataFrame, typed: DataFrame, column: str, order: list, rank_col: str, k: int | None) -> DataFrame:
+    """The looked-up plates' rows numbered per plate, newest day first, then by ``order``; the first k if given.
+
+    One plan for every size: the plate set is a semi join, and a row's number
+    is its number within (plate, day) plus the plate's rows on later days.  So
+    a plate's history is ordered day by day, never whole in one task; the
+    counts per day combine map-side, and a plate has at most one row a day of them.
+    """
+    mine = rows.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi")
+    per_day = mine.groupBy(P.KENTEKEN, P.MELD_DATUM).agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy(P.KENTEKEN).orderBy(F.col(P.MELD_DATUM).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = per_day.select(F.col(P.KENTEKEN).alias("_plate"), F.col(P.MELD_DATUM).alias("_day"),
+                            F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    if k is not None:
+        before = before.where(F.col("_before") < k)
+    in_day = F.row_number().over(Window.partitionBy(P.KENTEKEN, P.MELD_DATUM).orderBy(*order))
+    numbered = mine.withColumn("_in_day", in_day).join(
+        before, (F.col(P.KENTEKEN) == F.col("_plate")) & F.col(P.MELD_DATUM).eqNullSafe(F.col("_day")))
+    out = numbered.withColumn(rank_col, (F.col("_before") + F.col("_in_day")).cast("int"))
+    out = out.drop("_plate", "_day", "_before", "_in_day")
+    return out if k is None else out.where(F.col(rank_col) <= k)
+
+
+def recent_reports(typed: DataFrame, reports: DataFrame, k: int | None = P.LOOKUP_MAX_REPORTS,
+                   column: str = "typed_plate") -> DataFrame:
+    """The k most recent reports per looked-up plate (date desc, then time desc); all with ``k=None``."""
+    order = [F.col(P.MELD_TIJD).desc(), F.col(P.SOORT_MELDING).asc()]
+    return _ranked(reports, typed, column, order, "report_rank", k)
 
 
-def recent_defects(typed: DataFrame, defects: DataFrame, k: int = P.LOOKUP_MAX_DEFECTS,
-                   column: str = "typed_plate", small: bool | None = None) -> DataFrame:
-    """The first k defect rows per plate (most recent first, code as tie-break)."""
-    order = [F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.GEBREK_ID).asc(),
-             F.col(P.AANTAL_GEBREKEN).asc()]
-    return _capped_for_plates(defects, typed, column, order, k, "defect_rank", small)
+def recent_defects(typed: DataFrame, defects: DataFrame, k: int | None = P.LOOKUP_MAX_DEFECTS,
+                   column: str = "typed_plate") -> DataFrame:
+    """The first k defect rows per plate (most recent first, code as tie-break); all with ``k=None``."""
+    order = [F.col(P.MELD_TIJD).desc(), F.col(P.GEBREK_ID).asc(), F.col(P.AANTAL_GEBREKEN).asc()]
+    return _ranked(defects, typed, column, order, "defect_rank", k)
 
 
 def vehicle_history(typed: DataFrame, reports: DataFrame, defects: DataFrame, codes: DataFrame,
-                    result_column: str = P.SOORT_MELDING, column: str = "typed_plate") -> DataFrame:
-    """J10 in long form: one row per shown report and attached defect row
-    (a report without defects has null defect columns).
+                    result_column: str = P.SOORT_MELDING, column: str = "typed_plate",
+                    max_reports: int | None = None, max_defects: int | None = None) -> DataFrame:
+    """J10 in long form: one row per report and attached defect row (a report
+    without defects has null defect columns).  The history is complete; the
+    page sizes of a display are explicit arguments.
 
     The description join matches the code text literally (a code containing
     quotes is just a value here, no query text is built from it)."""
-    small = plate_set_is_small(typed, column)
-    rep = recent_reports(typed, reports, column=column, small=small).select(
+    rep = recent_reports(typed, reports, max_reports, column).select(
         P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, "report_rank",
         FM.compact_date_display(F.col(P.MELD_DATUM)).alias("report_date"),
         FM.passed(F.col(result_column)).alias("passed"),
     )
-    dft = recent_defects(typed, defects, column=column, small=small).select(
+    dft = recent_defects(typed, defects, max_defects, column).select(
         P.KENTEKEN, P.MELD_DATUM, F.col(P.GEBREK_ID).alias("defect_code"),
         F.col(P.AANTAL_GEBREKEN).alias("defect_count"), "defect_rank",
     )
-    # Code index: one description per code (last duplicate wins); an empty
-    # description counts as none.
+    # Code index: one description per code; an empty description counts as none.
     idx = code_index(codes)
     desc = idx.select("defect_code", F.when(F.col("description") != "", F.col("description")).alias("description"))
     dft = dft.join(desc, "defect_code", "left")
@@ -138,8 +127,9 @@ def vehicle_history(typed: DataFrame, reports: DataFrame, defects: DataFrame, co
 
 def uncached_codes(typed: DataFrame, defects: DataFrame, cached: DataFrame,
                    column: str = "typed_plate") -> DataFrame:
-    """Distinct codes of the shown defects whose description is not in
+    """Distinct codes of the plates' defects whose description is not in
     ``cached`` (a frame with ``defect_code``): the set difference the
     original computes before fetching descriptions, as an anti join."""
-    shown = recent_defects(typed, defects, column=column).select(F.col(P.GEBREK_ID).alias("defect_code")).distinct()
+    shown = defects.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi").select(
+        F.col(P.GEBREK_ID).alias("defect_code")).distinct()
     return shown.join(cached.select("defect_code"), "defect_code", "left_anti")

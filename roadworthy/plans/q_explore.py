@@ -92,10 +92,8 @@ win AS (
     if ratios:
         on_r = " AND ".join(f"a.{k} = r.{k}" for k in f.keys)
         src += f" LEFT JOIN {ratios} r ON {on_r}"
-        ratio = "coalesce(r.defect_ratio, 1.0)"
-    else:
-        ratio = "1.0"
-    filt = f"({fd}) * {ratio}"
+    filt = (f"(CASE WHEN r.total_count > 0 THEN ({fd}) * r.included_count / r.total_count ELSE ({fd}) END)"
+            if ratios else f"({fd})")
     key_sel = ", ".join(f"a.{k}" for k in f.keys)
     maxf = "" if f.max_fleet == X.INF else f" AND vehicle_count <= {f.max_fleet}"
     maxi = (f" AND total_inspections <= {f.max_inspections}"
@@ -147,13 +145,13 @@ mpa AS (
 
 RATIO_CTES = JOINED_CTE + INDEX_CTE + excluded_sql() + f"""
 , ratios_b AS (
-  SELECT merk, {O.R('CASE WHEN sum("count") <= 0 THEN 1.0 ELSE sum(CASE WHEN e.defect_code IS NULL THEN "count" ELSE 0 END) / sum("count") END', 6)}
-           AS defect_ratio
+  SELECT merk, CAST(sum("count") AS DOUBLE) AS total_count,
+         CAST(sum(CASE WHEN e.defect_code IS NULL THEN "count" ELSE 0 END) AS DOUBLE) AS included_count
   FROM bbd b LEFT JOIN excl e ON b.defect_code = e.defect_code GROUP BY merk),
 ratios_m AS (
   SELECT merk, handelsbenaming,
-         {O.R('CASE WHEN sum("count") <= 0 THEN 1.0 ELSE sum(CASE WHEN e.defect_code IS NULL THEN "count" ELSE 0 END) / sum("count") END', 6)}
-           AS defect_ratio
+         CAST(sum("count") AS DOUBLE) AS total_count,
+         CAST(sum(CASE WHEN e.defect_code IS NULL THEN "count" ELSE 0 END) AS DOUBLE) AS included_count
   FROM mbd b LEFT JOIN excl e ON b.defect_code = e.defect_code GROUP BY merk, handelsbenaming)"""
 
 

@@ -41,51 +41,77 @@ def s4_csv_round_trip(spark, sf_dir):
     return spark.read.parquet(base + "/parquet")
 
 
-@register("s5_prefix_shards", lambda: O.q("""
-SELECT CASE WHEN regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$') THEN substr(kenteken, 1, 1) END AS shard,
-       count(*) AS "rows",
-       regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$') AS covered
-FROM inspections GROUP BY ALL""", T))
-def s5_prefix_shards(spark, sf_dir):
-    return I.shard_counts(sources(spark, sf_dir).inspections)
+def _odd_plates(v):
+    """Vehicles of which a third have a plate that no prefix covers: lower case, a sign, or none."""
+    k, n = F.col(P.KENTEKEN), F.length(P.KENTEKEN) + F.col(P.KENTEKEN).cast("int")
+    return v.withColumn(P.KENTEKEN, F.when(n % 9 == 0, F.concat(F.lit("x"), k)).when(n % 9 == 3, F.concat(F.lit("-"), k))
+                        .when(n % 9 == 6, F.lit(None).cast("string")).otherwise(k))
+
+
+ODD_PLATES = """
+, odd AS (
+  SELECT * REPLACE (CASE WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 0 THEN 'x' || kenteken
+                         WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 3 THEN '-' || kenteken
+                         WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 6 THEN NULL ELSE kenteken END AS kenteken)
+  FROM vehicles)"""
 
 
 def _staged_shards(spark, sf_dir):
-    """Vehicles written as 36 prefix shards; shard '1' lacks the price column
+    """Vehicles, and the frames of their shards: shard '1' lacks the price column
     and shard '2' carries an extra column, as drifting exports do."""
-    v = sources(spark, sf_dir).vehicles.select(*VEHICLE_COLS)
+    v = _odd_plates(sources(spark, sf_dir).vehicles.select(*VEHICLE_COLS))
     base = shared_dir(spark, "s7")
-    paths = I.write_shards(v, base, drop_columns={"1": [P.CATALOGUSPRIJS]},
-                           extra_columns={"2": {"extra_note": F.lit("x")}})
-    return [I.read_csv_strings(spark, p) for p in paths]
+    groups = I.write_shards(v, base, drop_columns={"1": [P.CATALOGUSPRIJS]},
+                            extra_columns={"2": {"extra_note": F.lit("x")}})
+    return v, [f for f in (I.read_csv_strings(spark, g) for g in groups) if f.columns]
+
+
+@register("s5_prefix_shards", lambda: O.q("""
+SELECT CASE WHEN regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$') THEN substr(kenteken, 1, 1) END AS shard,
+       count(*) AS "rows",
+       coalesce(regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$'), false) AS covered
+FROM odd GROUP BY ALL""", T, ODD_PLATES))
+def s5_prefix_shards(spark, sf_dir):
+    return I.shard_counts(_odd_plates(sources(spark, sf_dir).vehicles))
 
 
 @register("s7_tolerant_union", lambda: O.q("""
 SELECT kenteken, voertuigsoort, merk, handelsbenaming, datum_eerste_toelating,
        CASE WHEN starts_with(kenteken, '1') THEN NULL ELSE catalogusprijs END AS catalogusprijs, vervaldatum_apk
-FROM vehicles WHERE regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$')""", T))
+FROM odd""", T, ODD_PLATES))
 def s7_tolerant_union(spark, sf_dir):
-    shards = [s for s in _staged_shards(spark, sf_dir) if s.columns]
+    _, shards = _staged_shards(spark, sf_dir)
     schema = tables.SCHEMAS["voertuigen"]
     return I.tolerant_union(shards, schema)
 
 
-@register("s6_union_schema", None)
+@register("s6_union_schema", lambda: O.q("""
+SELECT position, name, 'string' AS type, filled FROM (
+  SELECT 0 AS position, 'kenteken' AS name, count(kenteken) AS filled FROM odd
+  UNION ALL SELECT 1, 'voertuigsoort', count(voertuigsoort) FROM odd
+  UNION ALL SELECT 2, 'merk', count(merk) FROM odd
+  UNION ALL SELECT 3, 'handelsbenaming', count(handelsbenaming) FROM odd
+  UNION ALL SELECT 4, 'datum_eerste_toelating', count(datum_eerste_toelating) FROM odd
+  UNION ALL SELECT 5, 'catalogusprijs', count(CASE WHEN starts_with(kenteken, '1') THEN NULL ELSE catalogusprijs END) FROM odd
+  UNION ALL SELECT 6, 'vervaldatum_apk', count(vervaldatum_apk) FROM odd
+  UNION ALL SELECT 7, 'extra_note', count(CASE WHEN starts_with(kenteken, '2') THEN 1 END) FROM odd)""", T, ODD_PLATES))
 def s6_union_schema(spark, sf_dir):
-    """S6 (rows-only): the union schema of the staged shards as (position, name, type) rows."""
-    shards = [s for s in _staged_shards(spark, sf_dir) if s.columns]
+    """The union schema of the staged shards: position, name, type and filled values of each column."""
+    _, shards = _staged_shards(spark, sf_dir)
     sch = I.union_schema(shards)
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(sch.fields)]
-    return spark.createDataFrame(rows, "position int, name string, type string")
+    merged = I.tolerant_union(shards, sch)
+    described = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"),
+                                   F.lit(f.dataType.simpleString()).alias("type"), F.count(f.name).alias("filled"))
+                          for i, f in enumerate(sch.fields)])
+    return merged.agg(described.alias("d")).select(F.inline("d"))
 
 
 @register("s8_reconciliation", lambda: O.q("""
-SELECT count(*) AS shard_rows, count(*) AS merged_rows, true AS ok
-FROM vehicles WHERE regexp_matches(substr(kenteken, 1, 1), '^[0-9A-Z]$')""", T))
+SELECT count(*) AS source_rows, count(*) AS shard_rows, count(*) AS merged_rows, true AS ok FROM odd""", T, ODD_PLATES))
 def s8_reconciliation(spark, sf_dir):
-    shards = [s for s in _staged_shards(spark, sf_dir) if s.columns]
+    v, shards = _staged_shards(spark, sf_dir)
     merged = I.tolerant_union(shards, tables.SCHEMAS["voertuigen"])
-    return I.reconcile(shards, merged)
+    return I.reconcile(v, shards, merged)
 
 
 @register("s9_table_checks", lambda: O.q("""
@@ -108,12 +134,12 @@ def s10_duplicate_audit(spark, sf_dir):
     return I.duplicate_audit(sources(spark, sf_dir).inspections)
 
 
-@register("s15_fingerprint", lambda: O.q("""
-SELECT count(*) AS "rows",
-       coalesce(bit_xor(CAST(('0x' || substr(md5(concat_ws(chr(1), coalesce(kenteken, '\\N'),
-         coalesce(voertuigsoort, '\\N'), coalesce(merk, '\\N'), coalesce(handelsbenaming, '\\N'),
-         coalesce(datum_eerste_toelating, '\\N'), coalesce(catalogusprijs, '\\N'), coalesce(vervaldatum_apk, '\\N'))),
-         1, 15)) AS BIGINT)), 0) AS md5_xor
+_DIGEST = "md5(" + " || ".join(f"coalesce(length({c}) || ':' || {c}, 'n')" for c in VEHICLE_COLS) + ")"
+
+
+@register("s15_fingerprint", lambda: O.q(f"""
+SELECT count(*) AS "rows", CAST(sum(CAST(('0x' || substr({_DIGEST}, 1, 16)) AS UBIGINT)) AS VARCHAR) AS digest_high,
+       CAST(sum(CAST(('0x' || substr({_DIGEST}, 17, 16)) AS UBIGINT)) AS VARCHAR) AS digest_low
 FROM vehicles""", T))
 def s15_fingerprint(spark, sf_dir):
     return I.fingerprint(sources(spark, sf_dir).vehicles)

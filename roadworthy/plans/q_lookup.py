@@ -28,19 +28,16 @@ np AS (
            AS kenteken FROM typed),
 np2 AS (SELECT typed_plate, kenteken, length(kenteken) >= 4 AS valid FROM np),
 vk AS (SELECT DISTINCT kenteken FROM np2 WHERE valid),
-rr AS (
-  SELECT * FROM (
+ra AS (
     SELECT *, CAST(row_number() OVER (PARTITION BY kenteken ORDER BY meld_datum_door_keuringsinstantie DESC,
                   meld_tijd_door_keuringsinstantie DESC, soort_melding_ki_omschrijving ASC) AS INTEGER) AS report_rank
-    FROM inspections WHERE kenteken IN (SELECT kenteken FROM vk))
-  WHERE report_rank <= {P.LOOKUP_MAX_REPORTS}),
+    FROM inspections WHERE kenteken IN (SELECT kenteken FROM vk)),
+rr AS (SELECT * FROM ra WHERE report_rank <= {P.LOOKUP_MAX_REPORTS}),
 rd AS (
-  SELECT * FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY kenteken ORDER BY meld_datum_door_keuringsinstantie DESC,
                   meld_tijd_door_keuringsinstantie DESC, gebrek_identificatie ASC,
                   aantal_gebreken_geconstateerd ASC NULLS FIRST) AS INTEGER) AS defect_rank
-    FROM defects WHERE kenteken IN (SELECT kenteken FROM vk))
-  WHERE defect_rank <= {P.LOOKUP_MAX_DEFECTS})"""
+    FROM defects WHERE kenteken IN (SELECT kenteken FROM vk))"""
 
 
 def _date_disp(c: str) -> str:
@@ -63,7 +60,7 @@ SELECT r.kenteken, r.report_rank, {_date_disp('r.meld_datum_door_keuringsinstant
        r.meld_tijd_door_keuringsinstantie,
        coalesce(contains(r.soort_melding_ki_omschrijving, 'Goedgekeurd'), false) AS passed,
        d.defect_rank, d.gebrek_identificatie AS defect_code, d.description, d.aantal_gebreken_geconstateerd AS defect_count
-FROM rr r LEFT JOIN (
+FROM ra r LEFT JOIN (
   SELECT x.*, CASE WHEN c.d <> '' THEN c.d END AS description
   FROM rd x LEFT JOIN (SELECT gebrek_identificatie, coalesce(gebrek_omschrijving, '') AS d FROM codes
                        WHERE gebrek_identificatie IS NOT NULL AND gebrek_identificatie <> '') c
@@ -84,14 +81,14 @@ SELECT n.typed_plate, n.kenteken,
               WHEN try_strptime(v.vervaldatum_apk, '%Y%m%d') > DATE '{AS_OF}' THEN 'valid' ELSE 'expired' END
        END AS certificate,
        CASE WHEN n.valid AND v.kenteken IS NOT NULL THEN coalesce(c.n, 0) END
-         AS reports_shown
+         AS reports
 FROM np2 n
 LEFT JOIN (SELECT kenteken, merk, handelsbenaming, datum_eerste_toelating, voertuigsoort, vervaldatum_apk FROM (
              SELECT *, row_number() OVER (PARTITION BY kenteken ORDER BY merk NULLS FIRST,
                handelsbenaming NULLS FIRST, datum_eerste_toelating NULLS FIRST, voertuigsoort NULLS FIRST,
                vervaldatum_apk NULLS FIRST) AS rn
              FROM vehicles WHERE kenteken IN (SELECT kenteken FROM vk)) WHERE rn = 1) v ON n.kenteken = v.kenteken
-LEFT JOIN (SELECT kenteken, count(*) AS n FROM rr GROUP BY kenteken) c ON n.kenteken = c.kenteken""",
+LEFT JOIN (SELECT kenteken, count(*) AS n FROM inspections GROUP BY kenteken) c ON n.kenteken = c.kenteken""",
                                                     T, TYPED_CTE))
 def p36_certificate_validity(spark, sf_dir):
     src = sources(spark, sf_dir)
@@ -116,8 +113,8 @@ def p34_date_format(spark, sf_dir):
 
 
 @register("j10_uncached_codes", lambda: O.q(f"""
-SELECT DISTINCT gebrek_identificatie AS defect_code FROM rd
-WHERE gebrek_identificatie NOT IN (SELECT defect_code FROM top)""",
+SELECT DISTINCT gebrek_identificatie AS defect_code FROM defects WHERE kenteken IN (SELECT kenteken FROM vk)
+AND gebrek_identificatie NOT IN (SELECT defect_code FROM top)""",
                                               T, TYPED_CTE + top_cte()))
 def j10_uncached_codes(spark, sf_dir):
     """Codes of the looked-up histories not covered by the published top-code list."""

@@ -2,8 +2,8 @@
 
 ``local_session`` is for tests and the benchmark only; on a cluster the
 caller owns the session.  ``shared_dir`` returns the shared checkpoint folder
-the cluster names in ``spark.checkpoint.dir`` and only invents a local one
-when that setting is absent (tests, laptop runs).
+the cluster names in ``spark.checkpoint.dir``.  Only a ``local`` master, whose
+one process sees every file, gets a folder of its own when the setting is absent.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -51,7 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached when no cluster setting exists (tests, local runs).
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
         configured = tempfile.mkdtemp(prefix="roadworthy-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -61,3 +63,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on the file system that holds it."""
+    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jp, True)  # type: ignore[union-attr]
+
+
+@contextmanager
+def temporary_dir(spark: SparkSession, name: str):
+    """A fresh shared sub-folder that is deleted at the end of the block."""
+    path = shared_dir(spark, name)
+    try:
+        yield path
+    finally:
+        remove_path(spark, path)

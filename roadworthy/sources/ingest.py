@@ -24,6 +24,8 @@ from roadworthy.functions.normalize import coverage_years  # noqa: F401  (P38, r
 
 # The 36 plate prefixes of the sharded download (digits, then letters).
 SHARD_PREFIXES: tuple[str, ...] = tuple(string.digits + string.ascii_uppercase)
+# Shard of every other plate, null and empty ones included.
+OTHER_SHARD = "other"
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -34,7 +36,7 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_csv_strings(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """S4 (read side): header row, no type inference - every column a string."""
     r = spark.read.option("header", True).option("inferSchema", False)
     return (r.schema(schema) if schema is not None else r).csv(path)
@@ -73,28 +75,32 @@ def list_dirs(spark: SparkSession, pattern: str) -> list[str]:
 
 def write_shards(df: DataFrame, base: str, plate_col: str = P.KENTEKEN,
                  drop_columns: dict[str, Sequence[str]] | None = None,
-                 extra_columns: dict[str, dict[str, Column]] | None = None) -> list[str]:
-    """Stage one CSV folder per prefix shard (``base/shard=X``) and return
-    the folders that exist.
+                 extra_columns: dict[str, dict[str, Column]] | None = None) -> list[list[str]]:
+    """Stage one CSV folder per shard (``base/shard=X``): every row lands in its
+    prefix shard, or in ``OTHER_SHARD`` if no prefix fits.
 
-    Shards with the common schema are written by one partitioned job;
-    ``drop_columns`` / ``extra_columns`` make chosen shards differ in schema,
+    Returns the folders that exist, grouped by header, so that each group is
+    read by one reader.  Shards with the common header are written by one partitioned job;
+    ``drop_columns`` / ``extra_columns`` make chosen shards differ in header,
     the way shards of a drifting export do, and are written on their own."""
     drop_columns = drop_columns or {}
     extra_columns = extra_columns or {}
     odd = sorted(set(drop_columns) | set(extra_columns))
-    tagged = df.withColumn("shard", shard_of(F.col(plate_col))).where(F.col("shard").isNotNull())
+    tagged = df.withColumn("shard", F.coalesce(shard_of(F.col(plate_col)), F.lit(OTHER_SHARD)))
     common = tagged.where(~F.col("shard").isin(*odd)) if odd else tagged
     common.select(*[F.col(c).cast("string").alias(c) for c in df.columns], "shard").write.mode(
         "overwrite").option("header", True).partitionBy("shard").csv(base)
     for p in odd:
-        part = df.where(F.col(plate_col).startswith(p))
+        part = tagged.where(F.col("shard") == p).drop("shard")
         if p in drop_columns:
             part = part.drop(*drop_columns[p])
         for name, col in extra_columns.get(p, {}).items():
             part = part.withColumn(name, col)
         write_csv(part, f"{base}/shard={p}")
-    return list_dirs(spark_of(df), f"{base}/shard=*")
+    found = list_dirs(spark_of(df), f"{base}/shard=*")
+    name = lambda path: path.rstrip("/").rsplit("shard=", 1)[1]
+    groups = [[p for p in found if name(p) not in odd], *[[p for p in found if name(p) == o] for o in odd]]
+    return [g for g in groups if g]
 
 
 def spark_of(df: DataFrame) -> SparkSession:
@@ -128,8 +134,8 @@ def tolerant_union(frames: Sequence[DataFrame], schema: T.StructType | None = No
     return reduce(lambda a, b: a.unionByName(b), [conform(f) for f in frames]).select(*names)
 
 
-def reconcile(shards: Sequence[DataFrame], merged: DataFrame) -> DataFrame:
-    """Merged row count must equal the sum of shard counts.
+def reconcile(source: DataFrame, shards: Sequence[DataFrame], merged: DataFrame) -> DataFrame:
+    """The merged row count must equal the source's and the sum of the shards'.
 
     Returns a one-row report; ``assert_reconciled`` raises on a mismatch."""
     per = [s.agg(F.count(F.lit(1)).alias("n")) for s in shards]
@@ -137,7 +143,9 @@ def reconcile(shards: Sequence[DataFrame], merged: DataFrame) -> DataFrame:
     merged_n = merged.agg(F.count(F.lit(1)).alias("merged_rows"))
     from roadworthy.operators.profile import combine_rows
 
-    return combine_rows(shard_sum, merged_n).withColumn("ok", F.col("shard_rows") == F.col("merged_rows"))
+    source_n = source.agg(F.count(F.lit(1)).alias("source_rows"))
+    return combine_rows(combine_rows(source_n, shard_sum), merged_n).withColumn(
+        "ok", (F.col("source_rows") == F.col("shard_rows")) & (F.col("shard_rows") == F.col("merged_rows")))
 
 
 def assert_reconciled(report: DataFrame) -> None:
@@ -202,11 +210,17 @@ def duplicate_audit(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive content fingerprint: row count and the XOR of a
-    per-row MD5 prefix (null and empty text are told apart)."""
-    row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
-    h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")).alias("md5_xor"))
+    """Order-insensitive content fingerprint: row count and the sums of both
+    halves of a per-row MD5 (as text).
+
+    Sums, unlike XOR, count repeated rows.  Every value is written with its
+    length, a null as ``n``, so values cannot run together and null, empty
+    text and any literal text differ."""
+    value = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("n"))
+    digest = F.md5(F.concat(F.lit(""), *[value(F.col(c).cast("string")) for c in df.columns]))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)").cast("decimal(28,0)"))
+    text = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(38,0)").cast("string")
+    return df.agg(F.count(F.lit(1)).alias("rows"), text(half(1)).alias("digest_high"), text(half(17)).alias("digest_low"))
 
 
 def recent_days(df: DataFrame, as_of: str, days: int, date_col: str = P.MELD_DATUM) -> DataFrame:

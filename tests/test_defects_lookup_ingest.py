@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from conftest import rows
+import pytest
 from pyspark.sql import functions as F
 
 from roadworthy import params as P
@@ -38,11 +39,34 @@ def test_overrides_win(spark):
     assert got == [True, False]
 
 
-def test_code_index_last_duplicate_wins(spark):
-    codes = spark.createDataFrame([("1", "old"), ("1", "new"), ("", "empty"), (None, "null"), ("2", None)],
-                                  CODES).coalesce(1)
+@pytest.mark.parametrize("turn", [1, -1])
+def test_code_index_of_repeated_codes_ignores_layout(spark, turn):
+    data = [("1", "old"), ("1", "new"), ("1", None), ("", "empty"), (None, "null"), ("2", None)][::turn]
+    codes = spark.createDataFrame(data, CODES).repartition(3)
     got = {r["defect_code"]: r["description"] for r in D.code_index(codes).collect()}
-    assert got == {"1": "new", "2": ""}
+    assert got == {"1": "old", "2": ""}
+
+
+def test_top_defects_of_repeated_codes(spark):
+    codes = spark.createDataFrame([("1", "a"), ("1", "b")], CODES)
+    defects = spark.createDataFrame([("P", "20200101", "1000", "1", "3")],
+                                    ", ".join(f"{c} string" for c in (P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, P.GEBREK_ID, P.AANTAL_GEBREKEN)))
+    assert [(r["defect_description"], r["count"]) for r in D.top_defects(defects, codes).collect()] == [("b", 3)]
+
+
+def test_filtered_defects_are_exact(spark):
+    """One of three defects included: 3,000,000 defects leave exactly 1,000,000."""
+    from roadworthy.operators import explore as X
+
+    seg = spark.createDataFrame(
+        [("VW", "consumer", "Benzine", 10, 100, 3_000_000.0, 50.0, 1.0, 1.0, 1.0, 1.0, 1)],
+        "merk string, vehicle_type_group string, primary_fuel string, vehicle_count bigint, total_inspections bigint, "
+        "total_defects double, total_vehicle_years double, sum_defects_per_vehicle_year_rates double, "
+        "sum_sq_defects_per_vehicle_year_rates double, sum_sq_defect_counts double, sum_catalog_price double, count_with_price bigint")
+    bd = spark.createDataFrame([("VW", "203", 2), ("VW", "999", 1)], "merk string, defect_code string, count bigint")
+    ex = spark.createDataFrame([("203",)], "defect_code string")
+    got = X.explore_segments(seg, X.ViewFilter(), ratios=D.filtered_ratio(bd, [P.MERK], ex, "reliability")).first()
+    assert got["filtered_defects"] == 1_000_000 and got["filtered_defects_per_vehicle_year"] == 20_000.0
 
 
 def test_filter_modes_and_ratio(spark):
@@ -76,7 +100,7 @@ def test_plate_normalise_and_lookup(spark):
     codes = spark.createDataFrame([(quote, "Beschrijving")], CODES)
     v = {r["typed_plate"]: r for r in L.lookup_vehicles(typed, veh, insp, "2024-06-01").collect()}
     assert v["AB-123-C"]["kenteken"] == "AB123C" and v["AB-123-C"]["status"] == "found"
-    assert v["AB-123-C"]["certificate"] == "valid" and v["AB-123-C"]["reports_shown"] == 50
+    assert v["AB-123-C"]["certificate"] == "valid" and v["AB-123-C"]["reports"] == 61
     assert v["ab"]["status"] == "invalid" and v["ZZ-999-Z"]["status"] == "not_found"
     h = L.vehicle_history(typed, insp, defects, codes)
     top = [r for r in h.collect() if r["report_rank"] == 1]
@@ -110,9 +134,24 @@ def test_tolerant_union_and_reconcile(spark):
     assert [f.name for f in schema.fields] == ["kenteken", "merk", "extra"]
     merged = I.tolerant_union(frames, schema)
     assert sorted(r["kenteken"] for r in merged.collect()) == ["1AB", "2CD"]
-    rep = rows(I.reconcile(frames, merged))[0]
-    assert rep["ok"] and rep["shard_rows"] == 2
-    I.assert_reconciled(I.reconcile(frames, merged))
+    source = a.unionByName(b, allowMissingColumns=True)
+    rep = rows(I.reconcile(source, frames, merged))[0]
+    assert rep["ok"] and rep["shard_rows"] == rep["source_rows"] == 2
+    I.assert_reconciled(I.reconcile(source, frames, merged))
+    assert not I.reconcile(source.union(source), frames, merged).first()["ok"]
+
+
+def test_shards_keep_every_plate(spark):
+    """Plates that no prefix covers go to a shard of their own."""
+    plates = ["1A", "ab", "-9", None, "", "Z1", "Z2"]
+    df = spark.createDataFrame([(p, "x") for p in plates], "kenteken string, merk string")
+    groups = I.write_shards(df, shared_dir(spark, "test-all"), drop_columns={"Z": ["merk"]})
+    frames = [I.read_csv_strings(spark, g) for g in groups]
+    merged = I.tolerant_union(frames, I.union_schema(frames))
+    assert len(groups) == 2
+    assert I.reconcile(df, frames, merged).first()["ok"]
+    got = sorted((r["kenteken"] or "", r["merk"] or "") for r in merged.collect())
+    assert got == sorted((p or "", "" if (p or "").startswith("Z") else "x") for p in plates)
 
 
 def test_shard_coverage_flags_lowercase(spark):
@@ -129,7 +168,13 @@ def test_duplicate_audit_and_fingerprint(spark):
     f2 = I.fingerprint(df.orderBy(F.desc("x"))).first()
     assert f1 == f2
     f3 = I.fingerprint(spark.createDataFrame([("a", None), ("a", None), ("b", None)], "x string, y string")).first()
-    assert f3["md5_xor"] != f1["md5_xor"]
+    assert f3 != f1
+    two = lambda *data: I.fingerprint(spark.createDataFrame(list(data), "x string, y string")).first()
+    assert two(("1", "x"), ("1", "x"), ("2", "y")) != two(("9", "z"), ("9", "z"), ("2", "y"))  # equal pairs
+    assert two(("a", None)) != two(("a", "\\N")) != two(("a", "n"))
+    assert two(("a", "b:c")) != two(("a:b", "c")) and two(("a1:b", "")) != two(("a", "b"))
+    empty = I.fingerprint(spark.createDataFrame([], "x string")).first()
+    assert (empty["rows"], empty["digest_high"]) == (0, "0")
 
 
 def test_validate_table(spark):
@@ -138,19 +183,36 @@ def test_validate_table(spark):
     assert r["ok"] is False and r["message"].startswith("missing columns")
 
 
-def test_lookup_caps_same_on_both_paths(spark, monkeypatch):
+def test_history_is_complete_and_pages_are_explicit(spark):
+    """Four reports with 40 defects each: every report shows its defects."""
+    days = ["20200101", "20210101", "20220101", "20230101"]
+    reports = spark.createDataFrame([("AB12", d, "1000", "Goedgekeurd") for d in days],
+                                    f"{P.KENTEKEN} string, {P.MELD_DATUM} string, {P.MELD_TIJD} string, {P.SOORT_MELDING} string")
+    defects = spark.createDataFrame([("AB12", d, "1000", f"{i:03d}", "1") for d in days for i in range(40)],
+                                    ", ".join(f"{c} string" for c in (P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, P.GEBREK_ID, P.AANTAL_GEBREKEN)))
+    codes = spark.createDataFrame([("001", "one")], CODES)
+    typed = spark.createDataFrame([("ab-12",), ("ab12",)], "typed_plate string")
+    full = L.vehicle_history(typed, reports, defects, codes)
+    assert full.count() == 160 and full.where("defect_code is null").count() == 0
+    assert sorted(r["defect_rank"] for r in full.collect()) == list(range(1, 161))
+    page = L.vehicle_history(typed, reports, defects, codes, max_reports=3, max_defects=60)
+    assert page.groupBy("report_rank").count().orderBy("report_rank").collect() == [(1, 40), (2, 20), (3, 1)]
+
+
+def test_recent_rows_equal_a_plain_ranking(spark):
     from conftest import SF001
+    from pyspark.sql import Window
 
     from roadworthy.sources.bindings import bind
 
     src = bind(spark, SF001)
     typed = src.vehicles.select(F.col(P.KENTEKEN).alias("typed_plate"))
-    small = L.recent_reports(typed, src.inspections)
-    monkeypatch.setattr(L, "BROADCAST_PLATES_MAX", 0)
-    large = L.recent_reports(typed, src.inspections)
-    plan = large._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+    order = [F.col(P.MELD_DATUM).desc(), F.col(P.MELD_TIJD).desc(), F.col(P.SOORT_MELDING).asc()]
+    valid = src.inspections.where(F.length(P.KENTEKEN) >= 4)
+    plain = valid.withColumn("report_rank", F.row_number().over(Window.partitionBy(P.KENTEKEN).orderBy(*order)))
+    plain = plain.where("report_rank <= 5").select(P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, "report_rank")
+    got = L.recent_reports(typed, src.inspections, 5).select(*plain.columns)
+    assert plain.exceptAll(got).count() == 0 and got.exceptAll(plain).count() == 0
 
 
 def test_included_plus_excluded_is_total(spark):

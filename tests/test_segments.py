@@ -208,12 +208,10 @@ def test_rankings_document_shape(spark):
     assert rates == sorted(rates)
 
 
-def test_large_brand_selection_uses_semi_join(spark, monkeypatch):
-    src = bind(spark, SF001)
-    seg = segments.brand_segments(facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel), 1)
-    brands = tuple(r[0] for r in seg.select(P.MERK).distinct().limit(5).collect())
-    small = X.row_filter(seg, X.ViewFilter(brands=brands))
-    monkeypatch.setattr(X, "MAX_LITERAL_SELECTION", 2)
-    large = X.row_filter(seg, X.ViewFilter(brands=brands))
-    assert "LeftSemi" in large._jdf.queryExecution().executedPlan().toString()
-    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+def test_brand_selection_of_any_length(spark):
+    df = spark.createDataFrame([(f"B{i}",) for i in range(2000)], "merk string")
+    few, many = tuple(f"B{i}" for i in range(3)), tuple(f"B{i}" for i in range(1500))
+    assert X.brand_selection(df, few).count() == 3 and X.brand_selection(df, many).count() == 1500
+    assert X.brand_selection(df, ()).count() == 2000
+    for chosen in (few, many):
+        assert "Join" not in X.brand_selection(df, chosen)._jdf.queryExecution().executedPlan().toString()
