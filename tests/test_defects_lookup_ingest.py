@@ -106,10 +106,12 @@ def test_plate_normalise_and_lookup(spark):
     top = [r for r in h.collect() if r["report_rank"] == 1]
     assert len(top) == 1 and top[0]["defect_code"] == quote and top[0]["description"] == "Beschrijving"
     assert top[0]["passed"] is False and top[0]["report_date"] == "01-01-2025"
-    # defects are capped at 100 rows per plate; January reports are beyond the
-    # 50 shown, so their defects do not attach (date-only attachment)
+    # Five January reports with 110 defect rows each (date-only attachment), and the newest one's.
+    assert h.where(F.col("defect_rank").isNotNull()).count() == 551
+    # A page of 50 reports and 100 defect rows does not reach January.
     assert L.recent_defects(typed, defects).count() == 100
-    assert h.where(F.col("defect_rank").isNotNull()).count() == 1
+    page = L.vehicle_history(typed, insp, defects, codes, max_reports=50, max_defects=100)
+    assert page.where(F.col("defect_rank").isNotNull()).count() == 1
 
 
 def test_formatting(spark):

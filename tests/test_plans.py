@@ -21,11 +21,14 @@ def _fact(spark):
     return src, facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel)
 
 
-def test_lookup_caps_are_map_side_top_k(spark):
+def test_lookup_ranks_day_by_day(spark):
+    """No window orders a plate's raw rows in one task, and nothing is broadcast by hint."""
     src, _ = _fact(spark)
     typed = src.vehicles.select(F.col(P.KENTEKEN).alias("typed_plate"))
     plan = _plan(lookup.recent_reports(typed, src.inspections))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    ranks = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
+    assert ranks and all(f"windowspecdefinition({P.KENTEKEN}#" in r and P.MELD_DATUM in r.split("row_number()")[1].split("ASC")[0].split("DESC")[0]
+                         for r in ranks)
 
 
 def test_classifier_is_an_expression_not_a_join(spark):
