@@ -16,9 +16,11 @@ import json
 from pyspark.sql import SparkSession
 
 from roadworthy import params as P
+from roadworthy.operators.facts import rejected_values
 from roadworthy.plans.pipeline import publish_all, run_statistics
-from roadworthy.session import configure, shared_dir
+from roadworthy.session import configure, shared_dir, temporary_dir
 from roadworthy.sources.bindings import bind
+from roadworthy.sources.publish import write_json
 from roadworthy.sources.tables import load_sources
 
 
@@ -29,13 +31,20 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     src_arg.add_argument("--testdata", help="folder with the generated test tables (bound per FIXTURES.md)")
     ap.add_argument("--out", help="output folder (default: below spark.checkpoint.dir)")
     ap.add_argument("--exposure", choices=("age", "coverage"), default="age")
+    ap.add_argument("--on-bad", choices=("raise", "one"), default="raise",
+                    help="one: replace junk quantities, prices and dates, and write them to rejected_values")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("roadworthy").getOrCreate()
     configure(spark)
     src = load_sources(spark, args.tables) if args.tables else bind(spark, args.testdata)
-    out = run_statistics(spark, src, P.DEFAULT, checkpoint=True, exposure=args.exposure)
-    paths = publish_all(spark, out, args.out or shared_dir(spark, "documents"))
+    base = args.out or shared_dir(spark, "documents")
+    with temporary_dir(spark, "run") as work:  # the run's intermediates go when its documents are written
+        out = run_statistics(spark, src, P.DEFAULT, exposure=args.exposure, on_bad=args.on_bad, base_dir=work)
+        paths = publish_all(spark, out, base)
+    if args.on_bad != "raise":
+        rejected = rejected_values(src.inspections, src.vehicles, src.defects)
+        paths["rejected_values"] = write_json(rejected, f"{base}/rejected_values")
     print(json.dumps(paths, indent=2))
     return paths
 

@@ -46,9 +46,9 @@ def upper_strip(c: Column) -> Column:
     return strip(F.upper(c))
 
 
-def price(c: Column) -> Column:
-    """Catalogue price as double, null -> 0."""
-    return F.coalesce(c.cast("double"), F.lit(0.0))
+def price(c: Column, strict: bool = True) -> Column:
+    """Catalogue price as double, null -> 0 (so is junk if not strict)."""
+    return F.coalesce(c.cast("double") if strict else c.try_cast("double"), F.lit(0.0))
 
 
 def vehicle_type_group(c: Column) -> Column:

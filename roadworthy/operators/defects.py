@@ -19,19 +19,20 @@ from roadworthy.functions import classify as C
 from roadworthy.functions import normalize as N
 
 
-def code_counts(defects: DataFrame) -> DataFrame:
+def code_counts(defects: DataFrame, on_bad: str = "raise") -> DataFrame:
     """Quantity per defect code over every defect row."""
-    return defects.groupBy(P.GEBREK_ID).agg(F.sum(N.defect_quantity(F.col(P.AANTAL_GEBREKEN))).alias("count"))
+    quantity = N.defect_quantity(F.col(P.AANTAL_GEBREKEN), on_bad)
+    return defects.groupBy(P.GEBREK_ID).agg(F.sum(quantity).alias("count"))
 
 
 def top_defects(defects: DataFrame, codes: DataFrame, k: int = P.DEFAULT.top_codes,
-                denominator: str = "top") -> DataFrame:
+                denominator: str = "top", on_bad: str = "raise") -> DataFrame:
     """A16 + J6 + P18 + T3: the k most frequent codes with description and share.
 
     ``denominator="top"`` divides by the total of the k codes (the original
     behaviour, D4); ``"all"`` divides by every defect.
     """
-    counts = code_counts(defects)
+    counts = code_counts(defects, on_bad)
     if denominator == "all":
         # One row per code: the window spans the code catalogue, not the data.
         counts = counts.withColumn("_all", F.sum("count").over(Window.partitionBy()))
@@ -62,7 +63,7 @@ def defect_headline(top: DataFrame, total_inspections: DataFrame) -> DataFrame:
     )
 
 
-def defects_with_vehicle(defects: DataFrame, fact: DataFrame, raw_time: bool = False) -> DataFrame:
+def defects_with_vehicle(defects: DataFrame, fact: DataFrame, raw_time: bool = False, on_bad: str = "raise") -> DataFrame:
     """Defect quantities joined to the primary inspections of the fact.
 
     Defect rows are first summed per (report, code) - combined map-side, so
@@ -74,7 +75,7 @@ def defects_with_vehicle(defects: DataFrame, fact: DataFrame, raw_time: bool = F
     t = F.col(P.MELD_TIJD) if raw_time else N.normalized_time(F.col(P.MELD_TIJD))
     d = defects.select(
         P.KENTEKEN, P.MELD_DATUM, t.alias(P.MELD_TIJD), P.GEBREK_ID,
-        N.defect_quantity(F.col(P.AANTAL_GEBREKEN)).alias("count"),
+        N.defect_quantity(F.col(P.AANTAL_GEBREKEN), on_bad).alias("count"),
     ).groupBy(P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, P.GEBREK_ID).agg(F.sum("count").alias("count"))
     keys = fact.select(P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, P.MERK, P.HANDELSBENAMING)
     return d.join(keys, [P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD], "inner")
@@ -96,8 +97,8 @@ def brand_breakdown(defects: DataFrame, fact: DataFrame, raw_time: bool = False)
     return breakdown(defects_with_vehicle(defects, fact, raw_time), [P.MERK])
 
 
-def model_breakdown(defects: DataFrame, fact: DataFrame, raw_time: bool = False) -> DataFrame:
-    return breakdown(defects_with_vehicle(defects, fact, raw_time), [P.MERK, P.HANDELSBENAMING])
+def model_breakdown(defects: DataFrame, fact: DataFrame, raw_time: bool = False, on_bad: str = "raise") -> DataFrame:
+    return breakdown(defects_with_vehicle(defects, fact, raw_time, on_bad), [P.MERK, P.HANDELSBENAMING])
 
 
 def code_index(codes: DataFrame) -> DataFrame:
@@ -165,8 +166,10 @@ def filtered_ratio(breakdown_df: DataFrame, keys: Sequence[str], excluded: DataF
     return agg.withColumn("defect_ratio", N.rnd(ratio, 6))
 
 
-def with_reliability(top: DataFrame, overrides: Mapping[str, bool] | None = None) -> DataFrame:
-    return top.withColumn("computed_is_reliability", C.computed_is_reliability(F.col("defect_code"), None, overrides))
+def with_reliability(top: DataFrame, overrides: Mapping[str, bool] | None = None, stored: str | None = None) -> DataFrame:
+    """P20: the flag per code: user override, else the column ``stored`` where it is set, else the classifier."""
+    flag = C.computed_is_reliability(F.col("defect_code"), F.col(stored) if stored else None, overrides)
+    return top.withColumn("computed_is_reliability", flag)
 
 
 def reliability_summary(top: DataFrame, overrides: Mapping[str, bool] | None = None) -> DataFrame:

@@ -310,8 +310,9 @@ def total_pages(df: DataFrame, page_size: int = P.PAGE_SIZE) -> DataFrame:
 # -- brand list (A20, P30) ----------------------------------------------------
 
 def brand_popularity(brand_segments: DataFrame) -> DataFrame:
-    """Vehicles per brand over its segments (sorted descending when shown)."""
-    return brand_segments.groupBy(P.MERK).agg(F.sum("vehicle_count").alias("vehicle_count"))
+    """Vehicles per brand over its segments, most first."""
+    by = brand_segments.groupBy(P.MERK).agg(F.sum("vehicle_count").alias("vehicle_count"))
+    return by.orderBy(F.col("vehicle_count").desc(), P.MERK)
 
 
 def brand_search(popularity: DataFrame, q: str) -> DataFrame:
@@ -332,14 +333,13 @@ def totals(brand_segments: DataFrame) -> DataFrame:
 
 
 def fuel_shares(brand_segments: DataFrame) -> DataFrame:
-    """Vehicles per primary fuel and share of all vehicles.
+    """Vehicles per primary fuel and share of all vehicles, most first.
 
     One row per fuel class (at most six), so the global window is tiny."""
     by = brand_segments.groupBy("primary_fuel").agg(F.sum("vehicle_count").alias("count"))
     tot = F.sum("count").over(Window.partitionBy())
-    return by.withColumn("share", F.when(tot > 0, rnd(F.col("count") / tot, 6)).otherwise(F.lit(0.0))).withColumnRenamed(
-        "primary_fuel", "fuel"
-    )
+    out = by.withColumn("share", F.when(tot > 0, rnd(F.col("count") / tot, 6)).otherwise(F.lit(0.0)))
+    return out.withColumnRenamed("primary_fuel", "fuel").orderBy(F.col("count").desc(), "fuel")
 
 
 def top_brands(brand_segments: DataFrame, k: int = P.TOP_BRANDS_CHART) -> DataFrame:
@@ -354,18 +354,18 @@ def top_brands(brand_segments: DataFrame, k: int = P.TOP_BRANDS_CHART) -> DataFr
 
 
 def top_brand_averages(brand_segments: DataFrame, k: int = P.TOP_BRANDS_CHART) -> DataFrame:
-    """Defects per inspection of the k biggest brands."""
+    """Defects per inspection of the k biggest brands, highest first."""
     return top_brands(brand_segments, k).select(
         P.MERK, rnd(F.col("total_defects") / F.col("total_inspections"), 6).alias("value"), "vehicle_count"
-    )
+    ).orderBy(F.col("value").desc(), P.MERK)
 
 
 def defect_found_rate(brand_segments: DataFrame, k: int = P.TOP_BRANDS_CHART) -> DataFrame:
-    """Share of inspections with at least one defect, same brands."""
+    """Share of inspections with at least one defect, same brands, highest first."""
     return top_brands(brand_segments, k).select(
         P.MERK, rnd(F.col("inspections_with_defects") / F.col("total_inspections"), 6).alias("value"),
         "vehicle_count",
-    )
+    ).orderBy(F.col("value").desc(), P.MERK)
 
 
 def trend_delta(yearly: DataFrame) -> DataFrame:

@@ -36,7 +36,9 @@ def primary_inspections(inspections: DataFrame, with_expiry: bool = False) -> Da
     aggs = [F.min(P.MELD_TIJD).alias(P.MELD_TIJD)]
     if with_expiry:
         cols.append(P.VERVALDATUM_KEURING)
-        aggs.append(F.min_by(P.VERVALDATUM_KEURING, P.MELD_TIJD).alias(P.VERVALDATUM_KEURING))
+        # Of several reports at that time, the earliest expiry date that is given.
+        first = F.struct(P.MELD_TIJD, F.col(P.VERVALDATUM_KEURING).isNull().alias("none"), P.VERVALDATUM_KEURING)
+        aggs.append(F.min(first)[P.VERVALDATUM_KEURING].alias(P.VERVALDATUM_KEURING))
     return (
         inspections.where(N.is_periodic_report(F.col(P.SOORT_MELDING)))
         .select(*cols)
@@ -91,7 +93,7 @@ def primary_fuel(fuel: DataFrame) -> DataFrame:
     )
 
 
-def vehicle_attributes(vehicles: DataFrame) -> DataFrame:
+def vehicle_attributes(vehicles: DataFrame, on_bad: str = "raise") -> DataFrame:
     """A5 with P5-P8: normalised attributes, consumer/commercial only, one row per plate.
 
     Duplicate plates keep the row that is smallest over all attribute columns,
@@ -103,7 +105,7 @@ def vehicle_attributes(vehicles: DataFrame) -> DataFrame:
         N.upper_strip(F.col(P.MERK)).alias(P.MERK),
         N.upper_strip(F.col(P.HANDELSBENAMING)).alias(P.HANDELSBENAMING),
         F.col(P.DATUM_EERSTE_TOELATING),
-        N.price(F.col(P.CATALOGUSPRIJS)).alias(P.CATALOGUSPRIJS),
+        N.price(F.col(P.CATALOGUSPRIJS), on_bad == "raise").alias(P.CATALOGUSPRIJS),
         N.vehicle_type_group(F.col(P.VOERTUIGSOORT)).alias("vehicle_type_group"),
     ).where(F.col("vehicle_type_group").isin(P.GROUP_CONSUMER, P.GROUP_COMMERCIAL))
     cols = [P.MERK, P.HANDELSBENAMING, P.DATUM_EERSTE_TOELATING, P.CATALOGUSPRIJS, "vehicle_type_group"]
@@ -164,21 +166,21 @@ def primary_reports_with_counts(inspections: DataFrame, defects: DataFrame, on_b
         N.defect_quantity(F.col(P.AANTAL_GEBREKEN), on_bad).alias("_qty"), *no_exp)
     per_time = reports.unionByName(found).groupBy(P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD).agg(
         F.bool_or("_report").alias("_report"), F.sum("_qty").alias("_qty"),
-        *([F.max(P.VERVALDATUM_KEURING).alias(P.VERVALDATUM_KEURING)] if with_expiry else []))
+        *([F.min(P.VERVALDATUM_KEURING).alias(P.VERVALDATUM_KEURING)] if with_expiry else []))
     fields = [P.MELD_TIJD, "_qty"] + ([P.VERVALDATUM_KEURING] if with_expiry else [])
     per_day = per_time.where("_report").groupBy(P.KENTEKEN, P.MELD_DATUM).agg(F.min(F.struct(*fields)).alias("m"))
     return per_day.select(
         P.KENTEKEN, P.MELD_DATUM, F.col("m." + P.MELD_TIJD).alias(P.MELD_TIJD),
         F.col("m._qty").alias("defect_count"),
         *([F.col("m." + P.VERVALDATUM_KEURING).alias(P.VERVALDATUM_KEURING)] if with_expiry else []),
-        N.year_of(F.col(P.MELD_DATUM)).alias("insp_year"),
+        N.year_of(F.col(P.MELD_DATUM), on_bad == "raise").alias("insp_year"),
     )
 
 
-def join_reports(reports: DataFrame, vehicles: DataFrame, fuel: DataFrame) -> DataFrame:
+def join_reports(reports: DataFrame, vehicles: DataFrame, fuel: DataFrame, on_bad: str = "raise") -> DataFrame:
     """J1 + J2 + P9/P10 over ``primary_reports_with_counts``: both joins are on
     the plate, so they share one partitioning."""
-    age = F.col("insp_year") - N.year_of(F.col(P.DATUM_EERSTE_TOELATING))
+    age = F.col("insp_year") - N.year_of(F.col(P.DATUM_EERSTE_TOELATING), on_bad == "raise")
     extra = ([N.coverage_years(F.col(P.MELD_DATUM), F.col(P.VERVALDATUM_KEURING)).alias("coverage_years")]
              if P.VERVALDATUM_KEURING in reports.columns else [])
     return (
@@ -204,6 +206,26 @@ def inspection_stats(inspections: DataFrame, vehicles: DataFrame, defects: DataF
     documented coverage years per inspection, D1)."""
     return join_reports(
         primary_reports_with_counts(inspections, defects, on_bad, with_coverage),
-        vehicle_attributes(vehicles),
+        vehicle_attributes(vehicles, on_bad),
         primary_fuel(fuel),
+        on_bad,
+    )
+
+
+def rejected_values(inspections: DataFrame, vehicles: DataFrame, defects: DataFrame) -> DataFrame:
+    """Values that ``on_bad="one"`` replaces: table, column, value and number of rows.
+
+    A quantity counts as 1 and a price as 0; a report or vehicle whose date has
+    no year has no age and leaves the fact."""
+    def bad(table: str, df: DataFrame, column: str, parsed: F.Column) -> DataFrame:
+        return df.where(F.col(column).isNotNull() & parsed.isNull()).groupBy(
+            F.lit(table).alias("table"), F.lit(column).alias("column"), F.col(column).alias("value")
+        ).agg(F.count(F.lit(1)).alias("rows"))
+
+    year = lambda c: N.year_of(F.col(c), strict=False)
+    return (
+        bad("meldingen", inspections, P.MELD_DATUM, year(P.MELD_DATUM))
+        .unionByName(bad("voertuigen", vehicles, P.DATUM_EERSTE_TOELATING, year(P.DATUM_EERSTE_TOELATING)))
+        .unionByName(bad("voertuigen", vehicles, P.CATALOGUSPRIJS, F.col(P.CATALOGUSPRIJS).try_cast("double")))
+        .unionByName(bad("geconstateerde_gebreken", defects, P.AANTAL_GEBREKEN, F.col(P.AANTAL_GEBREKEN).try_cast("bigint")))
     )

@@ -1,9 +1,8 @@
 """Dataset profile and metadata.
 
-All outputs are small global aggregates of the fact table or of the segment
-tables.  The summary avoids three distinct counts over the fact (which Spark
-would plan with an ``Expand`` tripling the rows): it first groups by plate,
-after which every plate is one row and distinct counts become plain counts.
+All outputs are small aggregates of the model-level moments and per-age rows
+(``segments.model_moments``, ``segments.per_age_base``); only the yearly trend
+reads the fact.
 """
 
 from __future__ import annotations
@@ -30,44 +29,34 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
     return u.agg(*[F.max(c).alias(c) for c in cols])
 
 
-def per_vehicle(fact: DataFrame) -> DataFrame:
-    return fact.groupBy(P.KENTEKEN).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("defect_count").alias("defects"),
-        F.max(P.CATALOGUSPRIJS).alias("max_price"),
-        F.count_if(F.col("defect_count") == 0).alias("zero"),
-        F.bool_or(F.col("vehicle_type_group") == P.GROUP_CONSUMER).alias("is_consumer"),
-        F.bool_or(F.col("vehicle_type_group") == P.GROUP_COMMERCIAL).alias("is_commercial"),
-    )
-
-
-def dataset_summary(fact: DataFrame) -> DataFrame:
-    """A11 + A15: one row of dataset counts and the zero-defect rate."""
-    v = per_vehicle(fact)
-    total = F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))
-    zero = F.coalesce(F.sum("zero"), F.lit(0).cast("bigint"))
-    return v.agg(
+def dataset_summary(moments: DataFrame) -> DataFrame:
+    """A11 + A15: one row of dataset counts and the zero-defect rate, from ``segments.model_moments``
+    (a vehicle has one model segment, so vehicles add up)."""
+    n, found = F.col("total_inspections"), F.col("inspections_with_defects")
+    total = F.coalesce(F.sum(n), F.lit(0).cast("bigint"))
+    zero = F.coalesce(F.sum(n - found), F.lit(0).cast("bigint"))
+    of_group = lambda g: F.coalesce(
+        F.sum(F.when(F.col("vehicle_type_group") == g, F.col("vehicle_count"))), F.lit(0).cast("bigint"))
+    return moments.agg(
         total.alias("total_inspections"),
-        F.sum("defects").alias("total_defects"),
-        F.count(F.lit(1)).alias("total_vehicles"),
-        F.coalesce(F.max("max_price").cast("bigint"), F.lit(0).cast("bigint")).alias("max_price"),
+        F.sum("total_defects").alias("total_defects"),
+        F.coalesce(F.sum("vehicle_count"), F.lit(0).cast("bigint")).alias("total_vehicles"),
+        F.coalesce(F.max("max_catalog_price").cast("bigint"), F.lit(0).cast("bigint")).alias("max_price"),
         zero.alias("zero_defect_inspections"),
-        F.count_if(F.col("is_consumer")).alias("consumer_vehicles"),
-        F.count_if(F.col("is_commercial")).alias("commercial_vehicles"),
+        of_group(P.GROUP_CONSUMER).alias("consumer_vehicles"),
+        of_group(P.GROUP_COMMERCIAL).alias("commercial_vehicles"),
         F.when(total > 0, rnd(zero / total, 4)).otherwise(F.lit(0.0)).alias("zero_defect_rate"),
     )
 
 
-def zero_defect_rate(fact: DataFrame) -> DataFrame:
+def zero_defect_rate(moments: DataFrame) -> DataFrame:
     """A15 on its own."""
-    return fact.agg(
-        F.coalesce(rnd(F.avg((F.col("defect_count") == 0).cast("double")), 4), F.lit(0.0)).alias("zero_defect_rate")
-    )
+    return dataset_summary(moments).select("zero_defect_rate")
 
 
-def fuel_domain(fact: DataFrame) -> DataFrame:
+def fuel_domain(moments: DataFrame) -> DataFrame:
     """Distinct primary fuels (sorted when collected for publishing)."""
-    return fact.select("primary_fuel").distinct()
+    return moments.select("primary_fuel").distinct()
 
 
 def yearly_trend(fact: DataFrame, min_inspections: int = P.DEFAULT.yearly_trend) -> DataFrame:
@@ -80,16 +69,17 @@ def yearly_trend(fact: DataFrame, min_inspections: int = P.DEFAULT.yearly_trend)
     )
 
 
-def fleet_age(fact: DataFrame, min_vehicles: int = P.DEFAULT.fleet_age_vehicles,
+def fleet_age(age_base: DataFrame, min_vehicles: int = P.DEFAULT.fleet_age_vehicles,
               lo: int = P.DEFAULT.fleet_age_min, hi: int = P.DEFAULT.fleet_age_max) -> DataFrame:
-    """Per age: inspections, defects, vehicles, average; age in [lo, hi]."""
+    """Per age: inspections, defects, vehicles, average; age in [lo, hi], from
+    ``segments.per_age_base`` (at one age a vehicle is in one of its rows)."""
     return (
-        fact.where(F.col("age_at_inspection").between(lo, hi))
+        age_base.where(F.col("age_at_inspection").between(lo, hi))
         .groupBy("age_at_inspection")
         .agg(
-            F.count(F.lit(1)).alias("total_inspections"),
-            F.sum("defect_count").alias("total_defects"),
-            F.count_distinct(P.KENTEKEN).alias("vehicle_count"),
+            F.sum("total_inspections").alias("total_inspections"),
+            F.sum("total_defects").cast("bigint").alias("total_defects"),
+            F.sum("vehicle_count").alias("vehicle_count"),
         )
         .withColumn("avg_defects_per_inspection", rnd(F.col("total_defects") / F.col("total_inspections"), 4))
         .where(F.col("vehicle_count") >= min_vehicles)
@@ -114,13 +104,10 @@ def filter_ranges(brand_segments: DataFrame, model_segments: DataFrame, summary:
     )
 
 
-def metadata_flat(brand_segments: DataFrame, model_segments: DataFrame, fact: DataFrame,
+def metadata_flat(brand_segments: DataFrame, model_segments: DataFrame, summary: DataFrame, bounds: DataFrame,
                   t: P.Thresholds = P.DEFAULT) -> DataFrame:
     """The metadata document as one flat row (timestamp left out)."""
-    from roadworthy.operators.segments import age_bounds
-
-    summary = dataset_summary(fact)
-    ranges = filter_ranges(brand_segments, model_segments, summary, age_bounds(fact))
+    ranges = filter_ranges(brand_segments, model_segments, summary, bounds)
     return combine_rows(
         ranges,
         brand_segments.agg(F.count(F.lit(1)).alias("brands")),

@@ -25,39 +25,63 @@ def _rate() -> F.Column:
     return F.col("defect_count") / clip_age(F.col("age_at_inspection"))
 
 
-def segment_measures(with_defect_found: bool = True, exposure: str = "age") -> list:
-    """The 2.5 measure list (before derived columns).
+def model_moments(fact: DataFrame, exposure: str = "age") -> DataFrame:
+    """Counts and sums per (brand, model, type, fuel), unfiltered and unrounded.
+
+    Every vehicle has exactly one such segment, so distinct vehicles and all
+    sums of any coarser level are exact sums of these rows: brand and model
+    segments, the dataset summary and the fuel domain all derive from this one
+    pass over the fact.
 
     ``exposure="age"`` (the original code) sums the age at inspection as
     vehicle-years; ``"coverage"`` sums the documented coverage years of each
     inspection instead (D1; needs a fact built ``with_coverage``)."""
-    d = F.col("defect_count")
-    age = F.col("age_at_inspection")
-    price = F.col(P.CATALOGUSPRIJS)
-    out = [
+    d, age, price = F.col("defect_count"), F.col("age_at_inspection"), F.col(P.CATALOGUSPRIJS)
+    return fact.groupBy(*P.MODEL_KEYS).agg(
         F.count_distinct(P.KENTEKEN).alias("vehicle_count"),
         F.count(F.lit(1)).alias("total_inspections"),
-        F.sum(d).cast("double").alias("total_defects"),
-    ]
-    if with_defect_found:
-        out.append(F.count_if(d > 0).alias("inspections_with_defects"))
-    out += [
-        rnd(F.stddev_samp(d), 4).alias("std_defects_per_inspection"),
-        rnd(F.avg(age), 2).alias("avg_age_years"),
+        F.sum(d).alias("total_defects"),
+        F.count_if(d > 0).alias("inspections_with_defects"),
+        F.sum(age).cast("double").alias("sum_age_years"),
         (F.sum(age).cast("double") if exposure == "age" else F.sum("coverage_years")).alias("total_vehicle_years"),
-        rnd(F.stddev_samp(_rate()), 4).alias("std_defects_per_vehicle_year"),
-        # Sums of non-integer doubles depend on summation order in the last
-        # bits; 6 decimals keep them stable across engines and re-runs.
-        rnd(F.sum(_rate()), 6).alias("sum_defects_per_vehicle_year_rates"),
-        rnd(F.sum(_rate() * _rate()), 6).alias("sum_sq_defects_per_vehicle_year_rates"),
-        F.sum(d * d).cast("double").alias("sum_sq_defect_counts"),
-        rnd(F.sum(price), 6).alias("sum_catalog_price"),
+        F.sum(_rate()).alias("sum_defects_per_vehicle_year_rates"),
+        F.sum(_rate() * _rate()).alias("sum_sq_defects_per_vehicle_year_rates"),
+        F.sum(d * d).alias("sum_sq_defect_counts"),
+        F.sum(price).alias("sum_catalog_price"),
         F.count_if(price > 0).alias("count_with_price"),
-    ]
-    if exposure != "age":
-        # vehicle-years are no longer ages: keep the age sum for mean ages
-        out.append(F.sum(age).cast("double").alias("sum_age_years"))
-    return out
+        F.max(price).alias("max_catalog_price"),
+    )
+
+
+def _sample_std(total: F.Column, squares: F.Column, n: F.Column) -> F.Column:
+    """Sample standard deviation from sums; null for fewer than two values."""
+    variance = (squares - total * total / n) / (n - 1)
+    return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), variance)))
+
+
+def segment_measures(moments: DataFrame, keys: Sequence[str], with_defect_found: bool = True,
+                     exposure: str = "age") -> DataFrame:
+    """The 2.5 measure list per segment of ``keys``, from ``model_moments``.
+
+    The sums that are merged again later (rates, prices) are not rounded."""
+    names = [c for c in moments.columns if c not in (*P.MODEL_KEYS, "max_catalog_price")]
+    m = moments.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+    n = F.col("total_inspections")
+    rate = F.col("sum_defects_per_vehicle_year_rates")
+    return m.select(
+        *keys, "vehicle_count", "total_inspections", F.col("total_defects").cast("double").alias("total_defects"),
+        *(["inspections_with_defects"] if with_defect_found else []),
+        rnd(_sample_std(F.col("total_defects").cast("double"), F.col("sum_sq_defect_counts").cast("double"), n), 4)
+        .alias("std_defects_per_inspection"),
+        rnd(F.col("sum_age_years") / n, 2).alias("avg_age_years"),
+        "total_vehicle_years",
+        rnd(_sample_std(rate, F.col("sum_sq_defects_per_vehicle_year_rates"), n), 4).alias("std_defects_per_vehicle_year"),
+        "sum_defects_per_vehicle_year_rates", "sum_sq_defects_per_vehicle_year_rates",
+        F.col("sum_sq_defect_counts").cast("double").alias("sum_sq_defect_counts"),
+        "sum_catalog_price", "count_with_price",
+        # vehicle-years that are no ages: keep the age sum for mean ages
+        *(["sum_age_years"] if exposure != "age" else []),
+    )
 
 
 def _derive(df: DataFrame) -> DataFrame:
@@ -68,27 +92,31 @@ def _derive(df: DataFrame) -> DataFrame:
     )
 
 
-def brand_segments(fact: DataFrame, threshold: int = P.DEFAULT.brand, sort: bool = False,
-                   exposure: str = "age") -> DataFrame:
+def brand_segments_of(moments: DataFrame, threshold: int = P.DEFAULT.brand, exposure: str = "age") -> DataFrame:
     """(brand, type, fuel) segments with at least ``threshold`` vehicles."""
-    out = _derive(
-        fact.groupBy(*P.BRAND_KEYS).agg(*segment_measures(True, exposure)).where(F.col("vehicle_count") >= threshold)
-    )
-    return out.orderBy("defects_per_vehicle_year", *P.BRAND_KEYS) if sort else out
+    return _derive(segment_measures(moments, P.BRAND_KEYS, True, exposure).where(F.col("vehicle_count") >= threshold))
 
 
-def model_segments(fact: DataFrame, threshold: int = P.DEFAULT.model, sort: bool = False,
-                   exposure: str = "age") -> DataFrame:
+def model_segments_of(moments: DataFrame, threshold: int = P.DEFAULT.model, exposure: str = "age") -> DataFrame:
     """A7 + W1: (brand, model, type, fuel) segments of models whose vehicles,
     summed over their segments, reach ``threshold``."""
-    seg = fact.groupBy(*P.MODEL_KEYS).agg(*segment_measures(False, exposure))
+    seg = segment_measures(moments, P.MODEL_KEYS, False, exposure)
     w = Window.partitionBy(P.MERK, P.HANDELSBENAMING)
-    out = _derive(
-        seg.withColumn("total_model_count", F.sum("vehicle_count").over(w)).where(
-            F.col("total_model_count") >= threshold
-        )
-    )
-    return out.orderBy("defects_per_vehicle_year", *P.MODEL_KEYS) if sort else out
+    return _derive(seg.withColumn("total_model_count", F.sum("vehicle_count").over(w)).where(
+        F.col("total_model_count") >= threshold))
+
+
+def brand_segments(fact: DataFrame, threshold: int = P.DEFAULT.brand, exposure: str = "age") -> DataFrame:
+    return brand_segments_of(model_moments(fact, exposure), threshold, exposure)
+
+
+def model_segments(fact: DataFrame, threshold: int = P.DEFAULT.model, exposure: str = "age") -> DataFrame:
+    return model_segments_of(model_moments(fact, exposure), threshold, exposure)
+
+
+def by_rate(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Segments in publishing order."""
+    return segments.orderBy("defects_per_vehicle_year", *keys)
 
 
 def model_totals(fact: DataFrame) -> DataFrame:
@@ -98,11 +126,14 @@ def model_totals(fact: DataFrame) -> DataFrame:
     return seg.withColumn("total_model_count", F.sum("vehicle_count").over(w))
 
 
-def per_age(fact: DataFrame, keys: Sequence[str], threshold: int = P.DEFAULT.age_bracket,
-            sort: bool = False) -> DataFrame:
-    """Per segment and age: vehicles, inspections, defects, average (long
-    form); ``sort`` orders by the keys and age (T2) for publishing."""
-    out = (
+def by_age(per_age_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per-age rows in publishing order."""
+    return per_age_rows.orderBy(*keys, "age_at_inspection")
+
+
+def per_age(fact: DataFrame, keys: Sequence[str], threshold: int = P.DEFAULT.age_bracket) -> DataFrame:
+    """Per segment and age: vehicles, inspections, defects, average (long form)."""
+    return (
         fact.groupBy(*keys, "age_at_inspection")
         .agg(
             F.count_distinct(P.KENTEKEN).alias("vehicle_count"),
@@ -112,7 +143,6 @@ def per_age(fact: DataFrame, keys: Sequence[str], threshold: int = P.DEFAULT.age
         .where(F.col("vehicle_count") >= threshold)
         .withColumn("avg_defects_per_inspection", rnd(F.col("total_defects") / F.col("total_inspections"), 4))
     )
-    return out.orderBy(*keys, "age_at_inspection") if sort else out
 
 
 def per_age_base(fact: DataFrame) -> DataFrame:
@@ -143,9 +173,9 @@ def per_age_rollup(base: DataFrame, keys: Sequence[str], threshold: int = P.DEFA
     )
 
 
-def age_bounds(fact: DataFrame) -> DataFrame:
-    """Global minimum and maximum age at inspection, null -> 0."""
-    return fact.agg(
+def age_bounds(age_base: DataFrame) -> DataFrame:
+    """Global minimum and maximum age at inspection, null -> 0, from the fact or ``per_age_base``."""
+    return age_base.agg(
         F.coalesce(F.min("age_at_inspection"), F.lit(0)).alias("min_age"),
         F.coalesce(F.max("age_at_inspection"), F.lit(0)).alias("max_age"),
     )

@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from roadworthy import params as P
 from roadworthy.operators import facts
@@ -50,6 +51,24 @@ def fact_of(src: Sources) -> DataFrame:
     return facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel)
 
 
+def six_digits(segments: DataFrame) -> DataFrame:
+    """Segments with the sums of fractions rounded, whose last bits depend on the order of summation."""
+    from roadworthy.functions.normalize import rnd
+
+    sums = ("sum_defects_per_vehicle_year_rates", "sum_sq_defects_per_vehicle_year_rates", "sum_catalog_price")
+    return segments.withColumns({c: rnd(F.col(c), 6) for c in sums})
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """A sorted view's rows with their position, so that a check of its rows also checks its order.
+
+    For views of bounded length (codes, brands, years): rows are numbered in
+    the order the operator gave them.
+    """
+    order = Window.orderBy("_at")
+    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(order)).drop("_at")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
     return {k: v.build for k, v in REGISTRY.items()}

@@ -40,6 +40,13 @@ def ratio0(num: str, den: str, n: int = 6) -> str:
     return R(f"coalesce(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0), 0.0)", n)
 
 
+def CODE(n: str) -> str:
+    """Code text of a number (the binding's families of codes)."""
+    return (f"(CASE ({n}) % 25 WHEN 0 THEN 'AP' || ({n}) WHEN 1 THEN ' op' || ({n}) WHEN 2 THEN 'AC' || (({n}) // 25 % 5 + 1) "
+            f"WHEN 3 THEN 'RA4' WHEN 4 THEN CAST(({n}) // 25 % 3 + 115 AS VARCHAR) WHEN 5 THEN CAST(({n}) // 25 % 6 + 388 AS VARCHAR) "
+            f"WHEN 6 THEN CAST(({n}) // 25 * 12 + 475 AS VARCHAR) ELSE CAST(({n}) AS VARCHAR) END)")
+
+
 def binding(code_offset: int = 0) -> str:
     return f"""
 vehicles AS (
@@ -47,32 +54,35 @@ vehicles AS (
          CASE WHEN split_part(p_type, ' ', 1) IN ('ECONOMY', 'STANDARD', 'PROMO') THEN 'Personenauto'
               WHEN split_part(p_type, ' ', 1) = 'SMALL' THEN 'Bedrijfsauto'
               ELSE 'Motorfiets' END AS voertuigsoort,
-         p_brand AS merk, p_name AS handelsbenaming,
+         CASE WHEN c = 2 THEN chr(9) || lower(p_brand) || ' ' ELSE p_brand END AS merk,
+         CASE WHEN p_partkey % 17 <> 0 THEN p_name END AS handelsbenaming,
          CAST(1985 + p_size % 15 AS VARCHAR) || '0101' AS datum_eerste_toelating,
-         CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS VARCHAR) END AS catalogusprijs,
-         CASE WHEN p_partkey % 11 = 0 THEN NULL
+         CASE WHEN c = 2 OR p_size % 7 = 0 THEN NULL ELSE CAST(p_retailprice AS VARCHAR) END AS catalogusprijs,
+         CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN '2030'
               ELSE CAST(2018 + p_size % 10 AS VARCHAR) || lpad(CAST(1 + p_partkey % 12 AS VARCHAR), 2, '0') || '15'
          END AS vervaldatum_apk
-  FROM part),
+  FROM (SELECT *, unnest(CASE WHEN p_partkey % 13 = 0 THEN [1, 2] ELSE [1] END) AS c FROM part)),
 inspections AS (
   SELECT CAST(l_partkey AS VARCHAR) AS kenteken,
          strftime(l_shipdate, '%Y%m%d') AS meld_datum_door_keuringsinstantie,
-         CAST(l_linenumber * 100 + 30 AS VARCHAR) AS meld_tijd_door_keuringsinstantie,
-         CASE WHEN l_linestatus = 'F' THEN 'Periodieke Controle ' ELSE 'tachograaf' END AS soort_melding_ki_omschrijving,
-         CASE WHEN l_linenumber = 7 THEN NULL
+         CAST(l_linenumber * 170 + 30 AS VARCHAR) AS meld_tijd_door_keuringsinstantie,
+         CASE WHEN l_linestatus = 'F' AND l_linenumber = 3 THEN chr(9) || 'PERIODIEKE controle'
+              WHEN l_linestatus = 'F' THEN 'Periodieke Controle '
+              WHEN l_linenumber % 2 = 0 THEN 'tachograaf Goedgekeurd' ELSE 'tachograaf' END AS soort_melding_ki_omschrijving,
+         CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 'onbekend'
               ELSE strftime(CAST(l_shipdate AS DATE) + CAST(l_linenumber * 61 AS INTEGER), '%Y%m%d')
          END AS vervaldatum_keuring
   FROM lineitem),
 defects AS (
   SELECT CAST(l_partkey AS VARCHAR) AS kenteken,
          strftime(l_shipdate, '%Y%m%d') AS meld_datum_door_keuringsinstantie,
-         CAST(l_linenumber * 100 + 30 AS VARCHAR) AS meld_tijd_door_keuringsinstantie,
-         CAST(l_suppkey + {code_offset} AS VARCHAR) AS gebrek_identificatie,
+         CAST(l_linenumber * 170 + 30 AS VARCHAR) AS meld_tijd_door_keuringsinstantie,
+         {CODE(f'l_suppkey + {code_offset}')} AS gebrek_identificatie,
          CASE WHEN l_tax = 0 THEN NULL ELSE CAST(CAST(l_quantity AS INTEGER) % 4 + 1 AS VARCHAR) END
            AS aantal_gebreken_geconstateerd
   FROM lineitem WHERE l_returnflag IN ('R', 'A')),
 codes AS (
-  SELECT CAST(s_suppkey + {code_offset} AS VARCHAR) AS gebrek_identificatie, s_name AS gebrek_omschrijving
+  SELECT {CODE(f's_suppkey + {code_offset}')} AS gebrek_identificatie, s_name AS gebrek_omschrijving
   FROM supplier),
 fuel AS (
   SELECT CAST(l_partkey AS VARCHAR) AS kenteken,
@@ -141,10 +151,10 @@ def _measures(with_found: bool, exposure: str = "age") -> str:
          {R('avg(age_at_inspection)', 2)} AS avg_age_years,
          {'CAST(sum(age_at_inspection) AS DOUBLE)' if exposure == 'age' else 'sum(coverage_years)'} AS tvy,
          {R(f'stddev_samp({rate})', 4)} AS std_defects_per_vehicle_year,
-         {R(f'sum({rate})', 6)} AS sum_defects_per_vehicle_year_rates,
-         {R(f'sum(({rate}) * ({rate}))', 6)} AS sum_sq_defects_per_vehicle_year_rates,
+         sum({rate}) AS sum_defects_per_vehicle_year_rates,
+         sum(({rate}) * ({rate})) AS sum_sq_defects_per_vehicle_year_rates,
          CAST(sum(defect_count * defect_count) AS DOUBLE) AS sum_sq_defect_counts,
-         {R('sum(catalogusprijs)', 6)} AS sum_catalog_price,
+         sum(catalogusprijs) AS sum_catalog_price,
          {CI('catalogusprijs > 0')} AS count_with_price
          {', CAST(sum(age_at_inspection) AS DOUBLE) AS sum_age_years' if exposure != 'age' else ''}"""
 
@@ -180,6 +190,12 @@ def q(body: str, t: Thresholds, extra: str = "", code_offset: int = 0) -> str:
     return prefix(t, code_offset) + extra + "\n" + body
 
 
+def six(src: str) -> str:
+    """A segment table with its sums of fractions rounded for display."""
+    cols = ("sum_defects_per_vehicle_year_rates", "sum_sq_defects_per_vehicle_year_rates", "sum_catalog_price")
+    return f"SELECT * REPLACE ({', '.join(f'{R(c, 6)} AS {c}' for c in cols)}) FROM {src}"
+
+
 def coverage_ctes(t: Thresholds) -> str:
     """Fact with the documented coverage years (D1) and brand segments on it."""
     d0 = "try_strptime(meld_datum_door_keuringsinstantie, '%Y%m%d')"
@@ -188,7 +204,7 @@ def coverage_ctes(t: Thresholds) -> str:
            f"ELSE greatest(date_diff('day', CAST({d0} AS DATE), CAST({d1} AS DATE)) / 365.25, 0.25) END")
     return f"""
 , prim_exp AS (
-  SELECT kenteken, meld_datum_door_keuringsinstantie, arg_min(vervaldatum_keuring, t) AS exp
+  SELECT kenteken, meld_datum_door_keuringsinstantie, arg_min(vervaldatum_keuring, t || coalesce(vervaldatum_keuring, '~')) AS exp
   FROM (SELECT kenteken, meld_datum_door_keuringsinstantie, vervaldatum_keuring,
                {NTIME('meld_tijd_door_keuringsinstantie')} AS t
         FROM inspections WHERE lower({STRIP('soort_melding_ki_omschrijving')}) = 'periodieke controle')

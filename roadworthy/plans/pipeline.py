@@ -27,17 +27,6 @@ def build_fact(src: Sources, on_bad: str = "raise", with_coverage: bool = False)
     return facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel, on_bad, with_coverage)
 
 
-def persist_fact(spark: SparkSession, fact: DataFrame, path: str | None = None) -> DataFrame:
-    """The fact as zstd Parquet, rows sorted by inspection year within
-    each task, read back.
-
-    The fact leaves its last join hash-partitioned by plate, so every task
-    holds every year: ``partitionBy(year)`` would write tasks x years small
-    files.  A local sort (no shuffle) gives each file tight year ranges in its
-    row-group statistics instead, which year filters use to skip data."""
-    return publish.persist_table(fact, path or shared_dir(spark, "inspection_stats"), sort_within=["insp_year"])
-
-
 def flagship(spark: SparkSession, sf_dir: str, t: P.Thresholds = P.DEFAULT) -> DataFrame:
     """Brands ranked by defects per vehicle-year (both lists)."""
     configure(spark)
@@ -73,19 +62,27 @@ class Outputs:
 
 
 def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAULT,
-                   checkpoint: bool = True, exposure: str = "age") -> Outputs:
+                   checkpoint: bool = True, exposure: str = "age", on_bad: str = "raise",
+                   base_dir: str | None = None) -> Outputs:
     """All outputs of one batch run.
 
-    With ``checkpoint`` the fact is written once (see ``persist_fact``), and so are the few tables
-    every later output reads (segments, unfiltered model-level per-age rows,
-    model-level defect breakdown, model-level fuel counts).  Brand-level
+    ``on_bad="one"`` replaces junk quantities, prices and dates instead of
+    ending the run (``facts.rejected_values`` lists them).  Intermediates go
+    below ``base_dir``; who gives it removes it when the outputs are written
+    (``session.temporary_dir``), else they stay in a fresh shared folder.
+
+    With ``checkpoint`` the fact is written once (S11/S12: zstd Parquet, rows
+    sorted by year within each task, which gives each file tight year ranges
+    without the small files of ``partitionBy``), and so are the few tables
+    every later output reads (model-level moments and per-age rows, both
+    unfiltered, model-level defect breakdown, top codes, yearly trend, model-level fuel counts).  Brand-level
     per-age rows, defect and fuel breakdowns are exact roll-ups of the model
     level, so the fact is scanned once per grouping level instead of once per
     output.  Without ``checkpoint`` everything stays one lazy plan.
     ``exposure="coverage"`` counts vehicle-years as documented coverage years (D1).
     """
     configure(spark)
-    base_dir = shared_dir(spark, "run") if checkpoint else None
+    base_dir = (base_dir or shared_dir(spark, "run")) if checkpoint else None
 
     def keep(df: DataFrame, name: str, sort_within=()) -> DataFrame:
         return publish.persist_table(df, f"{base_dir}/{name}", sort_within=sort_within) if checkpoint else df
@@ -101,20 +98,23 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
             return {k: f.result() for k, f in futs.items()}
 
     # The fuel counts do not depend on the fact: both are built at once.
-    fact_plan = build_fact(src, with_coverage=exposure == "coverage")
+    fact_plan = build_fact(src, on_bad, with_coverage=exposure == "coverage")
     done = keep_all({"inspection_stats": fact_plan, "model_fuel": FU.fuel_by_model(src.fuel, src.vehicles)},
                     {"inspection_stats": ["insp_year"]})
     fact, model_fuel_long = done["inspection_stats"], done["model_fuel"]
+    # The only readers of the fact: moments, per-age rows, the defects' join and the yearly trend.
     level = keep_all({
-        "brand_segments": segments.brand_segments(fact, t.brand, exposure=exposure),
-        "model_segments": segments.model_segments(fact, t.model, exposure=exposure),
+        "model_moments": segments.model_moments(fact, exposure),
         "per_age_base": segments.per_age_base(fact),
-        "model_breakdown": D.model_breakdown(src.defects, fact),
+        "yearly_trend": profile.yearly_trend(fact, t.yearly_trend),
+        "model_breakdown": D.model_breakdown(src.defects, fact, on_bad=on_bad),
+        "top_defects": D.top_defects(src.defects, src.codes, t.top_codes, on_bad=on_bad),
     })
-    bseg, mseg = level["brand_segments"], level["model_segments"]
-    age_base, model_bd = level["per_age_base"], level["model_breakdown"]
-    top = D.top_defects(src.defects, src.codes, t.top_codes)
-    summary = profile.dataset_summary(fact)
+    moments, age_base, model_bd = level["model_moments"], level["per_age_base"], level["model_breakdown"]
+    bseg = segments.brand_segments_of(moments, t.brand, exposure)
+    mseg = segments.model_segments_of(moments, t.model, exposure)
+    top = level["top_defects"]
+    summary = profile.dataset_summary(moments)
     return Outputs(
         fact=fact,
         brand_segments=bseg,
@@ -124,10 +124,10 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
         brand_ranking=rankings.brand_ranking(bseg, t.brand_ranking, t.ranking_size),
         model_ranking=rankings.model_ranking(mseg, t.model_ranking, t.ranking_size),
         summary=summary,
-        metadata=profile.metadata_flat(bseg, mseg, fact, t),
-        yearly_trend=profile.yearly_trend(fact, t.yearly_trend),
-        fleet_age=profile.fleet_age(fact, t.fleet_age_vehicles, t.fleet_age_min, t.fleet_age_max),
-        fuel_domain=profile.fuel_domain(fact),
+        metadata=profile.metadata_flat(bseg, mseg, summary, segments.age_bounds(age_base), t),
+        yearly_trend=level["yearly_trend"],
+        fleet_age=profile.fleet_age(age_base, t.fleet_age_vehicles, t.fleet_age_min, t.fleet_age_max),
+        fuel_domain=profile.fuel_domain(moments),
         top_defects=top,
         defect_headline=D.defect_headline(top, summary.select("total_inspections")),
         brand_breakdown=D.breakdown_rollup(model_bd),
@@ -147,8 +147,8 @@ def documents(out: Outputs) -> dict[str, DataFrame]:
         out.model_per_age, P.MODEL_KEYS)
     return {
         # Segments ordered by defects per vehicle-year (range-partitioned sort)
-        "brand_stats": publish.with_fuel_struct(brand_docs).orderBy("defects_per_vehicle_year", *P.BRAND_KEYS),
-        "model_stats": publish.with_fuel_struct(model_docs).orderBy("defects_per_vehicle_year", *P.MODEL_KEYS),
+        "brand_stats": segments.by_rate(publish.with_fuel_struct(brand_docs), P.BRAND_KEYS),
+        "model_stats": segments.by_rate(publish.with_fuel_struct(model_docs), P.MODEL_KEYS),
         "rankings": publish.rankings_document(out.brand_ranking, out.model_ranking),
         "metadata": publish.metadata_document(out.metadata, out.yearly_trend, out.fleet_age, out.fuel_domain),
         "defect_stats": publish.defect_stats_document(out.top_defects, out.defect_headline),

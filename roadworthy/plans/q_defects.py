@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadworthy import params as P
-from roadworthy.functions import classify as C
 from roadworthy.operators import defects as D
+from roadworthy.operators.profile import combine_rows
 from roadworthy.plans import oracle as O
-from roadworthy.plans.catalog import T, fact_of, register, sources
+from roadworthy.plans.catalog import T, fact_of, positions, register, sources
 
 # Codes are shifted by 200 for the classifier queries so the small code range
 # of the test tables overlaps the wear-and-tear list (FIXTURES.md part B).
 OFF = 200
-OVERRIDES = {"215": True, "241": True, "250": False}
-TOGGLED = ("205", "250")
+OVERRIDES = {"215": True, "241": True, "262": False}
+TOGGLED = ("207", "262", "AC1")
+# Fixed values, written here a second time so that the check does not rest on the classifier's own list.
+CHECK_CODES = {
+    "tires": "203 204 205 206 207 208 209 210 211 212 213 214 215 216 217 218 701 874 875 876 877 992 AC1 RA4",
+    "lighting": "475 487 497 507 532 556 571 572 573 584 589 601 516 517 518 519 520 521 522 524 598 542 576 710",
+    "wipers": "388 389 391 392 393",
+    "brake_wear": "289 290 311 312 313 AC5 705",
+    "shock_absorbers": "241 AC2 702",
+    "exhaust_wear": "115 116 117",
+    "administrative": "AC4 704",
+}
 SEARCH = "21"
 
 
@@ -24,18 +37,16 @@ def _sql_clean(c: str) -> str:
 
 def sql_is_wear(c: str) -> str:
     cc = _sql_clean(c)
-    codes = ", ".join(f"'{x}'" for x in C.ALL_WEAR_CODES)
-    prefixes = " OR ".join(f"starts_with({cc}, '{p}')" for p in C.WEAR_PREFIXES)
-    return f"coalesce(({cc} IN ({codes}) OR {prefixes}), false)"
+    codes = ", ".join(f"'{x}'" for line in CHECK_CODES.values() for x in line.split())
+    return f"coalesce(({cc} IN ({codes}) OR starts_with({cc}, 'AP') OR starts_with({cc}, 'OP')), false)"
 
 
 def sql_category(c: str) -> str:
     cc = _sql_clean(c)
     whens = " ".join(
-        f"WHEN {cc} IN ({', '.join(repr(x) for x in codes)}) THEN '{cat}'" for cat, codes in C.WEAR_CODES.items()
+        f"WHEN {cc} IN ({', '.join(repr(x) for x in codes.split())}) THEN '{cat}'" for cat, codes in CHECK_CODES.items()
     )
-    pre = " ".join(f"WHEN starts_with({cc}, '{p}') THEN 'administrative'" for p in C.WEAR_PREFIXES)
-    return f"CASE {whens} {pre} END"
+    return f"CASE {whens} WHEN starts_with({cc}, 'AP') OR starts_with({cc}, 'OP') THEN 'administrative' END"
 
 
 def sql_reliability(c: str, overrides: dict | None = None) -> str:
@@ -55,7 +66,8 @@ top1 AS (SELECT *, {O.R('"count" / sum("count") OVER () * 100', 2)} AS percentag
 top AS (
   SELECT t.gebrek_identificatie AS defect_code,
          coalesce(c.gebrek_omschrijving, 'Onbekend gebrek') AS defect_description, t."count", t.percentage
-  FROM top1 t LEFT JOIN codes c ON t.gebrek_identificatie = c.gebrek_identificatie)"""
+  FROM top1 t LEFT JOIN (SELECT gebrek_identificatie, max(gebrek_omschrijving) AS gebrek_omschrijving FROM codes GROUP BY 1) c
+    ON t.gebrek_identificatie = c.gebrek_identificatie)"""
 
 
 def top_cte(k: int = T.top_codes) -> str:
@@ -75,8 +87,8 @@ mbd AS (SELECT merk, handelsbenaming, gebrek_identificatie AS defect_code, {O.SU
 
 INDEX_CTE = """
 , idx AS (
-  SELECT gebrek_identificatie AS defect_code, coalesce(gebrek_omschrijving, '') AS description
-  FROM codes WHERE gebrek_identificatie IS NOT NULL AND gebrek_identificatie <> '')"""
+  SELECT gebrek_identificatie AS defect_code, coalesce(max(gebrek_omschrijving), '') AS description
+  FROM codes WHERE gebrek_identificatie IS NOT NULL AND gebrek_identificatie <> '' GROUP BY 1)"""
 
 
 def excluded_sql(toggled=TOGGLED) -> str:
@@ -95,7 +107,7 @@ def a16_top_defects(spark, sf_dir):
 
 
 @register("a17_defect_headline", lambda: O.q(f"""
-SELECT {O.SUMI('"count"')} AS total_defects, (SELECT count(*) FROM fact) AS total_inspections,
+SELECT {O.SUMI('"count"')} AS total_defects, (SELECT CAST(sum("count") AS BIGINT) FROM cc) AS all_defects, (SELECT count(*) FROM fact) AS total_inspections,
        CASE WHEN (SELECT count(*) FROM fact) > 0
             THEN {O.R('sum("count") / (SELECT count(*) FROM fact)', 2)} ELSE 0.0 END AS avg_defects_per_inspection
 FROM top""", T, top_cte()))
@@ -103,7 +115,8 @@ def a17_defect_headline(spark, sf_dir):
     src = sources(spark, sf_dir)
     top = D.top_defects(src.defects, src.codes, T.top_codes)
     insp = fact_of(src).agg(F.count(F.lit(1)).alias("total_inspections"))
-    return D.defect_headline(top, insp)
+    every = D.code_counts(src.defects).agg(F.sum("count").alias("all_defects"))
+    return combine_rows(D.defect_headline(top, insp), every)
 
 
 @register("a18_brand_breakdown", lambda: O.q("SELECT * FROM bbd", T, JOINED_CTE))
@@ -211,10 +224,46 @@ def p27_defect_search(spark, sf_dir):
 
 
 @register("p29_code_search", lambda: O.q(f"""
-SELECT * FROM idx WHERE lower(defect_code) LIKE '%{SEARCH}%' OR lower(description) LIKE '%{SEARCH}%'""",
-                                           T, INDEX_CTE))
+SELECT *, CAST(row_number() OVER (ORDER BY defect_code) AS INTEGER) AS position
+FROM idx WHERE lower(defect_code) LIKE '%{SEARCH}%' OR lower(description) LIKE '%{SEARCH}%'""",
+                                           T, INDEX_CTE, OFF))
 def p29_code_search(spark, sf_dir):
-    return D.code_search(D.code_index(sources(spark, sf_dir).codes), SEARCH)
+    return positions(D.code_search(D.code_index(sources(spark, sf_dir, OFF).codes), SEARCH))
+
+
+@register("p21_modes", lambda: O.q(f"""
+SELECT 'custom' AS mode, defect_code FROM idx WHERE defect_code IN ('207', 'RA4') AND defect_code <> 'RA4' OR defect_code = '262'
+UNION ALL
+SELECT 'bulk', defect_code FROM idx WHERE lower(defect_code) LIKE '%{SEARCH}%' OR lower(description) LIKE '%{SEARCH}%'
+UNION ALL
+SELECT 'reliability', defect_code FROM idx WHERE {sql_is_wear('defect_code')}""", T, INDEX_CTE, OFF))
+def p21_modes(spark, sf_dir):
+    """Excluded codes of the modes (``all`` leaves none out) and the codes of a bulk action."""
+    idx = D.code_index(sources(spark, sf_dir, OFF).codes)
+    parts = {"all": D.excluded_codes(idx, "all"), "custom": D.excluded_codes(idx, "custom", ("207", "RA4"), ("RA4", "262")),
+             "bulk": D.bulk_toggle_codes(idx, SEARCH), "reliability": D.excluded_codes(idx, "reliability")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(mode).alias("mode"), "defect_code") for mode, df in parts.items()])
+
+
+@register("a16_top_defects_of_all", lambda: O.q(f"""
+SELECT * REPLACE ({O.R('"count" / (SELECT sum("count") FROM cc) * 100', 2)} AS percentage) FROM top""", T, top_cte(7)))
+def a16_top_defects_of_all(spark, sf_dir):
+    """Shares of all defects, not of the listed ones."""
+    src = sources(spark, sf_dir)
+    return D.top_defects(src.defects, src.codes, 7, denominator="all")
+
+
+@register("p20_stored_flag", lambda: O.q(f"""
+SELECT defect_code, defect_description, "count", percentage, stored,
+       CASE WHEN defect_code = '215' THEN true ELSE coalesce(stored, {sql_reliability('defect_code')}) END AS computed_is_reliability
+FROM (SELECT *, CASE "count" % 3 WHEN 0 THEN true WHEN 1 THEN false END AS stored FROM top)""", T, top_cte(), OFF))
+def p20_stored_flag(spark, sf_dir):
+    """P20: override before stored flag before classifier."""
+    src = sources(spark, sf_dir, OFF)
+    third = F.col("count") % 3
+    top = D.top_defects(src.defects, src.codes, T.top_codes).withColumn(
+        "stored", F.when(third == 0, True).when(third == 1, False))
+    return D.with_reliability(top, {"215": True}, stored="stored")
 
 
 @register("a46_top_defects_per_brand", lambda: O.q(f"""

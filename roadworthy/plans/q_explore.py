@@ -7,7 +7,7 @@ from roadworthy.operators import defects as D
 from roadworthy.operators import explore as X
 from roadworthy.operators import profile, rankings, segments
 from roadworthy.plans import oracle as O
-from roadworthy.plans.catalog import T, fact_of, register, sources
+from roadworthy.plans.catalog import T, fact_of, positions, register, sources
 from roadworthy.plans.q_defects import INDEX_CTE, JOINED_CTE, OFF, TOGGLED, excluded_sql
 from roadworthy.plans.q_segments import ranking_sql
 
@@ -271,10 +271,20 @@ def t6_total_pages(spark, sf_dir):
 
 
 @register("t5_table_sort", lambda: Q(V_BRANDS, "bseg", wrap=(
-    "SELECT * FROM ({}) ORDER BY std_defects_per_inspection ASC NULLS LAST, merk ASC NULLS FIRST")))
+    "SELECT *, CAST(row_number() OVER (ORDER BY std_defects_per_inspection ASC NULLS LAST, merk ASC NULLS FIRST) AS INTEGER) "
+    "AS position FROM ({})")))
 def t5_table_sort(spark, sf_dir):
     """T5: the whole view sorted by a column (nulls last ascending)."""
-    return X.table_sort(_view(spark, sf_dir, V_BRANDS), "std_defects_per_inspection", True, [P.MERK])
+    return positions(X.table_sort(_view(spark, sf_dir, V_BRANDS), "std_defects_per_inspection", True, [P.MERK]))
+
+
+@register("t5_table_sort_descending", lambda: Q(V_MODELS, "mseg", wrap=(
+    "SELECT merk, handelsbenaming, std_defects_per_inspection, CAST(row_number() OVER (ORDER BY std_defects_per_inspection DESC NULLS FIRST, "
+    "merk ASC NULLS FIRST, handelsbenaming ASC NULLS FIRST) AS INTEGER) AS position FROM ({})")))
+def t5_table_sort_descending(spark, sf_dir):
+    """T5: nulls first when descending."""
+    v = X.table_sort(_view(spark, sf_dir, V_MODELS), "std_defects_per_inspection", False, [P.MERK, P.HANDELSBENAMING])
+    return positions(v.select(P.MERK, P.HANDELSBENAMING, "std_defects_per_inspection"))
 
 
 @register("t10_display_cut", lambda: Q(V_MODELS, "mseg", wrap=(
@@ -292,9 +302,10 @@ def p41_default_age_window(spark, sf_dir):
 
 
 @register("a20_brand_popularity", lambda: O.q(
-    f"SELECT merk, {O.SUMI('vehicle_count')} AS vehicle_count FROM bseg GROUP BY merk", T))
+    f"SELECT *, CAST(row_number() OVER (ORDER BY vehicle_count DESC, merk) AS INTEGER) AS position FROM ("
+    f"SELECT merk, {O.SUMI('vehicle_count')} AS vehicle_count FROM bseg GROUP BY merk)", T))
 def a20_brand_popularity(spark, sf_dir):
-    return X.brand_popularity(_fact_segs(spark, sf_dir)[2])
+    return positions(X.brand_popularity(_fact_segs(spark, sf_dir)[2]))
 
 
 @register("p30_brand_search", lambda: O.q(
@@ -312,12 +323,13 @@ def a36_totals(spark, sf_dir):
 
 
 @register("a37_fuel_shares", lambda: O.q(f"""
+SELECT *, CAST(row_number() OVER (ORDER BY "count" DESC, fuel) AS INTEGER) AS position FROM (
 SELECT primary_fuel AS fuel, {O.SUMI('vehicle_count')} AS "count",
        CASE WHEN sum(sum(vehicle_count)) OVER () > 0
             THEN {O.R('sum(vehicle_count) / sum(sum(vehicle_count)) OVER ()', 6)} ELSE 0.0 END AS share
-FROM bseg GROUP BY primary_fuel""", T))
+FROM bseg GROUP BY primary_fuel)""", T))
 def a37_fuel_shares(spark, sf_dir):
-    return X.fuel_shares(_fact_segs(spark, sf_dir)[2])
+    return positions(X.fuel_shares(_fact_segs(spark, sf_dir)[2]))
 
 
 TOP_BRANDS_CTE = f"""
@@ -329,15 +341,17 @@ TOP_BRANDS_CTE = f"""
 
 
 @register("a38_top_brand_average", lambda: O.q(
-    f"SELECT merk, {O.R('total_defects / total_inspections', 6)} AS value, vehicle_count FROM tb", T, TOP_BRANDS_CTE))
+    f"SELECT *, CAST(row_number() OVER (ORDER BY value DESC, merk) AS INTEGER) AS position FROM ("
+    f"SELECT merk, {O.R('total_defects / total_inspections', 6)} AS value, vehicle_count FROM tb)", T, TOP_BRANDS_CTE))
 def a38_top_brand_average(spark, sf_dir):
-    return X.top_brand_averages(_fact_segs(spark, sf_dir)[2])
+    return positions(X.top_brand_averages(_fact_segs(spark, sf_dir)[2]))
 
 
 @register("a39_defect_found_rate", lambda: O.q(
-    f"SELECT merk, {O.R('iwd / total_inspections', 6)} AS value, vehicle_count FROM tb", T, TOP_BRANDS_CTE))
+    f"SELECT *, CAST(row_number() OVER (ORDER BY value DESC, merk) AS INTEGER) AS position FROM ("
+    f"SELECT merk, {O.R('iwd / total_inspections', 6)} AS value, vehicle_count FROM tb)", T, TOP_BRANDS_CTE))
 def a39_defect_found_rate(spark, sf_dir):
-    return X.defect_found_rate(_fact_segs(spark, sf_dir)[2])
+    return positions(X.defect_found_rate(_fact_segs(spark, sf_dir)[2]))
 
 
 @register("a40_spread", lambda: O.q(f"""

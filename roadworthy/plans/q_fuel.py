@@ -7,7 +7,7 @@ from roadworthy.operators import explore as X
 from roadworthy.operators import fuel as FU
 from roadworthy.operators import segments
 from roadworthy.plans import oracle as O
-from roadworthy.plans.catalog import T, fact_of, register, sources
+from roadworthy.plans.catalog import T, fact_of, positions, register, six_digits, sources
 
 FUEL_CTE = f"""
 , fwv AS (
@@ -113,14 +113,14 @@ def model_segments_with_fuel(spark, sf_dir):
     return FU.attach_breakdown(seg, wide, [P.MERK, P.HANDELSBENAMING])
 
 
-@register("j8_segments_with_fuel", lambda: O.q("SELECT * FROM bsegf", T, SEG_FUEL_CTE))
+@register("j8_segments_with_fuel", lambda: O.q(O.six("bsegf"), T, SEG_FUEL_CTE))
 def j8_segments_with_fuel(spark, sf_dir):
-    return brand_segments_with_fuel(spark, sf_dir)
+    return six_digits(brand_segments_with_fuel(spark, sf_dir))
 
 
-@register("j8_model_segments_with_fuel", lambda: O.q("SELECT * FROM msegf", T, SEG_FUEL_CTE))
+@register("j8_model_segments_with_fuel", lambda: O.q(O.six("msegf"), T, SEG_FUEL_CTE))
 def j8_model_segments_with_fuel(spark, sf_dir):
-    return model_segments_with_fuel(spark, sf_dir)
+    return six_digits(model_segments_with_fuel(spark, sf_dir))
 
 
 @register("a35_fuel_view", lambda: O.q(fuel_view_sql(FUEL_VIEW, "bsegf"), T, SEG_FUEL_CTE))
@@ -134,9 +134,10 @@ def a35_fuel_view_models(spark, sf_dir):
 
 
 @register("t8_fuel_view_sort", lambda: O.q(
-    "SELECT * FROM (" + fuel_view_sql(FUEL_VIEW, "bsegf") + ") ORDER BY diesel_pct DESC, merk ASC",
+    "SELECT *, CAST(row_number() OVER (ORDER BY diesel_pct DESC, merk ASC) AS INTEGER) AS position FROM ("
+    + fuel_view_sql(FUEL_VIEW, "bsegf") + ")",
     T, SEG_FUEL_CTE))
 def t8_fuel_view_sort(spark, sf_dir):
     """The whole fuel view sorted by a percent column."""
     v = X.fuel_view(brand_segments_with_fuel(spark, sf_dir), FUEL_VIEW)
-    return X.fuel_view_sort(v, "diesel_pct", ascending=False)
+    return positions(X.fuel_view_sort(v, "diesel_pct", ascending=False))

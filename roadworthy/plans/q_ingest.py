@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadworthy import params as P
+from roadworthy.functions.normalize import plate_prefix
 from roadworthy.plans import oracle as O
 from roadworthy.plans.catalog import T, fact_of, register, sources
 from roadworthy.session import shared_dir
@@ -21,6 +22,21 @@ VEHICLE_COLS = [P.KENTEKEN, P.VOERTUIGSOORT, P.MERK, P.HANDELSBENAMING, P.DATUM_
 AS_OF, DAYS = "2001-12-31", 365
 
 
+def _odd_plates(v):
+    """Vehicles of which a third have a plate that no prefix covers: lower case, a sign, or none."""
+    k, n = F.col(P.KENTEKEN), F.length(P.KENTEKEN) + F.col(P.KENTEKEN).cast("int")
+    return v.withColumn(P.KENTEKEN, F.when(n % 9 == 0, F.concat(F.lit("x"), k)).when(n % 9 == 3, F.concat(F.lit("-"), k))
+                        .when(n % 9 == 6, F.lit(None).cast("string")).otherwise(k))
+
+
+ODD_PLATES = """
+, odd AS (
+  SELECT * REPLACE (CASE WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 0 THEN 'x' || kenteken
+                         WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 3 THEN '-' || kenteken
+                         WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 6 THEN NULL ELSE kenteken END AS kenteken)
+  FROM vehicles)"""
+
+
 @register("s2_scan_projection", lambda: O.q(
     "SELECT l_partkey, CAST(l_shipdate AS DATE) AS ship_day, l_linestatus FROM lineitem WHERE l_returnflag = 'R'",
     T))
@@ -31,6 +47,39 @@ def s2_scan_projection(spark, sf_dir):
         "l_partkey", F.col("l_shipdate").cast("date").alias("ship_day"), "l_linestatus")
 
 
+@register("s1_logical_views", lambda: O.q("""
+SELECT 'm9d7-ebf2' AS dataset, 'voertuigen' AS name, count(*) AS "rows", count(DISTINCT kenteken) AS plates FROM vehicles
+UNION ALL SELECT 'sgfe-77wx', 'meldingen', count(*), count(DISTINCT kenteken) FROM inspections
+UNION ALL SELECT 'a34c-vvps', 'geconstateerde_gebreken', count(*), count(DISTINCT kenteken) FROM defects
+UNION ALL SELECT 'hx2c-gt7k', 'gebreken', count(*), NULL FROM codes
+UNION ALL SELECT '8ys7-d773', 'brandstof', count(*), count(DISTINCT kenteken) FROM fuel""", T))
+def s1_logical_views(spark, sf_dir):
+    """The logical tables by dataset id, as views for SQL users."""
+    src = sources(spark, sf_dir)
+    tables.register_views({"voertuigen": src.vehicles, "meldingen": src.inspections, "geconstateerde_gebreken": src.defects,
+                           "gebreken": src.codes, "brandstof": src.fuel})
+    plates = lambda n: "NULL" if n == "gebreken" else "count(DISTINCT kenteken)"
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{i}' AS dataset, '{n}' AS name, count(*) AS rows, CAST({plates(n)} AS BIGINT) AS plates FROM {n}"
+        for i, n in tables.DATASETS.items()))
+
+
+@register("s3_load_columns", lambda: O.q("SELECT kenteken, merk FROM vehicles WHERE handelsbenaming IS NOT NULL", T))
+def s3_load_columns(spark, sf_dir):
+    """S2 + S3: a logical table written under its name, loaded with chosen columns and a filter."""
+    base = shared_dir(spark, "s3")
+    I.to_parquet(sources(spark, sf_dir).vehicles, f"{base}/voertuigen.parquet")
+    named = tables.scan(spark, base, "voertuigen").where(F.col(P.HANDELSBENAMING).isNotNull())
+    return named.select(*tables.load(spark, base, "voertuigen", [P.KENTEKEN, P.MERK]).columns)
+
+
+@register("p2_plate_prefix", lambda: O.q("""
+SELECT coalesce(upper(substr(kenteken, 1, 1)), '') AS prefix, count(*) AS "rows" FROM odd GROUP BY ALL""", T, ODD_PLATES))
+def p2_plate_prefix(spark, sf_dir):
+    v = _odd_plates(sources(spark, sf_dir).vehicles)
+    return v.groupBy(plate_prefix(F.col(P.KENTEKEN)).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("s4_csv_round_trip", lambda: O.q("SELECT * FROM vehicles", T))
 def s4_csv_round_trip(spark, sf_dir):
     v = sources(spark, sf_dir).vehicles
@@ -41,21 +90,6 @@ def s4_csv_round_trip(spark, sf_dir):
     return spark.read.parquet(base + "/parquet")
 
 
-def _odd_plates(v):
-    """Vehicles of which a third have a plate that no prefix covers: lower case, a sign, or none."""
-    k, n = F.col(P.KENTEKEN), F.length(P.KENTEKEN) + F.col(P.KENTEKEN).cast("int")
-    return v.withColumn(P.KENTEKEN, F.when(n % 9 == 0, F.concat(F.lit("x"), k)).when(n % 9 == 3, F.concat(F.lit("-"), k))
-                        .when(n % 9 == 6, F.lit(None).cast("string")).otherwise(k))
-
-
-ODD_PLATES = """
-, odd AS (
-  SELECT * REPLACE (CASE WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 0 THEN 'x' || kenteken
-                         WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 3 THEN '-' || kenteken
-                         WHEN (length(kenteken) + CAST(kenteken AS INTEGER)) % 9 = 6 THEN NULL ELSE kenteken END AS kenteken)
-  FROM vehicles)"""
-
-
 def _staged_shards(spark, sf_dir):
     """Vehicles, and the frames of their shards: shard '1' lacks the price column
     and shard '2' carries an extra column, as drifting exports do."""

@@ -62,8 +62,8 @@ SELECT r.kenteken, r.report_rank, {_date_disp('r.meld_datum_door_keuringsinstant
        d.defect_rank, d.gebrek_identificatie AS defect_code, d.description, d.aantal_gebreken_geconstateerd AS defect_count
 FROM ra r LEFT JOIN (
   SELECT x.*, CASE WHEN c.d <> '' THEN c.d END AS description
-  FROM rd x LEFT JOIN (SELECT gebrek_identificatie, coalesce(gebrek_omschrijving, '') AS d FROM codes
-                       WHERE gebrek_identificatie IS NOT NULL AND gebrek_identificatie <> '') c
+  FROM rd x LEFT JOIN (SELECT gebrek_identificatie, coalesce(max(gebrek_omschrijving), '') AS d FROM codes
+                       WHERE gebrek_identificatie IS NOT NULL AND gebrek_identificatie <> '' GROUP BY 1) c
     ON x.gebrek_identificatie = c.gebrek_identificatie) d
   ON r.kenteken = d.kenteken AND r.meld_datum_door_keuringsinstantie = d.meld_datum_door_keuringsinstantie""",
                                                T, TYPED_CTE))

@@ -32,12 +32,12 @@ ranges AS (
 
 @register("a11_dataset_summary", lambda: O.q("SELECT * FROM summary", T, SUMMARY_CTE))
 def a11_dataset_summary(spark, sf_dir):
-    return profile.dataset_summary(fact_of(sources(spark, sf_dir)))
+    return profile.dataset_summary(segments.model_moments(fact_of(sources(spark, sf_dir))))
 
 
 @register("a12_fuel_domain", lambda: O.q("SELECT DISTINCT primary_fuel FROM fact", T))
 def a12_fuel_domain(spark, sf_dir):
-    return profile.fuel_domain(fact_of(sources(spark, sf_dir)))
+    return profile.fuel_domain(segments.model_moments(fact_of(sources(spark, sf_dir))))
 
 
 @register("a13_yearly_trend", lambda: O.q(f"""
@@ -55,7 +55,7 @@ SELECT age_at_inspection, count(*) AS total_inspections, {O.SUMI('defect_count')
 FROM fact WHERE age_at_inspection BETWEEN {T.fleet_age_min} AND {T.fleet_age_max}
 GROUP BY age_at_inspection HAVING count(DISTINCT kenteken) >= {T.fleet_age_vehicles}""", T))
 def a14_fleet_age(spark, sf_dir):
-    return profile.fleet_age(fact_of(sources(spark, sf_dir)), T.fleet_age_vehicles, T.fleet_age_min,
+    return profile.fleet_age(segments.per_age_base(fact_of(sources(spark, sf_dir))), T.fleet_age_vehicles, T.fleet_age_min,
                              T.fleet_age_max)
 
 
@@ -63,18 +63,20 @@ def a14_fleet_age(spark, sf_dir):
 SELECT coalesce({O.R('avg(CASE WHEN defect_count = 0 THEN 1.0 ELSE 0.0 END)', 4)}, 0.0) AS zero_defect_rate
 FROM fact""", T))
 def a15_zero_defect_rate(spark, sf_dir):
-    return profile.zero_defect_rate(fact_of(sources(spark, sf_dir)))
+    return profile.zero_defect_rate(segments.model_moments(fact_of(sources(spark, sf_dir))))
 
 
 def _segs(spark, sf_dir):
+    """Brand and model segments, dataset summary and age bounds from the two model-level tables."""
     fact = fact_of(sources(spark, sf_dir))
-    return fact, segments.brand_segments(fact, T.brand), segments.model_segments(fact, T.model)
+    moments = segments.model_moments(fact)
+    return (segments.brand_segments_of(moments, T.brand), segments.model_segments_of(moments, T.model),
+            profile.dataset_summary(moments), segments.age_bounds(segments.per_age_base(fact)))
 
 
 @register("a24_filter_ranges", lambda: O.q("SELECT * FROM ranges", T, RANGES_CTE))
 def a24_filter_ranges(spark, sf_dir):
-    fact, b, m = _segs(spark, sf_dir)
-    return profile.filter_ranges(b, m, profile.dataset_summary(fact), segments.age_bounds(fact))
+    return profile.filter_ranges(*_segs(spark, sf_dir))
 
 
 @register("a25_metadata_flat", lambda: O.q(f"""
@@ -84,5 +86,4 @@ SELECT {T.brand} AS threshold_brand, {T.model} AS threshold_model, {T.age_bracke
        s.consumer_vehicles, s.commercial_vehicles, s.zero_defect_rate
 FROM ranges r, summary s""", T, RANGES_CTE))
 def a25_metadata_flat(spark, sf_dir):
-    fact, b, m = _segs(spark, sf_dir)
-    return profile.metadata_flat(b, m, fact, T)
+    return profile.metadata_flat(*_segs(spark, sf_dir), T)

@@ -5,17 +5,44 @@ from __future__ import annotations
 from roadworthy import params as P
 from roadworthy.operators import facts, rankings, segments
 from roadworthy.plans import oracle as O
-from roadworthy.plans.catalog import T, fact_of, register, sources
+from roadworthy.plans.catalog import T, fact_of, positions, register, six_digits, sources
 
 
-@register("a6_brand_segments", lambda: O.q("SELECT * FROM bseg", T))
+def _per_age_sql(keys: str) -> str:
+    return f"""
+SELECT {keys}, age_at_inspection, count(DISTINCT kenteken) AS vehicle_count, count(*) AS total_inspections,
+       CAST(sum(defect_count) AS DOUBLE) AS total_defects,
+       {O.R('sum(defect_count) / count(*)', 4)} AS avg_defects_per_inspection
+FROM fact GROUP BY {keys}, age_at_inspection
+HAVING count(DISTINCT kenteken) >= {T.age_bracket}"""
+
+
+@register("a6_brand_segments", lambda: O.q(O.six("bseg"), T))
 def a6_brand_segments(spark, sf_dir):
-    return segments.brand_segments(fact_of(sources(spark, sf_dir)), T.brand)
+    return six_digits(segments.brand_segments(fact_of(sources(spark, sf_dir)), T.brand))
 
 
-@register("a7_model_segments", lambda: O.q("SELECT * FROM mseg", T))
+@register("a7_model_segments", lambda: O.q(O.six("mseg"), T))
 def a7_model_segments(spark, sf_dir):
-    return segments.model_segments(fact_of(sources(spark, sf_dir)), T.model)
+    return six_digits(segments.model_segments(fact_of(sources(spark, sf_dir)), T.model))
+
+
+@register("t1_segment_order", lambda: O.q("""
+SELECT merk, handelsbenaming, vehicle_type_group, primary_fuel, CAST(row_number() OVER (ORDER BY defects_per_vehicle_year NULLS FIRST,
+  merk NULLS FIRST, handelsbenaming NULLS FIRST, vehicle_type_group, primary_fuel) AS INTEGER) AS position FROM mseg""", T))
+def t1_segment_order(spark, sf_dir):
+    """Model segments in publishing order."""
+    seg = segments.model_segments(fact_of(sources(spark, sf_dir)), T.model)
+    return positions(segments.by_rate(seg, P.MODEL_KEYS).select(*P.MODEL_KEYS))
+
+
+@register("t2_per_age_order", lambda: O.q("SELECT merk, vehicle_type_group, primary_fuel, age_at_inspection, "
+          "CAST(row_number() OVER (ORDER BY merk, vehicle_type_group, primary_fuel, age_at_inspection) AS INTEGER) AS position FROM ("
+          + _per_age_sql("merk, vehicle_type_group, primary_fuel") + ")", T))
+def t2_per_age_order(spark, sf_dir):
+    """Per-age rows in publishing order."""
+    rows = segments.per_age(fact_of(sources(spark, sf_dir)), P.BRAND_KEYS, T.age_bracket)
+    return positions(segments.by_age(rows, P.BRAND_KEYS).select(*P.BRAND_KEYS, "age_at_inspection"))
 
 
 @register("w1_model_totals", lambda: O.q("""
@@ -26,15 +53,6 @@ def w1_model_totals(spark, sf_dir):
     return segments.model_totals(fact_of(sources(spark, sf_dir)))
 
 
-def _per_age_sql(keys: str) -> str:
-    return f"""
-SELECT {keys}, age_at_inspection, count(DISTINCT kenteken) AS vehicle_count, count(*) AS total_inspections,
-       CAST(sum(defect_count) AS DOUBLE) AS total_defects,
-       {O.R('sum(defect_count) / count(*)', 4)} AS avg_defects_per_inspection
-FROM fact GROUP BY {keys}, age_at_inspection
-HAVING count(DISTINCT kenteken) >= {T.age_bracket}"""
-
-
 @register("a8_brand_per_age", lambda: O.q(_per_age_sql("merk, vehicle_type_group, primary_fuel"), T))
 def a8_brand_per_age(spark, sf_dir):
     return segments.per_age(fact_of(sources(spark, sf_dir)), P.BRAND_KEYS, T.age_bracket)
@@ -50,7 +68,7 @@ def a8_model_per_age(spark, sf_dir):
 SELECT coalesce(min(age_at_inspection), 0) AS min_age, coalesce(max(age_at_inspection), 0) AS max_age
 FROM fact""", T))
 def a9_age_bounds(spark, sf_dir):
-    return segments.age_bounds(fact_of(sources(spark, sf_dir)))
+    return segments.age_bounds(segments.per_age_base(fact_of(sources(spark, sf_dir))))
 
 
 def ranking_sql(src: str, keys: str, threshold: int, k: int = 10) -> str:
@@ -85,6 +103,21 @@ def t4_brand_ranking(spark, sf_dir):
     return rankings.brand_ranking(seg, T.brand_ranking, T.ranking_size)
 
 
+@register("t4_zero_rate_unknown", lambda: O.q("""
+SELECT ranking, CAST(rank AS INTEGER) AS rank, merk, handelsbenaming FROM (
+  SELECT 'most_reliable_models' AS ranking, row_number() OVER (ORDER BY CASE WHEN rate = 0 THEN 'infinity'::DOUBLE ELSE rate END ASC,
+           vehicle_count DESC, merk ASC NULLS FIRST, handelsbenaming ASC NULLS FIRST) AS rank, merk, handelsbenaming FROM rated
+  UNION ALL
+  SELECT 'least_reliable_models', row_number() OVER (ORDER BY CASE WHEN rate = 0 THEN 'infinity'::DOUBLE ELSE rate END DESC,
+           vehicle_count DESC, merk ASC NULLS FIRST, handelsbenaming ASC NULLS FIRST), merk, handelsbenaming FROM rated)
+WHERE rank <= 10""", T, ranking_sql("mseg", "merk, handelsbenaming", 1)))
+def t4_zero_rate_unknown(spark, sf_dir):
+    """T4 with a zero rate taken as unknown (D2): such models end the one list and head the other."""
+    seg = segments.model_segments(fact_of(sources(spark, sf_dir)), T.model)
+    return rankings.model_ranking(seg, 1, T.ranking_size, zero_rate_as_unknown=True).select(
+        "ranking", "rank", P.MERK, P.HANDELSBENAMING)
+
+
 @register("t4_model_ranking",
           lambda: O.q("SELECT * FROM ranked", T, ranking_sql("mseg", "merk, handelsbenaming", T.model_ranking)))
 def t4_model_ranking(spark, sf_dir):
@@ -92,9 +125,9 @@ def t4_model_ranking(spark, sf_dir):
     return rankings.model_ranking(seg, T.model_ranking, T.ranking_size)
 
 
-@register("d1_coverage_exposure", lambda: O.q("SELECT * FROM bseg_cov", T, O.coverage_ctes(T)))
+@register("d1_coverage_exposure", lambda: O.q(O.six("bseg_cov"), T, O.coverage_ctes(T)))
 def d1_coverage_exposure(spark, sf_dir):
     """Brand segments with vehicle-years from the documented coverage years."""
     src = sources(spark, sf_dir)
     fact = facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel, with_coverage=True)
-    return segments.brand_segments(fact, T.brand, exposure="coverage")
+    return six_digits(segments.brand_segments(fact, T.brand, exposure="coverage"))

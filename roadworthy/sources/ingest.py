@@ -28,11 +28,13 @@ SHARD_PREFIXES: tuple[str, ...] = tuple(string.digits + string.ascii_uppercase)
 OTHER_SHARD = "other"
 
 
+# The writer would trim values otherwise.
+_CSV = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """S4 (write side): every column as text with a header."""
-    df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("overwrite").option(
-        "header", True
-    ).csv(path)
+    df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("overwrite").options(**_CSV).csv(path)
     return path
 
 
@@ -89,7 +91,7 @@ def write_shards(df: DataFrame, base: str, plate_col: str = P.KENTEKEN,
     tagged = df.withColumn("shard", F.coalesce(shard_of(F.col(plate_col)), F.lit(OTHER_SHARD)))
     common = tagged.where(~F.col("shard").isin(*odd)) if odd else tagged
     common.select(*[F.col(c).cast("string").alias(c) for c in df.columns], "shard").write.mode(
-        "overwrite").option("header", True).partitionBy("shard").csv(base)
+        "overwrite").options(**_CSV).partitionBy("shard").csv(base)
     for p in odd:
         part = tagged.where(F.col("shard") == p).drop("shard")
         if p in drop_columns:
@@ -197,6 +199,25 @@ def file_checks(spark: SparkSession, path: str, min_bytes: int) -> DataFrame:
                                  "path string, exists boolean, files bigint, bytes bigint, ok boolean, message string")
 
 
+#: Least size in bytes of each table's file, and of any other table's.
+MIN_BYTES = {
+    "voertuigen": 500_000_000,
+    "meldingen": 250_000_000,
+    "geconstateerde_gebreken": 100_000_000,
+    "gebreken": 10_000,
+    "brandstof": 50_000_000,
+}
+MIN_BYTES_OTHER = 10_000
+
+
+def table_file_checks(spark: SparkSession, base_dir: str, names: Sequence[str],
+                      min_bytes: dict[str, int] = MIN_BYTES) -> DataFrame:
+    """The file check of every named table below ``base_dir``, each with its least size."""
+    checks = [file_checks(spark, f"{base_dir}/{n}.parquet", min_bytes.get(n, MIN_BYTES_OTHER)).withColumn("table", F.lit(n))
+              for n in names]
+    return reduce(DataFrame.unionByName, checks)
+
+
 def duplicate_audit(df: DataFrame) -> DataFrame:
     """Total rows, distinct rows and exact duplicate rows.
 

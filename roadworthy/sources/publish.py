@@ -89,7 +89,7 @@ def explode_per_age(document: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def metadata_document(metadata_flat: DataFrame, yearly: DataFrame, fleet: DataFrame,
-                      fuel_domain: DataFrame) -> DataFrame:
+                      fuel_domain: DataFrame, source: str = "Open Data") -> DataFrame:
     """A25 publishing shape: one row of nested structs and small arrays.
 
     The arrays hold one entry per inspection year, per age (at most 30) and
@@ -110,6 +110,8 @@ def metadata_document(metadata_flat: DataFrame, yearly: DataFrame, fleet: DataFr
         F.struct("brands", "models", "vehicles_processed", "total_inspections", "total_defects",
                  "consumer_vehicles", "commercial_vehicles").alias("counts"),
         F.col("zero_defect_rate"),
+        F.lit(source).alias("source"),
+        F.lit(2).alias("pipeline_stage"),
     )
     arrays = combine_rows(
         yearly.agg(F.sort_array(F.collect_list(F.struct("insp_year", "inspections", "total_defects",
@@ -121,7 +123,7 @@ def metadata_document(metadata_flat: DataFrame, yearly: DataFrame, fleet: DataFr
     )
     both = combine_rows(flat, arrays)
     return both.select(
-        "thresholds", "ranges", "fuel_types", "counts",
+        "thresholds", "ranges", "fuel_types", "counts", "source", "pipeline_stage",
         F.struct("zero_defect_rate", "yearly_trend", "fleet_age_stats").alias("stats"),
     )
 

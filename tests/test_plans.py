@@ -45,10 +45,27 @@ def test_age_bands_without_join(spark):
 
 def test_summary_has_no_expand(spark):
     _, fact = _fact(spark)
-    plan = _plan(profile.dataset_summary(fact))
+    plan = _plan(profile.dataset_summary(segments.model_moments(fact)))
     assert "Expand" not in plan
 
 
+def test_publishing_reads_the_fact_four_times(spark):
+    """Moments, per-age rows, breakdown and yearly trend; the documents read only these."""
+    from roadworthy.plans.pipeline import documents, run_statistics
+    from roadworthy.session import temporary_dir
+
+    src = bind(spark, SF001)
+    with temporary_dir(spark, "plan-test") as work:
+        out = run_statistics(spark, src, P.TEST_SF001, base_dir=work)
+        plan = _plan(documents(out)["metadata"])
+        assert "inspection_stats" not in plan and f"hashpartitioning({P.KENTEKEN}" not in plan
+        for name, doc in documents(out).items():
+            assert "inspection_stats" not in _plan(doc), name
+    import os
+
+    assert not os.path.exists(work.removeprefix("file:"))
+
+
 def test_segments_single_distinct_two_phase(spark):
     _, fact = _fact(spark)
     plan = _plan(segments.brand_segments(fact, 1))
