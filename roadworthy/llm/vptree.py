@@ -128,8 +128,8 @@ class Search:
                 part, d = rows[go], away[go]
                 low, high = ((near_min, near_max), (far_min, far_max))[half]
                 gap = np.maximum(np.maximum(low - d, d - high), 0)
-                # A hair of slack for rounding, so that factor one loses no tie.
-                keep = self.factor * gap <= self.best[part, -1] * (1 + 1e-12) + 1e-300
+                # Slack for the rounding of both distances, so that factor one loses no tie.
+                keep = self.factor * gap <= self.best[part, -1] + 1e-12 * (d + high)
                 self._visit((near, far)[half], part[keep])
 
 
