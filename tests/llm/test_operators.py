@@ -111,7 +111,7 @@ def test_offsets_point_into_the_original_text(spark):
     for block_bytes in (decontamination.BLOCK_BYTES, 1):
         row = decontamination.scan(docs, items, block_bytes=block_bytes).first()
         assert [text[a:b] for a, b in row.spans] == ["QUICK, brown-fox;  jumps"]
-        assert row["items"] == ["7"] and row.n_words == 7
+        assert row["items"] == ["7"] and row.n_words == 8
     clean = decontamination.clean(docs, items)
     assert clean.columns == docs.columns and clean.count() == 0
 
@@ -257,7 +257,7 @@ def test_composite_keys_do_not_run_together(spark):
 def test_licence_variants(spark):
     mit = licenses.TEMPLATES["mit-text"]
     docs = spark.createDataFrame(
-        [(1, "x\nlicensed UNDER the apache licence version 2.0\ny", 0), (2, mit.replace("Software", "Program", 1).replace(". ", ".\n"), 0),
+        [(1, "a first line\nlicensed UNDER the apache licence version 2.0\na last line", 0), (2, mit.replace("Software", "Program", 1).replace(". ", ".\n"), 0),
          (3, "Released under the", 0), (4, None, 0), (5, "license", 0), (6, mit + " " + "word " * 200, 0)], "doc_id long, text string, score int")
     got = {(r.doc_id, r.first_line, r.last_line, r.license): r.score for r in licenses.scan(docs).collect()}
     assert set(got) == {(1, 1, 1, "apache-2.0"), (2, 0, 0, "mit-text")}
