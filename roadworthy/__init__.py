@@ -1,6 +1,6 @@
 """roadworthy: vehicle-inspection reliability analytics as Spark DataFrame jobs.
 
-Every public operator is a function ``DataFrame -> DataFrame`` built from
+Every public operator outside ``llm`` is a function ``DataFrame -> DataFrame`` built from
 built-in ``pyspark.sql.functions``; Catalyst plans the work, AQE re-plans
 shuffles at runtime.  Layout:
 
@@ -9,7 +9,7 @@ shuffles at runtime.  Layout:
 * ``operators``  - fact build, segment statistics, rankings, defects, fuel,
                    exploration (filtered re-aggregation) and plate lookup
 * ``plans``      - whole-pipeline composition and the registered query catalog
-* ``streaming``  - intentionally empty of operators (the workload is batch)
+* ``llm``        - operators for preparing training data (optional, see README)
 """
 
 from roadworthy.params import Thresholds
