@@ -391,6 +391,6 @@ SELECT age_at_inspection, avg_defects_per_inspection,
        avg_defects_per_inspection = max(avg_defects_per_inspection) OVER () AS is_peak
 FROM fa WHERE age_at_inspection BETWEEN 2 AND 25""", T, FLEET_AGE_ALL))
 def a42_age_peak(spark, sf_dir):
-    fa = profile.fleet_age(fact_of(sources(spark, sf_dir)), 1, 1, 30)
+    fa = profile.fleet_age(segments.per_age_base(fact_of(sources(spark, sf_dir))), 1, 1, 30)
     return X.age_peak(fa)
 
