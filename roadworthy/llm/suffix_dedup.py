@@ -49,7 +49,7 @@ from roadworthy.llm.common import setting, written
 
 WIDTH = 50
 GRAM = 16
-PASSES = 4
+PASSES = 3
 #: Bytes of text cut into fragments at a time, of different fragments sorted together, windows in a range.
 PIECE, BLOCK, RANGE = 3 << 20, 2 << 20, 1 << 19
 LONGEST = 256
@@ -69,6 +69,9 @@ def _offsets() -> np.ndarray:
     return out
 
 
+_OFFSETS = _offsets()
+
+
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes at each position as a big-endian number (zeros beyond the end)."""
     w = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
@@ -117,7 +120,6 @@ class Suffixes:
     def __init__(self, text: np.ndarray):
         self.n = len(text)
         self.words = np.concatenate((_words(text), np.zeros(2 * WIDTH, np.uint64)))
-        self.offset = _offsets()
         self._rank()
 
     def _rank(self) -> None:
@@ -139,9 +141,11 @@ class Suffixes:
         tied = group.copy()
         todo = _open(group)
         while len(todo):
-            # Each tie is compared with its group's first: below, equal or above.
-            p, q = order[todo], order[group[todo]]
-            d = self.offset[p % PERIOD, q % PERIOD]
+            # Each tie is compared with the middle one of its group: below, equal or above.
+            first = np.flatnonzero(np.concatenate(([True], group[todo[1:]] != group[todo[:-1]])))
+            size = np.diff(np.append(first, len(todo)))
+            p, q = order[todo], np.repeat(order[todo[first + size // 2]], size)
+            d = _OFFSETS[p % PERIOD, q % PERIOD]
             side = _split(order, group, todo, np.sign(self.rank[p + d] - self.rank[q + d]))
             left = np.zeros(len(group), bool)
             left[_open(group)] = True
@@ -176,33 +180,47 @@ def owners(text: np.ndarray, positions: np.ndarray, owner: np.ndarray) -> np.nda
     return least
 
 
-def _runs(text: np.ndarray, ends: np.ndarray, turn: int, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, bucket) of the runs of windows whose bucket has its turn."""
-    n = len(text) - WIDTH + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 3
-    words = _words(text)
-    a, b = words[:-8], words[8:]
-    low = ((a * np.uint64(0x9E3779B97F4A7C15) ^ (b + (a >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-    low = low[: len(text) - GRAM + 1]
+def _buckets(text: np.ndarray) -> np.ndarray:
+    """Each window's bucket: the least hash of its 16-byte strings."""
+    w = text.astype(np.uint32)
+    w = w[:-1] | (w[1:] << np.uint32(8))
+    w = w[:-2] | (w[2:] << np.uint32(16))  # four bytes at each position
+    h = w[:-4] * np.uint32(0x9E3779B1) + w[4:] * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(15)
+    h = h[:-8] * np.uint32(0xC2B2AE3D) + h[8:] * np.uint32(0x27D4EB2F)
+    h ^= h >> np.uint32(16)
+    low = h * np.uint32(0x9E3779B1)
     span, reach = 1, WIDTH - GRAM + 1
     while 2 * span <= reach:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    low = np.minimum(low[: len(low) - (reach - span)], low[reach - span:])
-    document = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
-    at = np.flatnonzero(document[:n] == document[WIDTH - 1:])
-    if not len(at):
+    return np.minimum(low[: len(low) - (reach - span)], low[reach - span:])
+
+
+def _runs(text: np.ndarray, ends: np.ndarray, turn: int, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, bucket) of the runs of windows whose bucket has its turn.
+
+    Every document has at least ``WIDTH`` bytes.
+    """
+    n = len(text) - WIDTH + 1
+    if n < 1:
         return (np.zeros(0, np.int64),) * 3
-    new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (low[at][1:] != low[at][:-1])))
-    since = np.arange(len(at)) - _starts(new)
-    new |= since % LONGEST == 0
-    first = at[new]
-    last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+    low = _buckets(text)
+    inside = np.ones(n + 1, bool)
+    inside[n] = False
+    for end in ends[1:-1].tolist():  # windows across the end of a document
+        inside[end - WIDTH + 1:end] = False
+    other = low[1:] != low[:-1]
+    first = np.flatnonzero(inside[:-1] & np.concatenate(([True], other | ~inside[:n - 1])))
+    last = np.flatnonzero(inside[:-1] & np.concatenate((other | ~inside[1:n], [True])))
     bucket = low[first].astype(np.int64)
-    # The hash of the bucket, not its low value, says whose turn it is.
+    # A hash of the bucket, not its low value, says whose turn it is.
     mine = (bucket * 0x9E3779B1 >> 16) % passes == turn
-    return first[mine], last[mine], bucket[mine]
+    first, last, bucket = first[mine], last[mine], bucket[mine]
+    parts = -(-(last - first + 1) // LONGEST)  # long runs travel in parts
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(first, parts) + nth * LONGEST
+    return first, np.minimum(np.repeat(last, parts), first + LONGEST - 1), np.repeat(bucket, parts)
 
 
 def _cut(turn: int, passes: int):
@@ -275,8 +293,14 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = frags[cut:]
         held = [(pa.concat_arrays([rest]), ids[cut:], keys[cut:], pos[cut:], minis[cut:])] if cut < len(minis) else []
         size = pc.sum(pc.binary_length(rest)).as_py() or 0
-        coded = frags[:cut].dictionary_encode()
-        return _owned(coded.dictionary, ids[:cut], keys[:cut], pos[:cut], coded.indices.to_numpy())
+        # A bucket whose fragments all have one id has nothing to remove.
+        starts = np.flatnonzero(np.concatenate(([True], minis[1:cut] != minis[:cut - 1])))
+        several = np.minimum.reduceat(ids[:cut], starts) < np.maximum.reduceat(ids[:cut], starts)
+        some = np.repeat(several, np.diff(np.append(starts, cut)))
+        if not some.any():
+            return None
+        coded = frags[:cut].filter(pa.array(some)).dictionary_encode()
+        return _owned(coded.dictionary, ids[:cut][some], keys[:cut][some], pos[:cut][some], coded.indices.to_numpy())
 
     bound = BLOCK
     for batch in batches:
@@ -305,13 +329,12 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += pc.sum(pc.binary_length(kept)).as_py()
         if size >= bound:
             out = flush(True)
-            # A single bucket beyond the bound is held until it ends.
-            bound = max(BLOCK, 2 * size)
+            bound = BLOCK + size  # what is left belongs to a bucket that has not ended
             if out is not None:
-                bound = max(BLOCK, size + BLOCK // 2)
                 yield out
-    if held:
-        yield flush(False)
+    out = flush(False) if held else None
+    if out is not None:
+        yield out
 
 
 def repeated_spans(docs: DataFrame, passes: int = PASSES) -> DataFrame:
