@@ -102,7 +102,8 @@ def _water_fill(children: str, parent: str, budget: str, order: str) -> str:
             FROM {children})))"""
 
 
-OP3_SQL = f"""
+def mix_sql(ratio: float, epochs: int, seed: int) -> str:
+    return f"""
 WITH tok AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
          CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) <> ''
@@ -110,10 +111,10 @@ WITH tok AS (
          CAST(coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0) AS BIGINT) AS n_tokens
   FROM documents),
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM tok GROUP BY ALL),
-capped AS (SELECT *, CAST(tokens * {MIX_EPOCHS} AS BIGINT) AS cap, 1.0::DOUBLE AS weight FROM leaf),
+capped AS (SELECT *, CAST(tokens * {epochs} AS BIGINT) AS cap, 1.0::DOUBLE AS weight FROM leaf),
 lang0 AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, 1.0::DOUBLE AS weight FROM capped GROUP BY ALL),
 dom0 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, 1.0::DOUBLE AS weight, '' AS root,
-                (SELECT CAST(least(floor(sum(tokens) * {MIX_RATIO}), sum(cap)) AS BIGINT) FROM capped) AS total
+                (SELECT CAST(least(floor(sum(tokens) * {ratio}), sum(cap)) AS BIGINT) FROM capped) AS total
          FROM capped GROUP BY ALL),
 dom AS ({_water_fill("dom0", "root", "total", "domain")}),
 lang1 AS (SELECT l.*, d.share AS b FROM lang0 l JOIN dom d USING (domain)),
@@ -124,7 +125,7 @@ plan AS (SELECT domain, lang, source,
                 CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs,
                 share - CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END * tokens AS rest FROM shares),
 keyed AS (SELECT t.*, p.epochs, p.rest,
-                 md5('{MIX_SEED}:' || p.epochs || ':' || coalesce(CAST(t.doc_id AS VARCHAR), '')) AS key
+                 md5('{seed}:' || p.epochs || ':' || coalesce(CAST(t.doc_id AS VARCHAR), '')) AS key
           FROM tok t JOIN plan p USING (domain, lang, source)),
 run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM keyed)
 SELECT doc_id, domain, lang, source, n_tokens,
@@ -227,4 +228,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
-ORACLE = {"op3_mixing": OP3_SQL, "op6_url_filter": OP6_SQL, "op8_licenses": OP8_SQL}
+ORACLE = {"op3_mixing": mix_sql(MIX_RATIO, MIX_EPOCHS, MIX_SEED), "op6_url_filter": OP6_SQL, "op8_licenses": OP8_SQL}
