@@ -106,3 +106,12 @@ def test_expiry_of_equal_times_is_the_earliest_given(spark):
     one = facts.primary_inspections(reports, with_expiry=True).first()[P.VERVALDATUM_KEURING]
     two = facts.primary_reports_with_counts(reports, none, with_expiry=True).first()[P.VERVALDATUM_KEURING]
     assert one == two == "20220101"
+
+
+def test_least_file_size_of_each_table(spark, tmp_path):
+    from roadworthy.sources import ingest as I
+
+    spark.range(100).write.parquet(f"{tmp_path}/gebreken.parquet")
+    got = {r["table"]: r["message"].split(":")[0] for r in I.table_file_checks(spark, str(tmp_path), ["gebreken", "brandstof"]).collect()}
+    assert got == {"gebreken": "too small", "brandstof": "missing"}
+    assert I.table_file_checks(spark, str(tmp_path), ["gebreken"], {"gebreken": 100}).first()["ok"]
