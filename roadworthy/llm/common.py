@@ -36,14 +36,14 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back.
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write to the shared folder (a fresh one below it, or ``path``) and read back.
 
     Cuts the lineage: a lost executor costs a re-read of files that every
     executor sees.  The shuffle files of the finished write are dropped.
     """
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = path or shared_dir(spark, name)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

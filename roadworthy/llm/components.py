@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadworthy.llm.common import written
+from roadworthy.session import remove_path, shared_dir
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -27,11 +28,15 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v); root is the component's least node."""
+    spark = links.sparkSession
     ordered = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    current = written(ordered.distinct(), "links")
+    path = shared_dir(spark, "links")
+    current = written(ordered.distinct(), "links", path)
     state = None
     while True:
-        current = written(_small_star(_large_star(current).distinct()).distinct(), "links")
+        done, path = path, shared_dir(spark, "links")
+        current = written(_small_star(_large_star(current).distinct()).distinct(), "links", path)
+        remove_path(spark, done)  # nothing reads the round before
         seen = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == seen:
             break
