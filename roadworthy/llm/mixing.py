@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from roadworthy.llm.common import written
 
 LEAF = ("domain", "lang", "source")
+#: Most leaves sent to every task (about 10 MB); beyond, a leaf's documents are dealt into SALTS parts to meet them.
+BROADCAST_LEAVES, SALTS = 50_000, 32
 
 
 def token_count(text: Column) -> Column:
@@ -87,10 +89,19 @@ def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def _meet(rows: DataFrame, leaves: DataFrame, leaf: list[str]) -> DataFrame:
+    """Rows joined to their leaf (``leaves`` is a written table, so counting it is cheap)."""
+    if leaves.count() <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(leaves), leaf)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    leaves = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(leaves, [*leaf, "_salt"]).drop("_salt")
+
+
 def cuts(tokens: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
     """(leaf, cut): the last order key that the leaf's prefix takes; leaves without a prefix are left out."""
     keyed = (
-        tokens.join(shares.where(F.col("rest") > 0).select(*LEAF, "epochs", "rest"), list(LEAF))
+        _meet(tokens, shares.where(F.col("rest") > 0).select(*LEAF, "epochs", "rest"), list(LEAF))
         .select(*LEAF, "rest", "n_tokens", order_key(F.col("doc_id"), F.col("epochs"), seed).alias("_key"))
         .withColumn("_range", F.substring("_key", 1, 3))
     )
@@ -128,13 +139,13 @@ def plan(docs: DataFrame, ratio: float, max_epochs: int, seed: int,
                     token_count(F.col("text")).alias("n_tokens")), "mix-tokens")
     leaves = tokens.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     shares = written(budgets(leaves, ratio, max_epochs, weights or {}), "mix-shares")
-    return tokens, shares.join(cuts(tokens, shares, seed), list(LEAF), "left")
+    return tokens, written(shares.join(cuts(tokens, shares, seed), list(LEAF), "left"), "mix-leaves")
 
 
 def copies(df: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
     """Rows with leaf and doc_id joined to their leaf: how often each is taken (``copies``), none if never."""
     prefix = (order_key(F.col("doc_id"), F.col("epochs"), seed) <= F.col("cut")).cast("int")
-    taken = df.join(leaves.select(*LEAF, "epochs", "cut"), list(LEAF)).withColumn(
+    taken = _meet(df, leaves.select(*LEAF, "epochs", "cut"), list(LEAF)).withColumn(
         "copies", F.col("epochs") + F.coalesce(prefix, F.lit(0)))
     return taken.where("copies > 0").drop("epochs", "cut")
 
@@ -150,7 +161,7 @@ def mix(docs: DataFrame, ratio: float, max_epochs: int = 1, seed: int = 7,
     # The epochs and cut of a row's leaf; working names carry an underscore.
     leaves = leaves.withColumnsRenamed({"epochs": "_epochs", "cut": "_cut"})
     prefix = (order_key(F.col("doc_id"), F.col("_epochs"), seed) <= F.col("_cut")).cast("int")
-    taken = keyed.join(leaves, list(leaf)).withColumn("_copies", F.col("_epochs") + F.coalesce(prefix, F.lit(0)))
+    taken = _meet(keyed, leaves, list(leaf)).withColumn("_copies", F.col("_epochs") + F.coalesce(prefix, F.lit(0)))
     if max_epochs == 1:
         return taken.where("_copies > 0").select(*names)
     return taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
