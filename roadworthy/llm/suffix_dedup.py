@@ -51,7 +51,7 @@ WIDTH = 50
 GRAM = 16
 PASSES = 3
 #: Bytes of text cut into fragments at a time, of different fragments sorted together, windows in a range.
-PIECE, BLOCK, RANGE = 3 << 20, 2 << 20, 1 << 19
+PIECE, BLOCK, RANGE = 2 << 20, 1 << 20, 1 << 18
 LONGEST = 256
 PERIOD = 31
 #: A difference cover modulo 31: every residue is a difference of two of these.
