@@ -100,9 +100,10 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(*count)
     suffixes = hosts.groupBy("suffix", "root").agg(*count)
     root = hosts.groupBy("root").agg(*count).withColumn("p", (F.col("k") + 1) / (F.col("n") + 2))
-    suffixes = _level(suffixes, root, "root")
+    # Each level is read twice by the next (rows and rho), so it is written once.
+    suffixes = written(_level(suffixes, root, "root"), "suffixes")
     # A registered domain has one suffix, so its name alone is the key below.
-    domains = _level(domains, suffixes, "suffix")
+    domains = written(_level(domains, suffixes, "suffix"), "domains")
     posterior = _level(hosts, domains, "domain")
     a, b = F.col("a"), F.col("b")
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
