@@ -69,13 +69,12 @@ def budgets(leaves: DataFrame, ratio: float, max_epochs: int, weights: Mapping[s
 
     The tree's budget is ``ratio`` of all tokens, at most ``max_epochs`` of them.
     """
-    leaves = leaves.withColumn("_cap", F.col("tokens") * max_epochs).withColumn("_all", F.lit(""))
-    langs = leaves.groupBy("_all", "domain", "lang").agg(F.sum("_cap").alias("_cap"))
-    domains = langs.groupBy("_all", "domain").agg(F.sum("_cap").alias("_cap"))
-    total = leaves.groupBy("_all").agg(
-        F.least(F.floor(F.sum("tokens") * F.lit(float(ratio))), F.sum("_cap")).cast("long").alias("_total"))
+    leaves = leaves.withColumn("_cap", F.col("tokens") * max_epochs)
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("_cap").alias("_cap"))
+    domains = langs.groupBy("domain").agg(F.sum("_cap").alias("_cap"))
+    total = leaves.agg(F.least(F.floor(F.sum("tokens") * F.lit(float(ratio))), F.sum("_cap")).cast("long")).scalar()
     weigh = lambda df, level: df.withColumn("_weight", _weight(F.col(level), weights.get(level, {})))
-    domains = _share(weigh(domains.join(total, "_all"), "domain"), ["_all"], "_total", "_cap", "_weight", "_domain_budget")
+    domains = _share(weigh(domains.withColumn("_total", total), "domain"), [], "_total", "_cap", "_weight", "_domain_budget")
     langs = _share(weigh(langs.join(domains.select("domain", "_domain_budget"), "domain"), "lang"),
                    ["domain"], "_domain_budget", "_cap", "_weight", "_lang_budget")
     leaves = _share(weigh(leaves.join(langs.select("domain", "lang", "_lang_budget"), ["domain", "lang"]), "source"),
