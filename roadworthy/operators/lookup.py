@@ -60,6 +60,10 @@ def lookup_vehicles(typed: DataFrame, vehicles: DataFrame, reports: DataFrame, a
     )
 
 
+# Working column of the day, and its value for a row without date (no date has it).
+DAY, NO_DAY = "_day", "\u0000"
+
+
 def _ranked(rows: DataFrame, typed: DataFrame, column: str, order: list, rank_col: str, k: int | None) -> DataFrame:
     """The looked-up plates' rows numbered per plate, newest day first, then by ``order``; the first k if given.
 
@@ -68,33 +72,39 @@ def _ranked(rows: DataFrame, typed: DataFrame, column: str, order: list, rank_co
     a plate's history is ordered day by day, never whole in one task; the
     counts per day combine map-side, and a plate has at most one row a day of them.
     """
-    mine = rows.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi")
-    per_day = mine.groupBy(P.KENTEKEN, P.MELD_DATUM).agg(F.count(F.lit(1)).alias("_n"))
-    later = Window.partitionBy(P.KENTEKEN).orderBy(F.col(P.MELD_DATUM).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    before = per_day.select(F.col(P.KENTEKEN).alias("_plate"), F.col(P.MELD_DATUM).alias("_day"),
-                            F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    # One key for the ranking, the counts and the later join of reports and
+    # defects, so that rows are shuffled on it once; a missing day is a day of its own.
+    mine = rows.join(_valid_keys(typed, column), P.KENTEKEN, "left_semi").withColumn(
+        DAY, F.coalesce(F.col(P.MELD_DATUM), F.lit(NO_DAY)))
+    per_day = mine.groupBy(P.KENTEKEN, DAY).agg(F.count(F.lit(1)).alias("_n"), F.max(P.MELD_DATUM).alias("_date"))
+    later = Window.partitionBy(P.KENTEKEN).orderBy(F.col("_date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = per_day.select(P.KENTEKEN, DAY, F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
     if k is not None:
         before = before.where(F.col("_before") < k)
-    in_day = F.row_number().over(Window.partitionBy(P.KENTEKEN, P.MELD_DATUM).orderBy(*order))
-    numbered = mine.withColumn("_in_day", in_day).join(
-        before, (F.col(P.KENTEKEN) == F.col("_plate")) & F.col(P.MELD_DATUM).eqNullSafe(F.col("_day")))
-    out = numbered.withColumn(rank_col, (F.col("_before") + F.col("_in_day")).cast("int"))
-    out = out.drop("_plate", "_day", "_before", "_in_day")
+    in_day = F.row_number().over(Window.partitionBy(P.KENTEKEN, DAY).orderBy(*order))
+    numbered = mine.withColumn("_in_day", in_day).join(before, [P.KENTEKEN, DAY])
+    out = numbered.withColumn(rank_col, (F.col("_before") + F.col("_in_day")).cast("int")).drop("_before", "_in_day")
     return out if k is None else out.where(F.col(rank_col) <= k)
 
 
+def _report_order() -> list:
+    return [F.col(P.MELD_TIJD).desc(), F.col(P.SOORT_MELDING).asc()]
+
+
+def _defect_order() -> list:
+    return [F.col(P.MELD_TIJD).desc(), F.col(P.GEBREK_ID).asc(), F.col(P.AANTAL_GEBREKEN).asc()]
+
+
 def recent_reports(typed: DataFrame, reports: DataFrame, k: int | None = P.LOOKUP_MAX_REPORTS,
                    column: str = "typed_plate") -> DataFrame:
     """The k most recent reports per looked-up plate (date desc, then time desc); all with ``k=None``."""
-    order = [F.col(P.MELD_TIJD).desc(), F.col(P.SOORT_MELDING).asc()]
-    return _ranked(reports, typed, column, order, "report_rank", k)
+    return _ranked(reports, typed, column, _report_order(), "report_rank", k).select(*reports.columns, "report_rank")
 
 
 def recent_defects(typed: DataFrame, defects: DataFrame, k: int | None = P.LOOKUP_MAX_DEFECTS,
                    column: str = "typed_plate") -> DataFrame:
     """The first k defect rows per plate (most recent first, code as tie-break); all with ``k=None``."""
-    order = [F.col(P.MELD_TIJD).desc(), F.col(P.GEBREK_ID).asc(), F.col(P.AANTAL_GEBREKEN).asc()]
-    return _ranked(defects, typed, column, order, "defect_rank", k)
+    return _ranked(defects, typed, column, _defect_order(), "defect_rank", k).select(*defects.columns, "defect_rank")
 
 
 def vehicle_history(typed: DataFrame, reports: DataFrame, defects: DataFrame, codes: DataFrame,
@@ -106,20 +116,21 @@ def vehicle_history(typed: DataFrame, reports: DataFrame, defects: DataFrame, co
 
     The description join matches the code text literally (a code containing
     quotes is just a value here, no query text is built from it)."""
-    rep = recent_reports(typed, reports, max_reports, column).select(
-        P.KENTEKEN, P.MELD_DATUM, P.MELD_TIJD, "report_rank",
+    rep = _ranked(reports, typed, column, _report_order(), "report_rank", max_reports).select(
+        P.KENTEKEN, DAY, P.MELD_TIJD, "report_rank",
         FM.compact_date_display(F.col(P.MELD_DATUM)).alias("report_date"),
         FM.passed(F.col(result_column)).alias("passed"),
     )
-    dft = recent_defects(typed, defects, max_defects, column).select(
-        P.KENTEKEN, P.MELD_DATUM, F.col(P.GEBREK_ID).alias("defect_code"),
+    # A defect row without date belongs to no report, but counts in the ranks.
+    dft = _ranked(defects, typed, column, _defect_order(), "defect_rank", max_defects).where(F.col(DAY) != NO_DAY).select(
+        P.KENTEKEN, DAY, F.col(P.GEBREK_ID).alias("defect_code"),
         F.col(P.AANTAL_GEBREKEN).alias("defect_count"), "defect_rank",
     )
     # Code index: one description per code; an empty description counts as none.
     idx = code_index(codes)
     desc = idx.select("defect_code", F.when(F.col("description") != "", F.col("description")).alias("description"))
     dft = dft.join(desc, "defect_code", "left")
-    return rep.join(dft, [P.KENTEKEN, P.MELD_DATUM], "left").select(
+    return rep.join(dft, [P.KENTEKEN, DAY], "left").select(
         P.KENTEKEN, "report_rank", "report_date", P.MELD_TIJD, "passed", "defect_rank", "defect_code",
         "description", "defect_count",
     )
