@@ -12,13 +12,19 @@ smallest id among them owns them.
    already known to be removed.
 2. Buckets are dealt to tasks and ordered there by Spark's external sort.  Equal
    fragments meet side by side and are reduced to one before they are held.
-3. A task takes whole buckets up to ``BLOCK`` bytes of different fragments and
+3. A task takes whole buckets up to ``block`` bytes of different fragments and
    sorts their suffixes blockwise: ranks of the suffixes at the positions of a
    difference cover modulo 31 come first; then one range of leading bytes
    after the other is sorted by its first 32 bytes, and longer ties are
    resolved by the cover ranks: for any two positions some offset below 31
    puts both on the cover.  Sorting memory depends on the range, not on the block.
-4. The windows owned by a smaller id become byte spans, which are gathered per
+4. A bucket of more than ``block`` bytes of different fragments (a frequent line
+   makes one) is held by no task: its fragments are passed on and dealt again by
+   the least hash of their windows' 32-byte strings, and what is still too much
+   by the windows themselves.  Equal windows share these keys too, so the split
+   is exact; single windows need no sorting, the first row of equal ones has
+   the owner, and nothing is held.
+5. The windows owned by a smaller id become byte spans, which are gathered per
    document (at most as many as it has bytes) and cut out.
 
 ``passes`` cuts the buckets into groups that are handled one after the other,
@@ -53,11 +59,15 @@ PASSES = 3
 #: Bytes of text cut into fragments at a time, of different fragments sorted together, windows in a range.
 PIECE, BLOCK, RANGE = 2 << 20, 1 << 20, 1 << 18
 LONGEST = 256
+#: Strings whose least hash deals a window: at first, and for buckets that were too large; the last is the window.
+GRAMS = (GRAM, 32, WIDTH)
 PERIOD = 31
 #: A difference cover modulo 31: every residue is a difference of two of these.
 COVER = (1, 5, 11, 24, 25, 27)
 FRAGMENT = "mini long, frag binary, doc_id long, key long, pos long, end long"
 SPAN = "doc_id long, key long, first long, end long"
+#: Spans, and fragments that are dealt again.
+PASSED = SPAN + ", frag binary"
 
 
 def _offsets() -> np.ndarray:
@@ -189,15 +199,29 @@ def _buckets(text: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint32(15)
     h = h[:-8] * np.uint32(0xC2B2AE3D) + h[8:] * np.uint32(0x27D4EB2F)
     h ^= h >> np.uint32(16)
-    low = h * np.uint32(0x9E3779B1)
-    span, reach = 1, WIDTH - GRAM + 1
+    return _least(h * np.uint32(0x9E3779B1), WIDTH - GRAM + 1)
+
+
+def _keys(text: np.ndarray, gram: int) -> np.ndarray:
+    """Each window's least 64-bit hash of its ``gram``-byte strings."""
+    words, n = _words(text), len(text) - gram + 1
+    h = np.zeros(n, np.uint64)
+    for at in [*range(0, gram - 8, 8), gram - 8]:
+        h = (h ^ words[at:at + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return _least(h * np.uint64(0xBF58476D1CE4E5B9), WIDTH - gram + 1)
+
+
+def _least(low: np.ndarray, reach: int) -> np.ndarray:
+    """The least of each ``reach`` neighbours."""
+    span = 1
     while 2 * span <= reach:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     return np.minimum(low[: len(low) - (reach - span)], low[reach - span:])
 
 
-def _runs(text: np.ndarray, ends: np.ndarray, turn: int, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(text: np.ndarray, ends: np.ndarray, turn: int, passes: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, bucket) of the runs of windows whose bucket has its turn.
 
     Every document has at least ``WIDTH`` bytes.
@@ -205,7 +229,8 @@ def _runs(text: np.ndarray, ends: np.ndarray, turn: int, passes: int) -> tuple[n
     n = len(text) - WIDTH + 1
     if n < 1:
         return (np.zeros(0, np.int64),) * 3
-    low = _buckets(text)
+    low = _buckets(text) if gram == GRAM else _keys(text, gram)
+    longest = 1 if gram == WIDTH else LONGEST
     inside = np.ones(n + 1, bool)
     inside[n] = False
     for end in ends[1:-1].tolist():  # windows across the end of a document
@@ -217,21 +242,21 @@ def _runs(text: np.ndarray, ends: np.ndarray, turn: int, passes: int) -> tuple[n
     # A hash of the bucket, not its low value, says whose turn it is.
     mine = (bucket * 0x9E3779B1 >> 16) % passes == turn
     first, last, bucket = first[mine], last[mine], bucket[mine]
-    parts = -(-(last - first + 1) // LONGEST)  # long runs travel in parts
+    parts = -(-(last - first + 1) // longest)  # long runs travel in parts
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    first = np.repeat(first, parts) + nth * LONGEST
-    return first, np.minimum(np.repeat(last, parts), first + LONGEST - 1), np.repeat(bucket, parts)
+    first = np.repeat(first, parts) + nth * longest
+    return first, np.minimum(np.repeat(last, parts), first + longest - 1), np.repeat(bucket, parts)
 
 
-def _cut(turn: int, passes: int):
-    """Documents (doc_id, key, text) to fragments; equal ones of a larger id in a piece become spans at once."""
+def _cut(turn: int, passes: int, gram: int = GRAM):
+    """Texts (doc_id, key, first: where the text starts in its document) to fragments; equal ones of a larger id in a piece travel without text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             batch = batch.take(pc.sort_indices(batch.column("doc_id")))
             text, ends = joined(batch.column("text"))
-            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
-            first, last, bucket = _runs(text, ends, turn, passes)
+            ids, keys, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "first"))
+            first, last, bucket = _runs(text, ends, turn, passes, gram)
             if not len(first):
                 continue
             row = np.searchsorted(ends, first, side="right") - 1
@@ -241,7 +266,7 @@ def _cut(turn: int, passes: int):
             for a, b, i in zip(first.tolist(), (last + WIDTH).tolist(), ids[row].tolist()):
                 frag = data[a:b]
                 frags.append(None if seen.setdefault(frag, i) < i else frag)
-            pos, end = first - ends[row], last + WIDTH - ends[row]
+            pos, end = first - ends[row] + start[row], last + WIDTH - ends[row] + start[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket), pa.array(frags, pa.binary()), pa.array(ids[row]), pa.array(keys[row]), pa.array(pos), pa.array(end)],
                 names=["mini", "frag", "doc_id", "key", "pos", "end"])
@@ -249,8 +274,10 @@ def _cut(turn: int, passes: int):
     return run
 
 
-def _spans(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids, keys, first, end)], names=["doc_id", "key", "first", "end"])
+def _spans(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, end: np.ndarray, frags: pa.Array | None = None) -> pa.RecordBatch:
+    """Spans to remove, or, with ``frags``, fragments to be dealt again."""
+    columns = [pa.array(x.astype(np.int64)) for x in (ids, keys, first, end)] + [pa.nulls(len(ids), pa.binary()) if frags is None else frags]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "first", "end", "frag"])
 
 
 def _owned(frags: pa.Array, ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
@@ -278,76 +305,104 @@ def _owned(frags: pa.Array, ids: np.ndarray, keys: np.ndarray, pos: np.ndarray,
     return _spans(ids[row], keys[row], pos[row] + a[at], pos[row] + b[at])
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments ordered by (mini, frag, doc_id) to spans owned by smaller ids."""
-    held: list[tuple] = []  # (frags, ids, keys, pos, minis) of fragments not yet sorted
-    size, last = 0, None  # the last fragment seen and its least id
-
-    def flush(upto_last_bucket: bool) -> pa.RecordBatch | None:
-        nonlocal held, size
-        frags = pa.concat_arrays([h[0] for h in held])
-        ids, keys, pos, minis = (np.concatenate([h[k] for h in held]) for k in range(1, 5))
-        cut = int(np.searchsorted(minis, minis[-1])) if upto_last_bucket else len(minis)
-        if not cut:
-            return None
-        rest = frags[cut:]
-        held = [(pa.concat_arrays([rest]), ids[cut:], keys[cut:], pos[cut:], minis[cut:])] if cut < len(minis) else []
-        size = pc.sum(pc.binary_length(rest)).as_py() or 0
-        # A bucket whose fragments all have one id has nothing to remove.
-        starts = np.flatnonzero(np.concatenate(([True], minis[1:cut] != minis[:cut - 1])))
-        several = np.minimum.reduceat(ids[:cut], starts) < np.maximum.reduceat(ids[:cut], starts)
-        some = np.repeat(several, np.diff(np.append(starts, cut)))
-        if not some.any():
-            return None
-        coded = frags[:cut].filter(pa.array(some)).dictionary_encode()
-        return _owned(coded.dictionary, ids[:cut][some], keys[:cut][some], pos[:cut][some], coded.indices.to_numpy())
-
-    bound = BLOCK
-    for batch in batches:
-        frags = batch.column("frag").cast(pa.binary())
-        ids, keys, pos, end, minis = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "pos", "end", "mini"))
-        some = frags.is_valid().to_numpy(zero_copy_only=False)
-        if not some.all():
-            yield _spans(ids[~some], keys[~some], pos[~some], end[~some])
+def _sort(block: int, windows: bool = False):
+    """Fragments ordered by (mini, frag, doc_id) to spans owned by smaller ids.
+
+    A bucket of more than ``block`` bytes of different fragments is passed on.  If the fragments are single
+    ``windows``, equal ones side by side are all there is to find.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # (different frags, ids, keys, pos, minis, number of the row's frag) not yet sorted
+        size, count = 0, 0  # bytes and number of the different fragments held
+        last, passed = None, None  # the last fragment seen and its least id; the bucket that is passed on
+
+        def gathered() -> tuple:
+            return pa.concat_arrays([h[0] for h in held]), *(np.concatenate([h[k] for h in held]) for k in range(1, 6))
+
+        def flush(upto_last_bucket: bool) -> pa.RecordBatch | None:
+            nonlocal held, size, count
+            frags, ids, keys, pos, minis, number = gathered()
+            cut = int(np.searchsorted(minis, minis[-1])) if upto_last_bucket else len(minis)
+            if not cut:
+                return None
+            rest = frags[int(number[cut]):] if cut < len(minis) else frags[:0]
+            held = [(pa.concat_arrays([rest]), ids[cut:], keys[cut:], pos[cut:], minis[cut:], number[cut:] - number[cut])] if cut < len(minis) else []
+            size, count = pc.sum(pc.binary_length(rest)).as_py() or 0, len(rest)
+            # A bucket whose fragments all have one id has nothing to remove.
+            starts = np.flatnonzero(np.concatenate(([True], minis[1:cut] != minis[:cut - 1])))
+            several = np.minimum.reduceat(ids[:cut], starts) < np.maximum.reduceat(ids[:cut], starts)
+            some = np.repeat(several, np.diff(np.append(starts, cut)))
             if not some.any():
+                return None
+            used, code = np.unique(number[:cut][some], return_inverse=True)
+            return _owned(frags.take(pa.array(used)), ids[:cut][some], keys[:cut][some], pos[:cut][some], code)
+
+        for batch in batches:
+            frags = batch.column("frag").cast(pa.binary())
+            ids, keys, pos, end, minis = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "pos", "end", "mini"))
+            some = frags.is_valid().to_numpy(zero_copy_only=False)
+            if not some.all():
+                yield _spans(ids[~some], keys[~some], pos[~some], end[~some])
+                if not some.any():
+                    continue
+                frags, ids, keys, pos, end, minis = frags.filter(pa.array(some)), ids[some], keys[some], pos[some], end[some], minis[some]
+            coded = frags.dictionary_encode()
+            code = coded.indices.to_numpy()
+            new = np.concatenate(([True], code[1:] != code[:-1]))
+            least = ids[_starts(new)]
+            if last is not None and frags[0].as_py() == last[0]:
+                least[code == code[0]] = last[1]
+                new[0] = False
+            last = (frags[len(frags) - 1].as_py(), int(least[-1]))
+            later = ids > least
+            if later.any():
+                yield _spans(ids[later], keys[later], pos[later], end[later])
+            if windows:
                 continue
-            frags, ids, keys, pos, end, minis = frags.filter(pa.array(some)), ids[some], keys[some], pos[some], end[some], minis[some]
-        coded = frags.dictionary_encode()
-        code = coded.indices.to_numpy()
-        new = np.concatenate(([True], code[1:] != code[:-1]))
-        least = ids[_starts(new)]
-        if last is not None and frags[0].as_py() == last[0]:
-            least[code == code[0]] = last[1]
-        last = (frags[len(frags) - 1].as_py(), int(least[-1]))
-        later = ids > least
-        if later.any():
-            yield _spans(ids[later], keys[later], pos[later], end[later])
-        keep = ~later
-        if keep.any():
-            kept = frags.filter(pa.array(keep))
-            held.append((kept, ids[keep], keys[keep], pos[keep], minis[keep]))
-            size += pc.sum(pc.binary_length(kept)).as_py()
-        if size >= bound:
-            out = flush(True)
-            bound = BLOCK + size  # what is left belongs to a bucket that has not ended
-            if out is not None:
-                yield out
-    out = flush(False) if held else None
-    if out is not None:
-        yield out
-
-
-def repeated_spans(docs: DataFrame, passes: int = PASSES) -> DataFrame:
+            keep = ~later
+            if passed is not None:
+                more = keep & (minis == passed)
+                if more.any():
+                    yield _spans(ids[more], keys[more], pos[more], end[more], frags.filter(pa.array(more)))
+                    keep &= ~more
+            if keep.any():
+                kept = frags.filter(pa.array(keep & new))
+                number = count - 1 + np.cumsum(new[keep])
+                held.append((kept, ids[keep], keys[keep], pos[keep], minis[keep], number))
+                size, count = size + (pc.sum(pc.binary_length(kept)).as_py() or 0), count + len(kept)
+            if size >= block:
+                out = flush(True)
+                if out is not None:
+                    yield out
+                if size >= block:  # what is left belongs to one bucket
+                    frags, ids, keys, pos, minis, number = gathered()
+                    frags = frags.take(pa.array(number))
+                    yield _spans(ids, keys, pos, pos + pc.binary_length(frags).to_numpy(), frags)
+                    held, size, count, passed = [], 0, 0, minis[-1]
+        out = flush(False) if held else None
+        if out is not None:
+            yield out
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, passes: int = PASSES, block: int | None = None) -> DataFrame:
     """(doc_id, key, first, end): byte spans to remove, overlapping; key is xxhash64 of the text."""
-    spark = docs.sparkSession
+    spark, block = docs.sparkSession, block or BLOCK
     rows = docs.where("doc_id is not null and octet_length(text) >= " + str(WIDTH)).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.lit(0).cast("long").alias("first"), "text")
     found = []
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
         for turn in range(passes):
-            dealt = rows.mapInArrow(_cut(turn, passes), FRAGMENT).repartition("mini")
-            sorted_ = dealt.sortWithinPartitions("mini", "frag", "doc_id")
-            found.append(written(sorted_.mapInArrow(_sort, SPAN), "spans"))
+            left, of = rows, (turn, passes)
+            for gram in GRAMS:
+                sorted_ = left.mapInArrow(_cut(*of, gram), FRAGMENT).repartition("mini").sortWithinPartitions("mini", "frag", "doc_id")
+                out = written(sorted_.mapInArrow(_sort(block, gram == WIDTH), PASSED), "spans")
+                found.append(out.where("frag is null").drop("frag"))
+                left, of = out.where("frag is not null").select("doc_id", "key", "first", F.col("frag").alias("text")), (0, 1)
+                if gram == WIDTH or left.isEmpty():
+                    break
     return reduce(DataFrame.unionByName, found)
 
 
@@ -362,7 +417,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def deduplicate(docs: DataFrame, passes: int = PASSES, keep_bytes: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, passes: int = PASSES, keep_bytes: bool = True, block: int | None = None) -> DataFrame:
     """Every row without its text, with n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the ``kept`` bytes."""
     added = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()),
              StructField("kept_sha256", StringType())] + [StructField("kept", BinaryType())] * keep_bytes
@@ -370,7 +425,7 @@ def deduplicate(docs: DataFrame, passes: int = PASSES, keep_bytes: bool = True)
     fields = [f for f in docs.schema if f.name not in names | {"text"}]
     schema = StructType([*fields, *added])
     arrow_schema = to_arrow_schema(schema)
-    spans = repeated_spans(docs.select("doc_id", "text"), passes)
+    spans = repeated_spans(docs.select("doc_id", "text"), passes, block)
     # A document's spans are no more than its bytes.
     lists = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "end")).alias("_spans")).select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_spans")

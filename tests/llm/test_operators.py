@@ -167,6 +167,46 @@ def test_suffix_dedup_of_near_copies_and_runs(spark, passes, monkeypatch):
     assert all(len(r.kept) == r.n_bytes - r.n_removed for r in got.collect())
 
 
+def _frequent_line(n):
+    """Documents with one line in common, every other with one more neighbour in common, and a copy."""
+    rng = random.Random(n)
+    line = "all documents of this site share this one common line"
+    some = ["".join(rng.choices("abcdefgh ", k=60)) + "\n" + line + "\n" + rng.choice(["", "and a second line that half of them share\n"])
+            + "".join(rng.choices("abcdefgh ", k=60)) for _ in range(n)]
+    return [*enumerate(some), (n, some[7]), (n, line + line), (n + 1, "z" * 900), (n + 2, "z" * 700)]
+
+
+def test_frequent_line_is_sorted_in_bounded_parts(spark, monkeypatch):
+    docs = _frequent_line(300)
+    block, held, levels = 2000, [], []
+    monkeypatch.setattr(suffix_dedup, "owners", lambda text, *rest, f=suffix_dedup.owners: held.append(len(text)) or f(text, *rest))
+    frags = pa.RecordBatch.from_pylist([{"doc_id": i, "key": i, "first": 0, "text": t} for i, t in docs])
+    spans = {}
+    for gram in suffix_dedup.GRAMS:
+        rows = pa.Table.from_batches(suffix_dedup._cut(0, 1, gram)([frags])).sort_by([("mini", "ascending"), ("frag", "ascending"), ("doc_id", "ascending")])
+        out = pa.Table.from_batches(suffix_dedup._sort(block, gram == suffix_dedup.WIDTH)(rows.to_batches(20)))
+        levels.append((rows.num_rows, out.num_rows - out["frag"].null_count))
+        for r in out.to_pylist():
+            if r["frag"] is None:
+                spans.setdefault(r["doc_id"], []).append(r)
+        more = out.filter(pa.compute.is_valid(out["frag"])).rename_columns(["doc_id", "key", "first", "end", "text"])
+        frags = more.combine_chunks().to_batches()[0] if more.num_rows else None
+        if frags is None:
+            break
+    assert levels[0][1] and max(held) < block + 20 * (suffix_dedup.LONGEST + suffix_dedup.WIDTH)
+    want = {d: gone for d, _, gone, *_ in brute.deduplicated([x for x in docs if x[0] != 300])}
+    got = {d: sum(b - a for a, b in suffix_dedup.merged(spans.get(d, []))) for d in want}
+    assert got == want
+
+
+@pytest.mark.parametrize("passes", [1, 2])
+def test_large_buckets_are_dealt_again(spark, passes):
+    docs = _frequent_line(120)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup.deduplicate(df, passes=passes, block=500).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert brute.sort_rows(got.collect()) == brute.sort_rows(brute.deduplicated(docs))
+
+
 @pytest.mark.parametrize(("distance", "segments", "small"), [(2, 16, 64), (2, 16, 1), (1, 8, 2), (3, 20, 2), (0, 16, 64)])
 def test_pigeonring_loses_no_link(spark, distance, segments, small, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", small)
