@@ -10,6 +10,15 @@ unit is compared only with the templates in that range, and only through the
 bigrams they share.  The best template at or above ``least`` is
 reported, ties going to the smaller name.
 
+With ``within``, licences that are no unit are found too: every window of words
+of the whole text, across lines, is a candidate.  A window's gain is the bigrams
+it has in common with the template less those that only one of them has.  Of
+the windows with a score of ``least``, the one with the largest gain is kept (ties:
+smaller name, earlier, shorter), then the next that overlaps none of those
+kept.  Only windows that begin and end with one of the template's bigrams can be best, which
+start where enough of its bigrams are near; a kept window inside a
+reported unit of the same licence is not reported again.
+
 Defined results: a null, empty or wordless text and units of one word match
 nothing; repeated rows are reported as often as they occur; an empty table
 gives an empty result; columns named like an output column are replaced.
@@ -17,11 +26,14 @@ gives an empty result; columns named like an output column are replaced.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -113,6 +125,66 @@ class Templates:
         scored = [s for s in scored if s[0] >= self.least]
         return min(((name, score) for score, name in scored), key=lambda s: (-s[1], s[0])) if scored else None
 
+    def _hits(self, words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+        """By template: its bigrams' places, the place that must lie before a window for each to count, where the widest windows end, possible starts."""
+        places, found = defaultdict(list), {}
+        for i, pair in enumerate(zip(words, words[1:])):
+            if pair in self.shared:
+                for number in self.shared[pair]:
+                    places[number].append(i)
+        for number, at in places.items():
+            size = self.sizes[number]
+            fewest = max(1, math.ceil(self.least * size / (2 - self.least) - 1e-9))
+            if len(at) < fewest:
+                continue
+            pos = np.array(at)
+            ends = np.searchsorted(pos, pos + int(size * (2 - self.least) / self.least + 1e-9))
+            starts = np.flatnonzero(ends - np.arange(len(pos)) >= fewest)
+            if not len(starts):
+                continue
+            # A bigram counts as often as the template has it: not if that many others are between the start and it.
+            before, seen = np.full(len(pos), -1), defaultdict(list)
+            for k, i in enumerate(at):
+                pair = words[i], words[i + 1]
+                seen[pair].append(i)
+                n = self.shared[pair][number]
+                if len(seen[pair]) > n:
+                    before[k] = seen[pair][-1 - n]
+            found[number] = pos, before, ends, starts.tolist()
+        return found
+
+    def within(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, end, template, score) of the best windows that do not overlap."""
+        hits = self._hits(words)
+
+        def best(number: int, k: int, limit: int) -> tuple | None:
+            """The best window from the k-th place that ends by word ``limit``."""
+            pos, before, ends, _ = hits[number]
+            end = min(int(ends[k]), int(np.searchsorted(pos, limit - 1)))
+            start, size = int(pos[k]), self.sizes[number]
+            common = np.cumsum(before[k:end] < start)
+            total = pos[k:end] - start + 1 + size
+            score = 2 * common / total
+            gain = np.where(score >= self.least, 3 * common - total, -4 * size - len(words))
+            j = int(gain.argmax()) if end > k else 0
+            if end <= k or score[j] < self.least:
+                return None
+            return -int(gain[j]), self.names[number], start, int(pos[k + j]) + 2, float(score[j]), number, k
+
+        queue = [w for number, h in hits.items() for k in h[3] if (w := best(number, k, len(words)))]
+        heapq.heapify(queue)
+        kept: list[tuple[int, int, str, float]] = []  # in order of place
+        while queue:
+            _, name, start, end, score, number, k = heapq.heappop(queue)
+            i = bisect_right(kept, start, key=lambda w: w[0])
+            if i and kept[i - 1][1] > start:
+                continue
+            if i == len(kept) or end <= kept[i][0]:
+                insort(kept, (start, end, name, score))
+            elif w := best(number, k, kept[i][0]):
+                heapq.heappush(queue, w)
+        return kept
+
 
 def units(lines: list[list[str]], longest: int) -> Iterator[tuple[int, int, list[str]]]:
     """(first line, last line, words) of each unit of 2 to ``longest`` words; lines count from 0."""
@@ -131,8 +203,23 @@ def units(lines: list[list[str]], longest: int) -> Iterator[tuple[int, int, list
             yield a, b, sum(lines[a:b + 1], [])
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST, text: str = "text") -> DataFrame:
-    """One row a matching unit: the row's columns without its text, its lines, the licence and the score."""
+def found_in(lines: list[list[str]], known: Templates, longest: int, within: bool) -> Iterator[tuple[int, int, str, float]]:
+    """(first line, last line, licence, score) of each matching unit, and of each window that is part of none."""
+    edges = np.cumsum([0, *map(len, lines)])
+    seen = defaultdict(list)
+    for first, last, words in units(lines, longest):
+        if hit := known.best(words):
+            seen[hit[0]].append((edges[first], edges[last + 1]))
+            yield first, last, *hit
+    if within:
+        for a, b, name, score in known.within([w for line in lines for w in line]):
+            if not any(x <= a and b <= y for x, y in seen[name]):
+                first, last = np.searchsorted(edges, [a, b - 1], side="right") - 1
+                yield int(first), int(last), name, score
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST, text: str = "text", within: bool = False) -> DataFrame:
+    """One row a match: the row's columns without its text, the lines, the licence and the score."""
     bounded_batches(docs.sparkSession)
     found = StructType.fromDDL(FOUND)
     kept = [f for f in docs.schema if f.name != text and f.name not in found.names]
@@ -146,10 +233,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
         for batch in pieces(batches, text, 8 << 20):
             rows, hits = [], []
             for row, value in enumerate(batch.column(text).to_pylist()):
-                for first, last, words in units(lines_of(value or ""), longest):
-                    if hit := known.best(words):
-                        rows.append(row)
-                        hits.append((first, last, *hit))
+                for hit in found_in(lines_of(value or ""), known, longest, within):
+                    rows.append(row)
+                    hits.append(hit)
             if rows:
                 at = pa.array(rows)
                 columns = [batch.column(f.name).take(at) for f in kept] + [pa.array(list(c)) for c in zip(*hits)]

@@ -316,6 +316,53 @@ def test_size_bounds_lose_no_match():
             assert (found is not None) == (best >= 0.85) and (found is None or abs(found[1] - best) < 1e-12), name
 
 
+def _windows(words, templates, least):
+    """All windows of words against all templates, the best first, none that overlaps a better one."""
+    found = []
+    for name, text in templates.items():
+        want = sum(licenses.lines_of(text), [])
+        m, counts = len(want) - 1, brute.Counter(zip(want, want[1:]))
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                part = words[a:b]
+                common = sum((brute.Counter(zip(part, part[1:])) & counts).values())
+                score = 2 * common / (b - a - 1 + m)
+                if score >= least:
+                    found.append((-(3 * common - (b - a - 1) - m), name, a, b, score))
+    kept = []
+    for _, name, a, b, score in sorted(found):
+        if all(b <= x or y <= a for x, y, _, _ in kept):
+            kept.append((a, b, name, score))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_are_those_of_all_windows(seed):
+    rng = random.Random(seed)
+    templates = {"a": "one two three four", "b": "one two three four one two five one two", "c": "two three two three two three", "d": "five six"}
+    least = rng.choice([0.7, 0.85, 1.0])
+    known = licenses.Templates(templates, least)
+    for _ in range(60):
+        words = []
+        while len(words) < 30:
+            words += rng.choice([rng.choice([*templates.values()]).split(), [rng.choice(["one", "two", "three", "four", "five", "six", "x"])]])
+        got, want = known.within(words), _windows(words, templates, least)
+        assert [w[:3] for w in got] == [w[:3] for w in want]
+        assert all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want))
+
+
+def test_licences_within_lines_and_across_paragraphs(spark):
+    header = licenses.TEMPLATES["apache-2.0-header"].replace("You may obtain", "\n\n You may obtain").replace("Unless", "\n\nUnless")
+    docs = spark.createDataFrame([
+        (1, "This project is licensed under the Apache License, Version 2.0."), (2, "This library is released under the MIT License."),
+        (3, "Released under the MIT License. See LICENSE for details."), (4, header + "\n\ndef code():\n    return 1\n" * 30),
+        (5, "word " * 300 + licenses.TEMPLATES["mit-text"] + " word" * 300 + " " + licenses.TEMPLATES["isc"]),
+        (6, "no license\n\nin the text of this software"), (7, "Released under\nthe MIT License."), (8, "Licensed under the BSD License.")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.first_line, r.last_line, r.license) for r in licenses.scan(docs, within=True).collect())
+    assert got == [(1, 0, 0, "apache-2.0"), (2, 0, 0, "mit"), (3, 0, 0, "mit"), (4, 0, 4, "apache-2.0-header"), (5, 0, 0, "isc"),
+                   (5, 0, 0, "mit-text"), (7, 0, 1, "mit"), (8, 0, 0, "bsd-notice")]
+
+
 def test_pieces_bound_bytes():
     from roadworthy.llm.arrow import pieces
 
