@@ -19,6 +19,11 @@ kept.  Only windows that begin and end with one of the template's bigrams can be
 start where enough of its bigrams are near; a kept window inside a
 reported unit of the same licence is not reported again.
 
+``TEMPLATES`` are notices and the openings of short licences; ``whole_texts``
+adds the whole licence texts in ``license_texts/`` (17 files, 240 kB), which are
+read once and broadcast.  Licences without a file there (the Creative Commons
+texts but CC0, AGPL, EPL and others) are found by their notices only, or not at all.
+
 Defined results: a null, empty or wordless text and units of one word match
 nothing; repeated rows are reported as often as they occur; an empty table
 gives an empty result; columns named like an output column are replaced.
@@ -32,6 +37,7 @@ import re
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +93,12 @@ TEMPLATES = {
 }
 
 
+def whole_texts() -> dict[str, str]:
+    """The notices, and the whole licence texts by file name."""
+    files = (Path(__file__).parent / "license_texts").glob("*.txt")
+    return TEMPLATES | {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files)}
+
+
 def lines_of(text: str) -> list[list[str]]:
     """Words of each line, normalised."""
     plain = text.translate(_LOWER).replace("licence", "license")
@@ -118,8 +130,10 @@ class Templates:
         pairs = [p for p in zip(words, words[1:]) if p in self.shared]
         common: dict[int, int] = defaultdict(int)
         for pair, n in Counter(pairs).items():
-            for number, m in self.shared[pair].items():
-                if low <= number < high:
+            for number, m in self.shared[pair].items():  # in order of size
+                if number >= high:
+                    break
+                if number >= low:
                     common[number] += min(n, m)
         scored = [(2 * c / (size + self.sizes[t]), self.names[t]) for t, c in common.items()]
         scored = [s for s in scored if s[0] >= self.least]
@@ -128,9 +142,12 @@ class Templates:
     def _hits(self, words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
         """By template: its bigrams' places, the place that must lie before a window for each to count, where the widest windows end, possible starts."""
         places, found = defaultdict(list), {}
+        most = self.range_of(len(words) - 1)[1]  # larger templates need more bigrams than there are
         for i, pair in enumerate(zip(words, words[1:])):
             if pair in self.shared:
                 for number in self.shared[pair]:
+                    if number >= most:
+                        break
                     places[number].append(i)
         for number, at in places.items():
             size = self.sizes[number]
@@ -225,10 +242,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     kept = [f for f in docs.schema if f.name != text and f.name not in found.names]
     schema = StructType(kept + found.fields)
     arrow_schema = to_arrow_schema(schema)
-    texts = dict(templates)
+    texts = docs.sparkSession.sparkContext.broadcast(dict(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(texts, least)
+        known = Templates(texts.value, least)
         longest = int(known.sizes[-1] * (2 - least) / least) + 2 if known.sizes else 0
         for batch in pieces(batches, text, 8 << 20):
             rows, hits = [], []

@@ -70,7 +70,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), within=True)
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.whole_texts(), within=True)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -363,6 +363,18 @@ def test_licences_within_lines_and_across_paragraphs(spark):
                    (5, 0, 0, "mit-text"), (7, 0, 1, "mit"), (8, 0, 0, "bsd-notice")]
 
 
+def test_every_whole_licence_is_found_alone_and_in_a_longer_document(spark):
+    texts = {k: t for k, t in licenses.whole_texts().items() if k not in licenses.TEMPLATES}
+    assert {"apache-2.0-full", "bsd-2-clause-full", "bsd-3-clause", "gpl-2.0", "gpl-3.0-full", "isc-full", "lgpl-2.1", "lgpl-3.0", "mit-full", "mpl-2.0-full"} <= set(texts)
+    around = "some other words of a long file that say nothing of the kind\n\n" * 120
+    rows = [(k, t) for k, t in texts.items()] + [(f"{k} within", around + t + "\n" + around) for k, t in texts.items()]
+    rows += [(f"{k} joined", " ".join((around + t + around).split())) for k, t in texts.items()]
+    got = licenses.scan(spark.createDataFrame(rows, "file string, text string").repartition(4), licenses.whole_texts(), within=True).collect()
+    for name in texts:
+        for kind in (name, f"{name} within", f"{name} joined"):
+            assert max((r.score for r in got if r.file == kind and r.license == name), default=0) > 0.99, kind
+
+
 def test_pieces_bound_bytes():
     from roadworthy.llm.arrow import pieces
 
