@@ -14,7 +14,11 @@ long as their tokens fit.  The order is cut by key ranges: token sums per
 range is ordered row by row, so no leaf is sorted in one task.
 
 Tokens are runs of characters other than space and \\t-\\r.  Defined results:
-a null text has no tokens; null domain, language, source or id count as empty
+a null text has no tokens; the prefix ends before
+the first document, in key order, that does not fit, so a leaf takes at most its
+budget and falls short of it by less than that document's tokens (all rows of
+its id), which no sibling gets; a leaf without tokens has no budget, and none of its
+documents is taken; null domain, language, source or id count as empty
 text; rows with the same leaf and id are taken or left together; an empty
 table gives an empty result; other columns are left alone (clashing working
 names carry an underscore).
