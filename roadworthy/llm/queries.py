@@ -13,6 +13,12 @@ ANN_K, ANN_FACTOR = 10, 1.1
 SHARDS = 24
 SIMHASH_SHINGLE, SIMHASH_BITS = 3, 2
 MIX_RATIO, MIX_EPOCHS, MIX_SEED = 1.0, 2, 7
+#: Unequal target weights of a level's nodes (1 where not named); powers of two, so that sums of them are exact.
+MIX_WEIGHTS = {
+    "domain": {"d0": 4.0, "d1": 2.0, "other": 0.5},
+    "lang": {"en": 4.0, "de": 2.0, "fr": 0.5},
+    "source": {"src0": 2.0, "src1": 0.25, "src7": 4.0, "src12": 0.5},
+}
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +46,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(tokens, leaves, MIX_SEED)
 
 
+def op3_mixing_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op3_mixing``, to the unequal weights of ``MIX_WEIGHTS`` at every level."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    tokens, leaves = mixing.plan(docs, MIX_RATIO, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS)
+    return mixing.copies(tokens, leaves, MIX_SEED)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -102,7 +115,15 @@ def _water_fill(children: str, parent: str, budget: str, order: str) -> str:
             FROM {children})))"""
 
 
-def mix_sql(ratio: float, epochs: int, seed: int) -> str:
+def _weight_sql(level: str, weights: dict[str, dict[str, float]]) -> str:
+    named = weights.get(level)
+    if not named:
+        return "1.0::DOUBLE"
+    return f"CASE {level} {' '.join(f'WHEN {_quoted(k)} THEN {w}::DOUBLE' for k, w in named.items())} ELSE 1.0::DOUBLE END"
+
+
+def mix_sql(ratio: float, epochs: int, seed: int, weights: dict[str, dict[str, float]] | None = None) -> str:
+    by_domain, by_lang, by_source = (_weight_sql(level, weights or {}) for level in mixing.LEAF)
     return f"""
 WITH tok AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -111,9 +132,9 @@ WITH tok AS (
          CAST(coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0) AS BIGINT) AS n_tokens
   FROM documents),
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM tok GROUP BY ALL),
-capped AS (SELECT *, CAST(tokens * {epochs} AS BIGINT) AS cap, 1.0::DOUBLE AS weight FROM leaf),
-lang0 AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, 1.0::DOUBLE AS weight FROM capped GROUP BY ALL),
-dom0 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, 1.0::DOUBLE AS weight, '' AS root,
+capped AS (SELECT *, CAST(tokens * {epochs} AS BIGINT) AS cap, {by_source} AS weight FROM leaf),
+lang0 AS (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, {by_lang} AS weight FROM capped GROUP BY ALL),
+dom0 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {by_domain} AS weight, '' AS root,
                 (SELECT CAST(least(floor(sum(tokens) * {ratio}), sum(cap)) AS BIGINT) FROM capped) AS total
          FROM capped GROUP BY ALL),
 dom AS ({_water_fill("dom0", "root", "total", "domain")}),
@@ -220,6 +241,7 @@ QUERIES = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
+    "op3_mixing_weighted": op3_mixing_weighted,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
@@ -228,4 +250,5 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
-ORACLE = {"op3_mixing": mix_sql(MIX_RATIO, MIX_EPOCHS, MIX_SEED), "op6_url_filter": OP6_SQL, "op8_licenses": OP8_SQL}
+ORACLE = {"op3_mixing": mix_sql(MIX_RATIO, MIX_EPOCHS, MIX_SEED),
+          "op3_mixing_weighted": mix_sql(MIX_RATIO, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS), "op6_url_filter": OP6_SQL, "op8_licenses": OP8_SQL}

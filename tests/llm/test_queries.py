@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import brute
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from roadworthy.llm.queries import ORACLE, QUERIES
 
@@ -205,3 +206,10 @@ def test_sql(spark, where, name, request):
     assert sorted(rel.columns) == cols
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall()
     assert brute.sort_rows(got.select(*cols).collect()) == brute.sort_rows(want)
+
+
+def test_weighted_mixture_has_unequal_targets(spark):
+    got = {name: QUERIES[name](spark, SF0001) for name in ("op3_mixing", "op3_mixing_weighted")}
+    tokens = {name: {r.lang: r.n for r in df.groupBy("lang").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n")).collect()} for name, df in got.items()}
+    assert tokens["op3_mixing_weighted"]["en"] > tokens["op3_mixing"]["en"] and tokens["op3_mixing_weighted"]["fr"] < tokens["op3_mixing"]["fr"]
+    assert "1.0::DOUBLE AS weight FROM leaf" in ORACLE["op3_mixing"] and "WHEN 'd0' THEN 4.0" in ORACLE["op3_mixing_weighted"]
