@@ -1,15 +1,16 @@
 """Nearest neighbours by vantage-point trees, one tree per shard of the vectors.
 
-Shards are cut by a hash of the vector's id and hold about ``rows`` vectors
-each.  A tree node splits its vectors by their distance to a vantage point
+Rows that repeat an id with its vector are dropped first; shards are cut by a
+hash of id and vector and hold about ``rows`` vectors each, so the rows of one
+id are spread like others.  A tree node splits its vectors by their distance to a vantage point
 into a near and a far half and keeps both halves' range of distances.  A
 search skips a half if the triangle inequality puts all of it beyond the
 query's k-th best distance so far; ``factor`` tightens that test: a half is
 skipped if ``factor * gap > kth``.  Factor one is exact search; a larger
 factor visits less and may miss neighbours.
 
-The trees are written to the shared folder as one row a shard.  Queries go in
-blocks of at most ``block`` rows to every shard, and the shards' best are
+The trees are written to the shared folder as one row a shard.  Queries, dealt in the
+same way, go in blocks of about ``block`` rows to every shard, and the shards' best are
 merged by a top-k over each query, so a task holds one shard and one block.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
@@ -139,14 +140,20 @@ def _pack(batch: pa.RecordBatch, id_name: str, dim: int) -> tuple[np.ndarray, np
     return ids, vectors
 
 
+def _dealt(rows: DataFrame, key: str, most: int, part: str) -> DataFrame:
+    """Different rows (key, vector, dim), dealt by a hash of key and vector into parts of about ``most``, with each length's number of parts."""
+    one = F.xxhash64(key, "vector")
+    # One row a vector length, so at most as many rows as the longest vector has components.
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count_distinct(one) / most).cast("int").alias(f"{part}s"))
+    return rows.distinct().join(F.broadcast(sizes), "dim").withColumn(part, F.pmod(one, F.col(f"{part}s")).cast("int"))
+
+
 def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", rows: int = ROWS) -> DataFrame:
     """The trees, written to the shared folder: (dim, shard, tree) with one row a shard."""
     clean = vectors.where(usable(F.col(embedding)) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"),
         F.size(embedding).alias("dim"))
-    sizes = clean.groupBy("dim").agg(F.ceil(F.count("*") / rows).cast("int").alias("shards"))
-    # One row a vector length, so at most as many rows as the longest vector has components.
-    sharded = clean.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    sharded = _dealt(clean, "vec_id", rows, "shard")
 
     def build(group: pa.Table) -> pa.Table:
         dim = group.column("dim")[0].as_py()
@@ -168,11 +175,9 @@ def search(trees: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.
         raise ValueError("factor is at least one, k at least one")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"),
                            F.size("vector").alias("dim"))
-    n = asked.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     shards = trees.groupBy("dim").agg(F.max("shard").alias("last"))
-    # Both small tables have one row a vector length.
     blocks = (
-        asked.join(F.broadcast(n), "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+        _dealt(asked, "query_id", block, "block")
         .groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
         .join(F.broadcast(shards), "dim")
         .select("dim", F.col("asked.query_id").alias("ids"), F.flatten("asked.vector").alias("vectors"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 
 import brute
@@ -35,6 +36,25 @@ def test_factor_one_is_exact_and_a_larger_one_is_not_better(spark):
         vptree.nearest(df, df, factor=0.5)
 
 
+def test_rows_of_one_id_are_spread(spark):
+    rng = np.random.default_rng(11)
+    data = [v.tolist() for v in rng.normal(size=(1200, 6)).round(3)]
+    rows = [(i, v) for i, v in enumerate(data[:600])] + [(5000, v) for v in data[600:]] + [(7000, data[3])] * 600
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    trees = vptree.index(df, rows=150).collect()
+    sizes = [len(pickle.loads(t.tree)[0]) for t in trees]
+    assert sum(sizes) == 1201 and max(sizes) < 300 and len(sizes) >= 6
+    asked = df.where("vec_id in (0, 300, 5000, 7000)").selectExpr("vec_id query_id", "embedding vector", "size(embedding) dim")
+    blocks = [r["count"] for r in vptree._dealt(asked, "query_id", 100, "block").groupBy("block").count().collect()]
+    assert sum(blocks) == 603 and max(blocks) < 200
+    got = vptree.nearest(df, df.where("vec_id in (0, 300, 7000)"), k=5, rows=150, block=1).collect()
+    found = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in (0, 300, 7000)}
+    for q, ids in found.items():
+        v = np.array(data[3] if q == 7000 else data[q])
+        near = sorted({(float(np.sqrt(((np.array(w) - v) ** 2).sum())), i) for i, w in rows if i != q})
+        assert ids == [i for _, i in near[:5]]
+
+
 def test_looser_factor_measures_fewer_vectors():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 8)) * 10
