@@ -6,10 +6,11 @@ as a sequence of word numbers; one pass over a document's words finds all
 occurrences of all windows, overlapping ones included.  Words found are mapped
 back to character offsets of the original text.
 
-The automaton is built once per Python worker from the items sent to it.  The
-items are measured first and sent in blocks of at most ``block_bytes`` of text,
-one pass over the documents a block, so neither the driver nor a worker holds
-more; an ordinary benchmark is one block.
+The automaton is built once per Python worker from the items broadcast to it.
+Equal items are reduced to one, measured, and sent in blocks of about
+``block_bytes`` of text (dealt by hash; an item is never cut), one pass over the
+documents a block, so neither the driver nor a worker holds much more; an
+ordinary benchmark is one block.
 
 Defined results: a null or empty text has no words; an item without words
 matches nothing; items with equal ids count as one; a null item id counts as
@@ -81,6 +82,13 @@ def offsets(text: str, ranges: list[list[int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
+def _windows(shared: dict, window: int) -> Windows:
+    """The automaton of a broadcast value's items, kept with it for the worker's next tasks."""
+    if window not in shared:
+        shared[window] = Windows(shared["items"], window)
+    return shared[window]
+
+
 def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, text: str, first: bool) -> DataFrame:
     """``docs`` with n_words, words (ranges), spans and items found, added to what earlier blocks found."""
     found = "n_words long, words array<struct<first:int,end:int>>, spans array<struct<first:int,end:int>>, items array<string>"
@@ -89,9 +97,10 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, text: str,
     plain = [f.name for f in kept]
     schema = StructType(kept + added.fields)
     arrow_schema = to_arrow_schema(schema)
+    shared = docs.sparkSession.sparkContext.broadcast({"items": items})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(items, window)
+        windows = _windows(shared.value, window)
         for batch in pieces(batches, text, 8 << 20):
             out: dict[str, list] = {"n_words": [], "words": [], "spans": [], "items": []}
             before = [None] * batch.num_rows if first else list(zip(
@@ -136,6 +145,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     """
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
+    items = written(items.distinct(), "benchmark-items")
     blocks = _blocks(items, block_bytes)
     for b in blocks:
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(len(blocks))) == b)

@@ -149,6 +149,21 @@ def test_blocks_of_items_find_the_same(spark, block_bytes):
     assert brute.sort_rows(got.collect()) == brute.sort_rows(want)
 
 
+def test_equal_items_are_sent_once_and_read_once_a_worker(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices("abcdefgh", k=20))) for i in range(60)]
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=10)) + " " + items[i][1]) for i in range(30)]
+    sent = []
+    monkeypatch.setattr(decontamination, "_scan", lambda d, rows, *a, f=decontamination._scan, **k: sent.append(rows) or f(d, rows, *a, **k))
+    got = decontamination.scan(spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame(items + [items[0]] * 300, "item_id long, text string"), block_bytes=1000)
+    got = got.select("doc_id", "n_words", decontamination.hit_words(F.col("words")).alias("h"), F.size("items"))
+    assert brute.sort_rows(got.collect()) == brute.sort_rows([(d, n, h, k) for d, n, h, k, _, _ in brute.decontaminated(docs, items)])
+    assert sum(map(len, sent)) == 60 and max(sum(len(t) + 64 for _, t in rows) for rows in sent) < 2500
+    shared = {"items": items}
+    assert decontamination._windows(shared, 13) is decontamination._windows(shared, 13)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_blocks_find_every_equal_window(seed, monkeypatch):
     rng = np.random.default_rng(seed)
