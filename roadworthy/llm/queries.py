@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadworthy.llm import decontamination, language_id, licenses, mixing, quality, sharding, simhash, suffix_dedup, url_filter, vptree
-from roadworthy.llm.common import table
+from roadworthy.llm import (
+    decontamination, language_id, licenses, mixing, pivot_index, quality, sharding, simhash, spelling, suffix_dedup, url_filter, vptree, whitening,
+)
+from roadworthy.llm.common import ascii_lower, table
 
 QUALITY_LEAST = 0.3
 ANN_K, ANN_FACTOR = 10, 1.1
 SHARDS = 24
 SIMHASH_SHINGLE, SIMHASH_BITS = 3, 2
 MIX_RATIO, MIX_EPOCHS, MIX_SEED = 1.0, 2, 7
+WORD_LENGTH, WORD_LEAST, WORD_RATIO = 5, 3, 2.0
+WHITE_COMPONENTS = 32
+TOP_K = 20
 #: Unequal target weights of a level's nodes (1 where not named); powers of two, so that sums of them are exact.
 MIX_WEIGHTS = {
     "domain": {"d0": 4.0, "d1": 2.0, "other": 0.5},
@@ -101,6 +106,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def spelled(docs: DataFrame, length: int) -> DataFrame:
+    """(word, n): every run of at least ``length`` letters, some with one letter left out, as their crc32 says."""
+    runs = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(f"[a-z\u00C0-\u00FF]{{{length},}}"), F.lit(0))
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    h, at = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")), (F.col("h") % F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return runs.withColumn("h", h).select(F.when(F.col("h") % 97 == 0, less).otherwise(F.col("run")).alias("word"), F.lit(1).alias("n"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A run never gets longer, so shorter ones than the least word are left out at once.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelled(docs, WORD_LENGTH), WORD_LENGTH, WORD_LEAST, WORD_RATIO)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), WHITE_COMPONENTS)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = pivot_index.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=TOP_K, scale=64.0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def _water_fill(children: str, parent: str, budget: str, order: str) -> str:
     """DuckDB: children (cap, weight) with ``share`` of their parent's budget."""
     return f"""
@@ -237,6 +268,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY r, first_line, last_line OR
 SELECT doc_id, first_line, last_line, license, round(score, 6) AS score FROM ranked WHERE k = 1
 """
 
+OP13_SQL = f"""
+WITH given AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS x FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(coalesce(list_dot_product(q.x, v.x), 0) AS BIGINT) AS score
+  FROM given q JOIN given v ON len(q.x) = len(v.x) AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP_K}
+"""
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_language_id": op2_language_id,
@@ -249,6 +290,10 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_top_k": op13_top_k,
 }
 ORACLE = {"op3_mixing": mix_sql(MIX_RATIO, MIX_EPOCHS, MIX_SEED),
-          "op3_mixing_weighted": mix_sql(MIX_RATIO, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS), "op6_url_filter": OP6_SQL, "op8_licenses": OP8_SQL}
+          "op3_mixing_weighted": mix_sql(MIX_RATIO, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS), "op6_url_filter": OP6_SQL, "op8_licenses": OP8_SQL,
+          "op13_top_k": OP13_SQL}

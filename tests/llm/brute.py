@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict  # noqa: F401
@@ -184,3 +185,55 @@ def nearest(rows, k=10):
 
 def sort_rows(rows):
     return sorted((tuple(r) for r in rows), key=repr)
+
+
+def spelled(docs, length=5):
+    """Runs of letters of all texts, with a letter left out where the crc32 says so."""
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = ascii_lower(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            if len(run) >= length:
+                yield run
+
+
+def spelling(words, least=3, ratio=2):
+    """(word, form, root, n, n_near, form_n); words: every occurrence."""
+    n = {w: c for w, c in Counter(words).items() if c >= least}
+    holes = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            holes[w[:i] + "\0" + w[i + 1:]].add(w)
+    near = {w: set().union(*(holes[w[:i] + "\0" + w[i + 1:]] for i in range(len(w)))) - {w} for w in n}
+    for w in n:
+        for i in range(len(w)):
+            less = w[:i] + w[i + 1:]
+            if less in n and less != w:
+                near[w].add(less)
+                near[less].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-n[o], o), default=None)
+        form[w] = best if best and n[best] >= ratio * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
+
+
+def inner_products(rows, k=20, step=20):
+    """{query id: [(vec_id, score)]} of ids divisible by ``step``; rows: (id, vector); repeated rows count once."""
+    grid = {(i, tuple(math.floor(64 * c) for c in v)) for i, v in rows
+            if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)}
+    found = defaultdict(list)
+    for q, x in grid:
+        if q % step == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in grid if i != q and len(y) == len(x))[:k]
+            found[q] += [(i, -s) for s, i in best]
+    return {q: best for q, best in found.items() if best}
