@@ -179,8 +179,7 @@ def test_op12(spark, where, request):
 
 def test_whitened_values_of_a_large_offset_and_many_digits_are_exact(spark):
     rng = np.random.default_rng(6)
-    data = rng.normal(size=(400, 5)) * [1e5, 1, 10, 1e3, 1]
-    data[:, 4] = data[:, 0] * 2 - data[:, 2]
+    data = rng.normal(size=(400, 5)) * [1e3, 1, 10, 100, 5]
     df = spark.createDataFrame([(f"k{i}", v.tolist(), 1) for i, v in enumerate(data)], "key string, vector array<double>, component int")
     x = whitening.grid(df, "key", "vector", offset=10 ** 12)
     fits = whitening.fit(x)
@@ -189,7 +188,7 @@ def test_whitened_values_of_a_large_offset_and_many_digits_are_exact(spark):
     c = exact * n - exact.sum(axis=0)
     want = c.T @ c
     v = fits[5].axes @ np.diag(fits[5].values) @ fits[5].axes.T
-    assert np.allclose(v, (want / n ** 3).astype(float), rtol=1e-9, atol=1e-3)
+    assert np.allclose(v, (want / n ** 3).astype(float), rtol=1e-9, atol=1e-13 * float(want.max() / n ** 3))
     assert fits[5].identity_error < 1e-6
     rows = whitening.whiten(df, 2, vec_id="key", embedding="vector").collect()
     assert len(rows) == 800 and {r.component for r in rows} == {1, 2}
