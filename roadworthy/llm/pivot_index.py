@@ -299,12 +299,13 @@ def search(made: Index, queries: DataFrame, k: int = 20, vec_id: str = "vec_id",
                 "dim", "block", *query, "x", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(_LEAST)).alias("kth"))
             plan = waiting.groupBy("dim", "block").applyInArrow(
                 planned(start, end), "dim int, pivot int, ring int, part int, asked binary, which binary, kth binary, asked_vectors binary")
-            found = plan.join(made.blocks, ["dim", "pivot", "ring", "part"]).mapInArrow(
-                measure, "query_id long, which long, vec_id long, score long, measured long")
+            met = shared_dir(spark, "met")  # read twice below, measured once
+            found = written(plan.join(made.blocks, ["dim", "pivot", "ring", "part"]).mapInArrow(
+                measure, "query_id long, which long, vec_id long, score long, measured long"), "met", met)
             done, path = path, shared_dir(spark, "best")
             state = written(best(state.unionByName(found)), "best", path)
-            if done:
-                remove_path(spark, done)  # nothing reads the round before
+            for old in filter(None, (done, met)):
+                remove_path(spark, old)  # the round's state holds what is needed of both
             start, end = end, end * GROWTH
     seen = state.where("vec_id is null").select(*query, F.col("measured"))
     top = state.where("vec_id is not null").drop("measured").withColumn("rank", F.row_number().over(order).cast("int"))
