@@ -91,4 +91,5 @@ def _load_all() -> None:
         q_profile,
         q_publish,
         q_segments,
+        q_store,
     )

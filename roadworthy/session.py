@@ -71,6 +71,26 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jp, True)  # type: ignore[union-attr]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists on the file system of its path."""
+    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    return bool(jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jp))  # type: ignore[union-attr]
+
+
+@contextmanager
+def session_setting(spark: SparkSession, key: str, value: str):
+    """Hold a session setting for the length of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextmanager
 def temporary_dir(spark: SparkSession, name: str):
     """A fresh shared sub-folder that is deleted at the end of the block."""

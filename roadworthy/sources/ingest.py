@@ -230,18 +230,30 @@ def duplicate_audit(df: DataFrame) -> DataFrame:
     ).withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_rows"))
 
 
+def _digest_sums(digest: Column) -> list[Column]:
+    """Row count and the sums, as text, of both halves of a 32-digit hexadecimal digest."""
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)").cast("decimal(28,0)"))
+    text = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(38,0)").cast("string")
+    return [F.count(F.lit(1)).alias("rows"), text(half(1)).alias("digest_high"), text(half(17)).alias("digest_low")]
+
+
+def row_digest(columns: Sequence[Column]) -> Column:
+    """MD5 of a row: every value with its length, a null as ``n``, so values cannot
+    run together and null, empty text and any literal text differ."""
+    value = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("n"))
+    return F.md5(F.concat(F.lit(""), *[value(c.cast("string")) for c in columns]))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive content fingerprint: row count and the sums of both
-    halves of a per-row MD5 (as text).
+    halves of a per-row MD5 (as text).  Sums, unlike XOR, count repeated rows."""
+    return df.agg(*_digest_sums(row_digest([F.col(c) for c in df.columns])))
 
-    Sums, unlike XOR, count repeated rows.  Every value is written with its
-    length, a null as ``n``, so values cannot run together and null, empty
-    text and any literal text differ."""
-    value = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("n"))
-    digest = F.md5(F.concat(F.lit(""), *[value(F.col(c).cast("string")) for c in df.columns]))
-    half = lambda at: F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)").cast("decimal(28,0)"))
-    text = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(38,0)").cast("string")
-    return df.agg(F.count(F.lit(1)).alias("rows"), text(half(1)).alias("digest_high"), text(half(17)).alias("digest_low"))
+
+def fingerprints(df: DataFrame, by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The fingerprint of each group of ``by`` over ``columns`` (default: all others)."""
+    digest = row_digest([F.col(c) for c in (columns or [c for c in df.columns if c not in by])])
+    return df.groupBy(*by).agg(*_digest_sums(digest))
 
 
 def recent_days(df: DataFrame, as_of: str, days: int, date_col: str = P.MELD_DATUM) -> DataFrame:
