@@ -1,7 +1,7 @@
 """Dataset profile and metadata.
 
 All outputs are small aggregates of the model-level moments and per-age rows
-(``segments.model_moments``, ``segments.per_age_base``); only the yearly trend
+(``segments.age_moments``); only the yearly trend
 reads the fact.
 """
 

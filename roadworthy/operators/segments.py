@@ -4,10 +4,10 @@ A segment is (brand, usage group, primary fuel), optionally with the model.
 Besides the published measures each row carries sums and sums of squares so
 later filters can merge segments without touching the fact table again.
 
-Scale notes: the single distinct count (vehicles) is planned by Spark in two
-phases - first grouped by (segment, plate), then by segment - so a segment
-holding a third of all rows is spread over many tasks before the final merge.
-Every other measure is an algebraic aggregate with map-side partial results.
+Scale notes: the fact is shuffled once, by plate, and reduced to one row per
+vehicle and age; a segment holding a third of all rows is so spread over many
+tasks, and what is shuffled by segment afterwards is combined map-side.  All
+sums are exact, so documents do not change from run to run.
 """
 
 from __future__ import annotations
@@ -21,51 +21,107 @@ from roadworthy import params as P
 from roadworthy.functions.normalize import clip_age, guarded_ratio, rnd
 
 
-def _rate() -> F.Column:
-    return F.col("defect_count") / clip_age(F.col("age_at_inspection"))
+#: Prices are added as decimals of this type, so that no order of addition shows in the sum.
+EXACT = "decimal(28,10)"
 
 
-def model_moments(fact: DataFrame, exposure: str = "age") -> DataFrame:
-    """Counts and sums per (brand, model, type, fuel), unfiltered and unrounded.
+def age_moments(fact: DataFrame, exposure: str = "age", clustered: bool = False) -> DataFrame:
+    """Whole-number sums per (brand, model, type, fuel) and age, unfiltered.
 
-    Every vehicle has exactly one such segment, so distinct vehicles and all
-    sums of any coarser level are exact sums of these rows: brand and model
-    segments, the dataset summary and the fuel domain all derive from this one
-    pass over the fact.
+    Everything the segments publish follows from these rows, at any level of
+    grouping and in any order of addition: counts, defects and their squares,
+    prices (as decimals), and ``first_vehicles``, the vehicles seen at
+    this age for the first time in their segment, which add up to the distinct vehicles over all ages.
+    The fact is read once and shuffled once, by plate; not at all if its rows of a plate already
+    lie together (``clustered``, as in the stored fact).
 
-    ``exposure="age"`` (the original code) sums the age at inspection as
-    vehicle-years; ``"coverage"`` sums the documented coverage years of each
-    inspection instead (D1; needs a fact built ``with_coverage``)."""
-    d, age, price = F.col("defect_count"), F.col("age_at_inspection"), F.col(P.CATALOGUSPRIJS)
-    return fact.groupBy(*P.MODEL_KEYS).agg(
-        F.count_distinct(P.KENTEKEN).alias("vehicle_count"),
+    ``exposure="coverage"`` adds the documented coverage years (D1; needs a fact
+    built ``with_coverage``)."""
+    d, price = F.col("defect_count"), F.col(P.CATALOGUSPRIJS)
+    whole = ["total_inspections", "total_defects", "inspections_with_defects", "sum_sq_defect_counts", "sum_catalog_price",
+             "count_with_price", *(["sum_coverage_years"] if exposure != "age" else [])]
+    vehicle = [*P.MODEL_KEYS, P.KENTEKEN]
+    per_vehicle = (fact if clustered else fact.repartition(P.KENTEKEN)).groupBy(*vehicle, "age_at_inspection").agg(
         F.count(F.lit(1)).alias("total_inspections"),
         F.sum(d).alias("total_defects"),
         F.count_if(d > 0).alias("inspections_with_defects"),
-        F.sum(age).cast("double").alias("sum_age_years"),
-        (F.sum(age).cast("double") if exposure == "age" else F.sum("coverage_years")).alias("total_vehicle_years"),
-        F.sum(_rate()).alias("sum_defects_per_vehicle_year_rates"),
-        F.sum(_rate() * _rate()).alias("sum_sq_defects_per_vehicle_year_rates"),
         F.sum(d * d).alias("sum_sq_defect_counts"),
-        F.sum(price).alias("sum_catalog_price"),
+        F.sum(price.cast(EXACT)).alias("sum_catalog_price"),
         F.count_if(price > 0).alias("count_with_price"),
         F.max(price).alias("max_catalog_price"),
+        *([F.sum(F.col("coverage_years").cast(EXACT)).alias("sum_coverage_years")] if exposure != "age" else []),
+    )
+    # A window of one vehicle holds at most one row an age.
+    first = per_vehicle.withColumn("_first", F.min("age_at_inspection").over(Window.partitionBy(*vehicle)))
+    return first.groupBy(*P.MODEL_KEYS, "age_at_inspection").agg(
+        F.count(P.KENTEKEN).alias("vehicle_count"),
+        F.count_if(F.col(P.KENTEKEN).isNotNull() & (F.col("age_at_inspection") == F.col("_first"))).alias("first_vehicles"),
+        *[F.sum(c).alias(c) for c in whole],
+        F.max("max_catalog_price").alias("max_catalog_price"),
     )
 
 
+def per_age_of(ages: DataFrame) -> DataFrame:
+    """``per_age_base`` from ``age_moments``."""
+    return ages.select(*P.MODEL_KEYS, "age_at_inspection", "vehicle_count", "total_inspections",
+                       F.col("total_defects").cast("double").alias("total_defects"))
+
+
+def moments_of(ages: DataFrame, keys: Sequence[str] = P.MODEL_KEYS) -> DataFrame:
+    """Counts and sums per segment of ``keys`` from ``age_moments``, unfiltered and unrounded.
+
+    All sums are of whole numbers or decimals; both sums of rates (defects by age, ages
+    below one counting as one) are divided age by age and added from the
+    least age to the greatest, at most 101 terms, so their bits do not depend on how
+    the rows were dealt."""
+    exposures = [c for c in ages.columns if c == "sum_coverage_years"]
+    sums = ["total_inspections", "total_defects", "inspections_with_defects", "sum_sq_defect_counts", "sum_catalog_price",
+            "count_with_price", *exposures]
+    n, age = F.col("total_inspections"), F.col("age_at_inspection")
+    per_age = ages.groupBy(*keys, "age_at_inspection").agg(
+        F.sum("first_vehicles").alias("first_vehicles"), *[F.sum(c).alias(c) for c in sums],
+        F.max("max_catalog_price").alias("max_catalog_price"))
+    entry = F.struct(age.alias("age"), F.col("total_defects").alias("d"), F.col("sum_sq_defect_counts").alias("d2"))
+    total = per_age.groupBy(*keys).agg(
+        F.sum("first_vehicles").alias("vehicle_count"), *[F.sum(c).alias(c) for c in sums],
+        F.sum(age * n).alias("sum_age_years"), F.max("max_catalog_price").alias("max_catalog_price"),
+        F.array_sort(F.collect_list(entry)).alias("_ages"))
+
+    def rates(value: str, power: int) -> F.Column:
+        clip = lambda e: clip_age(e["age"]).cast("double")
+        below = lambda e: clip(e) if power == 1 else clip(e) * clip(e)
+        return F.aggregate("_ages", F.lit(0.0), lambda s, e: s + e[value].cast("double") / below(e))
+
+    years = F.col("sum_coverage_years" if exposures else "sum_age_years").cast("double")
+    return total.select(
+        *keys, "vehicle_count", "total_inspections", "total_defects", "inspections_with_defects",
+        F.col("sum_age_years").cast("double").alias("sum_age_years"), years.alias("total_vehicle_years"),
+        rates("d", 1).alias("sum_defects_per_vehicle_year_rates"), rates("d2", 2).alias("sum_sq_defects_per_vehicle_year_rates"),
+        "sum_sq_defect_counts", F.col("sum_catalog_price").cast("double").alias("sum_catalog_price"), "count_with_price",
+        "max_catalog_price")
+
+
+def model_moments(fact: DataFrame, exposure: str = "age") -> DataFrame:
+    """``moments_of`` the model level, from the fact.
+
+    ``exposure="age"`` (the original code) sums the age at inspection as
+    vehicle-years; ``"coverage"`` sums the documented coverage years of each
+    inspection instead (D1; needs a fact built ``with_coverage``)."""
+    return moments_of(age_moments(fact, exposure))
+
+
 def _sample_std(total: F.Column, squares: F.Column, n: F.Column) -> F.Column:
     """Sample standard deviation from sums; null for fewer than two values."""
     variance = (squares - total * total / n) / (n - 1)
     return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), variance)))
 
 
-def segment_measures(moments: DataFrame, keys: Sequence[str], with_defect_found: bool = True,
+def segment_measures(ages: DataFrame, keys: Sequence[str], with_defect_found: bool = True,
                      exposure: str = "age") -> DataFrame:
-    """The 2.5 measure list per segment of ``keys``, from ``model_moments``.
+    """The 2.5 measure list per segment of ``keys``, from ``age_moments``.
 
     The sums that are merged again later (rates, prices) are not rounded."""
-    names = [c for c in moments.columns if c not in (*P.MODEL_KEYS, "max_catalog_price")]
-    m = moments.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+    m = moments_of(ages, keys)
     n = F.col("total_inspections")
     rate = F.col("sum_defects_per_vehicle_year_rates")
     return m.select(
@@ -92,26 +148,26 @@ def _derive(df: DataFrame) -> DataFrame:
     )
 
 
-def brand_segments_of(moments: DataFrame, threshold: int = P.DEFAULT.brand, exposure: str = "age") -> DataFrame:
+def brand_segments_of(ages: DataFrame, threshold: int = P.DEFAULT.brand, exposure: str = "age") -> DataFrame:
     """(brand, type, fuel) segments with at least ``threshold`` vehicles."""
-    return _derive(segment_measures(moments, P.BRAND_KEYS, True, exposure).where(F.col("vehicle_count") >= threshold))
+    return _derive(segment_measures(ages, P.BRAND_KEYS, True, exposure).where(F.col("vehicle_count") >= threshold))
 
 
-def model_segments_of(moments: DataFrame, threshold: int = P.DEFAULT.model, exposure: str = "age") -> DataFrame:
+def model_segments_of(ages: DataFrame, threshold: int = P.DEFAULT.model, exposure: str = "age") -> DataFrame:
     """A7 + W1: (brand, model, type, fuel) segments of models whose vehicles,
     summed over their segments, reach ``threshold``."""
-    seg = segment_measures(moments, P.MODEL_KEYS, False, exposure)
+    seg = segment_measures(ages, P.MODEL_KEYS, False, exposure)
     w = Window.partitionBy(P.MERK, P.HANDELSBENAMING)
     return _derive(seg.withColumn("total_model_count", F.sum("vehicle_count").over(w)).where(
         F.col("total_model_count") >= threshold))
 
 
 def brand_segments(fact: DataFrame, threshold: int = P.DEFAULT.brand, exposure: str = "age") -> DataFrame:
-    return brand_segments_of(model_moments(fact, exposure), threshold, exposure)
+    return brand_segments_of(age_moments(fact, exposure), threshold, exposure)
 
 
 def model_segments(fact: DataFrame, threshold: int = P.DEFAULT.model, exposure: str = "age") -> DataFrame:
-    return model_segments_of(model_moments(fact, exposure), threshold, exposure)
+    return model_segments_of(age_moments(fact, exposure), threshold, exposure)
 
 
 def by_rate(segments: DataFrame, keys: Sequence[str]) -> DataFrame:

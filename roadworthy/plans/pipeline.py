@@ -74,10 +74,9 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
     With ``checkpoint`` the fact is written once (S11/S12: zstd Parquet, rows
     sorted by year within each task, which gives each file tight year ranges
     without the small files of ``partitionBy``), and so are the few tables
-    every later output reads (model-level moments and per-age rows, both
-    unfiltered, model-level defect breakdown, top codes, yearly trend, model-level fuel counts).  Brand-level
-    per-age rows, defect and fuel breakdowns are exact roll-ups of the model
-    level, so the fact is scanned once per grouping level instead of once per
+    every later output reads (model-level moments by age,
+    unfiltered, model-level defect breakdown, top codes, yearly trend, model-level fuel counts).  Segments of either
+    level, per-age rows, defect and fuel breakdowns are exact roll-ups of these, so the fact is scanned once per grouping level instead of once per
     output.  Without ``checkpoint`` everything stays one lazy plan.
     ``exposure="coverage"`` counts vehicle-years as documented coverage years (D1).
     """
@@ -102,17 +101,17 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
     done = keep_all({"inspection_stats": fact_plan, "model_fuel": FU.fuel_by_model(src.fuel, src.vehicles)},
                     {"inspection_stats": ["insp_year"]})
     fact, model_fuel_long = done["inspection_stats"], done["model_fuel"]
-    # The only readers of the fact: moments, per-age rows, the defects' join and the yearly trend.
+    # The only readers of the fact: moments by age, the defects' join and the yearly trend.
     level = keep_all({
-        "model_moments": segments.model_moments(fact, exposure),
-        "per_age_base": segments.per_age_base(fact),
+        "age_moments": segments.age_moments(fact, exposure),
         "yearly_trend": profile.yearly_trend(fact, t.yearly_trend),
         "model_breakdown": D.model_breakdown(src.defects, fact, on_bad=on_bad),
         "top_defects": D.top_defects(src.defects, src.codes, t.top_codes, on_bad=on_bad),
     })
-    moments, age_base, model_bd = level["model_moments"], level["per_age_base"], level["model_breakdown"]
-    bseg = segments.brand_segments_of(moments, t.brand, exposure)
-    mseg = segments.model_segments_of(moments, t.model, exposure)
+    ages, model_bd = level["age_moments"], level["model_breakdown"]
+    moments, age_base = segments.moments_of(ages), segments.per_age_of(ages)
+    bseg = segments.brand_segments_of(ages, t.brand, exposure)
+    mseg = segments.model_segments_of(ages, t.model, exposure)
     top = level["top_defects"]
     summary = profile.dataset_summary(moments)
     return Outputs(

@@ -69,9 +69,9 @@ def a15_zero_defect_rate(spark, sf_dir):
 def _segs(spark, sf_dir):
     """Brand and model segments, dataset summary and age bounds from the two model-level tables."""
     fact = fact_of(sources(spark, sf_dir))
-    moments = segments.model_moments(fact)
-    return (segments.brand_segments_of(moments, T.brand), segments.model_segments_of(moments, T.model),
-            profile.dataset_summary(moments), segments.age_bounds(segments.per_age_base(fact)))
+    ages = segments.age_moments(fact)
+    return (segments.brand_segments_of(ages, T.brand), segments.model_segments_of(ages, T.model),
+            profile.dataset_summary(segments.moments_of(ages)), segments.age_bounds(ages))
 
 
 @register("a24_filter_ranges", lambda: O.q("SELECT * FROM ranges", T, RANGES_CTE))

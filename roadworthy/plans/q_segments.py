@@ -64,6 +64,43 @@ def a8_model_per_age(spark, sf_dir):
     return segments.per_age(fact_of(sources(spark, sf_dir)), P.MODEL_KEYS, T.age_bracket)
 
 
+AGE_MOMENTS_SQL = """
+, per_vehicle AS (
+  SELECT merk, handelsbenaming, vehicle_type_group, primary_fuel, age_at_inspection, count(*) AS n, sum(defect_count) AS d,
+         count_if(defect_count > 0) AS f, sum(defect_count * defect_count) AS d2,
+         min(age_at_inspection) = min(min(age_at_inspection)) OVER (
+           PARTITION BY merk, handelsbenaming, vehicle_type_group, primary_fuel, kenteken) AS first
+  FROM fact GROUP BY merk, handelsbenaming, vehicle_type_group, primary_fuel, kenteken, age_at_inspection),
+ages AS (
+  SELECT merk, handelsbenaming, vehicle_type_group, primary_fuel, age_at_inspection, count(*) AS vehicle_count,
+         CAST(count_if(first) AS BIGINT) AS first_vehicles, CAST(sum(n) AS BIGINT) AS total_inspections,
+         CAST(sum(d) AS BIGINT) AS total_defects, CAST(sum(f) AS BIGINT) AS inspections_with_defects,
+         CAST(sum(d2) AS BIGINT) AS sum_sq_defect_counts
+  FROM per_vehicle GROUP BY ALL)"""
+
+
+@register("a30_age_moments", lambda: O.q("SELECT * FROM ages", T, AGE_MOMENTS_SQL))
+def a30_age_moments(spark, sf_dir):
+    """The whole-number sums per model segment and age that every segment follows from."""
+    ages = segments.age_moments(fact_of(sources(spark, sf_dir)))
+    return ages.drop("sum_catalog_price", "count_with_price", "max_catalog_price")
+
+
+@register("a30_exact_rate_sums", lambda: O.q("""
+SELECT merk, vehicle_type_group, primary_fuel, CAST(sum(v) AS BIGINT) AS vehicle_count,
+       list_reduce(list(CAST(d AS DOUBLE) / greatest(age_at_inspection, 1) ORDER BY age_at_inspection), lambda a, b: a + b)
+         AS sum_defects_per_vehicle_year_rates,
+       list_reduce(list(CAST(d2 AS DOUBLE) / (greatest(age_at_inspection, 1) * greatest(age_at_inspection, 1)) ORDER BY age_at_inspection),
+                   lambda a, b: a + b) AS sum_sq_defects_per_vehicle_year_rates
+FROM (SELECT merk, vehicle_type_group, primary_fuel, age_at_inspection, sum(first_vehicles) AS v, sum(total_defects) AS d,
+             sum(sum_sq_defect_counts) AS d2 FROM ages GROUP BY ALL)
+GROUP BY ALL""", T, AGE_MOMENTS_SQL))
+def a30_exact_rate_sums(spark, sf_dir):
+    """Vehicles and both sums of rates of each brand segment, equal to the last bit."""
+    moments = segments.moments_of(segments.age_moments(fact_of(sources(spark, sf_dir))), P.BRAND_KEYS)
+    return moments.select(*P.BRAND_KEYS, "vehicle_count", "sum_defects_per_vehicle_year_rates", "sum_sq_defects_per_vehicle_year_rates")
+
+
 @register("a9_age_bounds", lambda: O.q("""
 SELECT coalesce(min(age_at_inspection), 0) AS min_age, coalesce(max(age_at_inspection), 0) AS max_age
 FROM fact""", T))

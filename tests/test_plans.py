@@ -48,20 +48,22 @@ def test_summary_has_no_expand(spark):
     assert "Expand" not in plan
 
 
-def test_publishing_reads_the_fact_four_times(spark):
-    """Moments, per-age rows, breakdown and yearly trend; the documents read only these."""
+def test_publishing_reads_the_fact_three_times(spark):
+    """Moments by age, breakdown and yearly trend; the documents read only these."""
     from roadworthy.plans.pipeline import documents, run_statistics
     from roadworthy.session import temporary_dir
 
     src = bind(spark, SF001)
     with temporary_dir(spark, "plan-test") as work:
         out = run_statistics(spark, src, P.TEST_SF001, base_dir=work)
+        import os
+
+        assert sorted(os.listdir(work.removeprefix("file:"))) == [
+            "age_moments", "inspection_stats", "model_breakdown", "model_fuel", "top_defects", "yearly_trend"]
         plan = _plan(documents(out)["metadata"])
         assert "inspection_stats" not in plan and f"hashpartitioning({P.KENTEKEN}" not in plan
         for name, doc in documents(out).items():
             assert "inspection_stats" not in _plan(doc), name
-    import os
-
     assert not os.path.exists(work.removeprefix("file:"))
 
 
@@ -71,6 +73,14 @@ def test_segments_single_distinct_two_phase(spark):
     assert "Expand" not in plan  # one distinct aggregate: no row multiplication
 
 
+def test_moments_shuffle_the_fact_once_by_plate(spark):
+    _, fact = _fact(spark)
+    stored = spark.createDataFrame([], fact.schema)
+    plan = _plan(segments.age_moments(stored))
+    assert plan.count(f"hashpartitioning({P.KENTEKEN}#") == 1
+    assert plan.count("Exchange") == 2  # by plate, then the partial sums by segment and age
+
+
 def test_binding_scan_is_pruned(spark):
     src = bind(spark, SF001)
     plan = _plan(src.defects.select(P.KENTEKEN))

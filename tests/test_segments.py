@@ -215,3 +215,23 @@ def test_brand_selection_of_any_length(spark):
     assert X.brand_selection(df, ()).count() == 2000
     for chosen in (few, many):
         assert "Join" not in X.brand_selection(df, chosen)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_are_equal_to_the_bit_however_the_fact_is_dealt(spark):
+    src = bind(spark, SF001)
+    fact = facts.inspection_stats(src.inspections, src.vehicles, src.defects, src.fuel, with_coverage=True)
+    # Prices and rates whose doubles do not add up alike in every order.
+    fact = fact.withColumn(P.CATALOGUSPRIJS, F.col(P.CATALOGUSPRIJS) + F.lit(0.1)).cache()
+    one, other = fact.repartition(3, "insp_year", P.MELD_TIJD), fact.orderBy(F.md5(F.concat(P.KENTEKEN, P.MELD_DATUM))).repartition(23)
+    for build in (lambda f: segments.brand_segments(f, 1), lambda f: segments.model_segments(f, 1),
+                  lambda f: segments.brand_segments(f, 1, "coverage")):
+        a, b = (sorted(map(tuple, build(f).collect()), key=repr) for f in (one, other))
+        assert a == b and len(a) > 50
+    fact.unpersist()
+
+
+def test_vehicles_seen_first_at_an_age_add_up_to_distinct_vehicles(spark):
+    f = _fact(spark, [(k, f"20{20 + i}0101", "0930", "VW", None, 0.0, "consumer", "Diesel", 2020 + i, a, 1)
+                      for k, seen in (("A", (3, 4, 7)), ("B", (4,)), ("C", (7, 3)), (None, (4, 5))) for i, a in enumerate(seen)])
+    ages = {r["age_at_inspection"]: (r["vehicle_count"], r["first_vehicles"]) for r in segments.age_moments(f).collect()}
+    assert ages == {3: (2, 2), 4: (2, 1), 5: (0, 0), 7: (2, 0)}  # a null plate is no vehicle
