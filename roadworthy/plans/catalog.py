@@ -90,6 +90,7 @@ def _load_all() -> None:
         q_lookup,
         q_profile,
         q_publish,
+        q_ranked,
         q_segments,
         q_store,
     )
