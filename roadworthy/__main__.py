@@ -17,11 +17,12 @@ from pyspark.sql import SparkSession
 
 from roadworthy import params as P
 from roadworthy.operators.facts import rejected_values
-from roadworthy.plans.pipeline import publish_all, run_statistics
+from roadworthy.plans.pipeline import publish_all, publish_changed_all, run_statistics
 from roadworthy.session import configure, shared_dir, temporary_dir
 from roadworthy.sources.bindings import bind
+from roadworthy.sources.ingest import assert_files, table_file_checks
 from roadworthy.sources.publish import write_json
-from roadworthy.sources.tables import load_sources
+from roadworthy.sources.tables import DATASETS, load_sources
 
 
 def main(argv: list[str] | None = None) -> dict[str, str]:
@@ -33,15 +34,26 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     ap.add_argument("--exposure", choices=("age", "coverage"), default="age")
     ap.add_argument("--on-bad", choices=("raise", "one"), default="raise",
                     help="one: replace junk quantities, prices and dates, and write them to rejected_values")
+    ap.add_argument("--check-files", action="store_true",
+                    help="with --tables: stop before the run if a table's files are missing or smaller than the original's least sizes")
+    ap.add_argument("--only-changed", action="store_true",
+                    help="with --out: rewrite only documents, and prefixes of them, whose content changed since the last run")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("roadworthy").getOrCreate()
     configure(spark)
+    if args.check_files and args.tables:
+        assert_files(table_file_checks(spark, args.tables, list(DATASETS.values())))
     src = load_sources(spark, args.tables) if args.tables else bind(spark, args.testdata)
     base = args.out or shared_dir(spark, "documents")
     with temporary_dir(spark, "run") as work:  # the run's intermediates go when its documents are written
         out = run_statistics(spark, src, P.DEFAULT, exposure=args.exposure, on_bad=args.on_bad, base_dir=work)
-        paths = publish_all(spark, out, base)
+        if args.only_changed:
+            done = publish_changed_all(spark, out, base, work)
+            paths = {name: f"{base}/{name}" for name in done}
+            print(json.dumps({"rewritten": done}, indent=2))
+        else:
+            paths = publish_all(spark, out, base)
     if args.on_bad != "raise":
         rejected = rejected_values(src.inspections, src.vehicles, src.defects)
         paths["rejected_values"] = write_json(rejected, f"{base}/rejected_values")

@@ -165,3 +165,20 @@ def publish_all(spark: SparkSession, out: Outputs, base: str | None = None) -> d
     with ThreadPoolExecutor(max_workers=len(docs)) as pool:
         futs = {k: pool.submit(publish.write_json, df, f"{base}/{k}") for k, df in docs.items()}
         return {k: f.result() for k, f in futs.items()}
+
+
+#: The column whose first character is a document's prefix; documents of one row have none.
+DOCUMENT_KEYS = {
+    "brand_stats": P.MERK, "model_stats": P.MERK, "brand_defect_breakdown": "key", "model_defect_breakdown": "key",
+    "defect_codes": "defect_code",
+}
+
+
+def publish_changed_all(spark: SparkSession, out: Outputs, base: str, work: str | None = None) -> dict[str, list[str]]:
+    """S13 + S15: rewrite only the documents' prefixes whose content changed;
+    returns the rewritten prefixes of every document (none: not touched)."""
+    work = work or shared_dir(spark, "staged")
+    docs = documents(out)
+    with ThreadPoolExecutor(max_workers=len(docs)) as pool:
+        futs = {k: pool.submit(publish.publish_changed, df, k, base, f"{work}/staged", DOCUMENT_KEYS.get(k)) for k, df in docs.items()}
+        return {k: f.result() for k, f in futs.items()}

@@ -143,11 +143,66 @@ def s6_union_schema(spark, sf_dir):
 @register("s8_reconciliation", lambda: O.q("""
 SELECT count(*) AS source_rows, count(*) AS shard_rows, count(*) AS merged_rows, true AS ok FROM odd""", T, ODD_PLATES))
 def s8_reconciliation(spark, sf_dir):
+    """The three counts, observed while the shards are written, read back and merged."""
+    return _merged(spark, sf_dir)[1].drop("group_rows")
+
+
+def _merged(spark, sf_dir):
+    v = _odd_plates(sources(spark, sf_dir).vehicles.select(*VEHICLE_COLS))
+    return I.merge_observed(v, shared_dir(spark, "s8"), tables.SCHEMAS["voertuigen"], drop_columns={"1": [P.CATALOGUSPRIJS]},
+                            extra_columns={"2": {"extra_note": F.lit("x")}})
+
+
+@register("s8_merged_table", lambda: O.q("""
+SELECT kenteken, voertuigsoort, merk, handelsbenaming, datum_eerste_toelating,
+       CASE WHEN starts_with(kenteken, '1') THEN NULL ELSE catalogusprijs END AS catalogusprijs, vervaldatum_apk
+FROM odd""", T, ODD_PLATES))
+def s8_merged_table(spark, sf_dir):
+    """S7 + S8: the table merged while it was counted."""
+    return _merged(spark, sf_dir)[0]
+
+
+@register("s8_separate_counts", lambda: O.q("""
+SELECT count(*) AS source_rows, count(*) AS shard_rows, count(*) AS merged_rows, true AS ok FROM odd""", T, ODD_PLATES))
+def s8_separate_counts(spark, sf_dir):
+    """S8 for tables written elsewhere: the same counts by scans."""
     v, shards = _staged_shards(spark, sf_dir)
     merged = I.tolerant_union(shards, tables.SCHEMAS["voertuigen"])
     return I.reconcile(v, shards, merged)
 
 
+_LINE = "concat_ws(',', " + ", ".join(f"coalesce({c}, '')" for c in VEHICLE_COLS) + ")"
+_CUT = "concat_ws(',', " + ", ".join(f"coalesce({c}, '')" for c in VEHICLE_COLS[:-2]) + ")"
+_BAD_LINES = f"""
+, lines AS (
+  SELECT *, CASE CAST(kenteken AS INTEGER) % 10 WHEN 3 THEN {_CUT} WHEN 6 THEN {_LINE} || ',more' ELSE {_LINE} END AS line FROM vehicles)"""
+
+
+def _staged_lines(spark, sf_dir):
+    """Vehicles as CSV lines, of which a tenth have two fields too few and a tenth one too many."""
+    v = sources(spark, sf_dir).vehicles.select(*VEHICLE_COLS)
+    text = lambda cols: F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cols])
+    odd = F.col(P.KENTEKEN).cast("int") % 10
+    line = (F.when(odd == 3, text(VEHICLE_COLS[:-2])).when(odd == 6, F.concat(text(VEHICLE_COLS), F.lit(",more")))
+            .otherwise(text(VEHICLE_COLS)))
+    base = shared_dir(spark, "s4-lines")
+    v.select(line.alias("line")).write.text(f"{base}/lines")
+    return I.stage_csv(spark, f"{base}/lines", f"{base}/staged", VEHICLE_COLS, header=False)
+
+
+@register("s4_good_lines", lambda: O.q(
+    f"SELECT {', '.join(VEHICLE_COLS)} FROM lines WHERE CAST(kenteken AS INTEGER) % 10 NOT IN (3, 6)", T, _BAD_LINES))
+def s4_good_lines(spark, sf_dir):
+    """The rows of the lines that fit, from shards that hold others too."""
+    return _staged_lines(spark, sf_dir)[0]
+
+
+@register("s4_quarantine", lambda: O.q("SELECT line FROM lines WHERE CAST(kenteken AS INTEGER) % 10 IN (3, 6)", T, _BAD_LINES))
+def s4_quarantine(spark, sf_dir):
+    """The whole text of every line that does not fit."""
+    return _staged_lines(spark, sf_dir)[1].select("line")
+
+
 @register("s9_table_checks", lambda: O.q("""
 SELECT 'meldingen' AS "table", count(*) >= 1 AS ok, CASE WHEN count(*) >= 1 THEN 'ok' ELSE 'too few rows' END
        AS message, count(*) AS "rows", 5 AS columns FROM inspections

@@ -133,3 +133,20 @@ def p33_formatting(spark, sf_dir):
         FM.decimal_format(F.col("avg_defects_per_inspection"), 2).alias("average_display"),
         FM.percentage_format(F.col("inspections_with_defects") / F.col("total_inspections")).alias("found_rate_display"),
     )
+
+
+@register("s15_republished_segments", lambda: O.q(
+    "SELECT merk, vehicle_type_group, primary_fuel, vehicle_count, total_inspections, defects_per_vehicle_year FROM bseg", T))
+def s15_republished_segments(spark, sf_dir):
+    """S13 + S15: a document published from an earlier state of the inputs, brought up to the present one
+    (only its changed prefixes are rewritten), and read back."""
+    from dataclasses import replace
+
+    src = sources(spark, sf_dir)
+    base, work = shared_dir(spark, "published"), shared_dir(spark, "staged")
+    before = replace(src, defects=src.defects.where(F.substring(P.KENTEKEN, 1, 1) != "1"))
+    for i, state in enumerate((before, src)):
+        seg = segments.brand_segments(fact_of(state), T.brand).select(
+            *P.BRAND_KEYS, "vehicle_count", "total_inspections", "defects_per_vehicle_year")
+        publish.publish_changed(seg, "brand_stats", base, f"{work}/{i}", P.MERK)
+    return publish.read_published(spark, f"{base}/brand_stats", seg.schema)

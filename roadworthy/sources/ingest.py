@@ -15,7 +15,7 @@ import string
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,34 @@ def read_csv_strings(spark: SparkSession, path: str | list[str], schema: T.Struc
     return (r.schema(schema) if schema is not None else r).csv(path)
 
 
+#: Column of a staged line that did not fit, and the flag the staging folder is partitioned by.
+BAD_LINE, IS_BAD = "_bad_line", "_is_bad"
+
+
+def stage_csv(spark: SparkSession, path: str | list[str], staging: str, names: Sequence[str] | None = None,
+              header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Read CSV as strings and keep lines that do not fit apart.
+
+    Returns (rows, quarantine): ``rows`` has the columns ``names`` (default: the
+    header's); ``quarantine`` the whole text and the file of every line
+    with too few or too many fields or broken quotes, which a
+    plain read would pad with nulls or cut.  The lines are parsed once, into
+    ``staging`` (shared storage), in one folder for the good and one for the bad,
+    so reading either opens no file of the other."""
+    if names is None:
+        if not header:
+            raise ValueError("without a header the names must be given")
+        names = read_csv_strings(spark, path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_LINE]])
+    lines = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", BAD_LINE).csv(path))
+    staged = lines.select("*", F.input_file_name().alias("_file"), F.col(BAD_LINE).isNotNull().alias(IS_BAD))
+    staged.write.mode("overwrite").option("compression", "zstd").partitionBy(IS_BAD).parquet(staging)
+    back = spark.read.schema(T.StructType([*schema.fields, T.StructField("_file", T.StringType()),
+                                           T.StructField(IS_BAD, T.BooleanType())])).parquet(staging)
+    return back.where(~F.col(IS_BAD)).select(*names), back.where(IS_BAD).select(F.col(BAD_LINE).alias("line"), F.col("_file").alias("file"))
+
+
 def to_parquet(df: DataFrame, path: str) -> str:
     """Zstd-compressed Parquet."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -82,7 +110,9 @@ def write_shards(df: DataFrame, base: str, plate_col: str = P.KENTEKEN,
     prefix shard, or in ``OTHER_SHARD`` if no prefix fits.
 
     Returns the folders that exist, grouped by header, so that each group is
-    read by one reader.  Shards with the common header are written by one partitioned job;
+    read by one reader.  Shards with the common header are written by one partitioned job,
+    rebalanced by shard: the rows of a small shard go to one task and those of a large one are split
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), so the number of files follows the size of the data, not tasks times shards;
     ``drop_columns`` / ``extra_columns`` make chosen shards differ in header,
     the way shards of a drifting export do, and are written on their own."""
     drop_columns = drop_columns or {}
@@ -90,8 +120,8 @@ def write_shards(df: DataFrame, base: str, plate_col: str = P.KENTEKEN,
     odd = sorted(set(drop_columns) | set(extra_columns))
     tagged = df.withColumn("shard", F.coalesce(shard_of(F.col(plate_col)), F.lit(OTHER_SHARD)))
     common = tagged.where(~F.col("shard").isin(*odd)) if odd else tagged
-    common.select(*[F.col(c).cast("string").alias(c) for c in df.columns], "shard").write.mode(
-        "overwrite").options(**_CSV).partitionBy("shard").csv(base)
+    common = common.select(*[F.col(c).cast("string").alias(c) for c in df.columns], "shard").hint("rebalance", F.col("shard"))
+    common.write.mode("overwrite").options(**_CSV).partitionBy("shard").csv(base)
     for p in odd:
         part = tagged.where(F.col("shard") == p).drop("shard")
         if p in drop_columns:
@@ -136,6 +166,33 @@ def tolerant_union(frames: Sequence[DataFrame], schema: T.StructType | None = No
     return reduce(lambda a, b: a.unionByName(b), [conform(f) for f in frames]).select(*names)
 
 
+def merge_observed(df: DataFrame, base: str, schema: T.StructType, **drift) -> tuple[DataFrame, DataFrame]:
+    """S5-S8 in one pass each way: (merged table, reconciliation report).
+
+    ``df`` is staged as CSV shards (``write_shards``, which takes ``drift``) and merged into Parquet below
+    ``base``.  The rows are counted while they are written and while they are read
+    back, by observed metrics of those two jobs; no table is scanned again to be counted.
+    The report is ``reconcile``'s row, with the number of rows of every group of shards read."""
+    spark = df.sparkSession
+    source = Observation("source")
+    # The first job of the write sees every row, also those of shards that differ in header.
+    groups = write_shards(df.observe(source, F.count(F.lit(1)).alias("rows")), f"{base}/shards", **drift)
+    seen, frames = [], []
+    for i, folders in enumerate(groups):
+        frame = read_csv_strings(spark, folders)
+        if frame.columns:
+            seen.append(Observation(f"shards-{i}"))
+            frames.append(frame.observe(seen[-1], F.count(F.lit(1)).alias("rows")))
+    whole = Observation("merged")
+    merged = tolerant_union(frames, schema) if frames else spark.createDataFrame([], schema)
+    to_parquet(merged.observe(whole, F.count(F.lit(1)).alias("rows")), f"{base}/merged")
+    read = [int(o.get["rows"]) for o in seen]
+    row = (int(source.get["rows"]), sum(read), int(whole.get["rows"]), read)
+    report = spark.createDataFrame([(*row, row[0] == row[1] == row[2])],
+                                   "source_rows bigint, shard_rows bigint, merged_rows bigint, group_rows array<bigint>, ok boolean")
+    return spark.read.schema(schema).parquet(f"{base}/merged"), report
+
+
 def reconcile(source: DataFrame, shards: Sequence[DataFrame], merged: DataFrame) -> DataFrame:
     """The merged row count must equal the source's and the sum of the shards'.
 
@@ -218,6 +275,13 @@ def table_file_checks(spark: SparkSession, base_dir: str, names: Sequence[str],
     return reduce(DataFrame.unionByName, checks)
 
 
+def assert_files(checks: DataFrame) -> None:
+    """Stop unless every checked table has its files; the error names those that do not."""
+    bad = [f"{r['table']}: {r['message']}" for r in checks.where(~F.col("ok")).orderBy("table").collect()]  # one row a table
+    if bad:
+        raise ValueError("table files are not fit for a run: " + "; ".join(bad))
+
+
 def duplicate_audit(df: DataFrame) -> DataFrame:
     """Total rows, distinct rows and exact duplicate rows.
 

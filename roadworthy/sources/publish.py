@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadworthy.functions import normalize as N
 from roadworthy.operators import fuel as FU
+from roadworthy.session import path_exists, remove_path
+from roadworthy.sources import ingest
 
 PER_YEAR = T.MapType(
     T.StringType(),
@@ -62,6 +64,65 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType | None =
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
+#: The partition of a published document: the prefix of its key, or one for all.
+PREFIX, WHOLE = "prefix", "all"
+#: Folder of the documents' fingerprints; readers of the output skip names that begin with an underscore.
+TREE = "_fingerprints"
+
+
+def document_prefix(key: str | None) -> Column:
+    """Prefix shard of a document's row, by its key column."""
+    if key is None:
+        return F.lit(WHOLE)
+    return F.coalesce(ingest.shard_of(F.upper(F.col(key))), F.lit(ingest.OTHER_SHARD))
+
+
+def _leaves(spark: SparkSession, path: str) -> dict[str, tuple]:
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        return {}
+    return {r[PREFIX]: (r["rows"], r["digest_high"], r["digest_low"]) for r in spark.read.parquet(path).collect()}
+
+
+def publish_changed(df: DataFrame, name: str, base: str, staging: str, key: str | None = None) -> list[str]:
+    """S13 + S15: bring the document ``base/name`` up to ``df``; returns the prefixes written or removed.
+
+    The document is JSON lines in one folder a prefix.  Its tree of fingerprints
+    (one leaf a prefix, over the rows exactly as they are published) is kept beside the
+    output: an unchanged document is not touched, of a changed one only the
+    prefixes that differ are rewritten, and a prefix without rows left is removed.
+    The tree is taken away before the first write and put back after the last, so a run
+    that ended early leaves a document that the next one writes whole.
+    At most 37 leaves a document reach the driver.  The rows of a file are in the
+    order of ``df``; a prefix of many rows has several files."""
+    spark, tree = df.sparkSession, f"{base}/{TREE}/{name}"
+    placed = df.withColumns({PREFIX: document_prefix(key), "_at": F.monotonically_increasing_id()})
+    staged = persist_table(placed, f"{staging}/{name}")  # computed once
+    lines = staged.select(PREFIX, F.to_json(F.struct(*df.columns)).alias("line"))
+    made = ingest.fingerprints(lines, [PREFIX])
+    now = {r[PREFIX]: (r["rows"], r["digest_high"], r["digest_low"]) for r in made.collect()}
+    before = _leaves(spark, tree)
+    changed = sorted(p for p in before.keys() | now.keys() if before.get(p) != now.get(p))
+    folder = f"{base}/{name}"
+    # Folders without a leaf are leftovers of a run that ended early.
+    found = {f.rsplit(f"{PREFIX}=", 1)[1] for f in ingest.list_dirs(spark, f"{folder}/{PREFIX}=*")}
+    changed = sorted({*changed, *(found - now.keys())})
+    if not changed:
+        return []
+    remove_path(spark, tree)
+    rows = staged.where(F.col(PREFIX).isin(*changed)).hint("rebalance", F.col(PREFIX)).sortWithinPartitions(PREFIX, "_at")
+    rows.drop("_at").write.mode("overwrite").option("compression", "none").option("partitionOverwriteMode", "dynamic").partitionBy(PREFIX).json(folder)
+    for prefix in set(changed) - now.keys():
+        remove_path(spark, f"{folder}/{PREFIX}={prefix}")
+    leaves = spark.createDataFrame([(p, *d) for p, d in sorted(now.items())], f"{PREFIX} string, rows bigint, digest_high string, digest_low string")
+    leaves.coalesce(1).write.mode("overwrite").parquet(tree)
+    return changed
+
+
+def read_published(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A document of ``publish_changed``, all its prefixes, without the prefix column."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+
+
 def persist_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                   sort_within: Sequence[str] = ()) -> DataFrame:
     """Write zstd Parquet and return a scan of it (lineage cut; a lost
