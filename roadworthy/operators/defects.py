@@ -33,11 +33,9 @@ def top_defects(defects: DataFrame, codes: DataFrame, k: int = P.DEFAULT.top_cod
     behaviour, D4); ``"all"`` divides by every defect.
     """
     counts = code_counts(defects, on_bad)
-    if denominator == "all":
-        # One row per code: the window spans the code catalogue, not the data.
-        counts = counts.withColumn("_all", F.sum("count").over(Window.partitionBy()))
     top = counts.orderBy(F.col("count").desc(), F.col(P.GEBREK_ID).asc()).limit(k)
-    den = F.col("_all") if denominator == "all" else F.sum("count").over(Window.partitionBy())
+    # The total of all codes is a scalar: raw codes, however many, are added up map-side, not in one task's window.
+    den = counts.agg(F.sum("count")).scalar() if denominator == "all" else F.sum("count").over(Window.partitionBy())
     # One description a code (the rule of A19), so a repeated code cannot repeat a result row.
     desc = codes.groupBy(P.GEBREK_ID).agg(F.max(P.GEBREK_OMSCHRIJVING).alias(P.GEBREK_OMSCHRIJVING))
     return top.withColumn("_den", den).join(desc, P.GEBREK_ID, "left").select(
@@ -222,13 +220,20 @@ def defect_search(top: DataFrame, term: str, category: str = "all",
     return t.orderBy(o, F.col("defect_code").asc())
 
 
-def code_search(index: DataFrame, term: str) -> DataFrame:
-    """Code list filtered by code or description, ordered by code."""
+def code_search(index: DataFrame, term: str, locale: str | None = None) -> DataFrame:
+    """Code list filtered by code or description, ordered by code.
+
+    With a ``locale`` (a collation such as ``UNICODE`` or ``nl``) codes sort as a
+    reader of it expects and the search ignores case in any script; without, bytes decide."""
+    from roadworthy.operators.search_index import contains_ignoring_case, locale_order
+
+    code, description = F.col("defect_code"), F.col("description")
     out = index
     if term:
         q = term.lower()
-        out = index.where(F.lower(F.col("defect_code")).contains(q) | F.lower(F.col("description")).contains(q))
-    return out.orderBy("defect_code")
+        hit = (lambda c: contains_ignoring_case(c, term)) if locale else (lambda c: F.lower(c).contains(q))
+        out = index.where(hit(code) | hit(description))
+    return out.orderBy(locale_order(code, locale), code) if locale else out.orderBy("defect_code")
 
 
 def top_defects_per_group(breakdown_df: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:

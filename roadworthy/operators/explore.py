@@ -417,7 +417,8 @@ def fuel_view(segments_with_fuel: DataFrame, f: ViewFilter) -> DataFrame:
     return out.where((F.col("vehicle_count") >= f.min_fleet) & (F.col("vehicle_count") <= F.lit(f.max_fleet)))
 
 
-def fuel_view_sort(df: DataFrame, sort_key: str = "vehicle_count", ascending: bool = False) -> DataFrame:
-    """Sort the fuel view by name, vehicles or a percent column."""
-    o = F.col(sort_key).asc() if ascending else F.col(sort_key).desc()
+def fuel_view_sort(df: DataFrame, sort_key: str = "vehicle_count", ascending: bool = False, locale: str | None = None) -> DataFrame:
+    """Sort the fuel view by name (in the order of ``locale``, a collation, if given), vehicles or a percent column."""
+    c = F.collate(F.col(sort_key), locale) if locale and sort_key in (P.MERK, P.HANDELSBENAMING) else F.col(sort_key)
+    o = c.asc() if ascending else c.desc()
     return df.orderBy(o, F.col(P.MERK).asc())

@@ -19,15 +19,35 @@ from roadworthy.functions import normalize as N
 BUCKETS = list(P.FUEL_BREAKDOWN_FIELDS)
 
 
+#: Copies that one row stands for at most when repeated rows are written out again.
+COPIES = 1 << 16
+
+
+def fuel_with_vehicle_counts(fuel: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """J5 with multiplicities: each different (plate, fuel, brand, model) once, with the number ``n`` of joined rows.
+
+    Both sides are reduced to different rows and their counts first, map-side,
+    so a plate repeated m times there and n times here meets itself once, not m x n times."""
+    f = fuel.groupBy(P.KENTEKEN, N.fuel_bucket(F.col(P.BRANDSTOF)).alias("fuel_type")).agg(F.count(F.lit(1)).alias("_f"))
+    v = vehicles.groupBy(
+        P.KENTEKEN, N.upper_strip(F.col(P.MERK)).alias(P.MERK), N.upper_strip(F.col(P.HANDELSBENAMING)).alias(P.HANDELSBENAMING),
+    ).agg(F.count(F.lit(1)).alias("_v"))
+    return f.join(v, P.KENTEKEN, "inner").select(
+        P.KENTEKEN, "fuel_type", P.MERK, P.HANDELSBENAMING, (F.col("_f") * F.col("_v")).alias("n"))
+
+
 def fuel_with_vehicle(fuel: DataFrame, vehicles: DataFrame) -> DataFrame:
     """J5 + P12: fuel rows with the vehicle's brand and model (vehicles are not
-    de-duplicated or type-filtered here, as in the original)."""
-    v = vehicles.select(
-        P.KENTEKEN,
-        N.upper_strip(F.col(P.MERK)).alias(P.MERK),
-        N.upper_strip(F.col(P.HANDELSBENAMING)).alias(P.HANDELSBENAMING),
-    )
-    return fuel.select(P.KENTEKEN, N.fuel_bucket(F.col(P.BRANDSTOF)).alias("fuel_type")).join(v, P.KENTEKEN, "inner")
+    de-duplicated or type-filtered here, as in the original).
+
+    Counted rows are written out again in chunks of ``COPIES``, which are spread
+    over tasks before the copies are made."""
+    counted = fuel_with_vehicle_counts(fuel, vehicles)
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("_chunk")
+    chunks = counted.select("*", chunk).withColumn(
+        "_size", F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("_chunk") * COPIES)).hint("rebalance")
+    return chunks.select(
+        P.KENTEKEN, "fuel_type", P.MERK, P.HANDELSBENAMING, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size"))).alias("_copy")).drop("_copy")
 
 
 def fuel_by_model(fuel: DataFrame, vehicles: DataFrame) -> DataFrame:

@@ -275,3 +275,36 @@ SELECT * FROM (
 def a46_top_defects_per_brand(spark, sf_dir):
     src = sources(spark, sf_dir)
     return D.top_defects_per_group(D.brand_breakdown(src.defects, fact_of(src)), [P.MERK], 5)
+
+
+# Code list with letters, accents and both cases, made of the codes' digits.
+_LETTERS = ("0123456789", "aÁbÉcëdöZé")
+_NAMED_IDX = INDEX_CTE + f"""
+, named AS (SELECT translate(defect_code, '{_LETTERS[0]}', '{_LETTERS[1]}') AS defect_code, description FROM idx)"""
+
+
+@register("p29_locale_order", lambda: O.q("""
+SELECT *, CAST(row_number() OVER (ORDER BY defect_code COLLATE nl, defect_code) AS INTEGER) AS position FROM named""", T, _NAMED_IDX, OFF))
+def p29_locale_order(spark, sf_dir):
+    """The whole code list in the order of a locale, accents beside their letters."""
+    idx = D.code_index(sources(spark, sf_dir, OFF).codes).withColumn("defect_code", F.translate("defect_code", *_LETTERS))
+    return positions(D.code_search(idx, "", "nl"))
+
+
+@register("p29_locale_search", lambda: O.q("""
+SELECT *, CAST(row_number() OVER (ORDER BY defect_code COLLATE nl, defect_code) AS INTEGER) AS position
+FROM named WHERE contains(lower(defect_code), 'éa') OR contains(lower(description), 'éa')""", T, _NAMED_IDX, OFF))
+def p29_locale_search(spark, sf_dir):
+    """Search by collation; the case of accented letters does not matter."""
+    idx = D.code_index(sources(spark, sf_dir, OFF).codes).withColumn("defect_code", F.translate("defect_code", *_LETTERS))
+    return positions(D.code_search(idx, "ÉA", "UNICODE"))
+
+
+@register("t9_percentage_order", lambda: O.q(f"""
+SELECT *, {sql_reliability('defect_code')} AS computed_is_reliability,
+       CAST(row_number() OVER (ORDER BY percentage, defect_code) AS INTEGER) AS position FROM top""", T, top_cte(), OFF))
+def t9_percentage_order(spark, sf_dir):
+    """The defect list by percentage, least first."""
+    src = sources(spark, sf_dir, OFF)
+    top = D.top_defects(src.defects, src.codes, T.top_codes)
+    return positions(D.defect_search(top, "", sort_key="percentage", ascending=True))

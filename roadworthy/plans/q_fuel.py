@@ -75,6 +75,22 @@ def j5_fuel_with_vehicle(spark, sf_dir):
     return FU.fuel_with_vehicle(src.fuel, src.vehicles)
 
 
+@register("j5_counted", lambda: O.q("SELECT kenteken, fuel_type, merk, handelsbenaming, count(*) AS n FROM fwv GROUP BY ALL", T, FUEL_CTE))
+def j5_counted(spark, sf_dir):
+    """J5 with multiplicities in place of repeated rows."""
+    src = sources(spark, sf_dir)
+    return FU.fuel_with_vehicle_counts(src.fuel, src.vehicles)
+
+
+@register("t8_name_order", lambda: O.q(
+    "SELECT merk, vehicle_count, CAST(row_number() OVER (ORDER BY merk COLLATE nl DESC, merk) AS INTEGER) AS position FROM ("
+    + fuel_view_sql(FUEL_VIEW, "bsegf") + ")", T, SEG_FUEL_CTE))
+def t8_name_order(spark, sf_dir):
+    """The fuel view by name, in the order of the Dutch locale."""
+    v = X.fuel_view(brand_segments_with_fuel(spark, sf_dir), FUEL_VIEW)
+    return positions(X.fuel_view_sort(v, P.MERK, ascending=False, locale="nl").select(P.MERK, "vehicle_count"))
+
+
 @register("a21_fuel_by_model", lambda: O.q("SELECT * FROM fmodel", T, FUEL_CTE))
 def a21_fuel_by_model(spark, sf_dir):
     src = sources(spark, sf_dir)

@@ -1,15 +1,16 @@
-"""Registered queries: places in large views and distinct vehicles that merge."""
+"""Registered queries: places in large views, distinct vehicles that merge, indexed search and lookup."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from roadworthy import params as P
-from roadworthy.operators import distinct, rank_index, segments
+from roadworthy.operators import distinct, rank_index, search_index, segments
 from roadworthy.plans import oracle as O
 from roadworthy.plans.catalog import T, fact_of, register, sources
 from roadworthy.session import shared_dir
 from roadworthy.sources import publish
+from roadworthy.sources.plate_store import PlateStore
 
 DEEP_PAGE, PAGE = 100, 50
 WINDOW = (3, 9)
@@ -88,3 +89,60 @@ def p39_band_vehicles(spark, sf_dir):
 def a11_distinct_by_fuel(spark, sf_dir):
     """Distinct vehicles of any coarser group, here the fuels over all ages."""
     return distinct.distinct_vehicles(_bitmaps(spark, sf_dir)[1], ["primary_fuel"])
+
+
+SEARCHES = {"p28_indexed_search": "brand#1 red", "p28_indexed_short": "#2 e"}
+
+
+def _search_sql(text):
+    def of(t):
+        return f"(coalesce(contains(lower(merk), '{t}'), false) OR coalesce(contains(lower(handelsbenaming), '{t}'), false))"
+    return "SELECT merk, handelsbenaming, vehicle_type_group, primary_fuel, vehicle_count FROM mseg WHERE " + " AND ".join(map(of, text.split()))
+
+
+def _indexed(spark, sf_dir, text):
+    base = shared_dir(spark, "search")
+    columns = [P.MERK, P.HANDELSBENAMING]
+    seg = segments.model_segments(fact_of(sources(spark, sf_dir)), T.model).select(*P.MODEL_KEYS, "vehicle_count")
+    view = publish.persist_table(seg, f"{base}/view")
+    return search_index.search(search_index.build(view, P.MODEL_KEYS, columns, f"{base}/index"), view, columns, text)
+
+
+@register("p28_indexed_search", lambda: O.q(_search_sql(SEARCHES["p28_indexed_search"]), T))
+def p28_indexed_search(spark, sf_dir):
+    """Several terms, by the index of three-character pieces."""
+    return _indexed(spark, sf_dir, SEARCHES["p28_indexed_search"])
+
+
+@register("p28_indexed_short", lambda: O.q(_search_sql(SEARCHES["p28_indexed_short"]), T))
+def p28_indexed_short(spark, sf_dir):
+    """Terms shorter than a piece."""
+    return _indexed(spark, sf_dir, SEARCHES["p28_indexed_short"])
+
+
+# Plates as typed: two of them twice, one too short, one unknown, one empty.
+TYPED = ["10-01", "1 234", "15.99", "2000", "999", "77-77", None, "1001", "1 11 1"]
+
+
+@register("j10_stored_history", lambda: O.q("""
+SELECT r.kenteken, r.report_rank,
+       substr(r.meld_datum_door_keuringsinstantie, 7, 2) || '-' || substr(r.meld_datum_door_keuringsinstantie, 5, 2) || '-'
+         || substr(r.meld_datum_door_keuringsinstantie, 1, 4) AS report_date,
+       r.meld_tijd_door_keuringsinstantie, coalesce(contains(r.soort_melding_ki_omschrijving, 'Goedgekeurd'), false) AS passed,
+       d.defect_rank, d.gebrek_identificatie AS defect_code, CASE WHEN c.d <> '' THEN c.d END AS description,
+       d.aantal_gebreken_geconstateerd AS defect_count
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kenteken ORDER BY meld_datum_door_keuringsinstantie DESC,
+        meld_tijd_door_keuringsinstantie DESC, soort_melding_ki_omschrijving) AS INTEGER) AS report_rank FROM inspections) r
+LEFT JOIN (SELECT *, CAST(row_number() OVER (PARTITION BY kenteken ORDER BY meld_datum_door_keuringsinstantie DESC,
+        meld_tijd_door_keuringsinstantie DESC, gebrek_identificatie, aantal_gebreken_geconstateerd NULLS FIRST) AS INTEGER) AS defect_rank
+      FROM defects) d
+  ON r.kenteken = d.kenteken AND r.meld_datum_door_keuringsinstantie = d.meld_datum_door_keuringsinstantie
+LEFT JOIN (SELECT gebrek_identificatie AS g, coalesce(max(gebrek_omschrijving), '') AS d FROM codes GROUP BY 1) c
+  ON d.gebrek_identificatie = c.g
+WHERE r.kenteken IN ('1001', '1234', '1599', '2000', '7777', '1111')""", T))
+def j10_stored_history(spark, sf_dir):
+    """The history of a few typed plates from tables stored for that."""
+    src = sources(spark, sf_dir)
+    store = PlateStore(spark, shared_dir(spark, "plates"))
+    store.write(src)
+    return store.history(TYPED, src.codes)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import pytest
 from conftest import SF001
@@ -55,3 +57,17 @@ def test_batch_runner_writes_all_documents(spark):
                                     "brand_defect_breakdown", "model_defect_breakdown", "defect_codes"])
     meta = spark.read.json(paths["metadata"]).first()
     assert meta["counts"]["total_inspections"] == 1869  # FIXTURES.md: fact rows at sf0.001
+
+
+@pytest.mark.parametrize("blocked", ["ahocorasick", "xxhash", "corpus_pipeline", "roadworthy.llm", None])
+def test_queries_without_the_optional_part(blocked):
+    """Where a module of the optional part is missing, every other query is still offered."""
+    code = "import sys\n" + (f"sys.modules[{blocked!r}] = None\n" if blocked else "") + (
+        "import __spark_entry__ as E\nfrom roadworthy.plans import catalog\n"
+        "assert set(catalog.queries()) <= set(E.queries()) and set(catalog.oracle_sql()) <= set(E.oracle_sql())\n"
+        "print(len(E.queries()) - len(catalog.queries()), len(catalog.queries()))")
+    folder = os.path.dirname(os.path.abspath(E.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    optional, others = map(int, done.stdout.split())
+    assert others >= 111 and (optional == 0 if blocked else optional >= 0)
