@@ -78,7 +78,7 @@ def moments_of(ages: DataFrame, keys: Sequence[str] = P.MODEL_KEYS) -> DataFrame
     sums = ["total_inspections", "total_defects", "inspections_with_defects", "sum_sq_defect_counts", "sum_catalog_price",
             "count_with_price", *exposures]
     n, age = F.col("total_inspections"), F.col("age_at_inspection")
-    per_age = ages.groupBy(*keys, "age_at_inspection").agg(
+    per_age = ages if list(keys) == list(P.MODEL_KEYS) else ages.groupBy(*keys, "age_at_inspection").agg(
         F.sum("first_vehicles").alias("first_vehicles"), *[F.sum(c).alias(c) for c in sums],
         F.max("max_catalog_price").alias("max_catalog_price"))
     entry = F.struct(age.alias("age"), F.col("total_defects").alias("d"), F.col("sum_sq_defect_counts").alias("d2"))
@@ -118,10 +118,10 @@ def _sample_std(total: F.Column, squares: F.Column, n: F.Column) -> F.Column:
 
 def segment_measures(ages: DataFrame, keys: Sequence[str], with_defect_found: bool = True,
                      exposure: str = "age") -> DataFrame:
-    """The 2.5 measure list per segment of ``keys``, from ``age_moments``.
+    """The 2.5 measure list per segment of ``keys``, from ``age_moments`` (or ``moments_of`` them at these keys).
 
     The sums that are merged again later (rates, prices) are not rounded."""
-    m = moments_of(ages, keys)
+    m = moments_of(ages, keys) if "age_at_inspection" in ages.columns else ages
     n = F.col("total_inspections")
     rate = F.col("sum_defects_per_vehicle_year_rates")
     return m.select(

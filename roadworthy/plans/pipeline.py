@@ -102,16 +102,19 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
                     {"inspection_stats": ["insp_year"]})
     fact, model_fuel_long = done["inspection_stats"], done["model_fuel"]
     # The only readers of the fact: moments by age, the defects' join and the yearly trend.
-    level = keep_all({
-        "age_moments": segments.age_moments(fact, exposure),
-        "yearly_trend": profile.yearly_trend(fact, t.yearly_trend),
-        "model_breakdown": D.model_breakdown(src.defects, fact, on_bad=on_bad),
-        "top_defects": D.top_defects(src.defects, src.codes, t.top_codes, on_bad=on_bad),
-    })
-    ages, model_bd = level["age_moments"], level["model_breakdown"]
-    moments, age_base = segments.moments_of(ages), segments.per_age_of(ages)
-    bseg = segments.brand_segments_of(ages, t.brand, exposure)
-    mseg = segments.model_segments_of(ages, t.model, exposure)
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        others = pool.submit(keep_all, {
+            "yearly_trend": profile.yearly_trend(fact, t.yearly_trend),
+            "model_breakdown": D.model_breakdown(src.defects, fact, on_bad=on_bad),
+            "top_defects": D.top_defects(src.defects, src.codes, t.top_codes, on_bad=on_bad),
+        })
+        # The moments of both levels follow from the moments by age, while the other jobs run.
+        ages = keep(segments.age_moments(fact, exposure), "age_moments")
+        both = keep_all({"brand_moments": segments.moments_of(ages, P.BRAND_KEYS), "model_moments": segments.moments_of(ages)})
+        level = others.result()
+    model_bd, age_base, moments = level["model_breakdown"], segments.per_age_of(ages), both["model_moments"]
+    bseg = segments.brand_segments_of(both["brand_moments"], t.brand, exposure)
+    mseg = segments.model_segments_of(moments, t.model, exposure)
     top = level["top_defects"]
     summary = profile.dataset_summary(moments)
     return Outputs(

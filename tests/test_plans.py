@@ -59,7 +59,8 @@ def test_publishing_reads_the_fact_three_times(spark):
         import os
 
         assert sorted(os.listdir(work.removeprefix("file:"))) == [
-            "age_moments", "inspection_stats", "model_breakdown", "model_fuel", "top_defects", "yearly_trend"]
+            "age_moments", "brand_moments", "inspection_stats", "model_breakdown", "model_fuel", "model_moments", "top_defects",
+            "yearly_trend"]
         plan = _plan(documents(out)["metadata"])
         assert "inspection_stats" not in plan and f"hashpartitioning({P.KENTEKEN}" not in plan
         for name, doc in documents(out).items():
