@@ -20,6 +20,7 @@ from roadworthy.operators.facts import rejected_values
 from roadworthy.plans.pipeline import publish_all, publish_changed_all, run_statistics
 from roadworthy.session import configure, shared_dir, temporary_dir
 from roadworthy.sources.bindings import bind
+from roadworthy.sources.fact_store import FactStore
 from roadworthy.sources.ingest import assert_files, table_file_checks
 from roadworthy.sources.publish import write_json
 from roadworthy.sources.tables import DATASETS, load_sources
@@ -38,6 +39,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
                     help="with --tables: stop before the run if a table's files are missing or smaller than the original's least sizes")
     ap.add_argument("--only-changed", action="store_true",
                     help="with --out: rewrite only documents, and prefixes of them, whose content changed since the last run")
+    ap.add_argument("--store", help="shared folder of the stored fact: only prefixes whose inputs changed since the last run are built again")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("roadworthy").getOrCreate()
@@ -47,7 +49,8 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
     src = load_sources(spark, args.tables) if args.tables else bind(spark, args.testdata)
     base = args.out or shared_dir(spark, "documents")
     with temporary_dir(spark, "run") as work:  # the run's intermediates go when its documents are written
-        out = run_statistics(spark, src, P.DEFAULT, exposure=args.exposure, on_bad=args.on_bad, base_dir=work)
+        store = FactStore(spark, args.store) if args.store else None
+        out = run_statistics(spark, src, P.DEFAULT, exposure=args.exposure, on_bad=args.on_bad, base_dir=work, store=store)
         if args.only_changed:
             done = publish_changed_all(spark, out, base, work)
             paths = {name: f"{base}/{name}" for name in done}

@@ -21,6 +21,7 @@ from roadworthy.operators import fuel as FU
 from roadworthy.session import configure, shared_dir
 from roadworthy.sources import publish
 from roadworthy.sources.bindings import Sources, bind
+from roadworthy.sources.fact_store import FactStore
 
 
 def build_fact(src: Sources, on_bad: str = "raise", with_coverage: bool = False) -> DataFrame:
@@ -63,7 +64,7 @@ class Outputs:
 
 def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAULT,
                    checkpoint: bool = True, exposure: str = "age", on_bad: str = "raise",
-                   base_dir: str | None = None) -> Outputs:
+                   base_dir: str | None = None, store: FactStore | None = None) -> Outputs:
     """All outputs of one batch run.
 
     ``on_bad="one"`` replaces junk quantities, prices and dates instead of
@@ -79,6 +80,10 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
     level, per-age rows, defect and fuel breakdowns are exact roll-ups of these, so the fact is scanned once per grouping level instead of once per
     output.  Without ``checkpoint`` everything stays one lazy plan.
     ``exposure="coverage"`` counts vehicle-years as documented coverage years (D1).
+
+    With a ``store`` (S12) the fact is not built: the store is brought up to the
+    inputs, prefix by prefix where they changed, and its fact is read; as that lies in
+    buckets by plate, the moments need no shuffle of it.
     """
     configure(spark)
     base_dir = (base_dir or shared_dir(spark, "run")) if checkpoint else None
@@ -96,11 +101,16 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
             futs = {k: pool.submit(keep, v, k, sorts.get(k, ())) for k, v in plans.items()}
             return {k: f.result() for k, f in futs.items()}
 
+    if store is not None and exposure != "age":
+        raise ValueError("the stored fact has no coverage years")
+    plans = {"model_fuel": FU.fuel_by_model(src.fuel, src.vehicles)}
+    if store is None:
+        plans["inspection_stats"] = build_fact(src, on_bad, with_coverage=exposure == "coverage")
+    else:
+        store.refresh(src, on_bad)
     # The fuel counts do not depend on the fact: both are built at once.
-    fact_plan = build_fact(src, on_bad, with_coverage=exposure == "coverage")
-    done = keep_all({"inspection_stats": fact_plan, "model_fuel": FU.fuel_by_model(src.fuel, src.vehicles)},
-                    {"inspection_stats": ["insp_year"]})
-    fact, model_fuel_long = done["inspection_stats"], done["model_fuel"]
+    done = keep_all(plans, {"inspection_stats": ["insp_year"]})
+    fact, model_fuel_long = store.fact() if store else done["inspection_stats"], done["model_fuel"]
     # The only readers of the fact: moments by age, the defects' join and the yearly trend.
     with ThreadPoolExecutor(max_workers=1) as pool:
         others = pool.submit(keep_all, {
@@ -109,7 +119,7 @@ def run_statistics(spark: SparkSession, src: Sources, t: P.Thresholds = P.DEFAUL
             "top_defects": D.top_defects(src.defects, src.codes, t.top_codes, on_bad=on_bad),
         })
         # The moments of both levels follow from the moments by age, while the other jobs run.
-        ages = keep(segments.age_moments(fact, exposure), "age_moments")
+        ages = keep(segments.age_moments(fact, exposure, clustered=store is not None), "age_moments")
         both = keep_all({"brand_moments": segments.moments_of(ages, P.BRAND_KEYS), "model_moments": segments.moments_of(ages)})
         level = others.result()
     model_bd, age_base, moments = level["model_breakdown"], segments.per_age_of(ages), both["model_moments"]

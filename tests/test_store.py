@@ -9,7 +9,8 @@ from conftest import SF0001
 from pyspark.sql import functions as F
 
 from roadworthy import params as P
-from roadworthy.operators import facts
+from roadworthy.operators import facts, segments
+from roadworthy.plans.pipeline import documents, run_statistics
 from roadworthy.session import session_setting, temporary_dir
 from roadworthy.sources.bindings import Sources, bind
 from roadworthy.sources.fact_store import SHARD, FactStore
@@ -98,3 +99,16 @@ def test_vanished_prefixes_odd_plates_and_empty_inputs(spark, store):
     none = _small(spark, [], [])
     assert set(reopened.refresh(none).dropped["fact"]) == {"A", "B", "other"} - {"B"} | {"B"}
     assert reopened.fact().collect() == [] and reopened.refresh(none).rewritten == {}
+
+
+def test_a_run_on_the_stored_fact_publishes_the_same(spark, store):
+    src = bind(spark, SF0001)
+    with temporary_dir(spark, "run") as one, temporary_dir(spark, "run") as other:
+        plain, stored = (documents(run_statistics(spark, src, P.TEST_SF0001, base_dir=d, store=s)) for d, s in ((one, None), (other, store)))
+        for name, doc in plain.items():
+            assert sorted(doc.toJSON().collect()) == sorted(stored[name].toJSON().collect()), name
+    with pytest.raises(ValueError):
+        run_statistics(spark, src, P.TEST_SF0001, exposure="coverage", store=store)
+    with session_setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan = segments.age_moments(store.fact(), clustered=True)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and f"hashpartitioning({P.KENTEKEN}" not in plan  # the partial sums alone
