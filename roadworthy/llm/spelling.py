@@ -17,8 +17,8 @@ fixed size whatever the alphabet; bigrams of one bucket tie, and ties stay in
 the prefix, so nothing is lost by it.
 
 Defined results: null words and words without count take no part; a word given
-several times has the sum of its counts; words shorter than ``length`` (three
-disjoint-or-not bigrams need four code points) or rarer than ``least`` are
+several times has the sum of its counts; words shorter than ``length`` (at least four
+code points, so that there are three bigrams) or rarer than ``least`` are
 neither words nor neighbours; of near words of equal count the one first in
 code-point order is the form; an empty table gives no rows; other columns are
 ignored.  A word may be of any length; the signatures of a word of m code
