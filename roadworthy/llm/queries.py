@@ -11,7 +11,7 @@ from roadworthy.llm import (
 from roadworthy.llm.common import ascii_lower, table
 
 QUALITY_LEAST = 0.3
-ANN_K, ANN_FACTOR = 10, 1.1
+ANN_K, ANN_RECALL = 10, 0.96
 SHARDS = 24
 SIMHASH_SHINGLE, SIMHASH_BITS = 3, 2
 MIX_RATIO, MIX_EPOCHS, MIX_SEED = 1.0, 2, 7
@@ -29,7 +29,7 @@ MIX_WEIGHTS = {
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's nearest neighbours; queries are the rows whose id is divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=ANN_K, factor=ANN_FACTOR)
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=ANN_K, factor=None, recall=ANN_RECALL)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -197,7 +197,7 @@ def test_sql(spark, where, name, request):
 
     d = folder(where, request)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         path = f"{d}/{t}.parquet" + ("/*.parquet" if where == "awkward" else "")
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     got = QUERIES[name](spark, d)
