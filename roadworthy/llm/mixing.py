@@ -13,11 +13,16 @@ long as their tokens fit.  The order is cut by key ranges: token sums per
 ``4096`` key ranges of a leaf find the range that holds the cut, and only that
 range is ordered row by row, so no leaf is sorted in one task.
 
+What the prefixes leave unused is handed on, to siblings before ancestors: below each language the rest of its
+budget pays for the leaves' next documents, the smallest first; each language then offers the smallest one left to its
+domain, whose rest pays likewise, and each domain to the root.  So a node's unused tokens are always fewer than
+the smallest document left that its children offer.
+
 Tokens are runs of characters other than space and \\t-\\r.  Defined results:
 a null text has no tokens; the prefix ends before
-the first document, in key order, that does not fit, so a leaf takes at most its
-budget and falls short of it by less than that document's tokens (all rows of
-its id), which no sibling gets; a leaf without tokens has no budget, and none of its
+the first document, in key order, that does not fit, or with it if rest handed on pays for it, so a leaf falls
+short of its budget or exceeds it by less than that document's tokens (all rows of
+its id); a leaf without tokens has no budget, and none of its
 documents is taken; null domain, language, source or id count as empty
 text; rows with the same leaf and id are taken or left together; an empty
 table gives an empty result; other columns are left alone (clashing working
@@ -49,10 +54,10 @@ def source_domain(source: Column) -> Column:
 
 
 def _weight(name: Column, weights: Mapping[str, float]) -> Column:
-    out = F.lit(1.0)
-    for k, w in weights.items():
-        out = F.when(name == k, F.lit(float(w))).otherwise(out)
-    return out
+    if not weights:
+        return F.lit(1.0)
+    named = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])
+    return F.coalesce(F.try_element_at(named, name), F.lit(1.0))
 
 
 def _share(children: DataFrame, parent: list[str], budget: str, cap: str, weight: str, out: str) -> DataFrame:
@@ -69,7 +74,8 @@ def _share(children: DataFrame, parent: list[str], budget: str, cap: str, weight
 
 
 def budgets(leaves: DataFrame, ratio: float, max_epochs: int, weights: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """Leaves (domain, lang, source, tokens) with ``budget``, ``epochs`` (whole ones) and ``rest`` (tokens of the prefix).
+    """Leaves (domain, lang, source, tokens) with ``budget``, ``epochs`` (whole ones) and ``rest`` (tokens of the prefix),
+    and the budgets of the nodes above them (``lang_budget``, ``domain_budget``, ``total_budget``).
 
     The tree's budget is ``ratio`` of all tokens, at most ``max_epochs`` of them.
     """
@@ -79,13 +85,14 @@ def budgets(leaves: DataFrame, ratio: float, max_epochs: int, weights: Mapping[s
     total = leaves.agg(F.least(F.floor(F.sum("tokens") * F.lit(float(ratio))), F.sum("_cap")).cast("long")).scalar()
     weigh = lambda df, level: df.withColumn("_weight", _weight(F.col(level), weights.get(level, {})))
     domains = _share(weigh(domains.withColumn("_total", total), "domain"), [], "_total", "_cap", "_weight", "_domain_budget")
-    langs = _share(weigh(langs.join(domains.select("domain", "_domain_budget"), "domain"), "lang"),
+    langs = _share(weigh(langs.join(domains.select("domain", "_domain_budget", "_total"), "domain"), "lang"),
                    ["domain"], "_domain_budget", "_cap", "_weight", "_lang_budget")
-    leaves = _share(weigh(leaves.join(langs.select("domain", "lang", "_lang_budget"), ["domain", "lang"]), "source"),
+    leaves = _share(weigh(leaves.join(langs.select("domain", "lang", "_lang_budget", "_domain_budget", "_total"), ["domain", "lang"]), "source"),
                     ["domain", "lang"], "_lang_budget", "_cap", "_weight", "budget")
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("int")
     return leaves.withColumn("epochs", whole).select(
-        *LEAF, "tokens", "budget", "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("rest"))
+        *LEAF, "tokens", "budget", "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("rest"),
+        F.col("_lang_budget").alias("lang_budget"), F.col("_domain_budget").alias("domain_budget"), F.col("_total").alias("total_budget"))
 
 
 def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
@@ -102,7 +109,8 @@ def _meet(rows: DataFrame, leaves: DataFrame, leaf: list[str]) -> DataFrame:
 
 
 def cuts(tokens: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
-    """(leaf, cut): the last order key that the leaf's prefix takes; leaves without a prefix are left out."""
+    """(leaf, cut, used, next_key, next_tokens): the last order key that the leaf's prefix takes, the prefix's tokens, and
+    the first key that does not fit with its tokens; leaves without a prefix are left out."""
     keyed = (
         _meet(tokens, shares.where(F.col("rest") > 0).select(*LEAF, "epochs", "rest"), list(LEAF))
         .select(*LEAF, "rest", "n_tokens", order_key(F.col("doc_id"), F.col("epochs"), seed).alias("_key"))
@@ -118,14 +126,46 @@ def cuts(tokens: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
         keyed.join(first, [*LEAF, "_range"])
         .groupBy(*LEAF, "_range", "_start", "rest", "_key").agg(F.sum("n_tokens").alias("_sum"))
         .withColumn("_end", F.col("_start") + F.sum("_sum").over(by_key))
-        .groupBy(*LEAF, "_range").agg(F.max(F.when(F.col("_end") <= F.col("rest"), F.col("_key"))).alias("_last"))
+        .withColumn("_fits", F.col("_end") <= F.col("rest"))
+        .groupBy(*LEAF, "_range", "_start").agg(
+            F.max(F.when(F.col("_fits"), F.col("_key"))).alias("_last"), F.max(F.when(F.col("_fits"), F.col("_end"))).alias("_used"),
+            F.min(F.when(~F.col("_fits"), F.col("_key"))).alias("next_key"), F.min(F.when(~F.col("_fits"), F.col("_end"))).alias("_next"))
+        .withColumn("used", F.coalesce("_used", "_start"))
     )
-    return last.select(*LEAF, F.coalesce("_last", "_range").alias("cut"))
+    return last.select(*LEAF, F.coalesce("_last", "_range").alias("cut"), "used", "next_key", (F.col("_next") - F.col("used")).alias("next_tokens"))
+
+
+def _pay(children: DataFrame, parent: list[str], budget: str) -> DataFrame:
+    """Children (``taken``, ``offer``) with ``paid``: whether the parent's rest reaches their offer, the smallest first."""
+    node = Window.partitionBy(*[F.col(c) for c in parent])
+    order = node.orderBy(F.col("offer").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = F.col(budget) - F.sum("taken").over(node)
+    return children.withColumn("paid", F.col("offer").isNotNull() & (F.sum("offer.n").over(order) <= rest))
+
+
+def hand_on(leaves: DataFrame) -> DataFrame:
+    """(leaf): leaves whose next document is paid for by what is left unused, first below their language, then their domain, then the root.
+
+    Above the leaves a node has one offer, the smallest of its children's that was not paid, so a task orders a node's children.
+    """
+    offer = F.struct(F.col("next_tokens").alias("n"), *LEAF)
+    rows = leaves.withColumn("taken", F.col("epochs") * F.col("tokens") + F.coalesce("used", F.lit(0))).withColumn(
+        "offer", F.when(F.col("next_key").isNotNull(), offer))
+    levels = []
+    for parent, budget, above in ((["domain", "lang"], "lang_budget", ["domain_budget", "total_budget"]),
+                                  (["domain"], "domain_budget", ["total_budget"]), ([], "total_budget", [])):
+        rows = _pay(rows, parent, budget)
+        levels.append(rows.where("paid").select("offer.*"))
+        if parent:
+            rows = rows.groupBy(*parent).agg(
+                F.sum(F.col("taken") + F.when(F.col("paid"), F.col("offer.n")).otherwise(0)).alias("taken"),
+                F.min(F.when(~F.col("paid"), F.col("offer"))).alias("offer"), *[F.max(c).alias(c) for c in above])
+    return levels[0].unionByName(levels[1]).unionByName(levels[2]).select(*LEAF)
 
 
 def plan(docs: DataFrame, ratio: float, max_epochs: int, seed: int,
          weights: Mapping[str, Mapping[str, float]] | None = None, domain: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents' leaf, id and tokens; leaves with budget, epochs, rest and cut).
+    """(documents' leaf, id and tokens; leaves with budget, epochs, rest and cut, which counts what was handed on).
 
     ``docs`` needs doc_id, text, lang and source; ``weights`` maps a level's
     name to its nodes' weights (1 where not named); ``domain`` derives a
@@ -142,7 +182,10 @@ def plan(docs: DataFrame, ratio: float, max_epochs: int, seed: int,
                     token_count(F.col("text")).alias("n_tokens")), "mix-tokens")
     leaves = tokens.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     shares = written(budgets(leaves, ratio, max_epochs, weights or {}), "mix-shares")
-    return tokens, written(shares.join(cuts(tokens, shares, seed), list(LEAF), "left"), "mix-leaves")
+    cut = written(shares.join(cuts(tokens, shares, seed), list(LEAF), "left"), "mix-cuts")
+    paid = hand_on(cut).withColumn("_paid", F.lit(True))
+    leaves = cut.join(paid, list(LEAF), "left").withColumn("cut", F.when(F.col("_paid"), F.col("next_key")).otherwise(F.col("cut")))
+    return tokens, written(leaves.drop("_paid"), "mix-leaves")
 
 
 def copies(df: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:

@@ -146,6 +146,17 @@ def _water_fill(children: str, parent: str, budget: str, order: str) -> str:
             FROM {children})))"""
 
 
+def _pay(children: str, parent: str, budget: str) -> str:
+    """DuckDB: children (taken, offer) with ``paid``, whether their parent's rest reaches their offer."""
+    return f"""
+      SELECT *, offer IS NOT NULL AND
+        sum(offer.n) OVER (PARTITION BY {parent} ORDER BY offer NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        <= {budget} - sum(taken) OVER (PARTITION BY {parent}) AS paid FROM {children}"""
+
+
+_UP = "sum(taken + CASE WHEN paid THEN offer.n ELSE 0 END) AS taken, min(CASE WHEN NOT paid THEN offer END) AS offer, max(total) AS total"
+
+
 def _weight_sql(level: str, weights: dict[str, dict[str, float]]) -> str:
     named = weights.get(level)
     if not named:
@@ -169,20 +180,34 @@ dom0 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {by_domain} AS weight,
                 (SELECT CAST(least(floor(sum(tokens) * {ratio}), sum(cap)) AS BIGINT) FROM capped) AS total
          FROM capped GROUP BY ALL),
 dom AS ({_water_fill("dom0", "root", "total", "domain")}),
-lang1 AS (SELECT l.*, d.share AS b FROM lang0 l JOIN dom d USING (domain)),
+lang1 AS (SELECT l.*, d.share AS b, d.total FROM lang0 l JOIN dom d USING (domain)),
 lng AS ({_water_fill("lang1", "domain", "b", "domain, lang")}),
-leaf1 AS (SELECT c.*, l.share AS b FROM capped c JOIN lng l USING (domain, lang)),
+leaf1 AS (SELECT c.*, l.share AS b, l.b AS domain_b, l.total FROM capped c JOIN lng l USING (domain, lang)),
 shares AS ({_water_fill("leaf1", "domain, lang", "b", "domain, lang, source")}),
-plan AS (SELECT domain, lang, source,
+plan AS (SELECT domain, lang, source, tokens, b AS lang_b, domain_b, total,
                 CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs,
                 share - CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END * tokens AS rest FROM shares),
 keyed AS (SELECT t.*, p.epochs, p.rest,
                  md5('{seed}:' || p.epochs || ':' || coalesce(CAST(t.doc_id AS VARCHAR), '')) AS key
           FROM tok t JOIN plan p USING (domain, lang, source)),
-run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM keyed)
-SELECT doc_id, domain, lang, source, n_tokens,
-       CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS INT) AS copies
-FROM run WHERE epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END > 0
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM keyed),
+prefix AS (SELECT domain, lang, source, coalesce(max(upto) FILTER (upto <= rest), 0) AS used,
+                  min(key) FILTER (upto > rest) AS next_key, min(upto) FILTER (upto > rest) AS next_upto
+           FROM run WHERE rest > 0 GROUP BY ALL),
+leaf2 AS (SELECT p.*, next_key, epochs * tokens + coalesce(used, 0) AS taken,
+                 CASE WHEN next_key IS NOT NULL
+                      THEN {{'n': next_upto - used, 'domain': domain, 'lang': lang, 'source': source}} END AS offer
+          FROM plan p LEFT JOIN prefix USING (domain, lang, source)),
+leaf3 AS ({_pay("leaf2", "domain, lang", "lang_b")}),
+lang3 AS ({_pay(f"(SELECT domain, lang, max(domain_b) AS domain_b, {_UP} FROM leaf3 GROUP BY domain, lang)", "domain", "domain_b")}),
+dom3 AS ({_pay(f"(SELECT domain, '' AS root, {_UP} FROM lang3 GROUP BY domain)", "root", "total")}),
+paid AS (SELECT unnest(offer) FROM (SELECT offer FROM leaf3 WHERE paid UNION ALL SELECT offer FROM lang3 WHERE paid
+                                    UNION ALL SELECT offer FROM dom3 WHERE paid)),
+handed AS (SELECT domain, lang, source, next_key FROM leaf2 JOIN paid USING (domain, lang, source)),
+counted AS (
+  SELECT r.*, epochs + CASE WHEN rest > 0 AND (upto <= rest OR key <= next_key) THEN 1 ELSE 0 END AS c
+  FROM run r LEFT JOIN handed USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, CAST(c AS INT) AS copies FROM counted WHERE c > 0
 """
 
 OP6_SQL = """
