@@ -15,9 +15,10 @@ of the whole text, across lines, is a candidate.  A window's gain is the bigrams
 it has in common with the template less those that only one of them has.  Of
 the windows with a score of ``least``, the one with the largest gain is kept (ties:
 smaller name, earlier, shorter), then the next that overlaps none of those
-kept.  Only windows that begin and end with one of the template's bigrams can be best, which
-start where enough of its bigrams are near; a kept window inside a
-reported unit of the same licence is not reported again.
+kept.  Only windows that begin and end with one of the template's bigrams can be best.  Starts
+after which too few bigrams count are left out; blocks of the others are bounded and
+halved, the most promising first.
+A kept window inside a reported unit of the same licence is not reported again.
 
 ``TEMPLATES`` are notices and the openings of short licences; ``whole_texts``
 adds the whole licence texts in ``license_texts/`` (17 files, 240 kB), which are
@@ -116,6 +117,13 @@ class Templates:
         for number, (_, _, words) in enumerate(sized):
             for pair, n in Counter(zip(words, words[1:])).items():
                 self.shared[pair][number] = n
+        self.number_of = {pair: i for i, pair in enumerate(self.shared)}
+        self.fewest = np.array([max(1, math.ceil(least * n / (2 - least) - 1e-9)) for n in self.sizes], np.int64)
+        #: How often each template has each bigram.
+        self.counts = np.zeros((len(sized), len(self.shared)), np.int32)
+        for pair, i in self.number_of.items():
+            for number, n in self.shared[pair].items():
+                self.counts[number, i] = n
 
     def range_of(self, size: int) -> tuple[int, int]:
         """Templates [from, to) whose size allows the least score for a unit of ``size`` bigrams."""
@@ -139,67 +147,85 @@ class Templates:
         scored = [s for s in scored if s[0] >= self.least]
         return min(((name, score) for score, name in scored), key=lambda s: (-s[1], s[0])) if scored else None
 
-    def _hits(self, words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    def _hits(self, words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By template: its bigrams' places, the place that must lie before a window for each to count, where the widest windows end, possible starts."""
-        places, found = defaultdict(list), {}
+        number_of = self.number_of.get
+        ids = np.array([number_of(pair, -1) for pair in zip(words, words[1:])], np.int32)
+        places = np.flatnonzero(ids >= 0)
+        ids, found = ids[places], {}
         most = self.range_of(len(words) - 1)[1]  # larger templates need more bigrams than there are
-        for i, pair in enumerate(zip(words, words[1:])):
-            if pair in self.shared:
-                for number in self.shared[pair]:
-                    if number >= most:
-                        break
-                    places[number].append(i)
-        for number, at in places.items():
-            size = self.sizes[number]
-            fewest = max(1, math.ceil(self.least * size / (2 - self.least) - 1e-9))
-            if len(at) < fewest:
-                continue
-            pos = np.array(at)
+        for number in np.flatnonzero(np.count_nonzero(self.counts[:most, ids], axis=1) >= self.fewest[:most]).tolist():
+            counts, size, fewest = self.counts[number][ids], self.sizes[number], self.fewest[number]
+            mine = np.flatnonzero(counts)
+            pos, own = places[mine], np.arange(len(mine))
             ends = np.searchsorted(pos, pos + int(size * (2 - self.least) / self.least + 1e-9))
-            starts = np.flatnonzero(ends - np.arange(len(pos)) >= fewest)
-            if not len(starts):
-                continue
             # A bigram counts as often as the template has it: not if that many others are between the start and it.
-            before, seen = np.full(len(pos), -1), defaultdict(list)
-            for k, i in enumerate(at):
-                pair = words[i], words[i + 1]
-                seen[pair].append(i)
-                n = self.shared[pair][number]
-                if len(seen[pair]) > n:
-                    before[k] = seen[pair][-1 - n]
-            found[number] = pos, before, ends, starts.tolist()
+            order = np.argsort(ids[mine], kind="stable")
+            sorted_ids, earlier = ids[mine][order], own - counts[mine][order]
+            full = np.flatnonzero((earlier >= 0) & (sorted_ids[earlier] == sorted_ids))
+            late, early = order[full], order[earlier[full]]
+            before = np.full(len(pos), -1)
+            before[late] = pos[early]
+            # The most bigrams that count from a start on: all to its widest end, less those of a pair (early, late) inside.
+            inside = np.searchsorted(ends, late, side="right")
+            lost = np.zeros(len(pos) + 1, np.int64)
+            some = inside <= early
+            np.add.at(lost, inside[some], 1)
+            np.add.at(lost, early[some] + 1, -1)
+            common = ends - own - np.cumsum(lost)[:-1]
+            starts = np.flatnonzero(common >= fewest)
+            if len(starts):
+                found[number] = pos, before, ends, starts
         return found
 
     def within(self, words: list[str]) -> list[tuple[int, int, str, float]]:
-        """(first word, end, template, score) of the best windows that do not overlap."""
+        """(first word, end, template, score) of the best windows that do not overlap.
+
+        A block of a template's starts is bounded by the bigrams that count from its first start and the windows' sizes from its
+        last; bounds of one start are exact.  The best block is halved until it is one start; starts within kept windows are dropped.
+        """
         hits = self._hits(words)
 
-        def best(number: int, k: int, limit: int) -> tuple | None:
-            """The best window from the k-th place that ends by word ``limit``."""
-            pos, before, ends, _ = hits[number]
-            end = min(int(ends[k]), int(np.searchsorted(pos, limit - 1)))
-            start, size = int(pos[k]), self.sizes[number]
-            common = np.cumsum(before[k:end] < start)
-            total = pos[k:end] - start + 1 + size
+        def measure(number: int, a: int, b: int, limit: int) -> tuple | None:
+            """The most that windows from the a-th to before the b-th start gain that end by word ``limit``."""
+            pos, before, ends, starts = hits[number]
+            first, last = int(starts[a]), int(starts[b - 1])
+            end = min(int(ends[last]), int(np.searchsorted(pos, limit - 1)))
+            if end <= first:
+                return None
+            start, size = int(pos[first]), self.sizes[number]
+            common = np.cumsum(before[first:end] < start)
+            total = np.maximum(pos[first:end] - int(pos[last]) + 1, common) + size  # no window is smaller than what it has in common
             score = 2 * common / total
             gain = np.where(score >= self.least, 3 * common - total, -4 * size - len(words))
-            j = int(gain.argmax()) if end > k else 0
-            if end <= k or score[j] < self.least:
+            j = int(gain.argmax())
+            if score[j] < self.least:
                 return None
-            return -int(gain[j]), self.names[number], start, int(pos[k + j]) + 2, float(score[j]), number, k
+            return -int(gain[j]), self.names[number], start, int(pos[first + j]) + 2, float(score[j]), number, a, b
 
-        queue = [w for number, h in hits.items() for k in h[3] if (w := best(number, k, len(words)))]
+        queue = [w for number, h in hits.items() if (w := measure(number, 0, len(h[3]), len(words)))]
         heapq.heapify(queue)
         kept: list[tuple[int, int, str, float]] = []  # in order of place
         while queue:
-            _, name, start, end, score, number, k = heapq.heappop(queue)
+            bound, name, start, end, score, number, a, b = heapq.heappop(queue)
+            at = hits[number][0][hits[number][3][a:b]]
             i = bisect_right(kept, start, key=lambda w: w[0])
+            room = kept[i][0] if i < len(kept) else len(words)
             if i and kept[i - 1][1] > start:
-                continue
-            if i == len(kept) or end <= kept[i][0]:
+                cuts = [(a + int(np.searchsorted(at, kept[i - 1][1])), b)]
+            elif b - a > 1:
+                inside = a + int(np.searchsorted(at, room))
+                cuts = [(a, inside), (inside, b)] if inside < b else [(a, (a + b) // 2), ((a + b) // 2, b)]
+            elif end > room:
+                cuts = [(a, b)]
+            else:
                 insort(kept, (start, end, name, score))
-            elif w := best(number, k, kept[i][0]):
-                heapq.heappush(queue, w)
+                continue
+            for a, b in cuts:
+                last = int(hits[number][0][hits[number][3][b - 1]])
+                i = bisect_right(kept, last, key=lambda w: w[0])
+                if a < b and (w := measure(number, a, b, kept[i][0] if i < len(kept) else len(words))):
+                    heapq.heappush(queue, w)
         return kept
 
 
@@ -235,6 +261,13 @@ def found_in(lines: list[list[str]], known: Templates, longest: int, within: boo
                 yield int(first), int(last), name, score
 
 
+def _templates(shared: dict, least: float) -> Templates:
+    """The templates of a broadcast value, kept with it for the worker's next tasks."""
+    if least not in shared:
+        shared[least] = Templates(shared["texts"], least)
+    return shared[least]
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST, text: str = "text", within: bool = False) -> DataFrame:
     """One row a match: the row's columns without its text, the lines, the licence and the score."""
     bounded_batches(docs.sparkSession)
@@ -242,10 +275,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     kept = [f for f in docs.schema if f.name != text and f.name not in found.names]
     schema = StructType(kept + found.fields)
     arrow_schema = to_arrow_schema(schema)
-    texts = docs.sparkSession.sparkContext.broadcast(dict(templates))
+    texts = docs.sparkSession.sparkContext.broadcast({"texts": dict(templates)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(texts.value, least)
+        known = _templates(texts.value, least)
         longest = int(known.sizes[-1] * (2 - least) / least) + 2 if known.sizes else 0
         for batch in pieces(batches, text, 8 << 20):
             rows, hits = [], []
