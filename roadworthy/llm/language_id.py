@@ -12,7 +12,9 @@ Only text and label are ever used.  Defined results: a text that is null or
 has no letter is ``und`` with score 0; so is every text if there is nothing to
 learn from; rows with a null label teach nothing; a single label in the
 learning rows is predicted everywhere; equal texts get equal predictions;
-input columns called lang_pred or score are replaced.
+input columns called lang_pred or score are replaced; of equal probabilities the
+label first in code-point order is predicted.  Of a very long text the n-grams
+of about a million characters are held at once, beside the text itself.
 """
 
 from __future__ import annotations
@@ -39,17 +41,46 @@ FIT_ROWS = 3000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.001
 UNKNOWN = "und"
 _PIECE = 1 << 20
+#: Characters of a text whose n-grams are held at once.
+_PART = 1 << 20
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, count) of the n-grams of each text, by row and bucket."""
-    codes = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    """(row, bucket, count) of the n-grams of each text, by row and bucket; long texts part by part."""
+    found, short = [], 0
+    for i, text in enumerate(texts):
+        if len(text) > _PART:
+            found += [_counted(texts[short:i], short), _of_long(text, i)]
+            short = i + 1
+    found.append(_counted(texts[short:], short))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _of_long(text: str, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_grams``, of one text: parts of ``_PART`` characters, counted into one number a bucket."""
+    lower, total = text.lower(), np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(lower), _PART):
+        _, bucket, count = _counted([lower[at:at + _PART]], 0, str)
+        total += np.bincount(bucket, count, minlength=BUCKETS).astype(np.int64)
+        seam = at + _PART
+        if seam < len(lower):  # grams that begin in this part and end in the next
+            for n in ORDERS:
+                for start in range(max(at, seam - n + 1), min(seam, len(lower) - n + 1)):
+                    _, bucket, _ = _counted([lower[start:start + n]], 0, str, (n,))
+                    total[bucket] += 1
+    at = np.flatnonzero(total)
+    return np.full(len(at), row), at, total[at]
+
+
+def _counted(texts: list[str], start: int, lower=str.lower, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of the n-grams of each text, by row and bucket; rows count from ``start``."""
+    codes = [np.frombuffer(lower(t).encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.array([len(c) for c in codes], np.int64)
     flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
     row = np.repeat(np.arange(len(codes), dtype=np.uint64), sizes)
     keys = []
-    for n in ORDERS:
+    for n in orders:
         if len(flat) < n:
             continue
         m = len(flat) - n + 1
@@ -65,7 +96,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(both)))
     key = both[first]
-    return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64(BUCKETS - 1)).astype(np.int64), count
+    return (key >> np.uint64(BITS)).astype(np.int64) + start, (key & np.uint64(BUCKETS - 1)).astype(np.int64), count
 
 
 def _features(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,9 @@ smallest hash of their id; every whole text is scored.
 Defined results: a null or empty text is one empty passage and has a score;
 equal texts have equal scores; a document labelled twice teaches twice, one
 with a null label not at all; without labelled documents every score is
-one half; input columns called score or passages are replaced.
+one half; input columns called score or passages are replaced.  A very long
+text is encoded about 800,000 characters at a time; what is held of it beside the text are
+about 150 numbers a passage.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ FIT_ROWS = 6000
 STEPS, RATE, DECAY, SEED = 300, 0.01, 1e-4, 7
 HIDDEN, GATE = 24, 12
 _PIECE = 1 << 20
+#: Passages of one text that are encoded at once.
+_PART = 2048
 _CLASSES = 8
 _FEATURES = _CLASSES * _CLASSES + 4
 
@@ -54,11 +58,25 @@ def _character_classes() -> np.ndarray:
 
 
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of every passage, the passage's text number), in order."""
+    """(features of every passage, the passage's text number), in order; long texts are encoded part by part."""
+    parts = np.array([max(1, -(-len(t or "") // PASSAGE)) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), parts)
+    out, short = [], 0
+    for i, text in enumerate(texts):
+        if parts[i] > _PART:
+            step = _PART * PASSAGE
+            out += [_encoded(texts[short:i]), *(_encoded([text[at:at + step]]) for at in range(0, len(text), step))]
+            short = i + 1
+    out = np.concatenate([*out, _encoded(texts[short:])])
+    out[:, -1] = np.log1p(parts)[owner]
+    return out, owner
+
+
+def _encoded(texts: list[str | None]) -> np.ndarray:
+    """Features of every passage but the last, which is about the whole text."""
     codes = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.array([len(c) for c in codes], np.int64)
     parts = np.maximum(1, -(-sizes // PASSAGE))
-    owner = np.repeat(np.arange(len(texts)), parts)
     total, first = int(parts.sum()), np.cumsum(parts) - parts
     flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
     inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -82,8 +100,7 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     words = np.bincount(part[kind == 3], minlength=total) + 1
     out[:, -3] = np.log1p(length / words)
     out[:, -2] = np.log1p(length)
-    out[:, -1] = np.log1p(parts)[owner]
-    return out, owner
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -25,10 +25,14 @@ zero and is linked like any other; with fewer words than a shingle the whole
 sequence is one; a null id takes part but never names a component (null if
 all ids of a component are null); repeated rows keep their number; an empty table
 gives an empty result; input columns called fingerprint or component_id are replaced.
+Of a very long text the words of about a megabyte are held at once, beside the text itself.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,26 +48,46 @@ from roadworthy.llm.components import components
 SEED = 42
 #: Fingerprints that may share a join key before longer keys are used.
 SMALL = 64
-_BLOCK = 1 << 16
+#: Bytes of a text whose words are held at once.
+_BLOCK = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
     """SimHash of a text's UTF-8 bytes, as a signed 64-bit number."""
-    words = (text or b"").translate(_TO_LOWER).split()
-    if not words:
-        return 0
+    ones, total = np.zeros(64, np.int64), 0
+    words: list[bytes] = []
+    for more in _words(text or b""):
+        words += more
+        if len(words) >= shingle:
+            ones += _ones(words, shingle)
+            total += len(words) - shingle + 1
+            words = words[len(words) - shingle + 1:]  # begin the next part's shingles
+    if not total and words:
+        ones, total = _ones(words, len(words)), 1
+    return int(np.packbits(2 * ones > total).view(">i8")[0])
+
+
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """Lower-cased words of parts of about ``_BLOCK`` bytes that end between words."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + _BLOCK)
+        end = blank.start() if blank else len(text)
+        yield text[at:end].translate(_TO_LOWER).split()
+        at = end
+
+
+def _ones(words: list[bytes], shingle: int) -> np.ndarray:
+    """How often each bit is set in the hashes of all shingles of at least ``shingle`` words."""
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    reach = min(shingle, len(words)) - 1
-    first, last = starts[: len(starts) - reach].tolist(), ends[reach:].tolist()
-    ones = np.zeros(64, np.int64)
+    first, last = starts[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(first), _BLOCK):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(first[at:at + _BLOCK], last[at:at + _BLOCK])], np.uint64)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first)).view(">i8")[0])
+    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], np.uint64)
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
@@ -106,7 +130,11 @@ def _long_array(values: list[int]) -> Column:
 
 
 def _pairs(keyed: DataFrame, key: list[str], ring: _Ring, distance: int) -> DataFrame:
-    """Links between the fingerprints that share a key; a key holds a bounded number of them."""
+    """Links between the fingerprints that share a key: at most ``SMALL``, or as many as differ in the key's open bits.
+
+    For a distance of 2 at most five bits are open in a long key.  A larger distance leaves 24 or more open, so that no useful
+    bound holds there; the links are the same.
+    """
     grouped = keyed.groupBy(*key).agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
     left = grouped.select("pos", "fps", F.posexplode("fps").alias("at", "u"))
     both = left.select("pos", "u", F.explode(F.slice("fps", F.lit(1), F.col("at"))).alias("v"))
