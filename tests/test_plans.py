@@ -30,6 +30,22 @@ def test_lookup_ranks_day_by_day(spark):
     assert ranks and all(f"windowspecdefinition({P.KENTEKEN}#" in r and f"{lookup.DAY}#" in r for r in ranks)
 
 
+def test_tasks_are_given_a_bounded_part_of_a_shuffle(spark):
+    """Merged shuffle partitions stay small where the session names no size; a size it names is kept."""
+    from roadworthy.session import ADVISORY, configure
+
+    plain, named = spark.newSession(), spark.newSession()
+    plain.conf.unset(ADVISORY)
+    named.conf.set(ADVISORY, "64m")
+    configure(plain), configure(named)
+    assert plain.conf.get(ADVISORY) == "16m" and named.conf.get(ADVISORY) == "64m"
+    rows = plain.range(2_500_000, numPartitions=4).select(F.md5(F.col("id").cast("string")).alias("k"))  # some 90 MB shuffled
+    plain.conf.set("spark.sql.shuffle.partitions", "40")
+    plain.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    tasks = rows.repartition("k").select(F.spark_partition_id().alias("task")).distinct().count()
+    assert 4 <= tasks < 40  # 64 MB a task would be 2
+
+
 def test_classifier_is_an_expression_not_a_join(spark):
     df = spark.range(10).select(F.col("id").cast("string").alias("c"))
     plan = _plan(df.select(C.is_reliability(F.col("c"))))
