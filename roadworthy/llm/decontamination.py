@@ -6,6 +6,9 @@ as a sequence of word numbers; one pass over a document's words finds all
 occurrences of all windows, overlapping ones included.  Words found are mapped
 back to character offsets of the original text.
 
+Texts are cut into words as UTF-8 bytes, and the pass is left out for a text
+that cannot hold a window: see ``Sieve``.
+
 The automaton is built once per Python worker from the items broadcast to it.
 Equal items are reduced to one, measured, and sent in blocks of about
 ``block_bytes`` of text (dealt by hash; an item is never cut), one pass over the
@@ -21,7 +24,7 @@ are called like an output column are replaced; repeated rows are judged alike.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -30,41 +33,68 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from roadworthy.llm.arrow import pieces
+from roadworthy.llm.arrow import pieces, utf8
 from roadworthy.llm.common import LOWER, UPPER, bounded_batches, written
 
 WINDOW = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GRAM = 6
 BLOCK_BYTES = 2 << 20
 _LOWER = str.maketrans(UPPER, LOWER)
+#: For each byte itself, lower-cased, or a space if it is in no word; all bytes of a character above U+007F are in words.
+_SPACED = bytes(ord(c) if b > 127 or re.fullmatch(WORD, c) else 32 for b, c in ((b, chr(b).translate(_LOWER)) for b in range(256)))
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8, as ``WORD`` finds them in the lower-cased text."""
+    return (text or b"").translate(_SPACED).split()
+
+
+class Sieve:
+    """Tells texts that hold none of the given word sequences, from a few of their words.
+
+    Of the first n words of a sequence, n the length of the shortest one, any
+    ``step`` neighbouring starts of ``size`` words include a multiple of
+    ``step`` wherever the sequence lies in a text.  So a text that has none of
+    these pieces at the multiples of ``step`` holds no sequence.
+    """
 
+    def __init__(self, sequences: Iterable[list[bytes]]):
+        given = list(sequences)
+        least = min(map(len, given), default=0)
+        self.size = min(GRAM, least)
+        self.step = least - self.size + 1
+        self.pieces = {tuple(s[at:at + self.size]) for s in given for at in range(self.step)} if least else set()
 
-def words_of(text: str | None) -> list[str]:
-    return re.findall(WORD, (text or "").translate(_LOWER))
+    def may_hold(self, words: list[bytes]) -> bool:
+        return bool(self.pieces) and not self.pieces.isdisjoint(zip(*(words[at::self.step] for at in range(self.size))))
 
 
 class Windows:
     """Automaton of the items' word windows."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text.encode())]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners.setdefault(tuple(ids[at:at + window]), set()).add(item)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        self.shortest = min(map(len, owners), default=0)
         for key, found in owners.items():
             self.automaton.add_word(key, (len(key), frozenset(found)))
         if owners:
             self.automaton.make_automaton()
+        word = [b"", *self.number]
+        keys = [[word[i] for i in key] for key in owners]
+        # Short items have a sieve of their own, so that they do not widen that of the whole windows.
+        self.sieves = [Sieve(k for k in keys if len(k) == window), Sieve(k for k in keys if len(k) < window)]
 
-    def find(self, words: list[str]) -> tuple[list[list[int]], set[str]]:
+    def find(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """(word ranges [from, to) covered by windows, disjoint and in order; items found)."""
         ranges: list[list[int]] = []
         items: set[str] = set()
-        if not self.shortest:
+        if not any(s.may_hold(words) for s in self.sieves):
             return ranges, items
         ids = tuple([self.number.get(w, 0) for w in words])
         for last, (length, owners) in self.automaton.iter(ids):
@@ -105,7 +135,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, text: str,
             out: dict[str, list] = {"n_words": [], "words": [], "spans": [], "items": []}
             before = [None] * batch.num_rows if first else list(zip(
                 batch.column("words").to_pylist(), batch.column("items").to_pylist()))
-            for value, old in zip(batch.column(text).to_pylist(), before):
+            for value, old in zip(utf8(batch, text), before):
                 words = words_of(value)
                 ranges, got = windows.find(words)
                 if old is not None:
@@ -114,7 +144,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, text: str,
                 pair = lambda rs: [{"first": a, "end": b} for a, b in rs]
                 out["n_words"].append(len(words))
                 out["words"].append(pair(ranges))
-                out["spans"].append(pair(offsets(value, ranges)) if ranges else [])
+                out["spans"].append(pair(offsets(value.decode(errors="replace"), ranges)) if ranges else [])
                 out["items"].append(sorted(got))
             columns = [batch.column(c) for c in plain] + [pa.array(out[f.name], f.type) for f in list(arrow_schema)[len(plain):]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pickle
 import random
+import re
+import types
 
 import brute
 import numpy as np
@@ -149,6 +151,34 @@ def test_blocks_of_items_find_the_same(spark, block_bytes):
     assert brute.sort_rows(got.collect()) == brute.sort_rows(want)
 
 
+def test_texts_without_a_window_are_not_searched():
+    """Words of bytes are those of the text; the automaton reads only texts that may hold a window, and misses none."""
+    rng = random.Random(5)
+    odd = "".join(map(chr, [*range(256), 0x130, 0x2028, 0x3000, 0x1F600]))
+    for text in ["", odd, *("".join(rng.choices(odd, k=60)) for _ in range(200))]:
+        assert [w.decode() for w in decontamination.words_of(text.encode())] == re.findall(decontamination.WORD, brute.ascii_lower(text))
+    assert decontamination.words_of(None) == []
+    for lengths in ([40], [13], [5], [1, 2], [3, 12, 20, 13], [7, 30]):
+        items = [(str(i), " ".join(rng.choices("abcdefgh", k=n) + [f"x{i}"])) for i in range(6) for n in lengths]
+        windows = decontamination.Windows(items, 13)
+        for _ in range(300):
+            words = rng.choices("abcdefghy", k=rng.randint(0, 25))
+            if rng.random() < 0.6:
+                held = items[rng.randrange(len(items))][1].split()
+                at = rng.randint(0, max(0, len(held) - 13))
+                words += held[at:at + rng.choice((12, 13, 20))] + rng.choices("abcdefghy", k=rng.randint(0, 25))
+            words = [w.encode() for w in words]
+            found = windows.find(words)
+            sieves, windows.sieves = windows.sieves, [types.SimpleNamespace(may_hold=lambda words: True)]
+            assert found == windows.find(words)
+            windows.sieves = sieves
+    windows = decontamination.Windows([("1", " ".join(f"w{i}" for i in range(40))), ("2", "short item")], 13)
+    windows.automaton = types.SimpleNamespace(iter=lambda ids: pytest.fail("searched"))
+    apart = [f"w{i}".encode() for i in range(40) for _ in range(2)] + [b"item", b"short"]
+    assert windows.find(apart) == ([], set())
+    assert decontamination.Windows([], 13).find(apart) == ([], set())
+
+
 def test_equal_items_are_sent_once_and_read_once_a_worker(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, " ".join(rng.choices("abcdefgh", k=20))) for i in range(60)]
