@@ -12,6 +12,9 @@ one at most, the first or the second half is.  The join key holds the equal
 parts, so a bigram that many words share does not make them all meet; each
 pair that meets is verified by its edit distance inside the join.
 
+No join broadcasts: Spark sizes signatures by the file of the words, of which
+each makes many, and other sides by compressed files.
+
 The order of rarity counts bigrams in ``BUCKETS`` hash buckets, a table of
 fixed size whatever the alphabet; bigrams of one bucket tie, and ties stay in
 the prefix, so nothing is lost by it.
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadworthy.llm.common import setting, written
+from roadworthy.llm.common import by_merge, setting, written
 from roadworthy.session import remove_path, shared_dir
 
 BUCKETS = 1 << 16
@@ -151,7 +154,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     for r in places.groupBy(bucket.alias("bucket")).count().collect():  # at most BUCKETS rows
         table[r.bucket] = r["count"]
     counts = spark.sparkContext.broadcast(table)
-    p, w = _signatures(words, counts, True).alias("p"), _signatures(words, counts, False).alias("w")
+    p, w = _signatures(words, counts, True).alias("p"), by_merge(_signatures(words, counts, False)).alias("w")
     met = p.join(w, (F.col("p.key") == F.col("w.key")) & (F.col("p.last") <= F.col("w.last")) & (F.col("p.word") != F.col("w.word"))
                  & (F.abs(F.length("p.word") - F.length("w.word")) <= 1)
                  & (F.levenshtein(F.col("p.word"), F.col("w.word"), 1) == 1))
@@ -178,7 +181,7 @@ def roots(forms: DataFrame) -> DataFrame:
     path = shared_dir(spark, "roots")
     current = written(forms.select("word", F.col("form").alias("root")), "roots", path)
     while True:
-        further = current.select(F.col("word").alias("root"), F.col("root").alias("further"))
+        further = by_merge(current.select(F.col("word").alias("root"), F.col("root").alias("further")))
         if current.join(further, "root", "left_semi").isEmpty():
             return current
         done, path = path, shared_dir(spark, "roots")
@@ -199,8 +202,8 @@ def variants(words: DataFrame, length: int = 5, least: int = 3, ratio: float = 2
         best = F.min(F.struct((-F.col("near_n")).alias("rank"), F.col("near").alias("form")))
         near = near_pairs(known).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
         near = written(near.select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.rank")).alias("form_n")), "near-words")
-    found = known.join(near, "word", "left").withColumn("formed", F.col("form_n") >= F.col("n") * ratio)
+    found = known.join(by_merge(near), "word", "left").withColumn("formed", F.col("form_n") >= F.col("n") * ratio)
     last = roots(found.where("formed").select("word", "form"))
-    return found.join(last, "word", "left").select(
+    return found.join(by_merge(last), "word", "left").select(
         "word", F.when(F.col("formed"), F.col("form")).alias("form"), F.coalesce("root", "word").alias("root"), "n",
         F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("formed"), F.col("form_n")).alias("form_n"))

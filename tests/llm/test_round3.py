@@ -44,6 +44,21 @@ def words_of(spark, counts):
     return spark.createDataFrame(list(counts.items()), "word string, n long")
 
 
+def test_spelling_broadcasts_no_join_side(spark, monkeypatch):
+    plans, written = [], spelling.written
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *rest)
+
+    monkeypatch.setattr(spelling, "written", seen)
+    found = spelling.variants(words_of(spark, {"house": 2, "houses": 5, "houseys": 11, "mouse": 3, "kitchen": 9}), 5, 2)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+    assert {r.word: r.root for r in found.collect()} == {"house": "houseys", "houses": "houseys", "houseys": "houseys", "mouse": "mouse", "kitchen": "kitchen"}
+
+
 def test_variants_of_generated_words(spark):
     rnd = random.Random(4)
     words = {}
