@@ -17,7 +17,10 @@ visited only the distances that can reach it are measured.  A score equal to the
 k-th best is still reached, so ties are right and the result is the full scan's.
 
 The directory of rings has at most ``PIVOTS`` * ``RINGS`` rows a vector length and is the only
-thing the driver and every task hold.  Queries are dealt into blocks of about ``block`` rows.
+thing the driver and every task hold.  Queries are dealt into blocks of about ``block`` rows.  A block's queries
+travel to every part of a ring that they visit, so a round is dealt into slices of blocks, one at
+a time, whose copies are about ``COPIES`` times the vectors and queries at most.  No join of these
+broadcasts: Spark sizes them by the compressed files, or by the queries before they are copied.
 
 Defined results: vectors that are null or hold null or non-finite components, or one of 2^26 or more
 after scaling (scores would not be exact), and rows without id, take no part; a zero vector takes part;
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadworthy.llm.common import setting, written
+from roadworthy.llm.common import by_merge, setting, written
 from roadworthy.session import remove_path, shared_dir
 
 SAMPLE, ROUNDS = 2048, 5
@@ -46,6 +49,8 @@ PIVOTS, RINGS, ROWS, BLOCK = 64, 64, 1024, 256
 LIMIT = float(1 << 26)
 #: Rings a query visits in the first round, and how many times more in each later one.
 FIRST, GROWTH = 2, 8
+#: Copies of queries that one slice of a round may shuffle, about, in sizes of the vectors and queries themselves.
+COPIES = 4
 #: Rounding of a squared distance, relative to the squared norms it comes from.
 SLACK = 1e-9
 _LEAST = -(1 << 63)
@@ -261,10 +266,11 @@ def search(made: Index, queries: DataFrame, k: int = 20, vec_id: str = "vec_id",
                 ids, scores = ids[a:b], _scores(q, x[a:b])
                 other = own[:, None] != ids[None, :]
                 hit = other & (scores >= kth[:, None])
-                if len(ids) > k:
+                many = np.flatnonzero(hit.sum(axis=1) > k)
+                if len(many):
                     # A row's k-th best score here: whatever is below it is among no k best.
-                    least = np.partition(np.where(hit, scores, _LEAST), len(ids) - k, axis=1)[:, len(ids) - k]
-                    hit &= scores >= least[:, None]
+                    least = np.partition(np.where(hit[many], scores[many], _LEAST), len(ids) - k, axis=1)[:, len(ids) - k]
+                    hit[many] &= scores[many] >= least[:, None]
                 i, j = np.nonzero(hit)
                 # All ties at a row's k-th place would be kept; the smaller ids suffice.
                 order = np.lexsort((ids[j], -scores[i, j], i))
@@ -288,6 +294,15 @@ def search(made: Index, queries: DataFrame, k: int = 20, vec_id: str = "vec_id",
         seen = found.where("vec_id is null").groupBy(*query).agg(F.sum("measured").alias("measured"))
         return top.unionByName(seen.select(*query, F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score"), "measured"))
 
+    # One row a vector length, as above.
+    sizes = {r.dim: r["count"] for r in asked.where(F.col("dim").isin(list(rings))).groupBy("dim").count().collect()}
+    room = COPIES * sum((dim + 6) * (int(directory[:, 4].sum()) + sizes.get(dim, 0)) for dim, directory in rings.items())
+
+    def slices(start: int, end: int) -> int:
+        """Into how many slices a round's blocks are dealt; a query asks at most as many parts as the rings of most parts have."""
+        copies = sum((dim + 6) * n * int(np.sort(rings[dim][:, 5])[::-1][:end - start].sum()) for dim, n in sizes.items())
+        return max(1, -(-copies // room))
+
     places, start, end = max((len(d) for d in rings.values()), default=0), 0, FIRST
     state = spark.createDataFrame([], "query_id long, which long, vec_id long, score long, measured long")
     path = None
@@ -295,21 +310,24 @@ def search(made: Index, queries: DataFrame, k: int = 20, vec_id: str = "vec_id",
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "16"):
         while start < places:
             kth = state.where("vec_id is not null").groupBy(*query).agg(F.count("*").alias("n"), F.min("score").alias("least"))
-            waiting = asked.join(kth, query, "left").select(
+            waiting = asked.join(by_merge(kth), query, "left").select(
                 "dim", "block", *query, "x", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(_LEAST)).alias("kth"))
-            plan = waiting.groupBy("dim", "block").applyInArrow(
-                planned(start, end), "dim int, pivot int, ring int, part int, asked binary, which binary, kth binary, asked_vectors binary")
-            met = shared_dir(spark, "met")  # read twice below, measured once
-            found = written(plan.join(made.blocks, ["dim", "pivot", "ring", "part"]).mapInArrow(
-                measure, "query_id long, which long, vec_id long, score long, measured long"), "met", met)
+            met, n = [], slices(start, end)
+            for i in range(n):
+                plan = waiting.where(F.pmod("block", F.lit(n)) == i).groupBy("dim", "block").applyInArrow(
+                    planned(start, end), "dim int, pivot int, ring int, part int, asked binary, which binary, kth binary, asked_vectors binary")
+                met.append(shared_dir(spark, "met"))  # read twice below, measured once
+                written(plan.join(by_merge(made.blocks), ["dim", "pivot", "ring", "part"]).mapInArrow(
+                    measure, "query_id long, which long, vec_id long, score long, measured long"), "met", met[-1])
+            found = spark.read.schema(state.schema).parquet(*met)
             done, path = path, shared_dir(spark, "best")
             state = written(best(state.unionByName(found)), "best", path)
-            for old in filter(None, (done, met)):
-                remove_path(spark, old)  # the round's state holds what is needed of both
+            for old in filter(None, (done, *met)):
+                remove_path(spark, old)  # the round's state holds what is needed of them
             start, end = end, end * GROWTH
     seen = state.where("vec_id is null").select(*query, F.col("measured"))
     top = state.where("vec_id is not null").drop("measured").withColumn("rank", F.row_number().over(order).cast("int"))
-    return top.join(seen, query).select("query_id", "rank", "vec_id", "score", "measured")
+    return top.join(by_merge(seen), query).select("query_id", "rank", "vec_id", "score", "measured")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", embedding: str = "embedding",

@@ -262,6 +262,29 @@ def test_rings_out_of_reach_are_not_measured(spark):
     assert sum(measured.values()) < 0.5 * len(measured) * len(rows)
 
 
+def test_a_round_is_shuffled_in_bounded_slices_and_broadcasts_none(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, asked = 2400, 120
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plans, copies, written = [], [], pivot_index.written
+
+    def seen(df, name, *rest):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        out = written(df, name, *rest)
+        if name == "met":  # a row without neighbour for each query and part that met
+            copies.append(out.where("vec_id is null").count())
+        return out
+
+    monkeypatch.setattr(pivot_index, "written", seen)
+    got = pivot_index.top_k(df, df.where("vec_id % 20 = 0"), k=5, rows=10, block=10)
+    plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
+    assert by_query(got.collect()) == brute.inner_products(rows, 5)
+    assert not any("Broadcast" in p for name, p in plans if name in ("met", "best", "result"))
+    # Blocks are dealt by hash, so a slice may have some more than its share.
+    assert max(copies) < 1.5 * 4 * (n + asked) < sum(copies)
+
+
 def test_large_rings_are_split_and_ties_go_to_the_smaller_id(spark):
     rows = [(i, [1.0, 0.5]) for i in range(700)] + [(1000, [3.0, 1.0])] * 40
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
